@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from colloquy.llm.ogg import read_media, write_media
 from colloquy.llm.piece_codec import encode_pieces
+from colloquy.llm.simhash import simhash_groups
 from colloquy.llm.token_counts import token_counts
 
 #: Paths of public vocabulary files; any file of the same format serves.
@@ -24,12 +25,23 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = read_media(write_media(table(spark, sf_dir, "documents")))
+    return media.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_MODEL), budget=1024)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op3_simhash": op3_simhash,
+    "op4_media": op4_media,
     "op6_token_counts": op6_token_counts,
 }
 
