@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Rows of one Arrow batch are handled in slices of about this many bytes, so that a batch of very
 #: long texts needs no more Python memory than a batch of short ones.
@@ -24,15 +26,22 @@ def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Itera
             yield batch.slice(at, step)
 
 
+def arrow_schema(ddl: str) -> pa.Schema:
+    """The Arrow schema of a DDL string; call it on the driver."""
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
+def rows_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
 def map_columns(df: DataFrame, columns: dict[str, str], fn: Callable, schema: str, limit: int = SLICE_BYTES) -> DataFrame:
     """Run `fn(list, list, ...) -> dict of lists or Arrow arrays` over the columns `{name: source column}`.
 
     Only these columns reach Python, so further columns of `df`, whatever their names, don't matter.
     """
-    from pyspark.sql.types import StructType
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    out = to_arrow_schema(StructType.fromDDL(schema))
+    out = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, limit):
