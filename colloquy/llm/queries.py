@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import toxicity
+from colloquy.llm import html_text, toxicity, warc
 from colloquy.llm.decontaminate import contaminated
 from colloquy.llm.ogg import read_media, write_media
 from colloquy.llm.piece_codec import encode_pieces
+from colloquy.llm.shared import written
 from colloquy.llm.simhash import simhash_groups
 from colloquy.llm.token_counts import token_counts
 
@@ -53,6 +54,17 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = written(warc.write_archives(table(spark, sf_dir, "pages"), min_bytes=0), "warc")
+    read = warc.read_archives(archives)
+    ids = {c: F.col(c).cast("long") for c in ("record_id", "refers_to")}
+    return read.select(ids["record_id"].alias("page_id"), "payload_bytes", "payload_digest", "record_type", ids["refers_to"].alias("refers_to"))
+
+
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_decontamination": op2_decontamination,
@@ -60,6 +72,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_media": op4_media,
     "op6_token_counts": op6_token_counts,
     "op7_toxicity": op7_toxicity,
+    "op8_warc": op8_warc,
+    "op9_main_text": op9_main_text,
 }
 
 ORACLE_SQL: dict[str, str] = {}
