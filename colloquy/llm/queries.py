@@ -15,6 +15,7 @@ from colloquy.llm.piece_codec import encode_pieces
 from colloquy.llm.shared import written
 from colloquy.llm.simhash import simhash_groups
 from colloquy.llm.token_counts import token_counts
+from colloquy.llm.word_windows import dedup_windows
 
 #: Paths of public vocabulary files; any file of the same format serves.
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -43,6 +44,11 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_windows(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_MODEL), budget=1024)
 
@@ -70,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_simhash": op3_simhash,
     "op4_media": op4_media,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_toxicity": op7_toxicity,
     "op8_warc": op8_warc,
