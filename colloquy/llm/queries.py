@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm import html_text, toxicity, warc
+from colloquy.llm.byte_index import dedup_bytes
 from colloquy.llm.decontaminate import contaminated
 from colloquy.llm.ogg import read_media, write_media
 from colloquy.llm.piece_codec import encode_pieces
@@ -71,6 +72,11 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op10_byte_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_bytes(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_decontamination": op2_decontamination,
@@ -81,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": op7_toxicity,
     "op8_warc": op8_warc,
     "op9_main_text": op9_main_text,
+    "op10_byte_dedup": op10_byte_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}

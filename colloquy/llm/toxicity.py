@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -222,3 +223,14 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
     kind = docs.schema[id_col].dataType.simpleString()
     return map_columns(docs, {"doc_id": id_col, "text": text_col}, run, f"doc_id {kind}, score double, predicted int, matches boolean")
+
+
+def clean(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
+    """The rows whose text scores below 0.5, with all their columns."""
+    lazy = Lazy(model.lexicon)
+
+    @F.pandas_udf("double")
+    def scores(texts: pd.Series) -> pd.Series:
+        return pd.Series([model.score(lazy.get().patterns(t)) for t in texts], dtype=float)
+
+    return docs.where(scores(F.col(f"`{text_col}`")) < 0.5)

@@ -11,6 +11,7 @@ from __future__ import annotations
 import struct
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -182,6 +183,30 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def remove_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """The same rows and columns; texts that lose words are the words left, one space between them, others are unchanged."""
+    key, found = (next(n for n in (f"{name}{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns) for name in ("key", "found"))
+    spans = repeated_ranges(docs, id_col=id_col, text_col=text_col, window=window)
+    spans = spans.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("begin", "stop")).alias(found))
+
+    @F.pandas_udf("string")
+    def left(texts: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([t if f is None or not len(f) else kept_words(t, f)[0] for t, f in zip(texts, found)], dtype=object)
+
+    rows = docs.withColumn(key, F.col(f"`{id_col}`").cast("long")).join(spans, key, "left")
+    return rows.withColumn(text_col, left(F.col(f"`{text_col}`"), F.col(found))).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def kept_words(text: str | None, found) -> tuple[str, int, list[tuple[int, int]]]:
+    """(words left, words in all, removed ranges) of a text."""
+    ws = (text or "").encode("utf-8", "surrogatepass").split()
+    own = merged([(x["begin"], x["stop"]) for x in found if x is not None] if found is not None else [])
+    n = len(ws)
+    for a, b in reversed(own):
+        del ws[a:b]
+    return b" ".join(ws).decode("utf-8", "surrogatepass"), n, own
+
+
 def dedup_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, minimiser: int = MINIMISER, buckets: int | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words left, one space between them) and spans (removed ranges of words).
 
@@ -196,17 +221,11 @@ def dedup_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     found = found.groupBy(F.col("doc_id").alias("key")).agg(F.collect_list(F.struct("begin", "stop")).alias("found"))
 
     def keep(ids, texts, found):
-        n, gone, kept, spans = [], [], [], []
-        for t, f in zip(texts, found):
-            ws = (t or "").encode("utf-8", "surrogatepass").split()
-            own = merged([(x["begin"], x["stop"]) for x in f or ()])
-            n.append(len(ws))
-            gone.append(sum(b - a for a, b in own))
-            for a, b in reversed(own):
-                del ws[a:b]
-            kept.append(b" ".join(ws).decode("utf-8", "surrogatepass"))
-            spans.append([{"begin": a, "stop": b} for a, b in own])
-        return {"doc_id": ids, "n_words": n, "n_removed": gone, "kept": kept, "spans": spans}
+        made = [kept_words(t, f) for t, f in zip(texts, found)]
+        return {
+            "doc_id": ids, "n_words": [n for _, n, _ in made], "n_removed": [sum(b - a for a, b in own) for _, _, own in made], "kept": [k for k, _, _ in made],
+            "spans": [[{"begin": a, "stop": b} for a, b in own] for _, _, own in made],
+        }
 
     return map_columns(rows.join(found, "key", "left"), {"doc_id": "doc_id", "text": "text", "found": "found"}, keep,
                        f"doc_id {kind}, n_words long, n_removed long, kept string, spans array<struct<begin:int,stop:int>>")
