@@ -1 +1,4 @@
+"""Registered queries of the engine's own operators."""
 
+from colloquy.plans import analytics_queries, scoring_queries  # noqa: F401
+from colloquy.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
