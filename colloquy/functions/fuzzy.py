@@ -9,11 +9,12 @@ from collections import Counter
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType
 
 from colloquy.functions.lexicons import ZERO_WIDTH
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t))
 
@@ -24,7 +25,7 @@ def normalize_text(c: Column) -> Column:
     return F.lower(F.regexp_replace(wide, ZERO_WIDTH, ""))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching blocks' share of both texts (difflib)."""
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
@@ -65,7 +66,7 @@ def alias_score(alias: str, text: str, least: float = 0.80) -> float:
     return best if best >= least else 0.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def alias_match_score(alias: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([0.0 if a is None or t is None else alias_score(a, t) for a, t in zip(alias, text)])
 
@@ -81,7 +82,7 @@ def quote_found(quote: str | None, source: str | None, least: float = 0.82) -> b
     return any(sum(a == b for a, b in zip(q, s[i : i + len(q)])) >= need for i in range(max(1, len(s) - len(q) + 1)))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def fuzzy_quote_found(quote: pd.Series, source: pd.Series) -> pd.Series:
     return pd.Series([quote_found(q, s) for q, s in zip(quote, source)])
 
