@@ -64,13 +64,13 @@ def extract_keywords(c: Column) -> Column:
     numbers = F.regexp_extract_all(c, F.lit(r"(\d+(?:\.\d+)?%?)"), F.lit(1))
     runs = F.regexp_extract_all(c, F.lit("([一-鿿]{2,})"), F.lit(1))
     pairs = F.flatten(F.transform(runs, lambda r: F.when(F.length(r) <= 4, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2))))))
-    words = F.transform(F.regexp_extract_all(c, F.lit("([A-Za-z]{2,})"), F.lit(1)), F.lower)
+    words = F.transform(F.regexp_extract_all(c, F.lit("([A-Za-z]{2,})"), F.lit(1)), lambda x: F.lower(x))
     return F.array_distinct(F.concat(numbers, pairs, words))
 
 
 def template_elements(c: Column) -> Column:
     """Parts of a template between punctuation, of 2 characters or more."""
-    return F.filter(F.transform(F.split(c, r"[，。！？、；：,.!?;:\n]+"), F.trim), lambda x: F.length(x) >= 2)
+    return F.filter(F.transform(F.split(c, r"[，。！？、；：,.!?;:\n]+"), lambda x: F.trim(x)), lambda x: F.length(x) >= 2)
 
 
 def parse_bool(c: Column) -> Column:
