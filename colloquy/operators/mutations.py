@@ -63,9 +63,12 @@ def entity_swap(scenarios: DataFrame, columns: list[str], seed: int = 1) -> Data
     """Entities of each scenario become those of another: the next one in a hashed order of the distinct values."""
     out = scenarios
     for c in columns:
-        values = scenarios.select(c).distinct().withColumn("h", F.xxhash64(c, F.lit(seed)))
-        bucket = values.withColumn("b", F.pmod("h", F.lit(64)))
-        w = Window.partitionBy("b").orderBy("h", c)
-        ring = F.coalesce(F.lead(c).over(w), F.first(c).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-        out = out.join(bucket.select(c, ring.alias("_new")), c, "left").drop(c).withColumnRenamed("_new", c)
+        values = scenarios.select(c).distinct().withColumn("h", F.xxhash64(c, F.lit(seed))).withColumn("b", F.pmod("h", F.lit(64)))
+        firsts = values.groupBy("b").agg(F.min_by(c, F.struct("h", c)).alias("_first"))  # 64 rows at most
+        every = Window.orderBy("b")
+        wrap = F.first("_first").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        after = firsts.select("b", F.coalesce(F.lead("_first").over(every), wrap).alias("_after"))
+        follow = F.lead(c).over(Window.partitionBy("b").orderBy("h", c))
+        ring = values.join(F.broadcast(after), "b").select(c, F.coalesce(follow, "_after").alias("_new"))
+        out = out.join(ring, c, "left").drop(c).withColumnRenamed("_new", c)
     return out.select(scenarios.columns)

@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-IN_ORDER = Window.partitionBy("scenario_id").orderBy("ord")
 #: Outcome -> tool that must come before it is logged.
 CAUSAL_TOOLS = {"refunded": "create_compensation", "rescheduled": "reschedule_delivery", "confirmed": "query_order", "escalated": "transfer_to_human"}
 
 
+def in_order():
+    return Window.partitionBy("scenario_id").orderBy("ord")
+
+
 def compile_nodes(steps: DataFrame, branches: DataFrame, tools: DataFrame) -> DataFrame:
     """scenario_id, step_id, ord, weight, is_optional, is_branch_target, predicate (tool, or words of the instruction)."""
     targets = branches.select("scenario_id", F.col("next_step").alias("step_id")).distinct().withColumn("t", F.lit(True))
@@ -32,7 +35,7 @@ def compile_edges(steps: DataFrame, branches: DataFrame) -> DataFrame:
     """
     targets = branches.select("scenario_id", F.col("next_step").alias("nxt")).distinct().withColumn("nxt_target", F.lit(True))
     sources = branches.select("scenario_id", "step_id").distinct().withColumn("has_branches", F.lit(True))
-    follow = steps.withColumns({"nxt": F.lead("step_id").over(IN_ORDER), "nxt_optional": F.lead("is_optional").over(IN_ORDER)}).where("nxt is not null")
+    follow = steps.withColumns({"nxt": F.lead("step_id").over(in_order()), "nxt_optional": F.lead("is_optional").over(in_order())}).where("nxt is not null")
     rows = follow.join(sources, ["scenario_id", "step_id"], "left").join(targets, ["scenario_id", "nxt"], "left").na.fill(False, ["has_branches", "nxt_target"])
     plain = rows.where("not (has_branches and nxt_target)").select(
         "scenario_id", F.col("step_id").alias("src"), F.col("nxt").alias("dst"),
@@ -69,7 +72,7 @@ def expected_path(expected: DataFrame, taken: DataFrame) -> DataFrame:
 def temporal_constraints(steps: DataFrame, must_call: DataFrame, outcomes: DataFrame, causal: DataFrame) -> DataFrame:
     """scenario_id, kind, src, dst, penalty: neighbouring required steps (0.8), consecutive required tools (1.0), the causal tool of the
     expected outcome before the log (2.0)."""
-    need = steps.where("not is_optional").withColumn("dst", F.lead("step_id").over(IN_ORDER)).where("dst is not null")
+    need = steps.where("not is_optional").withColumn("dst", F.lead("step_id").over(in_order())).where("dst is not null")
     tools = must_call.withColumn("dst", F.lead("tool_name").over(Window.partitionBy("scenario_id").orderBy("pos"))).where("dst is not null")
     row = lambda df, kind, src, penalty: df.select("scenario_id", F.lit(kind).alias("kind"), F.col(src).alias("src"), "dst", F.lit(penalty).alias("penalty"))
     cause = outcomes.join(F.broadcast(causal), "outcome")

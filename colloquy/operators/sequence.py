@@ -10,18 +10,24 @@ from pyspark.sql.window import Window
 
 from colloquy.functions.text import matches_any, template_elements
 
-IN_TRACE = Window.partitionBy("trace_id").orderBy("msg_idx")
-SO_FAR = IN_TRACE.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 #: Strategies of a user simulator by how often the agent refused.
 ESCALATION = ["calm", "insistent", "annoyed", "angry", "threatening"]
 
 
+def in_trace():
+    return Window.partitionBy("trace_id").orderBy("msg_idx")
+
+
+def so_far():
+    return in_trace().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
 def verbatim_repetition(messages: DataFrame, similar) -> DataFrame:
     """trace_id, turn of agent messages that repeat the one before; empty ones and pairs of up to 5 characters don't count.
 
     `similar(previous, current)` is a condition, e.g. `fuzzy.similar` with a threshold.
     """
-    rows = messages.where("role = 'agent'").withColumn("before", F.lag("content").over(IN_TRACE))
+    rows = messages.where("role = 'agent'").withColumn("before", F.lag("content").over(in_trace()))
     long_ = F.greatest(F.length("before"), F.length("content")) > 5
     fit = (F.length("before") > 0) & (F.length("content") > 0) & long_
     return rows.where(fit & similar(F.when(fit, F.col("before")), F.when(fit, F.col("content")))).select("trace_id", "turn")
@@ -50,7 +56,7 @@ def mechanical_openings(messages: DataFrame, prefix: int = 30, least: int = 3) -
 def pressure_floor(messages: DataFrame, patterns: list[str], floors: list[tuple[int, int]]) -> DataFrame:
     """trace_id, turn, pressure (agent turns with a pressure phrase so far), floor (value of the highest threshold reached)."""
     hit = ((F.col("role") == "agent") & matches_any(F.col("content"), patterns)).cast("int")
-    rows = messages.withColumn("pressure", F.sum(hit).over(SO_FAR))
+    rows = messages.withColumn("pressure", F.sum(hit).over(so_far()))
     floor = F.greatest(F.lit(0), *(F.when(F.col("pressure") >= at, value).otherwise(0) for at, value in floors))
     return rows.select("trace_id", "turn", "pressure", floor.alias("floor"))
 
@@ -58,7 +64,7 @@ def pressure_floor(messages: DataFrame, patterns: list[str], floors: list[tuple[
 def escalation_level(messages: DataFrame, patterns: list[str], names: list[str] = ESCALATION) -> DataFrame:
     """trace_id, turn, level (refusals so far, 4 at most), strategy."""
     hit = ((F.col("role") == "agent") & matches_any(F.col("content"), patterns)).cast("int")
-    level = F.least(F.sum(hit).over(SO_FAR), F.lit(len(names) - 1)).cast("int")
+    level = F.least(F.sum(hit).over(so_far()), F.lit(len(names) - 1)).cast("int")
     return messages.withColumn("level", level).select("trace_id", "turn", "level", F.element_at(F.array(*map(F.lit, names)), F.col("level") + 1).alias("strategy"))
 
 
