@@ -238,3 +238,23 @@ def instruction_compliance(defects: DataFrame) -> DataFrame:
     """trace_id, score: 100 less 12 for each severity point of verified defects; of equal (dimension, first 40 characters) one counts."""
     one = defects.where("verified").groupBy("trace_id", "dim", F.substring("quote", 1, 40).alias("q")).agg(F.max("severity").alias("s"))
     return one.groupBy("trace_id").agg(F.greatest(F.lit(0.0), 100 - 12 * F.sum("s")).alias("score"))
+
+
+#: Which kinds of gaps are closed first.
+GAP_ORDER = ["step", "branch", "constraint", "persona", "fault"]
+
+
+def coverage_gap_report(universe: DataFrame, seen: DataFrame, personas: dict[str, str], default: str = "neutral") -> DataFrame:
+    """dimension, item, persona, n_dimension, suggested: what no run covers, with a persona suggested by the first keyword (in order of the
+    map) in the item, the number of gaps of the dimension, and how many variants to make (branch and persona gaps, 1 to 10)."""
+    gaps = universe.select("dimension", "item").distinct().join(seen.select("dimension", "item").distinct(), ["dimension", "item"], "left_anti")
+    persona = F.coalesce(*(F.when(F.col("item").contains(k), p) for k, p in personas.items()), F.lit(default))
+    counts = gaps.groupBy("dimension").agg(F.count("*").alias("n_dimension"))
+    total = gaps.agg(F.least(F.lit(10), F.greatest(F.lit(1), F.coalesce(F.sum(F.col("dimension").isin("branch", "persona").cast("long")), F.lit(0)))).alias("suggested"))
+    return gaps.withColumn("persona", persona).join(F.broadcast(counts), "dimension").join(total).select("dimension", "item", "persona", "n_dimension", "suggested")
+
+
+def targeted_variants(gaps: DataFrame, presets: DataFrame, n: int, order: list[str] = GAP_ORDER) -> DataFrame:
+    """The first n gaps by priority of their dimension, as scenario rows with their persona's parameters (`presets`: persona, ...)."""
+    place = F.array_position(F.array(*map(F.lit, order)), F.col("dimension"))
+    return gaps.orderBy(place, "item").limit(n).join(F.broadcast(presets), "persona", "left")

@@ -351,3 +351,25 @@ def l3(v):
 def l4(v):
     rows = v.ledger.select("trace_id", F.col("tool_name").alias("behavior_id"), (F.col("k") % 10).alias("turn"), F.when(F.col("source") == "agent", "keyword").otherwise("semantic").alias("source"))
     return L.distinct_violations(rows.where("source = 'keyword'"), rows.where("source = 'semantic'"))
+
+
+GAPS = """u AS (SELECT DISTINCT CASE c_nationkey % 5 WHEN 0 THEN 'step' WHEN 1 THEN 'branch' WHEN 2 THEN 'constraint' WHEN 3 THEN 'persona' ELSE 'fault' END AS dimension, concat(lower(c_mktsegment), '-', CAST(c_custkey % 9 AS VARCHAR)) AS item FROM customer),
+    g AS (SELECT dimension, item, CASE WHEN contains(item, 'auto') THEN 'busy' WHEN contains(item, 'mach') THEN 'angry' ELSE 'neutral' END AS persona FROM u WHERE item NOT LIKE '%-3' AND item NOT LIKE '%-4'),
+    r AS (SELECT dimension, item, persona, count(*) OVER (PARTITION BY dimension) AS n_dimension, (SELECT least(10, greatest(1, count(*) FILTER (WHERE dimension IN ('branch', 'persona')))) FROM g) AS suggested FROM g)"""
+
+
+def _gaps(v):
+    kinds = F.element_at(F.array(*map(F.lit, ("step", "branch", "constraint", "persona", "fault"))), (F.col("c_nationkey") % 5 + 1).cast("int"))
+    all_ = v.table("customer").select(kinds.alias("dimension"), F.concat(F.lower("c_mktsegment"), F.lit("-"), (F.col("c_custkey") % 9).cast("string")).alias("item"))
+    return A.coverage_gap_report(all_, all_.where("item like '%-3' or item like '%-4'"), {"auto": "busy", "mach": "angry"})
+
+
+@query("j25_coverage_gaps", "WITH " + GAPS + " SELECT * FROM r")
+def j25(v):
+    return _gaps(v)
+
+
+@query("j26_targeted_variants", "WITH " + GAPS + """ SELECT persona, dimension, item, CASE persona WHEN 'busy' THEN 9 WHEN 'angry' THEN 3 END AS patience FROM r
+    ORDER BY CASE dimension WHEN 'step' THEN 1 WHEN 'branch' THEN 2 WHEN 'constraint' THEN 3 WHEN 'persona' THEN 4 ELSE 5 END, item LIMIT 25""")
+def j26(v):
+    return A.targeted_variants(_gaps(v), v.values("persona string, patience int", [("busy", 9), ("angry", 3)]), 25).select("persona", "dimension", "item", "patience")

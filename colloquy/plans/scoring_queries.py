@@ -229,3 +229,21 @@ def h23(v):
 @query("h24_replay_score", duck("runs", COMPONENTS) + f"SELECT trace_id, round(least(1.0, objective + {BONUS}) + 1e-9, 6) AS replayed, abs(least(1.0, objective + {BONUS}) - overall) <= 0.005 AS matches FROM c")
 def h24(v):
     return S.replay_score(v.runs).select("trace_id", near(F.col("replayed"), "replayed"), "matches")
+
+
+def _count(words: list[str]) -> str:
+    return "(" + " + ".join(f"CASE WHEN contains(lower(content), '{w}') THEN 1 ELSE 0 END" for w in words) + ")"
+
+
+CONSISTENCY = f"""j AS (SELECT trace_id, turn AS item_id, (trace_id + turn * 3) % 8 - 1 AS s, {_count(['nicht', 'not', 'pas '])} AS bad, {_count(['the', 'und', 'que'])} AS good, {_count(['tion'])} AS den, CASE WHEN trace_id % 5 > 0 THEN 'x' END AS ev,
+      turn % 3 = 0 AS safe FROM messages),
+    f AS (SELECT trace_id, item_id, list_filter([CASE WHEN s NOT BETWEEN 0 AND 5 THEN 'out_of_range' END, CASE WHEN s >= 4 AND bad >= 2 THEN 'praised_fault' END, CASE WHEN s <= 1 AND good > 0 AND bad = 0 THEN 'blamed_virtue' END,
+      CASE WHEN ev IS NULL THEN 'no_evidence' END, CASE WHEN safe AND s > 0 AND den > 0 THEN 'safety_denied' END], lambda x: x IS NOT NULL) AS l FROM j)"""
+
+
+@query("h18_judge_consistency", duck("messages", CONSISTENCY) + "SELECT trace_id, item_id, array_to_string(l, ',') AS faults, len(l) >= 2 OR list_contains(l, 'safety_denied') AS needs_rejudge FROM f")
+def h18(v):
+    judged = v.messages.select("trace_id", F.col("turn").alias("item_id"), F.expr("(trace_id + turn * 3) % 8 - 1").alias("score"), F.col("content").alias("reason"),
+                               F.expr("case when trace_id % 5 > 0 then 'x' end").alias("evidence"), F.expr("turn % 3 = 0").alias("is_safety"))
+    rows = S.judge_consistency(judged, ["nicht", "not", "pas "], ["the", "und", "que"], ["tion"])
+    return rows.select("trace_id", "item_id", F.array_join("faults", ",").alias("faults"), "needs_rejudge")
