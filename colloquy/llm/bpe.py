@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 #: Entries that each generation of a memo keeps at most.
-MEMO = 1 << 18
+MEMO = 1 << 17
 NEVER = float("inf")
 
 
@@ -63,7 +63,7 @@ class Pieces:
         #: Neighbours that stand together in some piece; between other neighbours no piece reaches.
         self.joints = frozenset(piece[i : i + 2] for piece in self.vocabulary for i in range(len(piece) - 1))
         self.edges = Memo(self.edges_of)
-        self.agrees = Memo(self.agree, 2 * MEMO)
+        self.agrees = Memo(self.agree)
 
     def merged(self, text: str, seen: Callable[[list[str], int], None] | None = None) -> list[str]:
         """The merge rules applied step by step; `seen` gets the parts and the rank before each merge."""

@@ -61,7 +61,7 @@ def code(raw: str) -> int:
 
 
 NAME_HASH = np.uint64(digest(NAME))
-CODES = Memo(code, 300_000)
+CODES = Memo(code, 150_000)
 
 
 class Templates:

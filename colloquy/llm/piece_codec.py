@@ -19,9 +19,9 @@ from colloquy.llm.bpe import Memo, Pieces
 #: Fixed value of the format: the visible space.
 SPACE = "▁"
 #: Bytes of text that are split at a time.
-SLICE = 6 << 20
+SLICE = 4 << 20
 #: Segments whose ids each generation of a worker's memo keeps, and the longest one that it keeps.
-SEGMENTS, LONG = 250_000, 64
+SEGMENTS, LONG = 100_000, 64
 
 
 class PieceCodec:

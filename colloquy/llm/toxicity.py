@@ -70,7 +70,7 @@ class Grammar:
         for words, bit in ((THREATS, THREAT), (TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT)):
             for w in words:
                 self.fixed[w] = self.fixed.get(w, 0) | bit
-        self.marks = Memo(self.mark)
+        self.marks = Memo(self.mark, 100_000)
 
     def mark(self, word: str) -> tuple[int, float]:
         """Classes of a word, and its weight as an insult."""
@@ -131,7 +131,7 @@ def unit_counts(sample: DataFrame) -> DataFrame:
     schema = pa.schema([("unit", pa.string()), ("pos", pa.int64()), ("neg", pa.int64())])
 
     def run(batches):
-        for part in slices(batches):
+        for part in slices(batches, 4 << 20):  # a part's units are counted in memory
             counts = {0: Counter(), 1: Counter()}
             for text, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 counts[y].update(units(text))
