@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from colloquy.llm.bpe import claim
+
 #: Rows of one Arrow batch are handled in slices of about this many bytes, so that a batch of very
 #: long texts needs no more Python memory than a batch of short ones.
 SLICE_BYTES = 16 << 20
@@ -44,6 +46,7 @@ def map_columns(df: DataFrame, columns: dict[str, str], fn: Callable, schema: st
     out = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(fn.__module__)
         for part in slices(batches, limit):
             made = fn(*(part.column(i).to_pylist() for i in range(part.num_columns)))
             yield pa.RecordBatch.from_arrays([x if isinstance(x := made[f.name], pa.Array) else pa.array(x, f.type) for f in out], schema=out)

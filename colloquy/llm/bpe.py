@@ -9,6 +9,7 @@ is linear in its length and a window of the longest piece's length is enough sta
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Callable, Iterator
 
 #: Entries that each generation of a memo keeps at most.
@@ -16,6 +17,19 @@ MEMO = 1 << 17
 NEVER = float("inf")
 
 
+_MEMOS: weakref.WeakSet = weakref.WeakSet()
+_OWNER = [""]
+
+
+def claim(owner: str) -> None:
+    """Tell what a worker works for. When it turns to another operator, what it remembers for the last one is dropped."""
+    if _OWNER[0] != owner:
+        for memo in list(_MEMOS):
+            memo.clear()
+            memo.old = {}
+        _OWNER[0] = owner
+
+
 class Memo(dict):
     """A dictionary that works out missing values and holds two generations of `limit` entries at most.
 
@@ -25,12 +39,26 @@ class Memo(dict):
     def __init__(self, make: Callable, limit: int = MEMO):
         super().__init__()
         self.make, self.limit, self.old = make, limit, {}
+        _MEMOS.add(self)
+
+    __hash__ = object.__hash__
+
+    def __eq__(self, other) -> bool:
+        return self is other
 
     def __missing__(self, key):
         value = self.old[key] if key in self.old else self.make(key)
         self.take({key: value})
         return value
 
+    def found(self, keys: set) -> tuple[dict, list]:
+        """What is known of these keys, and the keys that aren't."""
+        known = {k: self[k] for k in keys & self.keys()}
+        rest = keys - known.keys()
+        again = {k: self.old[k] for k in rest & self.old.keys()}
+        self.take(again)
+        return known | again, list(rest - again.keys())
+
     def take(self, values: dict) -> None:
         if len(self) + len(values) > self.limit:
             self.old = dict(self)

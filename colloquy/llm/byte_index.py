@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.arrow import arrow_schema, map_columns, rows_batch, slices
+from colloquy.llm.bpe import claim
 from colloquy.llm.rolling import BASE, LETTERS, POWERS, least, mixed
 from colloquy.llm.word_windows import merged, ranges
 
@@ -257,6 +258,7 @@ def repeated_ranges(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     schema, out = arrow_schema(ddl), arrow_schema("doc_id long, begin int, stop int")
 
     def split(batches):
+        claim(__name__)
         for part in slices(batches, SLICE):
             rows, size = [], 0
             for row in cut(part.column(0).to_pylist(), part.column(1).to_pylist(), window, gram, buckets):

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.arrow import arrow_schema, rows_batch, slices
-from colloquy.llm.bpe import Memo
+from colloquy.llm.bpe import Memo, claim
 
 #: Words in a template window, and how many of them must be plain words.
 WINDOW, PLAIN = 8, 4
@@ -120,7 +120,8 @@ def windows(df: DataFrame, id_col: str, text_col: str, sizes: list[int], wanted:
     out = arrow_schema(schema)
 
     def run(batches):
-        for part in slices(batches, 8 << 20):
+        claim(__name__)
+        for part in slices(batches, 4 << 20):
             ids, t = part.column(0).to_pylist(), Templates(part.column(1).to_pylist())
             first = np.concatenate(([0], np.cumsum(t.counts)))
             rows = []

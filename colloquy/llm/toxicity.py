@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.arrow import map_columns, slices
-from colloquy.llm.bpe import Memo
+from colloquy.llm.bpe import Memo, claim
 
 # Fixed word lists: English, French, German, Spanish.
 INSULTS = "idiot moron loser scum imbecile stupid pathetic worthless disgusting connard imbécile abruti trottel dummkopf abschaum estúpido imbécil escoria".split()
@@ -131,6 +131,7 @@ def unit_counts(sample: DataFrame) -> DataFrame:
     schema = pa.schema([("unit", pa.string()), ("pos", pa.int64()), ("neg", pa.int64())])
 
     def run(batches):
+        claim(__name__)
         for part in slices(batches, 4 << 20):  # a part's units are counted in memory
             counts = {0: Counter(), 1: Counter()}
             for text, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
@@ -231,6 +232,7 @@ def clean(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame
 
     @F.pandas_udf("double")
     def scores(texts: pd.Series) -> pd.Series:
+        claim(__name__)
         return pd.Series([model.score(lazy.get().patterns(t)) for t in texts], dtype=float)
 
     return docs.where(scores(F.col(f"`{text_col}`")) < 0.5)

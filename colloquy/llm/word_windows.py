@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.arrow import arrow_schema, map_columns, rows_batch, slices
+from colloquy.llm.bpe import claim
 from colloquy.llm.rolling import joined, least, piece_hashes
 
 #: Words in a window and in a minimiser; bytes of text that a task takes at a time; buckets for each shuffle partition.
@@ -149,6 +150,7 @@ def repeated_ranges(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     schema = arrow_schema(ddl)
 
     def split(batches):
+        claim(__name__)
         for part in slices(batches, SLICE):
             rows, size = [], 0
             for row in cut(part.column(0).to_pylist(), part.column(1).to_pylist(), window, minimiser, buckets):
