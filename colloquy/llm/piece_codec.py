@@ -8,8 +8,12 @@ pieces with `bpe.Pieces.stream`, whose window is bounded by the longest piece.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from functools import lru_cache
+from itertools import accumulate
 
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
@@ -18,6 +22,7 @@ from colloquy.llm.bpe import Memo, Pieces
 
 #: Fixed value of the format: the visible space.
 SPACE = "▁"
+LETTER = regex.compile(r"[\p{L}\p{M}]")
 #: Bytes of text that are split at a time.
 SLICE = 4 << 20
 #: Segments whose ids each generation of a worker's memo keeps, and the longest one that it keeps.
@@ -40,11 +45,13 @@ class PieceCodec:
         known = {c for name in self.ids for c in name}
         self.pieces = Pieces(self.ids.keys() | known, lambda a, b: order.get(a + b))
         self.known = frozenset(known)
-        # No piece joins a letter to a space after it, and none holds an unknown character: between those,
-        # pieces never cross.
+        # Pieces never cross the end of a word, an unknown character, or what `Pieces.split` finds. Where the model has no piece
+        # with both letters and other characters, runs of each are segments of their own, so that a word and the
+        # same word with a comma are looked up once.
         if any(SPACE in name.lstrip(SPACE) for name in self.ids):
             raise ValueError("a piece of this model has a space inside")
-        self.segments = regex.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        apart = not any(a != SPACE and (LETTER.match(a) is None) != (LETTER.match(b) is None) for a, b in self.pieces.joints)
+        self.segments = regex.compile(f"{SPACE}*(?:{LETTER.pattern}+|[^{SPACE}\\p{{L}}\\p{{M}}]+)|{SPACE}+" if apart else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.short = Memo(self.segment, SEGMENTS)
 
     def spelled(self, run: str) -> list[int]:
@@ -66,7 +73,8 @@ class PieceCodec:
             run = ""
         return out
 
-    def segment(self, text: str) -> tuple[int, ...]:
+    def segment(self, text: str) -> bytes:
+        """Packed ids of one segment of any length."""
         ids, out = self.ids, []
         for run in self.runs(text):
             if run in ids:
@@ -76,10 +84,10 @@ class PieceCodec:
             else:
                 for piece in self.pieces.stream(run):
                     out += [ids[piece]] if piece in ids else self.spelled(piece)
-        return tuple(out)
+        return array("i", out).tobytes()
 
-    def learn(self, new: set[str]) -> dict[str, tuple[int, ...]]:
-        """Ids of short segments, worked out together and in order: each fits in one window of the search."""
+    def learn(self, new: list[str]) -> dict[str, bytes]:
+        """Packed ids of short segments, worked out together and in order: each fits in one window of the search."""
         parts = {s: self.runs(s) for s in new}
         ids = self.ids
         runs = sorted({r for rs in parts.values() for r in rs if len(r) > 1 and r not in ids})
@@ -94,25 +102,21 @@ class PieceCodec:
             found = []
             for r in rs:
                 found += made[r] if r in made else [ids[r]] if r in ids else self.spelled(r)
-            out[s] = tuple(found)
+            out[s] = array("i", found).tobytes()
         return out
 
-    def encode_all(self, texts: list[str]) -> list[list[int]]:
-        cut, short = self.segments.findall, self.short
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Packed ids (32 bits each) of each text. New short segments are worked out together, long ones streamed."""
+        cut = self.segments.findall
         parts = [cut(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        new = {s for p in parts for s in p if s not in short}
-        fresh = self.learn({s for s in new if s not in short.old and len(s) <= LONG})
-        out = []
-        for p in parts:
-            ids: list[int] = []
-            for s in p:
-                ids += fresh[s] if s in fresh else short[s] if len(s) <= LONG else self.segment(s)
-            out.append(ids)
-        short.take(fresh)
-        return out
+        known, new = self.short.found(set().union(*parts))
+        fresh = self.learn([s for s in new if len(s) <= LONG])
+        self.short.take(fresh)
+        known |= fresh | {s: self.segment(s) for s in new if len(s) > LONG}
+        return [b"".join(map(known.__getitem__, p)) for p in parts]
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_all([text])[0]
+        return array("i", self.encode_all([text])[0]).tolist()
 
     def decode(self, ids: list[int]) -> str:
         """Text of the ids: runs of byte pieces become characters, one space at the start goes."""
@@ -151,10 +155,12 @@ def encode_pieces(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_co
     def run(keys, texts):
         c = codec(path)
         texts = [t or "" for t in texts]
-        ids = c.encode_all(texts)
-        back = [c.decode(i) for i in ids]
+        packed = c.encode_all(texts)
+        back = [c.decode(array("i", p).tolist()) for p in packed]
+        sizes = [len(p) // 4 for p in packed]
+        ids = pa.ListArray.from_arrays(pa.array([0, *accumulate(sizes)], pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32)))
         return {
-            "doc_id": keys, "n_bytes": [len(t.encode("utf-8", "surrogatepass")) for t in texts], "n_tokens": [len(i) for i in ids], "ids": ids,
+            "doc_id": keys, "n_bytes": [len(t.encode("utf-8", "surrogatepass")) for t in texts], "n_tokens": sizes, "ids": ids,
             "text_sha256": [sha(t) for t in back], "round_trip": [a == b for a, b in zip(texts, back)],
         }
 

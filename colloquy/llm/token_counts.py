@@ -72,18 +72,19 @@ class PrefixCounter:
 
     def totals(self, texts: list[str]) -> list[int]:
         """Tokens of whole texts: the counts of their longest prefixes. New words are worked out together, in order."""
-        split, sizes = self.split.findall, self.sizes
+        split = self.split.findall
         words, specials = [], []
         for text in texts:
             parts = list(self.parts(text))
             specials.append(sum(special for _, special in parts))
             words.append([w for part, special in parts if not special for w in split(part)] if len(parts) > 1 else split(text))
-        new = {w for ws in words for w in ws if w not in sizes}
-        new = sorted((w.encode("utf-8", "surrogatepass").decode("latin-1"), w) for w in new if w not in sizes.old and w not in LONG_ENDINGS)
-        fresh = {w: counts[-1] for (_, w), (_, counts) in zip(new, self.pieces.walk([u for u, _ in new]))}
-        out = [n + sum([fresh[w] if w in fresh else sizes[w] for w in ws]) for n, ws in zip(specials, words)]
-        sizes.take(fresh)
-        return out
+        known, new = self.sizes.found(set().union(*words))
+        rest = sorted((w.encode("utf-8", "surrogatepass").decode("latin-1"), w) for w in new if w not in LONG_ENDINGS)
+        fresh = {w: counts[-1] for (_, w), (_, counts) in zip(rest, self.pieces.walk([u for u, _ in rest]))}
+        fresh |= {w: self.within(w)[-1] for w in new if w in LONG_ENDINGS}
+        self.sizes.take(fresh)
+        known |= fresh
+        return [n + sum(map(known.__getitem__, ws)) for n, ws in zip(specials, words)]
 
     def total(self, text: str) -> int:
         return self.totals([text])[0]
