@@ -88,7 +88,7 @@ class Pieces:
         self.tails = {
             end: (*sorted(more, reverse=True), *(n for n in range(len(end), 0, -1) if end[-n:] in self.vocabulary)) for end, more in longer.items()
         }
-        #: Neighbours that stand together in some piece; between other neighbours no piece reaches.
+        #: Neighbours that stand together in some piece.
         self.joints = frozenset(piece[i : i + 2] for piece in self.vocabulary for i in range(len(piece) - 1))
         self.edges = Memo(self.edges_of)
         self.agrees = Memo(self.agree)
@@ -154,16 +154,6 @@ class Pieces:
                 return found
         raise ValueError(f"{text[end - 1]!r} is no piece")
 
-    def split(self, text: str) -> list[str]:
-        """The text cut wherever no piece can reach across; each part is encoded on its own."""
-        joints, at, out = self.joints, 0, []
-        for i in range(1, len(text)):
-            if text[i - 1 : i + 1] not in joints:
-                out.append(text[at:i])
-                at = i
-        out.append(text[at:])
-        return out
-
     def walk(self, texts: list[str]) -> Iterator[tuple[list[str], list[int]]]:
         """Last pieces and numbers of pieces of all prefixes of each text.
 
@@ -178,7 +168,8 @@ class Pieces:
                 same += 1
             del last[same + 1 :], counts[same + 1 :]
             for end in range(same + 1, len(text) + 1):
-                for n in end > 3 and tails(text[end - 4 : end]) or self.candidates(text, end):
+                ways = end > 3 and (tails(text[end - 4 : end]) or tails(text[end - 3 : end]) or tails(text[end - 2 : end])) or self.candidates(text, end)
+                for n in ways:
                     if n <= end and ((piece := text[end - n : end]) in known or n < 5) and agrees[last[end - n], piece]:
                         last.append(piece)
                         counts.append(counts[end - n] + 1)
@@ -190,14 +181,6 @@ class Pieces:
         """How many pieces each prefix has, from the empty one to the whole text."""
         return next(self.walk([text]))[1]
 
-    def path(self, last: list[str]) -> list[str]:
-        """The pieces of a text, from the last pieces of its prefixes."""
-        out, at = [], len(last) - 1
-        while at:
-            out.append(last[at])
-            at -= len(last[at])
-        return out[::-1]
-
     def stream(self, text: str) -> Iterator[str]:
         """Pieces of the text, each as soon as no later text can change it.
 

@@ -26,7 +26,7 @@ LETTER = regex.compile(r"[\p{L}\p{M}]")
 #: Bytes of text that are split at a time.
 SLICE = 4 << 20
 #: Segments whose ids each generation of a worker's memo keeps, and the longest one that it keeps.
-SEGMENTS, LONG = 100_000, 64
+SEGMENTS, LONG = 250_000, 64
 
 
 class PieceCodec:
@@ -45,7 +45,7 @@ class PieceCodec:
         known = {c for name in self.ids for c in name}
         self.pieces = Pieces(self.ids.keys() | known, lambda a, b: order.get(a + b))
         self.known = frozenset(known)
-        # Pieces never cross the end of a word, an unknown character, or what `Pieces.split` finds. Where the model has no piece
+        # Pieces never cross the end of a word or an unknown character. Where the model has no piece
         # with both letters and other characters, runs of each are segments of their own, so that a word and the
         # same word with a comma are looked up once.
         if any(SPACE in name.lstrip(SPACE) for name in self.ids):
@@ -59,16 +59,16 @@ class PieceCodec:
         return [self.bytes[b] for b in run.encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown]
 
     def runs(self, segment: str) -> list[str]:
-        """Parts of a segment that no piece joins: unknown characters one by one, the rest where `Pieces.split` cuts."""
+        """Parts of a segment that no piece joins: unknown characters one by one, and what stands between them."""
         if self.known.issuperset(segment):
-            return self.pieces.split(segment)
+            return [segment]
         out, run = [], ""
         for c in [*segment, ""]:
             if c and c in self.known:
                 run += c
                 continue
             if run:
-                out += self.pieces.split(run)
+                out.append(run)
             out += [c] if c else []
             run = ""
         return out
@@ -88,22 +88,25 @@ class PieceCodec:
 
     def learn(self, new: list[str]) -> dict[str, bytes]:
         """Packed ids of short segments, worked out together and in order: each fits in one window of the search."""
-        parts = {s: self.runs(s) for s in new}
-        ids = self.ids
-        runs = sorted({r for rs in parts.values() for r in rs if len(r) > 1 and r not in ids})
-        made = {}
+        ids, made = self.ids, {}
+        mixed = {s: self.runs(s) for s in new if not self.known.issuperset(s)}
+        runs = sorted({*(s for s in new if s not in mixed), *(r for rs in mixed.values() for r in rs)})
+        whole = {r: array("i", [ids[r]] if r in ids else self.spelled(r)).tobytes() for r in runs if r in ids or len(r) == 1}
+        runs = [r for r in runs if r not in whole]
         for run, (last, _) in zip(runs, self.pieces.walk(runs)):
-            found = []
-            for piece in self.pieces.path(last):
-                found += [ids[piece]] if piece in ids else self.spelled(piece)
-            made[run] = found
-        out = {}
-        for s, rs in parts.items():
-            found = []
-            for r in rs:
-                found += made[r] if r in made else [ids[r]] if r in ids else self.spelled(r)
-            out[s] = array("i", found).tobytes()
-        return out
+            found, at = [], len(run)
+            while at:
+                piece = last[at]
+                if piece in ids:
+                    found.append(ids[piece])
+                else:
+                    found += self.spelled(piece)[::-1]
+                at -= len(piece)
+            found.reverse()
+            made[run] = array("i", found).tobytes()
+        made |= whole
+        out = {s: made[s] for s in new if s not in mixed}
+        return out | {s: b"".join([made[r] for r in rs]) for s, rs in mixed.items()}
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Packed ids (32 bits each) of each text. New short segments are worked out together, long ones streamed."""
