@@ -19,19 +19,25 @@ SHINGLE, SEED, DISTANCE = 3, 42, 3
 CROWD = 4096
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Signed 64-bit SimHash: a bit is set if it is in over half of the shingles' XXH64; 0 without words."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> list[int]:
+    """XXH64 of each shingle, or of the whole text if it has no more words than one; none without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z and ASCII blanks
     if not words:
-        return 0
+        return []
     line = b" ".join(words)
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(line, SEED)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        starts = np.concatenate(([0], ends[:-1]))
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(line[a:b], SEED) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), (ends[shingle - 1 :] - 1).tolist())]
+        return [xxhash.xxh64_intdigest(line, SEED)]
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate(([0], ends[:-1]))
+    digest = xxhash.xxh64_intdigest
+    return [digest(line[a:b], SEED) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), (ends[shingle - 1 :] - 1).tolist())]
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Signed 64-bit SimHash: a bit is set if it is in over half of the shingles' XXH64; 0 without words."""
+    hashes = shingle_hashes(text, shingle)
+    if not hashes:
+        return 0
     total = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = np.array(hashes[at : at + (1 << 16)], dtype=np.uint64).astype(">u8")
