@@ -110,8 +110,12 @@ def e9(v):
 MATCHES = """m AS (SELECT trace_id, step_id, ord, seq, turn FROM ledger JOIN steps ON steps.action = ledger.tool_name WHERE event_type = 'tool_executed' AND error IS NULL AND seq <= 12)"""
 
 
-def _matches(v):
-    ok = v.ledger.where("event_type = 'tool_executed' and error is null and seq <= 12")
+#: Queries with SQL look at as many events of a trace as their SQL does; the others at whole traces.
+SQL_EVENTS, WHOLE = "seq <= 12", "true"
+
+
+def _matches(v, events=SQL_EVENTS):
+    ok = v.ledger.where("event_type = 'tool_executed' and error is null").where(events)
     return ok.join(F.broadcast(v.steps.select("step_id", "ord", F.col("action").alias("tool_name"))), "tool_name").select("trace_id", "step_id", "ord", "seq", "turn")
 
 
@@ -140,11 +144,11 @@ def f2_words(v):
 @query("f3_observed_steps")
 def f3(v):
     """No SQL: events are used up in order of steps. Tests give the rows by hand."""
-    return V.observed_steps(_matches(v))
+    return V.observed_steps(_matches(v, WHOLE))
 
 
-def _paths(v):
-    first = V.match_tool_predicates(v.ledger.where("event_type = 'tool_executed' and error is null and seq <= 12"), v.steps)
+def _paths(v, events=SQL_EVENTS):
+    first = V.match_tool_predicates(v.ledger.where("event_type = 'tool_executed' and error is null").where(events), v.steps)
     seen = first.groupBy("trace_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "step_id"))), lambda s: s["step_id"]).alias("observed"))
     return seen.withColumn("expected", F.array(*map(F.lit, ("greet", "confirm", "inform", "complete", "farewell"))))
 
@@ -152,7 +156,7 @@ def _paths(v):
 @query("f4_align_ordered")
 def f4(v):
     """No SQL: the trace-back is a table walk. Tests compare costs with a brute-force search."""
-    return V.align_ordered(_paths(v), ["complete"], [("inform", "complete")])
+    return V.align_ordered(_paths(v, WHOLE), ["complete"], [("inform", "complete")])
 
 
 SEEN = """f AS (SELECT trace_id, step_id, min(seq) AS seq FROM m GROUP BY ALL), p AS (SELECT trace_id, array_agg(step_id ORDER BY seq, step_id) AS o, ['greet', 'confirm', 'inform', 'complete', 'farewell'] AS e FROM f GROUP BY trace_id)"""
@@ -218,9 +222,9 @@ FACTS = "atoms AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{a}', {w})" fo
       FROM (SELECT DISTINCT trace_id FROM ledger) q CROSS JOIN atoms a LEFT JOIN facts f ON f.trace_id = q.trace_id AND f.kind = a.kind AND f.atom = a.atom)"""
 
 
-def _verdicts(v):
-    steps = _matches(v).groupBy("trace_id", F.col("step_id").alias("atom")).agg(F.bool_or(F.col("seq") < 4).alias("ok")).withColumn("kind", F.lit("step"))
-    tools = v.ledger.where("seq <= 12").groupBy("trace_id", F.col("tool_name").alias("atom")).agg(F.bool_or(F.col("amount") > 70).alias("ok")).withColumn("kind", F.lit("tool"))
+def _verdicts(v, events=SQL_EVENTS):
+    steps = _matches(v, events).groupBy("trace_id", F.col("step_id").alias("atom")).agg(F.bool_or(F.col("seq") < 4).alias("ok")).withColumn("kind", F.lit("step"))
+    tools = v.ledger.where(events).groupBy("trace_id", F.col("tool_name").alias("atom")).agg(F.bool_or(F.col("amount") > 70).alias("ok")).withColumn("kind", F.lit("tool"))
     return V.atom_verdicts(v.values("kind string, atom string, weight double", ATOMS), v.ledger, steps.unionByName(tools))
 
 
@@ -448,7 +452,7 @@ def i4_kind(v):
 @query("i5_counterfactual_repair")
 def i5(v):
     """No SQL: all causes of an atom must recover, which is a fixpoint. Tests give the rows by hand."""
-    return I.counterfactual_repair(_verdicts(v), CAUSES)
+    return I.counterfactual_repair(_verdicts(v, WHOLE), CAUSES)
 
 
 @query("i6_dialogue_side_quality", duck("messages", f"""g AS (SELECT trace_id, CAST(sum(CASE WHEN contains(content, 'thth') THEN 1 ELSE 0 END) AS BIGINT) AS leaks, avg(CASE WHEN length(content) > 100 THEN 1.0 ELSE 0.0 END) AS long_share,
