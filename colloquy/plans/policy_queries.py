@@ -307,12 +307,12 @@ def f19(v):
 
 @query("f20_judge_evidence")
 def f20(v):
-    """No SQL: similarity is difflib's. Citations quote the first 60 characters of the message one turn later."""
+    """No SQL: similarity is difflib's. Citations quote the message one turn later."""
     from pyspark.sql.window import Window
 
-    later = F.lead(F.substring("content", 1, 60)).over(Window.partitionBy("trace_id").orderBy("msg_idx"))
+    later = F.lead("content").over(Window.partitionBy("trace_id").orderBy("msg_idx"))
     cited = v.messages.withColumn("quote", later).where("quote is not null").select("trace_id", (F.col("turn") + F.col("trace_id") % 2).alias("turn"), "quote")
-    return V.judge_evidence(cited, v.messages.withColumn("content", F.substring("content", 1, 60)), fuzzy.similar(F.col("quote"), F.col("content"), 0.3))
+    return V.judge_evidence(cited, v.messages, fuzzy.similar(F.col("quote"), F.col("content"), 0.3))
 
 
 @query("f21_missing_event_ids", duck("ledger") + "SELECT trace_id, seq + k % 40 AS seq FROM ledger a WHERE k % 5 = 0 AND NOT EXISTS (SELECT 1 FROM ledger b WHERE b.trace_id = a.trace_id AND b.seq = a.seq + a.k % 40)")

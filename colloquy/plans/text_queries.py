@@ -211,8 +211,7 @@ def d4(v):
 @query("d5_alias_match")
 def d5(v):
     """No SQL: windows are scored by difflib. Only messages that share a pair of letters with the alias reach Python."""
-    text = F.substring("content", 1, 80)
-    return v.messages.select("trace_id", "turn", fuzzy.alias_match_score(F.lit("thention"), text).alias("score"))
+    return v.messages.select("trace_id", "turn", fuzzy.alias_match_score(F.lit("thention"), F.col("content")).alias("score"))
 
 
 @query("d6_semantic_predicate", duck("messages") + f"SELECT trace_id, turn, NOT contains(content, 'zz') AND {has(['the', 'und'])} AND {NEGATION} = 'clear' AS hit FROM messages")

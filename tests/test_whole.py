@@ -1,8 +1,11 @@
 """Queries without SQL look at whole traces and whole texts."""
 
+import difflib
+
 import pytest
 
 from colloquy import plans
+from colloquy.functions import fuzzy
 from colloquy.plans import policy_queries as P
 from colloquy.plans.views import Views
 
@@ -44,3 +47,25 @@ def test_verdicts_of_whole_traces(spark, small):
     ok = {(r.trace_id, r.tool_name) for r in v.ledger.where("amount > 70").collect()}
     rows = [r for r in P._verdicts(v, P.WHOLE).collect() if r.kind == "tool"]
     assert rows and all((r.verdict == "satisfied") == ((r.trace_id, r.atom) in ok) for r in rows)
+
+
+def test_evidence_of_whole_texts(spark, small):
+    by_trace = {}
+    for m in sorted(Views(spark, small).messages.collect(), key=lambda m: (m.trace_id, m.msg_idx)):
+        by_trace.setdefault(m.trace_id, []).append(m)
+    got, checked = {r.trace_id: r.rate for r in plans.QUERIES["f20_judge_evidence"](spark, small).collect()}, 0
+    for trace, own in list(by_trace.items())[:60]:
+        agent = {m.turn: m.content for m in own if m.role == "agent"}
+        cited = [(m.turn + trace % 2, n.content) for m, n in zip(own, own[1:])]
+        good = [t in agent and difflib.SequenceMatcher(None, q, agent[t]).ratio() >= 0.3 for t, q in cited]
+        if cited:
+            assert got[trace] == pytest.approx(sum(good) / len(good))
+            checked += 1
+    assert checked
+
+
+def test_alias_of_whole_texts(spark, small):
+    texts = {(m.trace_id, m.turn): m.content for m in Views(spark, small).messages.collect()}
+    got = {(r.trace_id, r.turn): r.score for r in plans.QUERIES["d5_alias_match"](spark, small).collect()}
+    late = {k: t for k, t in texts.items() if fuzzy.alias_score("thention", t) > fuzzy.alias_score("thention", t[:80])}
+    assert late and got.keys() == texts.keys() and all(got[k] == fuzzy.alias_score("thention", t) for k, t in late.items())
