@@ -144,14 +144,18 @@ def unit_counts(sample: DataFrame) -> DataFrame:
     return made.groupBy("unit").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
-def fit_weights(x: np.ndarray, y: np.ndarray, strength: float = 1.0, steps: int = 30) -> tuple[np.ndarray, float]:
-    """Logistic regression by Newton's steps, drawn to the prior weights; no pattern may speak for a clean text."""
+def fit_weights(x: np.ndarray, y: np.ndarray, strength: float = 1.0, steps: int = 30, stands_for: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Logistic regression by Newton's steps, drawn to the prior weights; no pattern may speak for a clean text.
+
+    `stands_for`: how many rows each row stands for; 1 by default.
+    """
+    each = np.ones(len(x)) if stands_for is None else stands_for
     x1 = np.hstack([x, np.ones((len(x), 1))])
     at = mean = np.append(PRIOR, BIAS)
     for _ in range(steps if len(x) else 0):
         p = 1 / (1 + np.exp(-np.clip(x1 @ at, -30, 30)))
-        slope = x1.T @ (p - y) + strength * (at - mean)
-        curve = (x1 * (p * (1 - p))[:, None]).T @ x1 + strength * np.eye(len(at))
+        slope = x1.T @ (each * (p - y)) + strength * (at - mean)
+        curve = (x1 * (each * p * (1 - p))[:, None]).T @ x1 + strength * np.eye(len(at))
         at = at - np.linalg.solve(curve, slope)
         at[:-1] = np.maximum(at[:-1], 0.0)
     return at[:-1], float(at[-1])
@@ -163,7 +167,8 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     Labels with crc32(doc_id as text) mod 5 = 0 are held out. Of the rest, the `per_class` rows of each class with the least
     hash of doc_id are the sample: a bound on the work and on what the driver gets (their patterns, and `most_units` learned
-    units), whatever the number of labels. A unit is learned if it stands in `least_share` of the sample's toxic rows (3 at
+    units), whatever the number of labels. In the fit, each row stands for all training labels of its class, so the weights
+    and the bias hold for their natural shares. A unit is learned if it stands in `least_share` of the sample's toxic rows (3 at
     least), its smoothed log odds are `least_log_odds` or more, and its rows speak against chance by `least_evidence` nats
     (their number times the divergence of their toxic share from the sample's): of a million units that stand in
     rows at random, less than one passes. Null labels or ids are left out; without toxic labels the
@@ -171,6 +176,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     """
     own = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     own = own.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).distinct()
+    every = dict(own.groupBy("toxic").count().collect())
     first = [own.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sample = texts.join(F.broadcast(first[0].unionByName(first[1])), "doc_id").persist()  # 2 * per_class ids and labels
@@ -191,7 +197,8 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     finally:
         sample.unpersist()
     x, y = np.array([r.x for r in fitted]).reshape(-1, SIZE), np.array([r.y for r in fitted], dtype=float)
-    weights, bias = fit_weights(x, y)
+    times = [max(1.0, every.get(c, 0) / per_class) for c in (0, 1)]
+    weights, bias = fit_weights(x, y, stands_for=np.where(y == 1, times[1], times[0]))
     return Model(lexicon, tuple(weights.tolist()), bias)
 
 

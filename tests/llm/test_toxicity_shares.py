@@ -1,0 +1,14 @@
+"""A bounded sample keeps the natural shares of the classes."""
+
+import pytest
+
+from colloquy.llm import toxicity
+
+
+def test_shares_of_a_capped_sample(spark):
+    """A weak match: 48 of 60 toxic and 162 of 540 clean rows have it, so a row that has it is clean more often than not."""
+    rows = [(i, "this one is a moron" if (i // 10) % 10 < (8 if i % 10 == 0 else 3) else "all is well here", int(i % 10 == 0)) for i in range(600)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    whole, capped = (toxicity.learn(docs, labels, per_class=n) for n in (6000, 40))
+    scores = [m.score(toxicity.Grammar(m.lexicon).patterns("this one is a moron")) for m in (whole, capped)]
+    assert max(scores) < 0.5 and scores[1] == pytest.approx(scores[0], abs=0.1)
