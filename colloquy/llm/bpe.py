@@ -33,12 +33,13 @@ def claim(owner: str) -> None:
 class Memo(dict):
     """A dictionary that works out missing values and holds two generations of `limit` entries at most.
 
-    When a generation is full, it becomes the old one; what is asked for again moves to the new one.
+    When a generation is full, it becomes the old one; what is asked for again moves to the new one. Keys of more than `longest`
+    letters are worked out each time, so the entries bound the bytes.
     """
 
-    def __init__(self, make: Callable, limit: int = MEMO):
+    def __init__(self, make: Callable, limit: int = MEMO, longest: int = 64):
         super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.limit, self.longest, self.old = make, limit, longest, {}
         _MEMOS.add(self)
 
     __hash__ = object.__hash__
@@ -48,7 +49,8 @@ class Memo(dict):
 
     def __missing__(self, key):
         value = self.old[key] if key in self.old else self.make(key)
-        self.take({key: value})
+        if len(key) <= self.longest:
+            self.take({key: value})
         return value
 
     def found(self, keys: set) -> tuple[dict, list]:
@@ -60,6 +62,8 @@ class Memo(dict):
         return known | again, list(rest - again.keys())
 
     def take(self, values: dict) -> None:
+        if any(len(k) > self.longest for k in values):
+            values = {k: v for k, v in values.items() if len(k) <= self.longest}
         if len(self) + len(values) > self.limit:
             self.old = dict(self)
             self.clear()
@@ -182,30 +186,67 @@ class Pieces:
         return next(self.walk([text]))[1]
 
     def stream(self, text: str) -> Iterator[str]:
-        """Pieces of the text, each as soon as no later text can change it.
+        """Pieces of the text, each as soon as no later text can change it."""
+        return Search(self).pieces(text)
 
-        Only the last `longest` prefixes can be extended. Whenever the back pointers of all of them meet
-        in one boundary, what lies before it is final and leaves the window.
-        """
-        known, agrees, tails, longest = self.vocabulary, self.agrees, self.tails.get, self.longest
-        last, done, size = [""], 0, len(text)  # last[n]: last piece of the prefix of done + n units
-        for end in range(1, size + 1):
-            for n in end > 3 and tails(text[end - 4 : end]) or self.candidates(text, end):
-                if n <= end - done and ((piece := text[end - n : end]) in known or n < 5) and agrees[last[end - n - done], piece]:
-                    last.append(piece)
-                    break
-            if end - done >= 4 * longest or end == size:
-                alive = {end} if end == size else set(range(end - longest + 1, end + 1))
-                while len(alive) > 1:  # back to where the surviving paths meet
-                    top = max(alive)
-                    alive.remove(top)
-                    alive.add(top - len(last[top - done]))
-                at = meet = alive.pop()
-                path = []
-                while at > done:
-                    path.append(last[at - done])
-                    at -= len(path[-1])
-                yield from reversed(path)
+
+class Search:
+    """The streaming search, over one text after another.
+
+    It keeps the back pointers of a window only: the last `longest` prefixes can be extended, older ones matter as far as a
+    surviving path leads through them. Whenever the window has twice that many, the paths of the last `longest` prefixes are
+    followed back to the boundary in which all meet; what lies before it is final, is given out and leaves the window. As long as
+    nothing has left it, the window of a text serves the next one as far as they begin alike, so sorted texts cost what a tree of
+    them would.
+    """
+
+    def __init__(self, owner: Pieces):
+        self.owner, self.last, self.before, self.done = owner, [""], "", 0
+
+    def pieces(self, text: str) -> Iterator[str]:
+        owner, same = self.owner, 0
+        known, agrees, tails, longest = owner.vocabulary, owner.agrees, owner.tails.get, owner.longest
+        if self.done:
+            self.last, self.done = [""], 0
+        else:
+            most = min(len(text), len(self.before))
+            while same < most and text[same] == self.before[same]:
+                same += 1
+        last, done, end, size = self.last, 0, same, len(text)  # last[n]: last piece of the prefix of done + n units
+        del last[same + 1 :]
+        self.before, full = text, 2 * longest
+        while end < size:
+            stop = min(size, max(end + 1, done + full))
+            for end in range(end + 1, stop + 1):
+                ways = end > 3 and (tails(text[end - 4 : end]) or tails(text[end - 3 : end]) or tails(text[end - 2 : end])) or owner.candidates(text, end)
+                for n in ways:
+                    if n <= end - done and ((piece := text[end - n : end]) in known or n < 5) and agrees[last[end - n - done], piece]:
+                        last.append(piece)
+                        break
+            if end < size:
+                meet = self.meet(end, done, longest)
                 if meet > done:
+                    yield from self.path(meet, done)
                     del last[: meet - done]
-                    done = meet
+                    self.done = done = meet
+                full = 2 * longest if end - done < 2 * longest else end - done + longest  # paths that don't meet yet need a longer window
+        yield from self.path(size, done)
+
+    def meet(self, end: int, done: int, longest: int) -> int:
+        """The last boundary through which the paths of all of the last `longest` prefixes lead."""
+        last = self.last
+        alive = set(range(max(done, end - longest + 1), end + 1))
+        while len(alive) > 1:
+            top = max(alive)
+            alive.remove(top)
+            alive.add(top - len(last[top - done]))
+        return alive.pop()
+
+    def path(self, at: int, done: int) -> list[str]:
+        """The pieces between `done` and this boundary."""
+        out = []
+        while at > done:
+            out.append(self.last[at - done])
+            at -= len(out[-1])
+        out.reverse()
+        return out

@@ -1,10 +1,11 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Five small transducers read each clause: one marks insults, one threats, one targets, one negation, one reported
-speech. Their composition is a machine whose state is what has been read so far; it gives a pattern (an insult or
-a threat; aimed at someone or not; negated or not; reported or not) for each matched clause, with the
-insult's own weight. A document's score is a logistic function of its weighted patterns. The insults and the weights
-are learned from labelled rows; the other word lists are fixed.
+Five small transducers read the words of a clause as marks: one says what a target is near to, one what a negation holds for, one what is
+reported speech, one weighs insults and one threats. They are composed by product construction into one machine whose table drives
+the scoring. Targets that follow are seen by the same target transducer, run from the end of the clause beforehand. Each matched
+insult or threat falls under a pattern (kind, aimed, negated, reported) with the weight of its arc and its word; a document's
+score is a logistic function of what its clauses add up to under each pattern. Insults are arcs that are learned from labelled rows
+(whole words and word beginnings), as are the weights of the patterns; the other word lists are fixed.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,18 +31,24 @@ THREATS = "kill hurt destroy beat stab shoot tuer frapper détruire töten umbri
 TARGETS = "you your you're he she they him her them this these those tu te toi vous ton ta cet cette ces il elle ils du dich dir dein deine ihr euch er sie dieser diese usted tú eres ese esa esos ellos".split()
 NEGATIONS = "not no never isn't aren't don't pas jamais non aucun nicht kein keine nie nunca jamás ningún".split()
 REPORTS = "said says called quoted wrote claimed reported told dit appelé écrit cité sagte nannte schrieb zitierte dijo llamó escribió citó".split()
-#: Word classes, as bits.
-INSULT, THREAT, TARGET, NEGATION, REPORT = 1, 2, 4, 8, 16
+#: Marks of words, as bits of a symbol; the transducers add the last three.
+INSULT, THREAT, TARGET, NEGATION, REPORT, AIMED, NEGATED, REPORTED = (1 << i for i in range(8))
+#: Marks that a machine reads at first: the words' own, and targets ahead.
+INPUTS = range(2 * AIMED)
 #: How many words after it a negation holds, and how near a target stands.
 REACH, NEAR = 3, 4
-CLAUSE = re.compile(r"[.!?;:\n]+")
+#: Weight of the first insult or threat of a clause, and of each further one.
+ONCE, AGAIN = 1.0, 0.5
+CLAUSE = re.compile(r"[.!?;\n]+")
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 #: Lengths of word beginnings that may be learned as insults of their own.
-STEMS = (4, 5, 6, 7)
-#: Patterns: kind (insult, threat) x aimed x negated x reported; then the insults' learned weights.
+STEMS = (3, 4, 5, 6, 7, 8)
+#: Weight of a listed insult or threat, before any label is seen; learned insults have their log odds.
+LISTED = 3.5
+#: Patterns: kind (insult, threat) x aimed x negated x reported.
 PATTERNS = [(k, a, n, r) for k in (INSULT, THREAT) for a in (0, 1) for n in (0, 1) for r in (0, 1)]
 PLACE = {p: i for i, p in enumerate(PATTERNS)}
-SIZE = len(PATTERNS) + 1
+SIZE = len(PATTERNS)
 
 
 def prior(kind: int, aimed: int, negated: int, reported: int) -> float:
@@ -49,13 +56,73 @@ def prior(kind: int, aimed: int, negated: int, reported: int) -> float:
     return (3.0 if kind == INSULT else 1.0) * (1.3 if aimed else 1.0) * (0.3 if negated else 1.0) * (0.4 if reported else 1.0)
 
 
-PRIOR = np.array([prior(*p) for p in PATTERNS] + [0.5])
+PRIOR = np.array([prior(*p) for p in PATTERNS])
 BIAS = -3.0
 
 
+@dataclass(frozen=True)
+class Transducer:
+    """arcs[state][symbol] is (next state, symbol put out, weight); it starts in state 0, and every state may be the last."""
+
+    arcs: tuple[dict[int, tuple[int, int, float]], ...]
+
+    def run(self, symbols) -> list[tuple[int, float]]:
+        state, out = 0, []
+        for x in symbols:
+            state, y, w = self.arcs[state][x]
+            out.append((y, w))
+        return out
+
+
+def machine(states: int, step: Callable[[int, int], tuple[int, int, float]]) -> Transducer:
+    """The table of a step from state and symbol."""
+    return Transducer(tuple({x: step(s, x) for x in range(2 * REPORTED)} for s in range(states)))
+
+
+def compose(a: Transducer, b: Transducer) -> Transducer:
+    """One machine that does what `b` does to what `a` puts out: its states are the pairs that can be reached; weights add up."""
+    known, queue, arcs = {(0, 0): 0}, [(0, 0)], []
+    for p, q in queue:
+        row = {}
+        for x, (p2, y, v) in a.arcs[p].items():
+            q2, z, w = b.arcs[q][y]
+            if (p2, q2) not in known:
+                known[p2, q2] = len(known)
+                queue.append((p2, q2))
+            row[x] = (known[p2, q2], z, v + w)
+        arcs.append(row)
+    return Transducer(tuple(arcs))
+
+
+def within(mark: int, adds: int, reach: int) -> Transducer:
+    """Adds a mark to the `reach` words after each word with that mark; the state is how many words are left."""
+    return machine(reach + 1, lambda s, x: (reach if x & mark else max(0, s - 1), x | (adds if s else 0), 0.0))
+
+
+def after(mark: int, adds: int) -> Transducer:
+    """Adds a mark to all words after a word with that mark."""
+    return machine(2, lambda s, x: (1 if x & mark else s, x | (adds if s else 0), 0.0))
+
+
+def weighed(mark: int) -> Transducer:
+    """Weighs words with that mark: the first in full, further ones less."""
+    return machine(2, lambda s, x: (1, x, AGAIN if s else ONCE) if x & mark else (s, x, 0.0))
+
+
+TARGETING, NEGATING, REPORTING, INSULTING, THREATENING = within(TARGET, AIMED, NEAR), within(NEGATION, NEGATED, REACH), after(REPORT, REPORTED), weighed(INSULT), weighed(THREAT)
+
+
+def composed() -> Transducer:
+    """The five in a row, for symbols of a clause's words with targets ahead."""
+    first = Transducer(tuple({x: row[x] for x in INPUTS} for row in TARGETING.arcs))
+    for other in (NEGATING, REPORTING, INSULTING, THREATENING):
+        first = compose(first, other)
+    return first
+
+
 @dataclass(frozen=True)
 class Lexicon:
-    """Learned insults: whole words and word beginnings, with their weights (log odds)."""
+    """Arcs of the insult transducer that are learned: whole words and word beginnings, with their weights (log odds)."""
 
     words: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
@@ -71,9 +138,10 @@ class Grammar:
             for w in words:
                 self.fixed[w] = self.fixed.get(w, 0) | bit
         self.marks = Memo(self.mark, 100_000)
+        self.machine = composed()
 
     def mark(self, word: str) -> tuple[int, float]:
-        """Classes of a word, and its weight as an insult."""
+        """Marks of a word, and its weight as an insult."""
         weight = self.lexicon.words.get(word, 0.0)
         for n in STEMS:
             if len(word) >= n:
@@ -83,30 +151,28 @@ class Grammar:
     def clause(self, words: list[str]) -> Iterator[tuple[tuple[int, int, int, int], float]]:
         """(pattern, weight) of each match in one clause."""
         marks = [self.marks[w] for w in words]
-        targets = [i for i, (m, _) in enumerate(marks) if m & TARGET]
-        negated, reported = -REACH - 1, 0  # the machine's state: last negation, reported speech begun
-        for i, (m, weight) in enumerate(marks):
-            for kind in (INSULT, THREAT):
-                if m & kind:
-                    aimed = any(abs(i - t) <= NEAR for t in targets)
-                    yield (kind, int(aimed), int(i - negated <= REACH), reported), weight
-            if m & NEGATION:
-                negated = i
-            if m & REPORT:
-                reported = 1
+        if not any(m & (INSULT | THREAT) for m, _ in marks):
+            return
+        ahead = TARGETING.run(m for m, _ in reversed(marks))
+        symbols = [m | (x & AIMED) for (m, _), (x, _) in zip(marks, reversed(ahead))]
+        for (x, arc), (m, weight) in zip(self.machine.run(symbols), marks):
+            flags = (int(bool(x & AIMED)), int(bool(x & NEGATED)), int(bool(x & REPORTED)))
+            if m & INSULT:
+                yield (INSULT, *flags), arc * weight
+            if m & THREAT:
+                yield (THREAT, *flags), arc * LISTED
 
     def patterns(self, text: str | None) -> list[float] | None:
-        """How often each pattern matches (as log(1 + n)) and the largest insult weight; None if nothing matches."""
+        """log(1 + what the clauses' matches add up to) under each pattern; None if nothing matches."""
         text = (text or "").lower()
         marks = self.marks
         if not any(marks[w][0] & (INSULT | THREAT) for w in set(WORD.findall(text))):
             return None
-        found, most = Counter(), 0.0
+        found = [0.0] * SIZE
         for clause in CLAUSE.split(text):
             for pattern, weight in self.clause(WORD.findall(clause)):
-                found[PLACE[pattern]] += 1
-                most = max(most, weight)
-        return [*(math.log1p(found[i]) for i in range(len(PATTERNS))), most]
+                found[PLACE[pattern]] += weight
+        return [math.log1p(x) for x in found]
 
 
 @dataclass(frozen=True)
@@ -126,6 +192,12 @@ def units(text: str | None) -> set[str]:
     return {"w" + w for w in words} | {"s" + w[:n] for w in words for n in STEMS if len(w) >= n}
 
 
+def longest(stems: dict[str, tuple[int, float]]) -> dict[str, float]:
+    """Weights of word beginnings (toxic rows, weight) without those that a longer one with as many toxic rows explains."""
+    explained = {s[:-1] for s, (n, w) in stems.items() if s[:-1] in stems and stems[s[:-1]][0] == n and stems[s[:-1]][1] <= w}
+    return {s: w for s, (_, w) in stems.items() if s not in explained}
+
+
 def unit_counts(sample: DataFrame) -> DataFrame:
     """unit, pos, neg: in how many toxic and other rows of the sample each unit stands; summed in tasks first."""
     schema = pa.schema([("unit", pa.string()), ("pos", pa.int64()), ("neg", pa.int64())])
@@ -150,32 +222,43 @@ def fit_weights(x: np.ndarray, y: np.ndarray, strength: float = 1.0, steps: int
     `stands_for`: how many rows each row stands for; 1 by default.
     """
     each = np.ones(len(x)) if stands_for is None else stands_for
-    x1 = np.hstack([x, np.ones((len(x), 1))])
+    x1, sign = np.hstack([x, np.ones((len(x), 1))]), 1 - 2 * y
     at = mean = np.append(PRIOR, BIAS)
+
+    def loss(w: np.ndarray) -> float:
+        return float(each @ np.logaddexp(0, sign * (x1 @ w)) + strength / 2 * ((w - mean) ** 2).sum())
+
     for _ in range(steps if len(x) else 0):
         p = 1 / (1 + np.exp(-np.clip(x1 @ at, -30, 30)))
         slope = x1.T @ (each * (p - y)) + strength * (at - mean)
         curve = (x1 * (each * p * (1 - p))[:, None]).T @ x1 + strength * np.eye(len(at))
-        at = at - np.linalg.solve(curve, slope)
-        at[:-1] = np.maximum(at[:-1], 0.0)
+        step, before = np.linalg.solve(curve, slope), loss(at)
+        for halved in range(40):  # a full step may overshoot
+            new = at - step / 2**halved
+            new[:-1] = np.maximum(new[:-1], 0.0)
+            if loss(new) < before:
+                break
+        else:
+            break
+        at = new
     return at[:-1], float(at[-1])
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          per_class: int = 6000, most_units: int = 20_000, least_share: float = 0.005, least_log_odds: float = 3.5, least_evidence: float = 14.0) -> Model:
+          per_class: int = 6000, least_share: float = 0.005, least_log_odds: float = LISTED, least_evidence: float = 11.0) -> Model:
     """A model from labelled rows.
 
-    Labels with crc32(doc_id as text) mod 5 = 0 are held out. Of the rest, the `per_class` rows of each class with the least
-    hash of doc_id are the sample: a bound on the work and on what the driver gets (their patterns, and `most_units` learned
-    units), whatever the number of labels. In the fit, each row stands for all training labels of its class, so the weights
-    and the bias hold for their natural shares. A unit is learned if it stands in `least_share` of the sample's toxic rows (3 at
-    least), its smoothed log odds are `least_log_odds` or more, and its rows speak against chance by `least_evidence` nats
-    (their number times the divergence of their toxic share from the sample's): of a million units that stand in
-    rows at random, less than one passes. Null labels or ids are left out; without toxic labels the
-    fixed lists and weights hold.
+    Labels with crc32(doc_id as text) mod 5 = 0 are held out; a document with several labels is toxic if one of them says so. Of the
+    rest, the `per_class` rows of each class with the least hash of doc_id are the sample: a bound on the work and on what the driver
+    gets (their patterns and the learned units), whatever the number of labels. In the fit, each row stands for all training
+    labels of its class, so the weights and the bias hold for their natural shares. A unit is learned if it stands in `least_share`
+    of the sample's toxic rows (3 at least), its smoothed log odds are `least_log_odds` or more, and its rows speak against chance by
+    `least_evidence` nats (their number times the divergence of their toxic share from the sample's): of a million units that stand in
+    rows at random, some twenty pass. Of a word beginning and a longer one in as many toxic rows, the longer one is learned. Null
+    labels or ids are left out; without toxic labels the fixed lists and weights hold.
     """
     own = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
-    own = own.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).distinct()
+    own = own.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     every = dict(own.groupBy("toxic").count().collect())
     first = [own.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -189,9 +272,9 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         rest = F.when(share < 1, (1 - share) * F.log((1 - share) / F.lit(1 - base))).otherwise(0.0) if base < 1 else F.lit(0.0)
         evidence = (F.col("pos") + F.col("neg")) * (share * F.log(share / F.lit(max(base, 1e-9))) + rest)
         chosen = counted.where(F.col("pos") >= max(3, least_share * n_pos)).withColumn("w", odds).where((F.col("w") >= least_log_odds) & (evidence >= least_evidence))
-        rows = chosen.orderBy(F.desc("w"), F.desc("pos"), "unit").limit(most_units).select("unit", "w").collect()
-        seeds = dict.fromkeys(INSULTS, least_log_odds)
-        lexicon = Lexicon(seeds | {r.unit[1:]: r.w for r in rows if r.unit[0] == "w"}, {r.unit[1:]: r.w for r in rows if r.unit[0] == "s"})
+        rows = chosen.select("unit", "pos", "neg", "w").collect()  # bounded as the sample is
+        seeds = dict.fromkeys(INSULTS, LISTED)
+        lexicon = Lexicon(seeds | {r.unit[1:]: r.w for r in rows if r.unit[0] == "w"}, longest({r.unit[1:]: (r.pos, r.w) for r in rows if r.unit[0] == "s"}))
         seen = sample.select("text", "toxic").repartition(sample.sparkSession.sparkContext.defaultParallelism)
         fitted = map_columns(seen, {"text": "text", "toxic": "toxic"}, lambda texts, ys, g=Lazy(lexicon): {"x": [g.get().patterns(t) or [0.0] * SIZE for t in texts], "y": ys}, "x array<double>, y int").collect()
     finally:
