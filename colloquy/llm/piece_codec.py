@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding by a streaming path search.
 
-The model file's path is a parameter; only its pieces and their order are read from it. Encoding follows
+The model file's path is a parameter; its pieces, their order and its settings are read from it. Encoding follows
 the model's own rules (a space before the text, spaces as U+2581, bytes for unknown characters) and finds the
-pieces with `bpe.Pieces.stream`, whose window is bounded by the longest piece.
+pieces of every segment with `bpe.Search`, whose window is bounded by the longest piece and which commits pieces where all
+surviving paths meet. A memo of short segments stands in front of it.
 """
 
 from __future__ import annotations
@@ -18,15 +19,55 @@ import regex
 from pyspark.sql import DataFrame
 
 from colloquy.llm.arrow import map_columns
-from colloquy.llm.bpe import Memo, Pieces
+from colloquy.llm.bpe import Memo, Pieces, Search
 
 #: Fixed value of the format: the visible space.
 SPACE = "▁"
 LETTER = regex.compile(r"[\p{L}\p{M}]")
 #: Bytes of text that are split at a time.
 SLICE = 4 << 20
-#: Segments whose ids each generation of a worker's memo keeps, and the longest one that it keeps.
-SEGMENTS, LONG = 250_000, 64
+#: Segments whose ids each generation of a worker's memo keeps.
+SEGMENTS = 200_000
+#: Fixed values of the model format: places of fields, the kind of model, and what is asked of its normaliser.
+TRAINER, NORMALIZER, MODEL_TYPE, BPE = 2, 3, 3, 2
+CHARSMAP, SETTINGS = 2, {3: "add_dummy_prefix", 4: "remove_extra_whitespaces", 5: "escape_whitespaces"}
+
+
+def fields(message: bytes) -> dict[int, int | bytes]:
+    """Fields of a protocol buffer message; of repeated ones the last."""
+    out, at = {}, 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = message[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(message):
+        key = number()
+        if key & 7 == 0:
+            out[key >> 3] = number()
+        else:
+            size = {1: 8, 5: 4}.get(key & 7) or number()
+            out[key >> 3] = message[at : at + size]
+            at += size
+    return out
+
+
+def checked(model: bytes) -> None:
+    """Raises for a model that isn't of the kind that is read here."""
+    spec = fields(model)
+    if fields(spec[TRAINER]).get(MODEL_TYPE, 1) != BPE:
+        raise ValueError("only byte-pair models are read")
+    own = fields(spec.get(NORMALIZER, b""))
+    wrong = [name for i, name in SETTINGS.items() if bool(own.get(i, 1)) != (name != "remove_extra_whitespaces")]
+    if own.get(CHARSMAP) or wrong:
+        raise ValueError(f"this model's normaliser isn't supported: {', '.join(wrong) or 'it maps characters'}")
 
 
 class PieceCodec:
@@ -34,6 +75,7 @@ class PieceCodec:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        checked(model.serialized_model_proto())
         size = model.vocab_size()
         self.names = [model.id_to_piece(i) for i in range(size)]
         plain = [i for i in range(size) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
@@ -74,48 +116,36 @@ class PieceCodec:
         return out
 
     def segment(self, text: str) -> bytes:
-        """Packed ids of one segment of any length."""
-        ids, out = self.ids, []
-        for run in self.runs(text):
-            if run in ids:
-                out.append(ids[run])
-            elif len(run) == 1:
-                out += self.spelled(run)
-            else:
-                for piece in self.pieces.stream(run):
-                    out += [ids[piece]] if piece in ids else self.spelled(piece)
-        return array("i", out).tobytes()
+        return self.learn([text])[text]
 
     def learn(self, new: list[str]) -> dict[str, bytes]:
-        """Packed ids of short segments, worked out together and in order: each fits in one window of the search."""
-        ids, made = self.ids, {}
+        """Packed ids of segments of any length, one streaming search over all of them in order."""
+        ids, made, search = self.ids, {}, Search(self.pieces)
         mixed = {s: self.runs(s) for s in new if not self.known.issuperset(s)}
-        runs = sorted({*(s for s in new if s not in mixed), *(r for rs in mixed.values() for r in rs)})
-        whole = {r: array("i", [ids[r]] if r in ids else self.spelled(r)).tobytes() for r in runs if r in ids or len(r) == 1}
-        runs = [r for r in runs if r not in whole]
-        for run, (last, _) in zip(runs, self.pieces.walk(runs)):
-            found, at = [], len(run)
-            while at:
-                piece = last[at]
-                if piece in ids:
-                    found.append(ids[piece])
-                else:
-                    found += self.spelled(piece)[::-1]
-                at -= len(piece)
-            found.reverse()
+        for run in sorted({*(s for s in new if s not in mixed), *(r for rs in mixed.values() for r in rs)}):
+            if run in ids:
+                found = [ids[run]]
+            elif len(run) == 1:
+                found = self.spelled(run)
+            else:
+                found = []
+                for piece in search.pieces(run):
+                    if piece in ids:
+                        found.append(ids[piece])
+                    else:
+                        found += self.spelled(piece)
             made[run] = array("i", found).tobytes()
-        made |= whole
         out = {s: made[s] for s in new if s not in mixed}
         return out | {s: b"".join([made[r] for r in rs]) for s, rs in mixed.items()}
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Packed ids (32 bits each) of each text. New short segments are worked out together, long ones streamed."""
+        """Packed ids (32 bits each) of each text; segments that the memo doesn't have are searched together."""
         cut = self.segments.findall
         parts = [cut(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         known, new = self.short.found(set().union(*parts))
-        fresh = self.learn([s for s in new if len(s) <= LONG])
+        fresh = self.learn(new)
         self.short.take(fresh)
-        known |= fresh | {s: self.segment(s) for s in new if len(s) > LONG}
+        known |= fresh
         return [b"".join(map(known.__getitem__, p)) for p in parts]
 
     def encode(self, text: str) -> list[int]:
