@@ -14,12 +14,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from colloquy.llm import byte_index, decontaminate, html_text, ogg, simhash, toxicity, warc, word_windows
+from colloquy.llm.bpe import Search
 from colloquy.llm.components import components
 from colloquy.llm.piece_codec import PieceCodec, decode_pieces, encode_pieces
 from colloquy.llm.shared import written
-from colloquy.llm.token_counts import PrefixCounter, token_counts, unpack
+from colloquy.llm.token_counts import PrefixCounter, counts_at, token_counts, unpack
 
-ODD = ["", " ", "  a", "a  ", "a <|endoftext|> b's they're  'r x\n\n\n y \t z", "aaaaaaaaaaaaaaa" * 50, "日本語のテキスト😀😀 é" + "́", "x" * 3000, "don't we've   hi   ", "0123 4567890 123,456", "\x00 a", "ab" * 700, " " * 300]
+ODD = ["", " ", "  a", "a  ", "a <|endoftext|> b's they're  'r x\n\n\n y \t z", "aaaaaaaaaaaaaaa" * 50, "日本語のテキスト😀😀 é" + "́", "x" * 3000, "don't we've   hi   ", "0123 4567890 123,456", "\x00 a", "ab" * 700, " " * 300, "a \x00 b\x00  c", "\n\nb\n\n 'll  're", "a  <|endoftext|>  <|endoftext|>b\t\tc", " \x1c\x1d a \x1f"]
 EDGES = [(1, None), (2, ""), (3, "word"), (3, "word"), (None, "word two"), (4, "é ü " * 2000)]
 
 
@@ -43,7 +44,7 @@ def test_token_counts_as_the_library(spark, small):
     library, own = Tokenizer.from_file(path), PrefixCounter(path)
     sample = ODD + texts(spark, small)
     assert own.totals(sample) == [len(e.ids) for e in library.encode_batch(sample, add_special_tokens=False)]
-    for t in [x[:300] for x in sample if len(x) < 700 or x in ODD[-3:]] + [x[:200] for x in sample[-20:]]:
+    for t in [x[:300] for x in sample if len(x) < 700 or x in ODD[-7:]] + [x[:200] for x in sample[-20:]]:
         table = own.table(t)
         assert len(table) == len(t.encode()) + 1
         for k in range(len(t) + 1):
@@ -59,6 +60,41 @@ def test_token_count_rows(spark):
     assert {r.n_tokens for r in rows if r.doc_id in (1, 2)} == {0} and token_counts(empty(spark), path).count() == 0
 
 
+def test_questions_to_stored_tables(spark, small):
+    """Counts of prefixes and cuts by budget come from the stored table alone."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    n = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(30)
+    stored = written(token_counts(docs, path, budget=40).withColumn("at", F.lit(50)), "tables")
+    text = {d.doc_id: d.text or "" for d in docs.collect()}
+    for r in counts_at(stored, at_col="at").collect():
+        raw = text[r.doc_id].encode()
+        if len(raw) < 50:
+            assert r.n_tokens is None
+        elif len(raw[:50].decode("utf-8", "ignore").encode()) == 50:
+            assert r.n_tokens == n(raw[:50].decode())
+    for r in stored.collect():
+        t, cut = text[r.doc_id], text[r.doc_id].encode()[: r.fit_bytes].decode()
+        assert r.over_limit == (n(t) > 40) and n(cut) <= 40 and (not r.over_limit or n(t[: len(cut) + 1]) > 40 or len(cut) == len(t))
+
+
+def test_other_kinds_of_files_are_refused(tmp_path):
+    from colloquy.llm import piece_codec
+
+    with pytest.raises(ValueError, match="pre_tokenizer"):
+        PrefixCounter(public_tokenizers.path("word_bpe_49k.json"))
+    varint = lambda i, v: bytes([i << 3, v])
+    part = lambda i, b: bytes([i << 3 | 2, len(b)]) + b
+    good = part(2, varint(3, 2)) + part(3, varint(3, 1) + varint(4, 0) + varint(5, 1))
+    piece_codec.checked(good)
+    for bad in (part(2, varint(3, 1)) + good[4:], part(2, varint(3, 2)) + part(3, varint(3, 0) + varint(4, 0)), part(2, varint(3, 2)) + part(3, part(2, b"xy") + varint(4, 0))):
+        with pytest.raises(ValueError):
+            piece_codec.checked(bad)
+
+
 def test_pieces_as_the_library(spark, small):
     import sentencepiece
 
@@ -78,6 +114,16 @@ def test_streaming_commits_the_same_pieces():
         assert list(own.pieces.stream(run)) == own.pieces.merged(run)
 
 
+def test_the_window_is_bounded():
+    """The search holds no more back pointers than two windows, however long the text; pieces come out before its end."""
+    own = PieceCodec(public_tokenizers.path("piece_bpe_32k.model"))
+    search, held, first = Search(own.pieces), 0, None
+    for piece in search.pieces("▁" + "thesanreo" * 5000):
+        held = max(held, len(search.last))
+        first = first or (piece, search.done)
+    assert held <= 2 * own.pieces.longest + 1 and first[1] <= 2 * own.pieces.longest
+
+
 def test_piece_rows(spark):
     path = public_tokenizers.path("piece_bpe_32k.model")
     rows = encode_pieces(edges(spark), path)
@@ -304,7 +350,7 @@ def test_toxicity_held_out(spark):
     rows = toxicity.score(docs.join(held.select("doc_id"), "doc_id"), model).join(held, "doc_id").collect()
     hit = sum(r.predicted == r.toxic for r in rows) / len(rows)
     caught = [r.predicted for r in rows if r.toxic == 1]
-    assert hit > 0.96 and sum(caught) / len(caught) > 0.75
+    assert hit > 0.98 and sum(caught) / len(caught) >= 0.9
     odd = toxicity.score(edges(spark), model).collect()
     assert len(odd) == len(EDGES) and all(0 <= r.score <= 1 for r in odd) and toxicity.score(empty(spark), model).count() == 0
     bare = toxicity.learn(docs.limit(0), labels.limit(0))
@@ -356,8 +402,9 @@ def test_pipeline_against_force(spark, small):
     model = toxicity.learn(docs, labels)
     grammar = toxicity.Grammar(model.lexicon)
     left = {d.doc_id: d.text for d in docs.collect() if model.score(grammar.patterns(d.text)) < 0.5}
-    fp = {i: simhash.fingerprint(t) & (2**64 - 1) for i, t in left.items()}
-    root = connected(left, [(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 3])
+    words = {i: t.lower().split() for i, t in left.items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in words.items()}
+    root = connected(left, [(a, b) for a in sets for b in sets if a < b and (sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))])
     left = {i: t for i, t in left.items() if root[i] == i}
     cut = windows_by_force(list(left.items()))
     left = {i: cut[i][2] if cut[i][1] else t for i, t in left.items()}
