@@ -9,15 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir; where that is unset, as in tests, in a new local one."""
+    """A new path in the folder of spark.checkpoint.dir. Where that is unset, a new local one if the executors are in this process,
+    as in tests; on a cluster each executor would write to its own disk, so that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.conf.get("spark.master", "")
+        if master.partition("[")[0] != "local":
+            raise ValueError(f"spark.checkpoint.dir must name a folder that the executors of {master} share")
         at = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, written to the shared folder and read from there: later stages don't depend on anything that is lost with an
+    executor, and nothing before them runs again. Whoever owns the folder clears it after the session."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
