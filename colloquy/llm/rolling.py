@@ -71,3 +71,10 @@ def least(values: np.ndarray, size: int) -> np.ndarray:
         out = np.minimum(out[: len(out) - step], out[step:]) if len(out) > step else out[:0]
         done += step
     return out
+
+
+def among(values: np.ndarray, wanted: np.ndarray | None) -> np.ndarray:
+    """Which values are among the wanted ones (sorted; none for None)."""
+    if wanted is None or not len(wanted):
+        return np.zeros(len(values), bool)
+    return wanted[np.minimum(np.searchsorted(wanted, values), len(wanted) - 1)] == values

@@ -1,25 +1,5 @@
 """Tables in the folder that all executors and the driver share."""
 
-from __future__ import annotations
+from colloquy.sources.shared import written
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; where it names none, as in tests, a new local one."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written to the shared folder and read from there: later stages don't depend on
-    anything that is lost with an executor, and nothing before them runs again."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["written"]

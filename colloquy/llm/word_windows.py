@@ -3,7 +3,8 @@
 Each window of 20 words has a minimiser: the least hash among its 5-word runs. Consecutive windows with one
 minimiser form a super-k-mer, which travels as one packed string to the bucket of its minimiser; equal
 windows meet there, whatever documents they come from, and sorting finds them. Tasks first do the same for their own
-documents, so that of a window that a task has seen only the first occurrence travels.
+documents, so that of a window that a task has seen only the first occurrence travels. Windows of a minimiser that is too frequent for
+one bucket go by the hash of all their words instead.
 """
 
 from __future__ import annotations
@@ -19,10 +20,13 @@ from pyspark.sql import functions as F
 
 from colloquy.llm.arrow import arrow_schema, map_columns, rows_batch, slices
 from colloquy.llm.bpe import claim
-from colloquy.llm.rolling import joined, least, piece_hashes
+from colloquy.llm.buckets import HOT, bucket_count, hot_keys, text_bytes
+from colloquy.llm.rolling import among, joined, least, piece_hashes
 
-#: Words in a window and in a minimiser; bytes of text that a task takes at a time; buckets for each shuffle partition.
-WINDOW, MINIMISER, SLICE, BUCKETS = 20, 5, 8 << 20, 4
+#: Words in a window and in a minimiser; bytes of text that a task takes at a time.
+WINDOW, MINIMISER, SLICE = 20, 5, 8 << 20
+#: Bytes that travel for each byte of text.
+TRAVEL = 3.2
 HEAD = struct.Struct("<IIQ")
 
 
@@ -99,7 +103,7 @@ def unpack(block: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return body.split(b"\n"), docs, places
 
 
-def cut(ids: list[int], texts: list[str], window: int, minimiser: int, buckets: int):
+def cut(ids: list[int], texts: list[str], window: int, minimiser: int, buckets: int, hot: np.ndarray | None = None):
     """Yields (bucket, block, None, ...) of the super-k-mers of these documents, and ranges that are already known."""
     lines, owners = [], []
     for i, t in sorted((i, t) for i, t in zip(ids, texts) if i is not None and t):
@@ -117,6 +121,7 @@ def cut(ids: list[int], texts: list[str], window: int, minimiser: int, buckets:
         yield None, None, d, a, b
     keep = np.flatnonzero(~known)
     keys = least(joined(words.hashes, minimiser), window - minimiser + 1)[at[keep]]
+    keys = np.where(among(keys, hot), hashes[keep], keys)
     at, docs, places = at[keep], docs[keep], places[keep]
     new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (np.diff(at) != 1) | (docs[1:] != docs[:-1])))
     heads = np.flatnonzero(new)
@@ -143,9 +148,24 @@ def count_bucket(blocks: list[bytes], window: int):
     return ranges(own_docs[hit], own_places[hit], window)
 
 
-def repeated_ranges(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, minimiser: int = MINIMISER, buckets: int | None = None) -> DataFrame:
-    """(doc_id, begin, stop): ranges of words that windows with an earlier equal window cover; they may overlap."""
-    buckets = buckets or BUCKETS * max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def window_keys(texts: list[str | None], window: int, minimiser: int) -> np.ndarray:
+    """Minimisers of the windows of texts."""
+    lines = [b" ".join(ws) for t in texts if t and len(ws := t.encode("utf-8", "surrogatepass").split()) >= window]
+    if not lines:
+        return np.zeros(0, np.uint64)
+    words = Words(lines)
+    return least(joined(words.hashes, minimiser), window - minimiser + 1)[words.windows(window)[0]]
+
+
+def repeated_ranges(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, minimiser: int = MINIMISER, buckets: int | None = None, hot: float = HOT) -> DataFrame:
+    """(doc_id, begin, stop): ranges of words that windows with an earlier equal window cover; they may overlap.
+
+    The number of buckets follows the bytes of the texts. A minimiser that has more than `hot` times a bucket's mean share of the
+    windows doesn't meet in one bucket.
+    """
+    size = text_bytes(docs, text_col)
+    buckets = buckets or bucket_count(size, TRAVEL)
+    frequent = hot_keys(docs, lambda texts: window_keys(texts, window, minimiser), id_col=id_col, text_col=text_col, size=size, buckets=buckets, hot=hot)
     ddl = "bucket int, block binary, doc_id long, begin int, stop int"
     schema = arrow_schema(ddl)
 
@@ -153,7 +173,7 @@ def repeated_ranges(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         claim(__name__)
         for part in slices(batches, SLICE):
             rows, size = [], 0
-            for row in cut(part.column(0).to_pylist(), part.column(1).to_pylist(), window, minimiser, buckets):
+            for row in cut(part.column(0).to_pylist(), part.column(1).to_pylist(), window, minimiser, buckets, frequent):
                 rows.append(row)
                 size += len(row[1] or b"") + 40
                 if size > SLICE:
@@ -209,7 +229,7 @@ def kept_words(text: str | None, found) -> tuple[str, int, list[tuple[int, int]]
     return b" ".join(ws).decode("utf-8", "surrogatepass"), n, own
 
 
-def dedup_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, minimiser: int = MINIMISER, buckets: int | None = None) -> DataFrame:
+def dedup_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, minimiser: int = MINIMISER, buckets: int | None = None, hot: float = HOT) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words left, one space between them) and spans (removed ranges of words).
 
     A word goes if a window of `window` words of its document covers it whose words also start earlier: in a document with a
@@ -219,7 +239,7 @@ def dedup_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{id_col}`").cast("long").alias("key"))
-    found = repeated_ranges(docs, id_col=id_col, text_col=text_col, window=window, minimiser=minimiser, buckets=buckets)
+    found = repeated_ranges(docs, id_col=id_col, text_col=text_col, window=window, minimiser=minimiser, buckets=buckets, hot=hot)
     found = found.groupBy(F.col("doc_id").alias("key")).agg(F.collect_list(F.struct("begin", "stop")).alias("found"))
 
     def keep(ids, texts, found):
