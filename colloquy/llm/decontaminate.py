@@ -2,7 +2,8 @@
 
 Words become a template: numbers, names and units are replaced by typed placeholders, so a question with other
 numbers or names has the same template. Windows of templates are joined by hash, and the slots of the windows are
-checked: one value in the item must always meet one value in the document.
+checked: one value in the item must always meet one value in the document. A capital at the start of a sentence may stand for a name
+or not, so windows with one have both templates. Windows with few plain words go by their own words instead of placeholders.
 """
 
 from __future__ import annotations
@@ -14,15 +15,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.arrow import arrow_schema, rows_batch, slices
+from colloquy.llm.arrow import arrow_schema, map_columns, rows_batch, slices
 from colloquy.llm.bpe import Memo, claim
+from colloquy.llm.shared import written
 
 #: Words in a template window, and how many of them must be plain words.
 WINDOW, PLAIN = 8, 4
 #: Share of an item's words that a document must hold.
 COVER = 0.6
-#: Item windows that are sent to the tasks to sort out other windows before the join (16 bytes each in the driver).
-PREFILTER = 2_000_000
+#: Bits of the filter that tells tasks which windows no item has; its size doesn't depend on the items.
+FILTER = 1 << 25
 #: Fixed list of units.
 UNITS = frozenset(
     "mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers mg g kg lb lbs oz gram grams kilogram "
@@ -60,63 +62,86 @@ def code(raw: str) -> int:
     return digest(template) | flags | (SLOT if template in (NUM, UNIT) else 0) | (0 if word else EMPTY)
 
 
+def own_code(raw: str) -> int:
+    """Hash of a word itself."""
+    return digest("=" + bare(raw).lower())
+
+
 NAME_HASH = np.uint64(digest(NAME))
-CODES = Memo(code, 150_000)
+CODES, OWN = Memo(code, 150_000), Memo(own_code, 50_000)
 
 
 class Templates:
     """Template hashes of the words of several texts in a row; words without letters or digits fall away."""
 
     def __init__(self, texts: list[str | None]):
-        self.words, sizes, codes = [], [], []
-        get = CODES.__getitem__
+        self.words, sizes = [], []
         for t in texts:
             own = (t or "").split()
             self.words += own
             sizes.append(len(own))
-        codes = np.fromiter(map(get, self.words), np.uint64, len(self.words))
+        codes = np.fromiter(map(CODES.__getitem__, self.words), np.uint64, len(self.words))
         doc = np.repeat(np.arange(len(texts)), sizes)
         keep = (codes & np.uint64(EMPTY)) == 0
         stop = (codes & np.uint64(STOP)) != 0
         start = np.ones(len(codes), bool)  # of a sentence: the first word of a text, and each after a stop
         start[1:] = stop[:-1] | (doc[1:] != doc[:-1])
-        name = ((codes & np.uint64(MAYBE_NAME)) != 0) & ~start
-        self.at = np.flatnonzero(keep)
-        self.doc = doc[keep]
-        self.slot = (name | ((codes & np.uint64(SLOT)) != 0))[keep]
-        self.name = name[keep]
-        self.hash = np.where(name, NAME_HASH, codes & ~np.uint64(0xFF))[keep]
+        capital = (codes & np.uint64(MAYBE_NAME)) != 0
+        self.at, self.doc = np.flatnonzero(keep), doc[keep]
+        self.either = (capital & start)[keep]  # a name or not
+        self.fixed = ((codes & np.uint64(SLOT)) != 0)[keep]  # a number or a unit
+        names = (capital & ~start)[keep]
+        self.names = (names, names | self.either)
+        plain = (codes & ~np.uint64(0xFF))[keep]
+        self.hashes = tuple(np.where(n, NAME_HASH, plain) for n in self.names)
+        self.own = plain.copy()
+        some = np.flatnonzero(self.names[1] | self.fixed)
+        self.own[some] = np.fromiter((OWN[self.words[i]] for i in self.at[some].tolist()), np.uint64, len(some))
         self.counts = np.bincount(self.doc, minlength=len(texts))
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """(start, hash) of all windows of this many words in one text with enough plain words."""
-        n = len(self.hash) - size + 1
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, hash, kind) of all windows of this many words in one text. Kind 0: capitals at the start of a sentence are no names;
+        1: they are, if there are any; 2: too few plain words, so the window's own words count."""
+        n = len(self.own) - size + 1
         if n <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        total = np.zeros(n, np.uint64)
-        for i in range(size):
-            total += (self.hash[i : i + n] ^ (self.hash[i : i + n] >> np.uint64(29))) * ODD[i % 64]
-        plain = np.concatenate(([0], np.cumsum(~self.slot)))
-        fit = (self.doc[:n] == self.doc[size - 1 :]) & (plain[size:] - plain[:n] >= min(PLAIN, size))
-        at = np.flatnonzero(fit)
-        return at, total[at]
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int8)
+        whole = self.doc[:n] == self.doc[size - 1 :]
+
+        def count(mask: np.ndarray) -> np.ndarray:
+            sums = np.concatenate(([0], np.cumsum(mask)))
+            return sums[size:] - sums[:-size]
+
+        def total(hashes: np.ndarray) -> np.ndarray:
+            out = np.zeros(n, np.uint64)
+            for i in range(size):
+                out += (hashes[i : i + n] ^ (hashes[i : i + n] >> np.uint64(29))) * ODD[i % 64]
+            return out
 
-    def template(self, start: int, size: int) -> str:
-        return " ".join(NAME if self.name[i] else kind(bare(self.words[self.at[i]])) for i in range(start, start + size))
+        fit = [size - count(names | self.fixed) >= min(PLAIN, size) for names in self.names]
+        parts = [(whole & fit[0], self.hashes[0]), (whole & fit[1] & (count(self.either) > 0), self.hashes[1]), (whole & ~fit[0], self.own)]
+        found = [np.flatnonzero(mask) for mask, _ in parts]
+        hashes = [total(h)[at] if len(at) else np.zeros(0, np.uint64) for at, (_, h) in zip(found, parts)]
+        return np.concatenate(found), np.concatenate(hashes), np.repeat(np.arange(3, dtype=np.int8), [len(at) for at in found])
 
-    def slots(self, start: int, size: int) -> list[str]:
-        return [bare(self.words[self.at[i]]).lower() for i in range(start, start + size) if self.slot[i]]
+    def template(self, start: int, size: int, kind_: int) -> str:
+        words = [bare(self.words[self.at[i]]) for i in range(start, start + size)]
+        if kind_ == 2:
+            return "= " + " ".join(words).lower()
+        return " ".join(NAME if self.names[kind_][i] else kind(w) for i, w in enumerate(words, start))
 
+    def slots(self, start: int, size: int, kind_: int) -> list[str]:
+        slot = self.names[kind_ % 2][start : start + size] | self.fixed[start : start + size]
+        return [bare(self.words[self.at[i]]).lower() for i, s in enumerate(slot.tolist(), start) if s]
 
-def windows(df: DataFrame, id_col: str, text_col: str, sizes: list[int], wanted: np.ndarray | None, whole: bool = False) -> DataFrame:
+
+def windows(df: DataFrame, id_col: str, text_col: str, sizes: list[int], bits: np.ndarray | None, whole: bool = False) -> DataFrame:
     """(id, pos, n_words, size, hash, template, slots) of template windows.
 
-    `whole`: of texts shorter than the window, the whole text is one window. `wanted`: sorted hashes; others are left out.
+    `whole`: of texts shorter than the window, the whole text is one window. `bits`: a filter (`item_bits`); windows that it doesn't
+    let through are left out.
     """
     kind_ = df.schema[id_col].dataType.simpleString()
     schema = f"id {kind_}, pos int, n_words int, size int, hash long, template string, slots array<string>"
-    few = None if wanted is None else np.bincount((wanted & np.uint64(0xFFFFF)).astype(np.int64), minlength=1 << 20) > 0
-
     out = arrow_schema(schema)
 
     def run(batches):
@@ -126,47 +151,80 @@ def windows(df: DataFrame, id_col: str, text_col: str, sizes: list[int], wanted:
             first = np.concatenate(([0], np.cumsum(t.counts)))
             rows = []
             for size in sizes:
-                at, h = t.windows(size)
+                at, h, kinds = t.windows(size)
+                some = np.ones(len(at), bool)
                 if whole and size < WINDOW:
-                    own = t.counts[t.doc[at]] == size
-                    at, h = at[own], h[own]
-                if wanted is not None:
-                    some = few[(h & np.uint64(0xFFFFF)).astype(np.int64)]
-                    at, h = at[some], h[some]
-                    some = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
-                    at, h = at[some], h[some]
-                for a, x in zip(at.tolist(), h.view(np.int64).tolist()):
+                    some &= t.counts[t.doc[at]] == size
+                if bits is not None:
+                    for place in places(h):
+                        some[some] &= bits[place[some] >> 3] >> (place[some] & 7).astype(np.uint8) & 1 == 1
+                for a, x, k in zip(at[some].tolist(), h[some].view(np.int64).tolist(), kinds[some].tolist()):
                     d = t.doc[a]
-                    rows.append((ids[d], int(a - first[d]), int(t.counts[d]), size, x, t.template(a, size), t.slots(a, size)))
+                    rows.append((ids[d], int(a - first[d]), int(t.counts[d]), size, x, t.template(a, size, k), t.slots(a, size, k)))
             yield rows_batch(rows, out)
 
     return df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, schema)
 
 
+def places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two bits of the filter for each hash."""
+    return tuple(((hashes >> np.uint64(shift)) & np.uint64(FILTER - 1)).astype(np.int64) for shift in (8, 36))
+
+
+def item_bits(of_items: DataFrame) -> np.ndarray:
+    """The filter's bytes with the bits of all item windows. Spark puts them together in words of 64 bits, of which there are
+    `FILTER / 64` however many items there are."""
+    bit = lambda shift: F.shiftrightunsigned("hash", shift).bitwiseAND(F.lit(FILTER - 1))
+    set_ = of_items.select(F.explode(F.array(bit(8), bit(36))).alias("bit"))
+    words = set_.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(FILTER // 64, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out.view(np.uint8)
+
+
+def rarest(of_items: DataFrame, cover: float) -> DataFrame:
+    """item_id, hash, template of windows of which every document with that cover of the item has one.
+
+    The windows that most items share are left out as long as they alone don't cover so much of the item. A sentence that stands in
+    many items thus makes no pairs of all of them with all documents that have it.
+    """
+    shared = of_items.groupBy("hash", "template").agg(F.count("*").alias("items"))
+    rows = of_items.join(shared, ["hash", "template"]).groupBy("item_id", "n_words").agg(F.collect_list(F.struct("items", "pos", "size", "hash", "template")).alias("windows"))
+    kind_ = of_items.schema["item_id"].dataType.simpleString()
+
+    def run(ids, n_words, windows_):
+        made = {"item_id": [], "hash": [], "template": []}
+        for i, n, own in zip(ids, n_words, windows_):
+            own.sort(key=lambda w: (-w["items"], w["pos"], w["hash"], w["template"]))
+            covered: set[int] = set()
+            for k, w in enumerate(own):
+                covered.update(range(w["pos"], w["pos"] + w["size"]))
+                if len(covered) >= cover * n or k == len(own) - 1:
+                    break
+            for w in own[k:]:
+                made["item_id"].append(i)
+                made["hash"].append(w["hash"])
+                made["template"].append(w["template"])
+        return made
+
+    return map_columns(rows, {"item_id": "item_id", "n_words": "n_words", "windows": "windows"}, run, f"item_id {kind_}, hash long, template string").distinct()
+
+
 def matches(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-            window: int = WINDOW, prefilter: int = PREFILTER) -> DataFrame:
+            window: int = WINDOW, cover: float = COVER) -> DataFrame:
     """doc_id, item_id, n_covered and n_words (of the item), consistent, same (all slots have the item's own values).
 
-    One row for each document and item with a common template window. Item windows up to `prefilter` are sent to the tasks,
-    which then keep only matching windows; beyond that, all windows go through the join. Slots are checked along each
-    alignment of item and document: values must map one to one. Null and empty texts have no windows; items with no window of
-    enough plain words match nothing; repeated items are items of their own.
+    One row for each document and item that may have that cover: they share one of the item's rarest windows. Slots are checked along
+    each alignment of item and document: values must map one to one. Null and empty texts have no windows; repeated items are
+    items of their own; rows that repeat a document count once, and rows with a null id are left out.
     """
-    of_items = windows(items, item_col, item_text_col, list(range(1, window + 1)), None, whole=True).persist()
-    try:
-        n = of_items.count()
-        wanted, sizes = None, list(range(1, window + 1))
-        if n <= prefilter:
-            rows = of_items.select("hash", "size").distinct().collect()
-            wanted = np.unique(np.array([r.hash for r in rows], dtype=np.int64).view(np.uint64))
-            sizes = sorted({r["size"] for r in rows})
-            if not rows:
-                wanted = np.zeros(1, np.uint64)
-    finally:
-        of_items.unpersist()
-    theirs = windows(docs, id_col, text_col, sizes, wanted).select(F.col("id").alias("doc_id"), F.col("pos").alias("at"), "hash", "template", F.col("slots").alias("values"))
+    of_items = written(windows(items, item_col, item_text_col, list(range(1, window + 1)), None, whole=True), "item-windows")
+    sizes = sorted(r["size"] for r in of_items.select("size").distinct().collect())  # up to `window` numbers
     ours = of_items.select(F.col("id").alias("item_id"), "pos", "n_words", "size", "hash", "template", "slots")
-    met = theirs.join(F.broadcast(ours) if n <= prefilter // 10 else ours, ["hash", "template"])
+    theirs = windows(docs, id_col, text_col, sizes, item_bits(of_items))
+    theirs = written(theirs.select(F.col("id").alias("doc_id"), F.col("pos").alias("at"), "hash", "template", F.col("slots").alias("values")), "document-windows")
+    candidates = theirs.join(rarest(ours, cover), ["hash", "template"]).select("doc_id", "item_id").distinct()
+    met = theirs.join(candidates.join(ours, "item_id"), ["doc_id", "hash", "template"])
     pairs = F.transform(F.arrays_zip("slots", "values"), lambda x: F.struct(x["slots"].alias("s"), x["values"].alias("v")))
     aligned = met.groupBy("doc_id", "item_id", "n_words", (F.col("at") - F.col("pos")).alias("shift")).agg(
         F.collect_set(F.struct("pos", "size")).alias("found"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs")
@@ -188,6 +246,6 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
 
     A leak covers at least `cover` of the item's words by windows whose slots are consistent.
     """
-    found = matches(docs, items, id_col=id_col, text_col=text_col, item_col=item_col, item_text_col=item_text_col)
+    found = matches(docs, items, id_col=id_col, text_col=text_col, item_col=item_col, item_text_col=item_text_col, cover=cover)
     leaks = found.where(F.col("consistent") & (F.col("n_covered") >= cover * F.col("n_words")))
     return leaks.select("doc_id", "item_id", "n_covered", "n_words", F.when(F.col("same"), "copy").otherwise("reworked").alias("kind"))
