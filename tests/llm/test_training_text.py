@@ -264,6 +264,39 @@ def test_word_windows(spark, small):
     assert all(kept[i] == w[2] for i, w in want.items() if w[1])
 
 
+def with_a_line(r, n=60, length=18):
+    """Texts that all hold the same line with other words around it, and copies of a few of them."""
+    line = " ".join(f"l{k}" for k in range(length))
+    rows = [(i, " ".join([*(f"w{r.randrange(400)}" for _ in range(r.randrange(5, 60))), line, *(f"w{r.randrange(400)}" for _ in range(r.randrange(5, 60)))])) for i in range(n)]
+    return rows + [(n + i, rows[i][1] + " end") for i in range(6)]
+
+
+@pytest.mark.parametrize("hot", [0.0, 4.0])
+def test_a_line_that_all_share(spark, hot):
+    """Minimisers that all documents have are dealt apart; the results stay those of brute force."""
+    rows = with_a_line(random.Random(9))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = word_windows.dedup_windows(docs, hot=hot)
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in got.collect()} == windows_by_force(rows)
+    for window in (60, 120):
+        got = byte_index.dedup_bytes(docs, window=window, gram=8, wide=window // 2, hot=hot, index_bytes=2000)
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got.collect()} == bytes_by_force(rows, window)
+
+
+def test_hot_keys(spark):
+    from colloquy.llm import buckets
+
+    rows = with_a_line(random.Random(2), 300)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    size = buckets.text_bytes(docs, "text")
+    assert size == sum(len(t.encode()) for _, t in rows) and buckets.bucket_count(100 << 30, 3.2) > buckets.bucket_count(1 << 30, 3.2) >= buckets.LEAST
+    keys_of = lambda texts: word_windows.window_keys(texts, 20, 5)
+    every = collections.Counter(keys_of([t for _, t in rows]).tolist())
+    found = buckets.hot_keys(docs, keys_of, id_col="doc_id", text_col="text", size=size, buckets=200).tolist()
+    share = 4 / 200 * sum(every.values())
+    assert found and {k for k, n in every.items() if n >= share} <= set(found) <= {k for k, n in every.items() if n >= 0.7 * share}
+
+
 def test_word_window_edges(spark):
     rows = word_windows.dedup_windows(edges(spark)).collect()
     assert len(rows) == len(EDGES) and {r.n_removed for r in rows if r.doc_id != 4} == {0}
@@ -294,9 +327,24 @@ def test_run_index():
         k = r.choice([3, 8, 20])
         strings = list({bytes(r.choice(b"ab") for _ in range(r.randrange(k, k * 4))) for _ in range(r.randrange(1, 6))})
         seen = collections.Counter(s[a : a + k] for s in strings for a in range(len(s) - k + 1))
-        want = [[a for a in range(len(s) - k + 1) if seen[s[a : a + k]] > 1] for s in strings]
-        assert [g.tolist() for g in byte_index.repeated_starts(strings, k)] == want
-        assert [g.tolist() for g in byte_index.starts_of_group(strings, k, min(3, k), 10)] == want
+        many = [r.random() < 0.2 for _ in strings]
+        more = {s[a : a + k] for s, m in zip(strings, many) if m for a in range(len(s) - k + 1)}
+        want = [[a for a in range(len(s) - k + 1) if seen[s[a : a + k]] > 1 or s[a : a + k] in more] for s in strings]
+        assert [g.tolist() for g in byte_index.repeated_starts(strings, many, k)] == want
+        assert [g.tolist() for g in byte_index.starts_of_group(strings, many, k, 1, 10)] == want
+
+
+def test_match_lengths():
+    """The samples of the runs give every match of a window or more its length."""
+    r = random.Random(6)
+    for _ in range(60):
+        text = bytes(r.choice(b"ab" if r.random() < 0.5 else b"abcd") for _ in range(r.randrange(2, 300))) * r.choice([1, 1, 2, 3])
+        own = np.frombuffer(text, np.uint8)
+        for window in (3, 12, 40):
+            index = byte_index.RunIndex(own, window)
+            best = [max((len(os.path.commonprefix([text[a:], text[b:]])) for b in range(len(text)) if b != a), default=0) for a in range(len(text))]
+            assert [int(x) if x >= window else 0 for x in index.matches()] == [x if x >= window else 0 for x in best]
+            assert len(index.runs) == len(index.heads) == len(index.up) <= len(text)
 
 
 @pytest.mark.parametrize("window,limit", [(40, 2 << 20), (40, 300), (100, 2 << 20)])
@@ -321,9 +369,8 @@ def test_decontamination(spark):
         (5, None), (6, ""), (7, "intro Dora has 5 apples and gives 5 apples to Dora in the garden today, how many pounds of apples remain?"), (9, "a tiny item inside"),
     ], "doc_id long, text string")
     items = spark.createDataFrame([(0, "So Alice has 5 apples and gives 2 apples to Bob in the garden today, how many kilograms of apples remain?"), (1, "tiny item"), (2, None)], "item_id long, text string")
-    for bound in (decontaminate.PREFILTER, 0):
-        met = {(r.doc_id, r.item_id): r.consistent for r in decontaminate.matches(docs, items, prefilter=bound).collect()}
-        assert met == {(1, 0): True, (3, 0): True, (7, 0): False, (9, 1): True}
+    met = {(r.doc_id, r.item_id): r.consistent for r in decontaminate.matches(docs, items).collect()}
+    assert met == {(1, 0): True, (3, 0): True, (7, 0): False, (9, 1): True}
     assert {(r.doc_id, r.item_id, r.kind) for r in decontaminate.contaminated(docs, items).collect()} == {(1, 0, "copy"), (3, 0, "reworked"), (9, 1, "copy")}
     assert decontaminate.contaminated(empty(spark), items).count() == 0 and decontaminate.contaminated(docs, items.limit(0)).count() == 0
 
