@@ -90,4 +90,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_byte_dedup": op10_byte_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Words of every text, windows of 20 in a row, and which words a window covers that also starts earlier.
+OP5_SQL = r"""WITH split AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+    words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM split),
+    starts AS (SELECT doc_id, i, word, count(*) OVER w AS n, string_agg(word, ' ') OVER w AS run FROM words
+      WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+    again AS (SELECT doc_id, i, word, n = 20 AND row_number() OVER (PARTITION BY run, n ORDER BY doc_id, i) > 1 AS later FROM starts),
+    covered AS (SELECT doc_id, i, word, bool_or(later) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM again),
+    kept AS (SELECT doc_id, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM covered GROUP BY doc_id)
+    SELECT s.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM split s LEFT JOIN kept k ON k.doc_id = s.doc_id"""
+
+#: Digests of whole payloads in base 32 (five bits a letter), and the largest page of each payload.
+OP8_SQL = """WITH own AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+    hashed AS (SELECT page_id, payload, list_aggregate(list_transform(string_split(sha1(payload), ''),
+      lambda c: substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * strpos('0123456789abcdef', c) - 3, 4)), 'string_agg', '') AS bits FROM own),
+    named AS (SELECT page_id, strlen(payload) AS payload_bytes, max(page_id) OVER (PARTITION BY payload) AS last, list_aggregate(list_transform(range(32),
+      lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * CAST(bits[5 * i + 1] AS INTEGER) + 8 * CAST(bits[5 * i + 2] AS INTEGER) + 4 * CAST(bits[5 * i + 3] AS INTEGER)
+        + 2 * CAST(bits[5 * i + 4] AS INTEGER) + CAST(bits[5 * i + 5] AS INTEGER), 1)), 'string_agg', '') AS payload_digest FROM hashed)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM named"""
+
+#: SQL has no way to say the rest: hashes, tokens, media, learned scores, alignments, page structure and byte strings.
+ORACLE_SQL: dict[str, str] = {"op5_substring_dedup": OP5_SQL, "op8_warc": OP8_SQL}
