@@ -9,11 +9,17 @@ is linear in its length and a window of the longest piece's length is enough sta
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import weakref
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+
 #: Entries that each generation of a memo keeps at most.
-MEMO = 1 << 17
+MEMO = 1 << 16
+#: Gives free memory back, where the C library can.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 NEVER = float("inf")
 
 
@@ -22,12 +28,17 @@ _OWNER = [""]
 
 
 def claim(owner: str) -> None:
-    """Tell what a worker works for. When it turns to another operator, what it remembers for the last one is dropped."""
+    """Tell what a worker works for. When it turns to another operator, what it remembers for the last one is dropped, and
+    memory that is free goes back to the system."""
     if _OWNER[0] != owner:
         for memo in list(_MEMOS):
             memo.clear()
             memo.old = {}
         _OWNER[0] = owner
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if _TRIM is not None:
+            _TRIM(0)
 
 
 class Memo(dict):
@@ -50,9 +61,15 @@ class Memo(dict):
     def __missing__(self, key):
         value = self.old[key] if key in self.old else self.make(key)
         if len(key) <= self.longest:
-            self.take({key: value})
+            if len(self) >= self.limit:
+                self.turn()
+            self[key] = value
         return value
 
+    def turn(self) -> None:
+        self.old = dict(self)
+        self.clear()
+
     def found(self, keys: set) -> tuple[dict, list]:
         """What is known of these keys, and the keys that aren't."""
         known = {k: self[k] for k in keys & self.keys()}
@@ -65,8 +82,7 @@ class Memo(dict):
         if any(len(k) > self.longest for k in values):
             values = {k: v for k, v in values.items() if len(k) <= self.longest}
         if len(self) + len(values) > self.limit:
-            self.old = dict(self)
-            self.clear()
+            self.turn()
         self.update(values)
 
 

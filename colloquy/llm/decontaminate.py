@@ -68,7 +68,7 @@ def own_code(raw: str) -> int:
 
 
 NAME_HASH = np.uint64(digest(NAME))
-CODES, OWN = Memo(code, 150_000), Memo(own_code, 50_000)
+CODES, OWN = Memo(code, 100_000), Memo(own_code, 30_000)
 
 
 class Templates:
