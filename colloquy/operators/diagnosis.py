@@ -78,7 +78,7 @@ def counterfactual_repair(verdicts: DataFrame, edges: list[tuple[str, str]]) ->
             out.append((part["trace_id"].iloc[0], root, len(good), sum(weight[a] for a in good) / total * 0.25))
         return pd.DataFrame(out, columns=["trace_id", "atom", "recovers", "gain"])
 
-    bad = verdicts.where("verdict = 'unsatisfied'").select("trace_id", "atom", F.abs("delta").alias("weight"))
+    bad = verdicts.where("verdict = 'unsatisfied'").groupBy("trace_id", "atom").agg(F.max(F.abs("delta")).alias("weight"))
     return bad.groupBy("trace_id").applyInPandas(walk, "trace_id long, atom string, recovers long, gain double")
 
 

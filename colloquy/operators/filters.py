@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Columns of a scenario that an agent must not see.
 ANSWER_KEY = ["expected_steps_completed", "expected_branch_taken", "expected_call_result", "must_call_tools", "expected_db_state", "canonical_intent", "context_checkpoints", "trace_match_mode", "knowledge_points"]
@@ -76,16 +77,52 @@ def findings(*parts: tuple[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, (df.select(F.lit(rule).alias("rule"), F.col("subject").cast("string").alias("subject")).distinct() for rule, df in parts))
 
 
-def lint_policies(steps: DataFrame, branches: DataFrame, must_call: DataFrame, tools: DataFrame, reachable: DataFrame) -> DataFrame:
-    """rule, subject: unreachable steps, branches to nowhere, unknown tools in steps and in the must-call list, required tools of no step."""
-    known = tools.select("tool_name")
-    return findings(
-        ("unreachable_step", steps.join(reachable.select("step_id"), "step_id", "left_anti").withColumn("subject", F.col("step_id"))),
-        ("branch_target", branches.join(steps.select(F.col("step_id").alias("next_step")), "next_step", "left_anti").withColumn("subject", F.col("next_step"))),
-        ("step_tool", steps.join(known.withColumnRenamed("tool_name", "action"), "action", "left_anti").withColumn("subject", F.col("action"))),
-        ("must_call_tool", must_call.join(known, "tool_name", "left_anti").withColumn("subject", F.col("tool_name"))),
-        ("tool_of_no_step", must_call.join(steps.select(F.col("action").alias("tool_name")), "tool_name", "left_anti").withColumn("subject", F.col("tool_name"))),
-    )
+#: Beginnings of actions that are acts of speech, not tools, and the tool that an outcome needs: fixed values.
+SPEECH_ACTS = ["self_", "confirm_", "state_", "offer_", "ask_", "say_", "apologize", "empathize", "final_", "restate_"]
+OUTCOME_TOOLS = {"refunded": "create_compensation", "rescheduled": "reschedule_delivery", "confirmed": "query_order", "escalated": "transfer_to_human"}
+IDENTITY_ACTIONS = ["confirm_name", "confirm_identity"]
+LOG_TOOL, SELF_DISCLOSURE = "log_call_result", ["智能助手", "AI"]
+
+
+def lint_policies(scenarios: DataFrame, steps: DataFrame, branches: DataFrame, must_call: DataFrame, forbidden: DataFrame, tools: DataFrame, *, speech: list[str] = SPEECH_ACTS, outcome_tools: dict[str, str] = OUTCOME_TOOLS,
+                  identity: list[str] = IDENTITY_ACTIONS, log_tool: str = LOG_TOOL, disclosure: list[str] = SELF_DISCLOSURE) -> DataFrame:
+    """scenario_id, rule, severity, subject of each finding.
+
+    S001 no steps; S002 a required step that neither follows a required step nor is a branch's target; B001 a branch to nowhere; T001
+    an unknown tool in the must-call list; T002 an action that is neither tool nor speech; I001 identity to be confirmed without a name or
+    role to confirm; O001 an outcome whose tool isn't called; O002 no call of the log; R001 an opening that gives the agent away; R002 nothing
+    forbidden. `scenarios` (scenario_id, outcome, opening, customer_name, role); the others have scenario_id. Findings come from
+    anti-joins by scenario, so the work grows with the policies.
+    """
+    at = Window.partitionBy("scenario_id").orderBy("ord")
+    ids = scenarios.select("scenario_id").distinct()
+    known = tools.select("tool_name").distinct()
+    follow = steps.withColumns({"r": F.row_number().over(at), "nxt": F.lead("step_id").over(at)})
+    firm = follow.where("not is_optional")
+    reached = follow.where("r = 1").select("scenario_id", "step_id").unionByName(firm.where("nxt is not null").select("scenario_id", F.col("nxt").alias("step_id")))
+    reached = reached.unionByName(branches.join(firm.select("scenario_id", "step_id"), ["scenario_id", "step_id"], "left_semi").select("scenario_id", F.col("next_step").alias("step_id")))
+    acts = steps.where(~reduce(Column.__or__, (F.col("action").startswith(s) for s in speech), F.lit(False)))
+    asks = steps.where(F.col("step_id").contains("confirm_identity") | F.col("action").isin(identity)).select("scenario_id").distinct()
+    outcome = F.create_map(*(F.lit(x) for kv in outcome_tools.items() for x in kv))
+    needed = scenarios.select("scenario_id", "outcome", F.try_element_at(outcome, F.col("outcome")).alias("tool_name")).where("tool_name is not null")
+    called = must_call.select("scenario_id", "tool_name").distinct()
+
+    def found(rule: str, severity: str, df: DataFrame, subject: str | None = None) -> DataFrame:
+        return df.select("scenario_id", F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), (F.col(subject) if subject else F.lit(None)).cast("string").alias("subject")).distinct()
+
+    parts = [
+        found("S001", "error", ids.join(steps, "scenario_id", "left_anti")),
+        found("S002", "warning", firm.join(reached, ["scenario_id", "step_id"], "left_anti"), "step_id"),
+        found("B001", "error", branches.where("next_step <> ''").join(steps.select("scenario_id", F.col("step_id").alias("next_step")), ["scenario_id", "next_step"], "left_anti"), "next_step"),
+        found("T001", "error", called.join(known, "tool_name", "left_anti"), "tool_name"),
+        found("T002", "info", acts.join(known.withColumnRenamed("tool_name", "action"), "action", "left_anti"), "action"),
+        found("I001", "warning", scenarios.where("coalesce(customer_name, '') = '' and coalesce(role, '') = ''").join(asks, "scenario_id", "left_semi")),
+        found("O001", "warning", needed.join(called, ["scenario_id", "tool_name"], "left_anti"), "outcome"),
+        found("O002", "info", called.join(called.where(F.col("tool_name") == log_tool).select("scenario_id"), "scenario_id", "left_anti")),
+        found("R001", "info", scenarios.where(reduce(Column.__or__, (F.col("opening").contains(w) for w in disclosure), F.lit(False)))),
+        found("R002", "info", ids.join(forbidden, "scenario_id", "left_anti")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def validate_policies(steps: DataFrame, branches: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.functions.lexicons import FORBIDDEN_SYNONYMS
 from colloquy.operators.scoring import OBJECTIVE_WEIGHTS
 
 
@@ -20,20 +21,21 @@ def fabricated_calls(calls: DataFrame, executed: DataFrame) -> DataFrame:
     return calls.where("error is null").join(executed.select("trace_id", "call_id").distinct(), ["trace_id", "call_id"], "left_anti")
 
 
-def forbidden_hits(messages: DataFrame, behaviors: dict[str, tuple[str, list[str]]]) -> DataFrame:
-    """trace_id, behavior_id, turn, severity, keyword: the first listed keyword of each behaviour in each agent message, on
-    normalised delivered (`norm`) and raw (`norm_raw`) text; a hit in the raw text alone is major.
+def forbidden_hits(messages: DataFrame, behaviors: DataFrame, synonyms: dict[str, list[str]] = FORBIDDEN_SYNONYMS) -> DataFrame:
+    """trace_id, behavior_id, turn, severity, keyword of the forbidden behaviours of each trace's policy in its agent messages.
 
-    Behaviours are a policy's short lists, so each message is looked at once by native expressions and nothing is joined.
+    `behaviors` (scenario_id, behavior_id, severity, keywords: an array in order of declaration). The keyword is the first one, or the first
+    of its synonyms, that the normalised delivered text (`norm`) holds; if none does, the raw text (`norm_raw`) is looked at, and a
+    hit there is major. One row per behaviour and turn.
     """
-    hits = []
-    for behavior, (severity, words) in behaviors.items():
-        first = lambda c, words=words: F.coalesce(*(F.when(F.col(c).contains(w), F.lit(w)) for w in words))
-        shown, raw = first("norm"), first("norm_raw")
-        keyword = F.coalesce(shown, raw)
-        hits.append(F.when(keyword.isNotNull(), F.struct(F.lit(behavior).alias("behavior_id"), F.when(shown.isNotNull(), severity).otherwise("major").alias("severity"), keyword.alias("keyword"))))
-    rows = messages.where("role = 'agent'").select("trace_id", "turn", F.explode(F.array_compact(F.array(*hits))).alias("h")).select("trace_id", "turn", "h.*")
-    return rows.groupBy("trace_id", "behavior_id", "turn").agg(F.min_by("severity", "keyword").alias("severity"), F.min("keyword").alias("keyword"))
+    more = F.create_map(*(F.lit(x) for k, ws in synonyms.items() for x in (k, ws))) if synonyms else F.create_map().cast("map<string,array<string>>")
+    words = F.flatten(F.transform("keywords", lambda k: F.concat(F.array(k), F.coalesce(F.try_element_at(more, k), F.array().cast("array<string>")))))
+    own = behaviors.select("scenario_id", "behavior_id", "severity", words.alias("words"))
+    met = messages.where("role = 'agent'").select("trace_id", "scenario_id", "turn", "norm", "norm_raw").join(own, "scenario_id")
+    first = lambda c: F.try_element_at(F.filter("words", lambda w: F.col(c).contains(w)), F.lit(1))
+    rows = met.select("trace_id", "behavior_id", "turn", "severity", first("norm").alias("shown"), first("norm_raw").alias("raw")).where("shown is not null or raw is not null")
+    rows = rows.select("trace_id", "behavior_id", "turn", F.struct(F.col("shown").isNull().alias("hidden"), F.coalesce("shown", "raw").alias("keyword"), F.when(F.col("shown").isNull(), "major").otherwise(F.col("severity")).alias("severity")).alias("h"))
+    return rows.groupBy("trace_id", "behavior_id", "turn").agg(F.min("h").alias("h")).select("trace_id", "behavior_id", "turn", "h.severity", "h.keyword")
 
 
 def branch_evidence(users: DataFrame, branch_turns: DataFrame, words: dict[str, list[str]]) -> DataFrame:
@@ -73,7 +75,7 @@ def coverage_gaps(branches: DataFrame, taken: DataFrame) -> DataFrame:
 
 
 def validated_outcome(ledger: DataFrame, causal_tool: str, log_tool: str, proof: Column) -> DataFrame:
-    """trace_id, valid: a result is logged, its causal tool ran before the log, and a business row proves it."""
+    """trace_id, valid: a result is logged, its causal tool last ran before the first log, and a business row proves it."""
     seq = F.col("seq")
     g = ledger.groupBy("trace_id").agg(
         F.max(F.when(F.col("tool_name") == causal_tool, seq)).alias("cause"), F.min(F.when(F.col("tool_name") == log_tool, seq)).alias("log"), F.bool_or(proof).alias("proof")

@@ -22,7 +22,7 @@ def compile_nodes(steps: DataFrame, branches: DataFrame, tools: DataFrame) -> Da
     """scenario_id, step_id, ord, weight, is_optional, is_branch_target, predicate (tool, or words of the instruction)."""
     targets = branches.select("scenario_id", F.col("next_step").alias("step_id")).distinct().withColumn("t", F.lit(True))
     known = tools.select(F.col("tool_name").alias("action")).distinct().withColumn("is_tool", F.lit(True))
-    rows = steps.join(F.broadcast(targets), ["scenario_id", "step_id"], "left").join(F.broadcast(known), "action", "left")
+    rows = steps.join(targets, ["scenario_id", "step_id"], "left").join(known, "action", "left")
     return rows.select("scenario_id", "step_id", "ord", "weight", "is_optional", F.coalesce("t", F.lit(False)).alias("is_branch_target"),
                        F.when(F.col("is_tool"), "tool").otherwise("words").alias("predicate"))
 
@@ -75,7 +75,7 @@ def temporal_constraints(steps: DataFrame, must_call: DataFrame, outcomes: DataF
     need = steps.where("not is_optional").withColumn("dst", F.lead("step_id").over(in_order())).where("dst is not null")
     tools = must_call.withColumn("dst", F.lead("tool_name").over(Window.partitionBy("scenario_id").orderBy("pos"))).where("dst is not null")
     row = lambda df, kind, src, penalty: df.select("scenario_id", F.lit(kind).alias("kind"), F.col(src).alias("src"), "dst", F.lit(penalty).alias("penalty"))
-    cause = outcomes.join(F.broadcast(causal), "outcome")
+    cause = outcomes.join(causal, "outcome")
     return row(need, "before", "step_id", 0.8).unionByName(row(tools, "before_tool", "tool_name", 1.0)).unionByName(row(cause, "requires", "tool_name", 2.0))
 
 
@@ -102,6 +102,12 @@ def topological_depth(edges: DataFrame, nodes: DataFrame, most: int = 20) -> Dat
     return depth
 
 
+def topological_order(edges: DataFrame, nodes: DataFrame, most: int = 20) -> DataFrame:
+    """scenario_id, step_id, depth, pos: steps by depth, then by their own order; a step never comes before one that leads to it."""
+    pos = F.row_number().over(Window.partitionBy("scenario_id").orderBy("depth", "ord"))
+    return topological_depth(edges, nodes, most).join(nodes.select("scenario_id", "step_id", "ord"), ["scenario_id", "step_id"]).select("scenario_id", "step_id", "depth", pos.alias("pos"))
+
+
 def reachable_from(edges: DataFrame, start: DataFrame, most: int = 20) -> DataFrame:
     """scenario_id, step_id that can be reached from `start` (scenario_id, step_id) in `most` edges."""
     found = start.select("scenario_id", "step_id").distinct()

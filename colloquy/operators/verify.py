@@ -1,4 +1,8 @@
-"""Verification of traces against policies: one timeline of events, matched predicates, aligned paths, verdicts."""
+"""Verification of traces against policies: one timeline of events, matched predicates, aligned paths, verdicts.
+
+Each trace is checked against its own policy: ledgers, messages and traces have a scenario_id, policies have one per row, and they
+meet by it. What is joined grows with traces times the steps of one policy.
+"""
 
 from __future__ import annotations
 
@@ -28,40 +32,92 @@ def normalize_events(messages: DataFrame, ledger: DataFrame) -> DataFrame:
     return said.unionByName(tools).select("trace_id", pos.alias("pos"), "turn", "kind", "name")
 
 
-def match_tool_predicates(ledger: DataFrame, predicates: DataFrame) -> DataFrame:
-    """trace_id, step_id, seq, turn of the first successful call of each step's tool."""
-    hit = ledger.join(F.broadcast(predicates.select("step_id", F.col("action").alias("tool_name"))), "tool_name")
-    return hit.groupBy("trace_id", "step_id").agg(F.min("seq").alias("seq"), F.min_by("turn", "seq").alias("turn"))
+def values_equivalent(expected: Column, actual: Column) -> Column:
+    """Equal as texts, as numbers, or as booleans in any case; false for a null on either side."""
+    number = lambda c: c.try_cast("double")
+    flags = F.lower(expected).isin("true", "false") & (F.lower(expected) == F.lower(actual))
+    return F.coalesce(expected == actual, F.lit(False)) | F.coalesce(number(expected) == number(actual), F.lit(False)) | F.coalesce(flags, F.lit(False))
+
+
+def variant_arguments(c: Column) -> Column:
+    """Arguments of a call, a VARIANT object, as a map from name to text."""
+    return c.cast("map<string,string>")
+
 
+def arguments_match(expected: Column, actual: Column) -> Column:
+    """Does the map of arguments hold an equivalent of each expected one? Further arguments don't matter."""
+    return F.forall(F.map_keys(expected), lambda k: values_equivalent(F.try_element_at(expected, k), F.try_element_at(actual, k)))
 
-def match_utterances(messages: DataFrame, words: dict[str, list[str]], ratio: float = 0.4) -> DataFrame:
-    """trace_id, step_id, turn of the first agent message with at least that share of a step's words (one at least)."""
-    found = [
-        F.when(sum((F.when(F.col("content").contains(w), 1).otherwise(0) for w in ws), F.lit(0)) >= max(1, ratio * len(ws)), F.lit(step)) for step, ws in words.items()
-    ]
-    rows = messages.where("role = 'agent'").select("trace_id", "turn", F.explode(F.array_compact(F.array(*found))).alias("step_id"))
-    return rows.groupBy("trace_id", "step_id").agg(F.min("turn").alias("turn"))
 
+def tool_call_match(calls: DataFrame, expected: DataFrame) -> DataFrame:
+    """trace_id, seq, matched, confidence of calls (with arguments, a map) of expected tools (tool_name, args).
+
+    Confidence is the share of expected arguments with an equivalent value, 1 without any.
+    """
+    met = calls.join(expected.select("tool_name", F.col("args").alias("want")), "tool_name")
+    n = F.size("want")
+    right = F.size(F.filter(F.map_keys("want"), lambda k: values_equivalent(F.try_element_at("want", k), F.try_element_at("arguments", k))))
+    return met.select("trace_id", "seq", (right == n).alias("matched"), F.when(n == 0, 1.0).otherwise(right / n).alias("confidence"))
 
-def observed_steps(matches: DataFrame) -> DataFrame:
-    """trace_id, step_id, seq, turn: steps in their order, each with the first matching event that no earlier step used.
 
-    `matches` (trace_id, step_id, ord, seq, turn) is small: events of a trace that fit some step. The consumption is sequential
-    within a trace, so it is walked through per trace; a step needs only as many candidates as there are steps.
+def match_tools(ledger: DataFrame, predicates: DataFrame) -> DataFrame:
+    """trace_id, scenario_id, step_id, ord, pred, kind, key, event (seq), turn of the first event that satisfies each tool predicate.
+
+    `ledger` has scenario_id, arguments (a map), source, order_id and own_order; `predicates` (scenario_id, step_id, ord, pred, kind, tool_name,
+    args). An event counts if it was executed without an error, not by the guard, holds the arguments and isn't of another order.
     """
-    few = matches.withColumn("r", F.row_number().over(Window.partitionBy("trace_id", "step_id").orderBy("seq"))).withColumn("k", F.max("ord").over(Window.partitionBy("trace_id"))).where("r <= k").drop("r", "k")
+    ok = ledger.where("event_type = 'tool_executed' and coalesce(error, '') = '' and source <> 'guard' and (own_order is null or coalesce(order_id, '') in ('', own_order))")
+    met = ok.join(predicates.where("kind = 'tool'").select("scenario_id", "step_id", "ord", "pred", "tool_name", "args"), ["scenario_id", "tool_name"]).where(arguments_match(F.col("args"), F.col("arguments")))
+    first = met.groupBy("trace_id", "scenario_id", "step_id", "ord", "pred").agg(F.min("seq").alias("event"), F.min_by("turn", "seq").alias("turn"))
+    return first.select("trace_id", "scenario_id", "step_id", "ord", "pred", F.lit("tool").alias("kind"), F.lit(None).cast("string").alias("key"), "event", "turn")
 
-    def walk(part: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for (_, step), group in part.groupby(["ord", "step_id"], sort=True):
-            for r in group.sort_values("seq").itertuples(index=False):
-                if r.seq not in used:
-                    used.add(r.seq)
-                    out.append((r.trace_id, step, r.seq, r.turn))
-                    break
-        return pd.DataFrame(out, columns=["trace_id", "step_id", "seq", "turn"])
 
-    return few.groupBy("trace_id").applyInPandas(walk, "trace_id long, step_id string, seq long, turn long")
+def match_words(messages: DataFrame, predicates: DataFrame, negation: Column, ratio: float = 0.4, instruction_ratio: float = 0.3) -> DataFrame:
+    """`match_tools` for predicates with words: event is msg_idx, key the words.
+
+    An agent message satisfies a predicate with at least that share of its words (one at least) if `negation`, a condition on content, isn't
+    'negated'. Steps without predicates of their own have one of kind `instruction`, with the words of the instruction: a smaller
+    share is enough, negated or not.
+    """
+    said = messages.where("role = 'agent'").select("trace_id", "scenario_id", "msg_idx", "turn", F.lower("content").alias("low"), (negation == "negated").alias("negated"))
+    met = said.join(predicates.where("kind in ('words', 'instruction')").select("scenario_id", "step_id", "ord", "pred", "kind", "words"), "scenario_id")
+    share = F.when(F.col("kind") == "words", ratio).otherwise(instruction_ratio)
+    hits = F.size(F.filter("words", lambda w: F.col("low").contains(w)))
+    met = met.where((hits >= F.greatest(F.lit(1.0), share * F.size("words"))) & ((F.col("kind") == "instruction") | ~F.col("negated")))
+    first = met.groupBy("trace_id", "scenario_id", "step_id", "ord", "pred", "kind", F.array_join("words", ",").alias("key")).agg(F.min("msg_idx").alias("event"), F.min_by("turn", "msg_idx").alias("turn"))
+    return first.select("trace_id", "scenario_id", "step_id", "ord", "pred", "kind", "key", "event", "turn")
+
+
+def observed_steps(matches: DataFrame, predicates: DataFrame) -> DataFrame:
+    """trace_id, scenario_id, step_id, first_turn, last_turn, evidence, confidence of the steps that a trace shows.
+
+    `matches` are those of tools and words. Steps take their events in order: a tool event counts for one step only, a message for one step per
+    set of words. A step whose tool was called stands; one of several utterances needs half of them. Confidence is evidence per
+    predicate, 1 at most.
+    """
+    taken = Window.partitionBy("trace_id", F.col("kind") == "tool", "event", "key").orderBy("ord", "step_id", "pred")
+    own = matches.withColumn("r", F.row_number().over(taken)).where("r = 1")
+    seen = own.groupBy("trace_id", "scenario_id", "step_id").agg(F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.count("*").alias("evidence"), F.bool_or(F.col("kind") == "tool").alias("tool"),
+                                                                   F.count_if(F.col("kind") == "words").alias("said"))
+    need = predicates.groupBy("scenario_id", "step_id").agg(F.count_if(F.col("kind") != "instruction").alias("n"), F.count_if(F.col("kind") == "words").alias("words"))
+    rows = seen.join(need, ["scenario_id", "step_id"]).where("tool or words < 2 or 2 * said >= words")
+    return rows.select("trace_id", "scenario_id", "step_id", "first_turn", "last_turn", "evidence", F.least(F.lit(1.0), F.col("evidence") / F.greatest("n", F.lit(1))).alias("confidence"))
+
+
+def paths(observed: DataFrame, steps: DataFrame, edges: DataFrame, expected: DataFrame | None = None) -> DataFrame:
+    """trace_id, expected, observed, optional, legal: what the alignments compare, as arrays.
+
+    Observed steps are in order of their first turn, then of the policy; expected ones are the required steps of the trace's
+    policy, or those of `expected` (scenario_id, pos, step_id); legal successors are written src>dst.
+    """
+    in_order = lambda *c: F.transform(F.array_sort(F.collect_list(F.struct(*c, "step_id"))), lambda s: s["step_id"])
+    seen = observed.join(steps.select("scenario_id", "step_id", "ord"), ["scenario_id", "step_id"]).groupBy("trace_id", "scenario_id").agg(in_order("first_turn", "ord").alias("observed"))
+    plan = (steps.where("not is_optional").withColumnRenamed("ord", "pos") if expected is None else expected).groupBy("scenario_id").agg(in_order("pos").alias("expected"))
+    free = steps.groupBy("scenario_id").agg(F.sort_array(F.collect_list(F.when(F.col("is_optional"), F.col("step_id")))).alias("optional"))
+    legal = edges.groupBy("scenario_id").agg(F.sort_array(F.collect_list(F.concat_ws(">", "src", "dst"))).alias("legal"))
+    none = F.array().cast("array<string>")
+    rows = seen.join(plan, "scenario_id", "left").join(free, "scenario_id", "left").join(legal, "scenario_id", "left")
+    return rows.select("trace_id", *(F.coalesce(c, none).alias(c) for c in ("expected", "observed", "optional", "legal")))
 
 
 def align(expected: list[str], observed: list[str], optional: set[str] = frozenset(), edges: set[tuple[str, str]] = frozenset()) -> tuple[float, list[str]]:
@@ -93,67 +149,93 @@ def align(expected: list[str], observed: list[str], optional: set[str] = frozens
     return cost[n][m], ops[::-1]
 
 
-def align_ordered(paths: DataFrame, optional: list[str] = (), edges: list[tuple[str, str]] = ()) -> DataFrame:
-    """trace_id, cost, ops of each trace's observed against its expected path (arrays of step ids)."""
-    skip, legal = set(optional), set(edges)
+def align_ordered(paths: DataFrame) -> DataFrame:
+    """trace_id, cost, ops of each trace's observed against its expected path (`paths`)."""
     kind = StructType([StructField("cost", DoubleType()), StructField("ops", ArrayType(StringType()))])
 
     @F.pandas_udf(kind)
-    def run(expected: pd.Series, observed: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([align(list(e), list(o), skip, legal) for e, o in zip(expected, observed)], columns=["cost", "ops"])
+    def run(expected: pd.Series, observed: pd.Series, optional: pd.Series, legal: pd.Series) -> pd.DataFrame:
+        made = [align(list(e), list(o), set(p), {tuple(x.split(">")) for x in g}) for e, o, p, g in zip(expected, observed, optional, legal)]
+        return pd.DataFrame(made, columns=["cost", "ops"])
+
+    return paths.select("trace_id", run("expected", "observed", "optional", "legal").alias("a")).select("trace_id", "a.*")
+
 
-    return paths.select("trace_id", run("expected", "observed").alias("a")).select("trace_id", "a.*")
+def deletion(step: Column, optional: Column | str = "optional") -> Column:
+    return F.when(F.array_contains(optional, step), DELETE_OPTIONAL).otherwise(DELETE)
+
+
+def summed(costs: Column) -> Column:
+    return F.aggregate(costs, F.lit(0.0), lambda a, x: a + x)
 
 
 def align_strict(paths: DataFrame) -> DataFrame:
     """trace_id, cost: position by position; missing positions are deletions, further ones insertions."""
-    e, o = F.col("expected"), F.col("observed")
-    both = F.zip_with(e, o, lambda x, y: F.when(x.isNull(), INSERT).when(y.isNull(), DELETE).when(x == y, 0.0).otherwise(SUBSTITUTE))
-    return paths.select("trace_id", F.aggregate(both, F.lit(0.0), lambda a, x: a + x).alias("cost"))
+    both = F.zip_with("expected", "observed", lambda x, y: F.when(x.isNull(), INSERT).when(y.isNull(), deletion(x)).when(x == y, 0.0).otherwise(SUBSTITUTE))
+    return paths.select("trace_id", summed(both).alias("cost"))
 
 
 def align_unordered(paths: DataFrame) -> DataFrame:
     """trace_id, cost: as sets."""
-    missing, more = F.size(F.array_except("expected", "observed")), F.size(F.array_except("observed", "expected"))
-    return paths.select("trace_id", (missing * DELETE + more * INSERT).alias("cost"))
+    missing = F.transform(F.filter("expected", lambda x: ~F.array_contains("observed", x)), lambda x: deletion(x))
+    return paths.select("trace_id", (summed(missing) + F.size(F.array_except("observed", "expected")) * INSERT).alias("cost"))
 
 
-def alignment_score(cost: Column, expected: Column) -> Column:
+def alignment_score(cost: Column, expected: Column, optional: Column) -> Column:
     """1 less cost over the cost of deleting everything; 1 where nothing is expected."""
-    return F.when(F.size(expected) == 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - cost / (F.size(expected) * DELETE)))
+    return F.when(F.size(expected) == 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - cost / summed(F.transform(expected, lambda x: deletion(x, optional)))))
+
 
+def first_turns(observed: DataFrame, ledger: DataFrame) -> DataFrame:
+    """trace_id, scenario_id, turns: a map from steps, and tools that no step is called like, to their first turns."""
+    tools = ledger.where("event_type = 'tool_executed' and coalesce(error, '') = '' and source <> 'guard'").groupBy("trace_id", "scenario_id", F.col("tool_name").alias("name")).agg(F.min("turn").alias("turn"))
+    both = observed.select("trace_id", "scenario_id", F.col("step_id").alias("name"), F.col("first_turn").alias("turn"), F.lit(0).alias("side")).unionByName(tools.withColumn("side", F.lit(1)))
+    one = both.groupBy("trace_id", "scenario_id", "name").agg(F.min_by("turn", "side").alias("turn"))
+    return one.groupBy("trace_id", "scenario_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "turn"))).alias("turns"))
 
-def temporal_violations(first_turns: DataFrame, constraints: DataFrame) -> DataFrame:
-    """trace_id, src, dst, kind of violated constraints: src later than dst; for `requires`, also dst without src.
 
-    `first_turns` (trace_id, name, turn): first turn of each step and tool.
+def temporal_violations(turns: DataFrame, constraints: DataFrame) -> DataFrame:
+    """trace_id, src, dst, kind of violated constraints of the trace's policy: src later than dst; for `requires`, also dst without src.
+
+    `turns` (trace_id, scenario_id, turns) is what `first_turns` makes; `constraints` (scenario_id, src, dst, kind).
     """
-    rows = first_turns.select("trace_id").distinct().join(F.broadcast(constraints))
-    at = lambda c, n: first_turns.select("trace_id", F.col("name").alias(c), F.col("turn").alias(n))
-    rows = rows.join(at("src", "s"), ["trace_id", "src"], "left").join(at("dst", "d"), ["trace_id", "dst"], "left")
-    late = F.col("s") > F.col("d")
-    bad = F.when(F.col("kind") == "requires", F.col("d").isNotNull() & (F.col("s").isNull() | late)).otherwise(F.coalesce(late, F.lit(False)))
-    return rows.where(bad).select("trace_id", "src", "dst", "kind")
+    s, d = F.try_element_at("turns", F.col("src")), F.try_element_at("turns", F.col("dst"))
+    late = F.coalesce(s > d, F.lit(False))
+    bad = late | ((F.col("kind") == "requires") & d.isNotNull() & s.isNull())
+    return turns.join(constraints.select("scenario_id", "src", "dst", "kind"), "scenario_id").where(bad).select("trace_id", "src", "dst", "kind")
 
 
-def temporal_score(violations: DataFrame, traces: DataFrame, total: int) -> DataFrame:
-    n = violations.groupBy("trace_id").agg(F.count("*").alias("n"))
-    return traces.select("trace_id").distinct().join(n, "trace_id", "left").select("trace_id", (1 - F.coalesce("n", F.lit(0)) / max(total, 1)).alias("temporal"))
+def temporal_score(violations: DataFrame, traces: DataFrame, constraints: DataFrame) -> DataFrame:
+    """trace_id, temporal: 1 less the violated share of the policy's constraints; 1 without any."""
+    n, total = violations.groupBy("trace_id").agg(F.count("*").alias("n")), constraints.groupBy("scenario_id").agg(F.count("*").alias("total"))
+    rows = traces.select("trace_id", "scenario_id").distinct().join(n, "trace_id", "left").join(total, "scenario_id", "left")
+    return rows.select("trace_id", F.when(F.col("total").isNull(), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.coalesce("n", F.lit(0)) / F.col("total"))).alias("temporal"))
 
 
 def verify_branches(observed: DataFrame, branches: DataFrame, expected: DataFrame) -> DataFrame:
-    """trace_id, step_id, verdict: correct if exactly the expected target was observed, ambiguous for several, wrong, or missing."""
-    taken = observed.select("trace_id", F.col("step_id").alias("next_step")).join(F.broadcast(branches.select("step_id", "next_step", "cond")), "next_step")
+    """trace_id, step_id, verdict: correct if exactly the expected target was observed, ambiguous for several, wrong, or missing.
+
+    `expected` (scenario_id, step_id, cond); `branches` (scenario_id, step_id, next_step, cond).
+    """
+    taken = observed.select("trace_id", "scenario_id", F.col("step_id").alias("next_step")).join(branches.select("scenario_id", "step_id", "next_step", "cond"), ["scenario_id", "next_step"])
     g = taken.groupBy("trace_id", "step_id").agg(F.count_distinct("next_step").alias("n"), F.max("cond").alias("cond"))
-    want = observed.select("trace_id").distinct().join(F.broadcast(expected.select("step_id", F.col("cond").alias("want"))))
+    want = observed.select("trace_id", "scenario_id").distinct().join(expected.select("scenario_id", "step_id", F.col("cond").alias("want")), "scenario_id")
     rows = want.join(g, ["trace_id", "step_id"], "left")
     return rows.select("trace_id", "step_id", F.when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "ambiguous").when(F.col("cond") == F.col("want"), "correct").otherwise("wrong").alias("verdict"))
 
 
+def branch_score(verdicts: DataFrame, traces: DataFrame, branches: DataFrame) -> DataFrame:
+    """trace_id, branch: correct share of the expected branches; null where a policy has branches of which none is expected, 1 without branches."""
+    g = verdicts.groupBy("trace_id").agg(F.avg((F.col("verdict") == "correct").cast("double")).alias("share"))
+    forks = branches.select("scenario_id").distinct().withColumn("forks", F.lit(True))
+    rows = traces.select("trace_id", "scenario_id").distinct().join(g, "trace_id", "left").join(forks, "scenario_id", "left")
+    return rows.select("trace_id", F.when(F.col("share").isNotNull(), F.col("share")).when(F.col("forks").isNull(), 1.0).alias("branch"))
+
+
 def atom_verdicts(atoms: DataFrame, traces: DataFrame, facts: DataFrame) -> DataFrame:
-    """trace_id, kind, atom, verdict, delta: satisfied atoms give their weight, others take it away; optional ones that weren't seen
-    don't apply. `facts` (trace_id, kind, atom, ok)."""
-    rows = traces.select("trace_id").distinct().join(F.broadcast(atoms)).join(facts, ["trace_id", "kind", "atom"], "left")
+    """trace_id, kind, atom, verdict, delta of the atoms (scenario_id, kind, atom, weight) of each trace's policy: satisfied ones give
+    their weight, others take it away; optional ones that weren't seen don't apply. `facts` (trace_id, kind, atom, ok)."""
+    rows = traces.select("trace_id", "scenario_id").distinct().join(atoms, "scenario_id").join(facts, ["trace_id", "kind", "atom"], "left")
     ok = F.coalesce("ok", F.lit(False))
     verdict = F.when(ok, "satisfied").when((F.col("kind") == "step") & (F.col("weight") < 1), "not_applicable").otherwise("unsatisfied")
     delta = F.when(verdict == "satisfied", F.col("weight")).when(verdict == "unsatisfied", -F.col("weight")).otherwise(0.0)
@@ -167,11 +249,12 @@ def step_compliance(verdicts: DataFrame) -> DataFrame:
 
 
 def illegal_transitions(observed: DataFrame, edges: DataFrame, steps: DataFrame) -> DataFrame:
-    """trace_id, src, dst: consecutive observed steps that go back in order along no edge."""
-    follow = observed.withColumn("dst", F.lead("step_id").over(Window.partitionBy("trace_id").orderBy("turn", "seq"))).where("dst is not null").withColumnRenamed("step_id", "src")
-    at = lambda c, n: F.broadcast(steps.select(F.col("step_id").alias(c), F.col("ord").alias(n)))
-    rows = follow.join(at("src", "a"), "src").join(at("dst", "b"), "dst").where("b < a")
-    return rows.join(F.broadcast(edges.select("src", "dst")), ["src", "dst"], "left_anti").select("trace_id", "src", "dst")
+    """trace_id, src, dst: consecutive observed steps that go back in the policy's order along none of its edges."""
+    at = steps.select("scenario_id", "step_id", "ord")
+    seen = observed.join(at, ["scenario_id", "step_id"])
+    w = Window.partitionBy("trace_id").orderBy("first_turn", "ord")
+    follow = seen.select("trace_id", "scenario_id", F.col("step_id").alias("src"), F.lead("step_id").over(w).alias("dst"), "ord", F.lead("ord").over(w).alias("next"))
+    return follow.where("next < ord").join(edges.select("scenario_id", "src", "dst"), ["scenario_id", "src", "dst"], "left_anti").select("trace_id", "src", "dst")
 
 
 def overall_verification(step: Column, align_: Column, temporal: Column, branch: Column, weights: dict[str, float] = OVERALL) -> Column:
@@ -181,10 +264,14 @@ def overall_verification(step: Column, align_: Column, temporal: Column, branch:
     return total / sum((F.when(c.isNotNull(), weights[k]).otherwise(0.0) for k, c in parts.items()), F.lit(0.0))
 
 
-def rule_step_entries(steps: DataFrame, tool_hits: DataFrame, said: DataFrame, traces: DataFrame) -> DataFrame:
-    """trace_id, step_id, by, turn: the tool's first call, else the first utterance, else none."""
-    rows = traces.select("trace_id").distinct().join(F.broadcast(steps.select("step_id")))
-    rows = rows.join(tool_hits.select("trace_id", "step_id", F.col("turn").alias("t")), ["trace_id", "step_id"], "left").join(said.select("trace_id", "step_id", F.col("turn").alias("u")), ["trace_id", "step_id"], "left")
+def rule_step_entries(steps: DataFrame, matches: DataFrame, traces: DataFrame) -> DataFrame:
+    """trace_id, step_id, by, turn of each step of the trace's policy: the tool's first call, else the first utterance, else none.
+
+    `matches` are those of tools and words, events that several steps use included.
+    """
+    first = lambda kind, n: matches.where(kind).groupBy("trace_id", "step_id").agg(F.min("turn").alias(n))
+    rows = traces.select("trace_id", "scenario_id").distinct().join(steps.select("scenario_id", "step_id"), "scenario_id")
+    rows = rows.join(first("kind = 'tool'", "t"), ["trace_id", "step_id"], "left").join(first("kind <> 'tool'", "u"), ["trace_id", "step_id"], "left")
     return rows.select("trace_id", "step_id", F.when(F.col("t").isNotNull(), "tool").when(F.col("u").isNotNull(), "words").otherwise("none").alias("by"), F.coalesce("t", "u").alias("turn"))
 
 
@@ -212,14 +299,14 @@ def reconstruct_ledger(calls: DataFrame) -> DataFrame:
 
 
 def canonical_intent(mentions: DataFrame, requirements: DataFrame, traces: DataFrame) -> DataFrame:
-    """trace_id, req_id, verdict, critical.
+    """trace_id, req_id, verdict, critical of the requirements (scenario_id, req_id, mutable) of each trace's policy.
 
     `mentions` (trace_id, req_id, turn, response_turn, pressure): agent turns that state a requirement without negation. No mention is
     missing; a response under pressure (2 or more) induced skip; any response satisfied, none satisfied_no_user_response. Immutable
     requirements that are missing or induced are critical.
     """
     g = mentions.groupBy("trace_id", "req_id").agg(F.min_by(F.struct("response_turn", "pressure"), "turn").alias("m"))
-    rows = traces.select("trace_id").distinct().join(F.broadcast(requirements)).join(g, ["trace_id", "req_id"], "left")
+    rows = traces.select("trace_id", "scenario_id").distinct().join(requirements, "scenario_id").join(g, ["trace_id", "req_id"], "left")
     verdict = F.when(F.col("m").isNull(), "missing").when(F.col("m.response_turn").isNull(), "satisfied_no_user_response").when(F.col("m.pressure") >= 2, "induced_skip").otherwise("satisfied")
     return rows.select("trace_id", "req_id", verdict.alias("verdict"), (~F.col("mutable") & verdict.isin("missing", "induced_skip")).alias("critical"))
 

@@ -15,7 +15,7 @@ from colloquy.plans.analytics_queries import rd, rounded
 from colloquy.plans.registry import query
 from colloquy.plans.scoring_queries import near
 from colloquy.plans.text_queries import has
-from colloquy.plans.views import duck
+from colloquy.plans.views import POLICY_EDGES, duck
 
 #: Many policies: each customer has the steps of the literal policy with an order of its own.
 MANY = """many AS (SELECT c_custkey AS scenario_id, step_id, CAST((ord * (c_custkey % 5 + 1)) % 7 AS BIGINT) AS ord, action, is_optional, weight FROM customer CROSS JOIN steps),
@@ -50,12 +50,14 @@ def e3(v):
     return E.pre_post_conditions(E.compile_edges(*_many(v)))
 
 
-@query("e4_expected_path", duck("expected") + "SELECT c_custkey AS scenario_id, CASE WHEN c_custkey % 3 = 0 THEN 'greet,confirm,inform,reschedule,complete,farewell' ELSE 'greet,confirm,inform,complete,farewell' END AS path FROM customer")
+@query("e4_expected_path", duck("policies policy_branches", """e AS (SELECT scenario_id, array_agg(step_id ORDER BY ord) AS path FROM policies WHERE NOT is_optional GROUP BY 1),
+    t AS (SELECT scenario_id, step_id, next_step FROM policy_branches WHERE step_id = 'inform' AND cond = CASE WHEN scenario_id % 3 = 0 THEN 'away' ELSE 'home' END),
+    p AS (SELECT scenario_id, path, next_step, coalesce(nullif(list_position(path, step_id), 0), len(path)) AS n FROM e JOIN t USING (scenario_id))""")
+       + "SELECT scenario_id, array_to_string(CASE WHEN list_contains(path, next_step) THEN path ELSE list_concat(path[1:n], [next_step], path[n + 1:len(path)]) END, ',') AS path FROM p")
 def e4(v):
-    cust = v.table("customer").select(F.col("c_custkey").alias("scenario_id"))
-    taken = cust.select("scenario_id", F.lit(0).alias("ord"), F.lit("inform").alias("step_id"), F.when(F.col("scenario_id") % 3 == 0, "reschedule").otherwise("complete").alias("next_step"))
-    path = E.expected_path(cust.join(F.broadcast(v.expected.drop("scenario_id"))), taken)
-    return path.select("scenario_id", F.array_join("path", ",").alias("path"))
+    cond = F.when(F.col("scenario_id") % 3 == 0, "away").otherwise("home")
+    taken = v.policy_branches.where((F.col("step_id") == "inform") & (F.col("cond") == cond)).select("scenario_id", F.lit(0).alias("ord"), "step_id", "next_step")
+    return E.expected_path(v.policy_expected, taken).select("scenario_id", F.array_join("path", ",").alias("path"))
 
 
 TEMPORAL = """n AS (SELECT scenario_id, step_id, lead(step_id) OVER (PARTITION BY scenario_id ORDER BY ord) AS dst FROM many WHERE NOT is_optional),
@@ -86,11 +88,11 @@ def e6(v):
     return E.scoring_atoms(steps, branches, must, constraints)
 
 
-@query("e7_topological_depth", duck("steps branches") + "SELECT c_custkey AS scenario_id, step_id, CAST(d AS INTEGER) AS depth FROM customer CROSS JOIN (VALUES ('greet', 0), ('confirm', 1), ('inform', 2), ('complete', 3), ('reschedule', 4), ('farewell', 5)) t(step_id, d)")
+@query("e7_topological_order", duck("policies policy_branches", POLICY_EDGES + """, r AS (WITH RECURSIVE d(scenario_id, step_id, depth) AS (SELECT scenario_id, step_id, 0 FROM policies UNION
+      SELECT d.scenario_id, e.dst, depth + 1 FROM d JOIN edges e ON e.scenario_id = d.scenario_id AND e.src = d.step_id WHERE depth < 6) SELECT scenario_id, step_id, max(depth) AS depth FROM d GROUP BY ALL)""")
+       + "SELECT scenario_id, step_id, CAST(depth AS INTEGER) AS depth, CAST(row_number() OVER (PARTITION BY scenario_id ORDER BY depth, ord) AS INTEGER) AS pos FROM r JOIN policies USING (scenario_id, step_id)")
 def e7(v):
-    cust = v.table("customer").select(F.col("c_custkey").alias("scenario_id"))
-    steps, branches = (cust.join(F.broadcast(t.drop("scenario_id"))) for t in (v.steps, v.branches))
-    return E.topological_depth(E.compile_edges(steps, branches), steps, most=6)
+    return E.topological_order(E.compile_edges(v.policies, v.policy_branches), v.policies, most=6)
 
 
 @query("e8_reachable", duck("steps branches", MANY) + """, r AS (WITH RECURSIVE t(scenario_id, step_id, n) AS (SELECT DISTINCT scenario_id, 'confirm', 0 FROM many UNION SELECT t.scenario_id, e.dst, n + 1 FROM t JOIN edges e ON e.scenario_id = t.scenario_id AND e.src = t.step_id
@@ -107,18 +109,6 @@ def e9(v):
     return E.enumerate_branches(E.compile_edges(steps, branches), steps)
 
 
-MATCHES = """m AS (SELECT trace_id, step_id, ord, seq, turn FROM ledger JOIN steps ON steps.action = ledger.tool_name WHERE event_type = 'tool_executed' AND error IS NULL AND seq <= 12)"""
-
-
-#: Queries with SQL look at as many events of a trace as their SQL does; the others at whole traces.
-SQL_EVENTS, WHOLE = "seq <= 12", "true"
-
-
-def _matches(v, events=SQL_EVENTS):
-    ok = v.ledger.where("event_type = 'tool_executed' and error is null").where(events)
-    return ok.join(F.broadcast(v.steps.select("step_id", "ord", F.col("action").alias("tool_name"))), "tool_name").select("trace_id", "step_id", "ord", "seq", "turn")
-
-
 @query("f1_normalize_events", duck("messages ledger", """b AS (SELECT DISTINCT trace_id, call_id, true AS back FROM ledger WHERE event_type = 'tool_rollback'),
     u AS (SELECT trace_id, turn, 0 AS side, msg_idx AS n, concat('say_', role) AS kind, NULL AS name FROM messages UNION ALL SELECT l.trace_id, turn, 1, seq, CASE WHEN back THEN 'blocked' WHEN error IS NOT NULL THEN 'failed' ELSE 'tool' END, tool_name
       FROM ledger l LEFT JOIN b ON b.trace_id = l.trace_id AND b.call_id = l.call_id WHERE event_type <> 'tool_rollback')""")
@@ -127,138 +117,11 @@ def f1(v):
     return V.normalize_events(v.messages, v.ledger)
 
 
-@query("f2_match_predicates", duck("ledger steps", MATCHES) + "SELECT trace_id, step_id, min(seq) AS seq, arg_min(turn, seq) AS turn FROM m GROUP BY ALL")
-def f2(v):
-    return V.match_tool_predicates(v.ledger.where("event_type = 'tool_executed' and error is null and seq <= 12"), v.steps)
-
-
-STEP_WORDS = {"greet": ["the", "und"], "confirm": ["tion", "keit", "que"], "inform": ["ver"]}
-
-
-@query("f2_match_utterances", duck("messages") + " UNION ALL ".join(
-    f"SELECT trace_id, '{s}' AS step_id, min(turn) AS turn FROM messages WHERE role = 'agent' AND (" + " + ".join(f"CASE WHEN contains(content, '{w}') THEN 1 ELSE 0 END" for w in ws) + f") >= {max(1, 0.4 * len(ws))} GROUP BY trace_id" for s, ws in STEP_WORDS.items()))
-def f2_words(v):
-    return V.match_utterances(v.messages, STEP_WORDS)
-
-
-@query("f3_observed_steps")
-def f3(v):
-    """No SQL: events are used up in order of steps. Tests give the rows by hand."""
-    return V.observed_steps(_matches(v, WHOLE))
-
-
-def _paths(v, events=SQL_EVENTS):
-    first = V.match_tool_predicates(v.ledger.where("event_type = 'tool_executed' and error is null").where(events), v.steps)
-    seen = first.groupBy("trace_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "step_id"))), lambda s: s["step_id"]).alias("observed"))
-    return seen.withColumn("expected", F.array(*map(F.lit, ("greet", "confirm", "inform", "complete", "farewell"))))
-
-
-@query("f4_align_ordered")
-def f4(v):
-    """No SQL: the trace-back is a table walk. Tests compare costs with a brute-force search."""
-    return V.align_ordered(_paths(v, WHOLE), ["complete"], [("inform", "complete")])
-
-
-SEEN = """f AS (SELECT trace_id, step_id, min(seq) AS seq FROM m GROUP BY ALL), p AS (SELECT trace_id, array_agg(step_id ORDER BY seq, step_id) AS o, ['greet', 'confirm', 'inform', 'complete', 'farewell'] AS e FROM f GROUP BY trace_id)"""
-
-
-@query("f5_align_strict", duck("ledger steps", MATCHES + ", " + SEEN) + ", z AS (SELECT trace_id, unnest(range(1, greatest(len(o), 5) + 1)) AS i, o, e FROM p) SELECT trace_id, "
-       + rd("sum(CASE WHEN i > 5 THEN 0.2 WHEN i > len(o) THEN 3.0 WHEN e[i] = o[i] THEN 0.0 ELSE 2.0 END)", "cost") + " FROM z GROUP BY trace_id")
-def f5(v):
-    return rounded(V.align_strict(_paths(v)), "trace_id")
-
-
-UNORDERED = "3.0 * len(list_filter(e, lambda x: NOT list_contains(o, x))) + 0.2 * len(list_filter(o, lambda x: NOT list_contains(e, x)))"
-
-
-@query("f6_align_unordered", duck("ledger steps", MATCHES + ", " + SEEN) + f"SELECT trace_id, {rd(UNORDERED, 'cost')} FROM p")
-def f6(v):
-    return rounded(V.align_unordered(_paths(v)), "trace_id")
-
-
-@query("f7_alignment_score", duck("ledger steps", MATCHES + ", " + SEEN) + f"SELECT trace_id, {rd('greatest(0.0, 1 - (' + UNORDERED + ') / 15.0)', 'score')} FROM p")
-def f7(v):
-    paths = _paths(v)
-    cost = V.align_unordered(paths)
-    return paths.join(cost, "trace_id").select("trace_id", near(V.alignment_score(F.col("cost"), F.col("expected")), "score"))
-
-
-CONSTRAINTS = [("click", "signup", "before"), ("signup", "purchase", "requires"), ("view", "purchase", "before")]
-VIOLATED = "c AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{k}')" for a, b, k in CONSTRAINTS) + """) t(src, dst, kind)), t AS (SELECT trace_id, tool_name AS name, min(turn) AS turn FROM ledger WHERE amount > 70 GROUP BY ALL),
-    x AS (SELECT q.trace_id, c.src, c.dst, c.kind, a.turn AS s, b.turn AS d FROM (SELECT DISTINCT trace_id FROM t) q CROSS JOIN c LEFT JOIN t a ON a.trace_id = q.trace_id AND a.name = src LEFT JOIN t b ON b.trace_id = q.trace_id AND b.name = dst),
-    viol AS (SELECT trace_id, src, dst, kind FROM x WHERE CASE WHEN kind = 'requires' THEN d IS NOT NULL AND (s IS NULL OR s > d) ELSE coalesce(s > d, false) END)"""
-
-
-def _violations(v):
-    first = v.ledger.where("amount > 70").groupBy("trace_id", F.col("tool_name").alias("name")).agg(F.min("turn").alias("turn"))
-    return first, V.temporal_violations(first, v.values("src string, dst string, kind string", CONSTRAINTS))
-
-
-@query("f8_temporal_violations", duck("ledger", VIOLATED) + "SELECT * FROM viol")
-def f8(v):
-    return _violations(v)[1]
-
-
-@query("f8_temporal_score", duck("ledger", VIOLATED) + f"SELECT q.trace_id, {rd('1 - coalesce(n, 0) / 3.0', 'temporal')} FROM (SELECT DISTINCT trace_id FROM t) q LEFT JOIN (SELECT trace_id, count(*) AS n FROM viol GROUP BY 1) w ON w.trace_id = q.trace_id")
-def f8_score(v):
-    first, bad = _violations(v)
-    return rounded(V.temporal_score(bad, first, 3), "trace_id")
-
-
-OBSERVED = "o AS (SELECT DISTINCT trace_id, step_id FROM m)"
-
-
-@query("f9_verify_branches", duck("ledger steps branches", MATCHES + ", " + OBSERVED + """, g AS (SELECT trace_id, b.step_id, count(DISTINCT next_step) AS n, max(cond) AS cond FROM o JOIN branches b ON b.next_step = o.step_id WHERE trace_id % 2 = 0 OR next_step <> 'reschedule' GROUP BY ALL)""")
-       + """SELECT q.trace_id, 'inform' AS step_id, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'ambiguous' WHEN cond = 'home' THEN 'correct' ELSE 'wrong' END AS verdict FROM (SELECT DISTINCT trace_id FROM o) q LEFT JOIN g ON g.trace_id = q.trace_id""")
-def f9(v):
-    seen = _matches(v).select("trace_id", "step_id").distinct().where("trace_id % 2 = 0 or step_id <> 'reschedule'")
-    return V.verify_branches(seen, v.branches, v.values("step_id string, cond string", [("inform", "home")]))
-
-
-ATOMS = [("step", "greet", 1.0), ("step", "complete", 0.5), ("tool", "purchase", 1.0), ("tool", "click", 1.0), ("temporal", "click>signup", 0.4), ("step", "inform", 1.0)]
-FACTS = "atoms AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{a}', {w})" for k, a, w in ATOMS) + """) t(kind, atom, weight)), facts AS (SELECT trace_id, 'step' AS kind, step_id AS atom, bool_or(seq < 4) AS ok FROM m GROUP BY ALL
-      UNION ALL SELECT trace_id, 'tool', tool_name, bool_or(amount > 70) FROM ledger WHERE seq <= 12 GROUP BY ALL),
-    v AS (SELECT q.trace_id, a.kind, a.atom, a.weight, CASE WHEN coalesce(ok, false) THEN 'satisfied' WHEN a.kind = 'step' AND a.weight < 1 THEN 'not_applicable' ELSE 'unsatisfied' END AS verdict
-      FROM (SELECT DISTINCT trace_id FROM ledger) q CROSS JOIN atoms a LEFT JOIN facts f ON f.trace_id = q.trace_id AND f.kind = a.kind AND f.atom = a.atom)"""
-
-
-def _verdicts(v, events=SQL_EVENTS):
-    steps = _matches(v, events).groupBy("trace_id", F.col("step_id").alias("atom")).agg(F.bool_or(F.col("seq") < 4).alias("ok")).withColumn("kind", F.lit("step"))
-    tools = v.ledger.where(events).groupBy("trace_id", F.col("tool_name").alias("atom")).agg(F.bool_or(F.col("amount") > 70).alias("ok")).withColumn("kind", F.lit("tool"))
-    return V.atom_verdicts(v.values("kind string, atom string, weight double", ATOMS), v.ledger, steps.unionByName(tools))
-
-
-@query("f10_atom_verdicts", duck("ledger steps", MATCHES + ", " + FACTS) + "SELECT trace_id, kind, atom, verdict, CAST(CASE verdict WHEN 'satisfied' THEN weight WHEN 'unsatisfied' THEN -weight ELSE 0.0 END AS DOUBLE) AS delta FROM v")
-def f10(v):
-    return _verdicts(v)
-
-
-@query("f11_step_compliance", duck("ledger steps", MATCHES + ", " + FACTS) + f"SELECT trace_id, {rd('''coalesce(avg(CASE WHEN kind = 'step' AND verdict <> 'not_applicable' THEN CASE WHEN verdict = 'satisfied' THEN 1.0 ELSE 0.0 END END), 1.0)''', 'compliance')} FROM v GROUP BY trace_id")
-def f11(v):
-    return rounded(V.step_compliance(_verdicts(v)), "trace_id")
-
-
-@query("f12_illegal_transitions", duck("ledger steps branches", MATCHES + """, f AS (SELECT trace_id, step_id, min(seq) AS seq, arg_min(turn, seq) AS turn FROM m WHERE step_id NOT IN ('reschedule', 'farewell') GROUP BY ALL),
-    n AS (SELECT trace_id, step_id AS src, lead(step_id) OVER (PARTITION BY trace_id ORDER BY turn, seq) AS dst FROM f)""")
-       + "SELECT trace_id, src, dst FROM n JOIN steps a ON a.step_id = src JOIN steps b ON b.step_id = dst WHERE b.ord < a.ord")
-def f12(v):
-    first = V.match_tool_predicates(v.ledger.where("event_type = 'tool_executed' and error is null and seq <= 12"), v.steps).where("step_id not in ('reschedule', 'farewell')")
-    return V.illegal_transitions(first, E.compile_edges(v.steps, v.branches), v.steps)
-
-
 @query("f13_overall_verification", duck("runs") + f"SELECT trace_id, {rd('(0.40*step + 0.25*path + 0.15*temporal + coalesce(0.20*branch, 0)) / (0.80 + CASE WHEN branch IS NULL THEN 0 ELSE 0.20 END)', 'score')} FROM runs")
 def f13(v):
     return v.runs.select("trace_id", near(V.overall_verification(F.col("step"), F.col("path"), F.col("temporal"), F.col("branch")), "score"))
 
 
-@query("f14_rule_step_entries", duck("ledger messages steps", MATCHES + ", t AS (SELECT trace_id, step_id, min(turn) AS t FROM m WHERE step_id <> 'greet' GROUP BY ALL), u AS (SELECT trace_id, 'greet' AS step_id, min(turn) AS u FROM messages WHERE role = 'agent' AND "
-       + has(["the", "und"]) + " GROUP BY trace_id)") + """SELECT q.trace_id, s.step_id, CASE WHEN t IS NOT NULL THEN 'tool' WHEN u IS NOT NULL THEN 'words' ELSE 'none' END AS "by", coalesce(t, u) AS turn
-    FROM (SELECT DISTINCT trace_id FROM ledger) q CROSS JOIN steps s LEFT JOIN t ON t.trace_id = q.trace_id AND t.step_id = s.step_id LEFT JOIN u ON u.trace_id = q.trace_id AND u.step_id = s.step_id""")
-def f14(v):
-    hits = V.match_tool_predicates(v.ledger.where("event_type = 'tool_executed' and error is null and seq <= 12"), v.steps).where("step_id <> 'greet'")
-    return V.rule_step_entries(v.steps, hits, V.match_utterances(v.messages, {"greet": ["the", "und"]}), v.ledger)
-
-
 CHAIN = """h AS (SELECT trace_id, seq, sha256(concat('{"seq":', CAST(seq AS VARCHAR), ',"tool_name":"', tool_name, '"}')) AS own_hash FROM ledger),
     c AS (SELECT trace_id, seq, own_hash, CASE WHEN seq % 97 = 5 AND trace_id % 3 = 0 THEN 'x' ELSE coalesce(lag(own_hash) OVER w, repeat('0', 64)) END AS prev_hash, coalesce(lag(own_hash) OVER w, repeat('0', 64)) AS want FROM h WINDOW w AS (PARTITION BY trace_id ORDER BY seq))"""
 
@@ -279,19 +142,6 @@ def f16(v):
     return V.reconstruct_ledger(v.ledger.withColumns({"error": error, "call_idx": F.lit(0)}))
 
 
-REQS = [("r0", False), ("r1", True), ("r2", False)]
-INTENT = "req AS (SELECT * FROM (VALUES ('r0', false), ('r1', true), ('r2', false)) t(req_id, mutable)), m AS (SELECT trace_id, concat('r', CAST(turn % 4 AS VARCHAR)) AS req_id, turn, CASE WHEN k % 3 > 0 THEN turn + 1 END AS rt, k % 4 AS pressure FROM ledger WHERE amount > 85), " \
-    "g AS (SELECT trace_id, req_id, arg_min(coalesce(rt, -1), turn) AS rt, arg_min(pressure, turn) AS pressure FROM m GROUP BY ALL), " \
-    "x AS (SELECT q.trace_id, req.req_id, mutable, CASE WHEN g.req_id IS NULL THEN 'missing' WHEN rt = -1 THEN 'satisfied_no_user_response' WHEN pressure >= 2 THEN 'induced_skip' ELSE 'satisfied' END AS verdict " \
-    "FROM (SELECT DISTINCT trace_id FROM ledger) q CROSS JOIN req LEFT JOIN g ON g.trace_id = q.trace_id AND g.req_id = req.req_id)"
-
-
-@query("f17_canonical_intent", duck("ledger", INTENT) + "SELECT trace_id, req_id, verdict, NOT mutable AND verdict IN ('missing', 'induced_skip') AS critical FROM x")
-def f17(v):
-    mentions = v.ledger.where("amount > 85").select("trace_id", F.concat(F.lit("r"), (F.col("turn") % 4).cast("string")).alias("req_id"), "turn", F.expr("case when k % 3 > 0 then turn + 1 end").alias("response_turn"), (F.col("k") % 4).alias("pressure"))
-    return V.canonical_intent(mentions, v.values("req_id string, mutable boolean", REQS), v.ledger)
-
-
 @query("f18_context_retention", duck("messages", f"""g AS (SELECT trace_id, (max(CASE WHEN turn >= 1 AND {has(['the', 'der'])} THEN 1 ELSE 0 END) + max(CASE WHEN turn >= 3 AND {has(['tion'])} THEN 1 ELSE 0 END)) / 2 AS score FROM messages WHERE role = 'agent' GROUP BY trace_id)""")
        + f"SELECT trace_id, {rd('score', 'score')}, score >= 0.6 AS passed FROM g")
 def f18(v):
@@ -315,15 +165,15 @@ def f20(v):
     return V.judge_evidence(cited, v.messages, fuzzy.similar(F.col("quote"), F.col("content"), 0.3))
 
 
-@query("f21_missing_event_ids", duck("ledger") + "SELECT trace_id, seq + k % 40 AS seq FROM ledger a WHERE k % 5 = 0 AND NOT EXISTS (SELECT 1 FROM ledger b WHERE b.trace_id = a.trace_id AND b.seq = a.seq + a.k % 40)")
+@query("f21_missing_event_ids", duck("ledger") + "SELECT trace_id, seq + k % 40 AS seq FROM ledger a WHERE NOT EXISTS (SELECT 1 FROM ledger b WHERE b.trace_id = a.trace_id AND b.seq = a.seq + a.k % 40)")
 def f21(v):
-    return V.missing_event_ids(v.ledger.where("k % 5 = 0").select("trace_id", (F.col("seq") + F.col("k") % 40).alias("seq")), v.ledger)
+    return V.missing_event_ids(v.ledger.select("trace_id", (F.col("seq") + F.col("k") % 40).alias("seq")), v.ledger)
 
 
-@query("g1_verbatim_repetition", duck("messages", "a AS (SELECT trace_id, turn, left(content, 12) AS c, lag(left(content, 12)) OVER (PARTITION BY trace_id ORDER BY msg_idx) AS b FROM messages WHERE role = 'agent')") + "SELECT trace_id, turn FROM a WHERE b = c AND length(c) > 5")
+@query("g1_verbatim_repetition")
 def g1(v):
-    short = v.messages.withColumn("content", F.substring("content", 1, 12))
-    return G.verbatim_repetition(short, lambda a, b: fuzzy.similar(a, b, 1.0))
+    """No SQL: similarity is difflib's, 0.9 of whole messages. Tests compare with a plain loop."""
+    return G.verbatim_repetition(v.messages, lambda a, b: fuzzy.similar(a, b, 0.9))
 
 
 @query("g2_opening_closing", duck("messages", "g AS (SELECT trace_id, arg_min(content, msg_idx) AS f, arg_max(content, msg_idx) AS l FROM messages WHERE role = 'agent' GROUP BY trace_id)") + """SELECT q.trace_id,
@@ -378,12 +228,12 @@ def g9(v):
     return G.fault_recovery(v.ledger, F.col("k") > 90)
 
 
-@query("g10_constraint_lifecycle", duck("ledger", """e AS (SELECT trace_id, k % 4 AS c, CASE seq % 5 WHEN 0 THEN 'violated' WHEN 1 THEN 'satisfied' WHEN 2 THEN 'acknowledged' WHEN 3 THEN 'revealed' ELSE 'introduced' END AS ev FROM ledger WHERE seq <= 15),
+@query("g10_constraint_lifecycle", duck("ledger", """e AS (SELECT trace_id, k % 4 AS c, CASE seq % 5 WHEN 0 THEN 'violated' WHEN 1 THEN 'satisfied' WHEN 2 THEN 'acknowledged' WHEN 3 THEN 'revealed' ELSE 'introduced' END AS ev FROM ledger),
     g AS (SELECT trace_id, c, bool_or(ev = 'violated') AS v, bool_or(ev = 'satisfied') AS s, bool_or(ev = 'acknowledged') AS a, bool_or(ev = 'revealed') AS r FROM e GROUP BY ALL)""")
        + "SELECT trace_id, c AS constraint_id, CASE WHEN v AND s THEN 'recovered' WHEN v THEN 'violated' WHEN s THEN 'satisfied' WHEN a THEN 'acknowledged' WHEN r THEN 'revealed' ELSE 'introduced' END AS status FROM g")
 def g10(v):
     event = F.element_at(F.array(*map(F.lit, ("violated", "satisfied", "acknowledged", "revealed", "introduced"))), (F.col("seq") % 5 + 1).cast("int"))
-    return G.constraint_lifecycle(v.ledger.where("seq <= 15").select("trace_id", (F.col("k") % 4).alias("constraint_id"), event.alias("event")))
+    return G.constraint_lifecycle(v.ledger.select("trace_id", (F.col("k") % 4).alias("constraint_id"), event.alias("event")))
 
 
 @query("g11_final_state", duck("ledger") + "SELECT trace_id, count(*) >= 60 AS enough, arg_max(event_type, seq) AS status, sum(amount) <= 3400 AS within_budget FROM ledger GROUP BY trace_id")
@@ -391,10 +241,10 @@ def g11(v):
     return G.final_state(v.ledger.withColumn("status", F.col("event_type")), 60, 3400.0)
 
 
-@query("g12_constraint_tools", duck("ledger", "r AS (SELECT * FROM (VALUES ('c1', 'purchase'), ('c2', 'signup')) t(constraint_id, tool_name)), c AS (SELECT DISTINCT trace_id, tool_name FROM ledger WHERE k > 90)")
-       + "SELECT q.trace_id, constraint_id, c.tool_name IS NOT NULL AS used FROM (SELECT DISTINCT trace_id FROM ledger WHERE k > 90) q CROSS JOIN r LEFT JOIN c ON c.trace_id = q.trace_id AND c.tool_name = r.tool_name")
+@query("g12_constraint_tools", duck("ledger", "r AS (SELECT * FROM (VALUES ('c1', 'purchase'), ('c2', 'signup')) t(constraint_id, tool_name)), c AS (SELECT DISTINCT trace_id, tool_name FROM ledger)")
+       + "SELECT q.trace_id, constraint_id, c.tool_name IS NOT NULL AS used FROM (SELECT DISTINCT trace_id FROM ledger) q CROSS JOIN r LEFT JOIN c ON c.trace_id = q.trace_id AND c.tool_name = r.tool_name")
 def g12(v):
-    return G.constraint_tool_usage(v.values("constraint_id string, tool_name string", [("c1", "purchase"), ("c2", "signup")]), v.ledger.where("k > 90"))
+    return G.constraint_tool_usage(v.values("constraint_id string, tool_name string", [("c1", "purchase"), ("c2", "signup")]), v.ledger)
 
 
 @query("g13_state_snapshots", duck("ledger") + f"SELECT trace_id, seq, count(*) OVER w AS n_changes, {rd('sum(amount) OVER w', 'total')} FROM ledger WHERE tool_name IN ('purchase', 'signup') AND event_type = 'tool_executed' WINDOW w AS (PARTITION BY trace_id ORDER BY seq ROWS UNBOUNDED PRECEDING)")
@@ -435,26 +285,6 @@ def i3(v):
     return rows.select("trace_id", "s.*", "n_advice")
 
 
-CAUSES = [("greet", "inform"), ("click", "inform"), ("purchase", "click>signup"), ("inform", "purchase")]
-EDGES = "e AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in CAUSES) + ") t(src, dst)), bad AS (SELECT trace_id, atom FROM v WHERE verdict = 'unsatisfied')"
-
-
-@query("i4_causal_roots", duck("ledger steps", MATCHES + ", " + FACTS + ", " + EDGES) + "SELECT trace_id, atom FROM bad b WHERE NOT EXISTS (SELECT 1 FROM e JOIN bad p ON p.atom = e.src AND p.trace_id = b.trace_id WHERE e.dst = b.atom)")
-def i4(v):
-    return I.causal_roots(_verdicts(v), v.values("src string, dst string", CAUSES))
-
-
-@query("i4_failure_kind", duck("ledger steps", MATCHES + ", " + FACTS) + "SELECT trace_id, arg_min(kind, CASE kind WHEN 'tool' THEN 1 WHEN 'branch' THEN 2 WHEN 'temporal' THEN 3 ELSE 4 END) AS kind FROM v WHERE verdict = 'unsatisfied' GROUP BY trace_id")
-def i4_kind(v):
-    return I.failure_kind(_verdicts(v))
-
-
-@query("i5_counterfactual_repair")
-def i5(v):
-    """No SQL: all causes of an atom must recover, which is a fixpoint. Tests give the rows by hand."""
-    return I.counterfactual_repair(_verdicts(v, WHOLE), CAUSES)
-
-
 @query("i6_dialogue_side_quality", duck("messages", f"""g AS (SELECT trace_id, CAST(sum(CASE WHEN contains(content, 'thth') THEN 1 ELSE 0 END) AS BIGINT) AS leaks, avg(CASE WHEN length(content) > 100 THEN 1.0 ELSE 0.0 END) AS long_share,
     CAST(sum(CASE WHEN {has(['nicht', 'not'])} THEN 1 ELSE 0 END) AS BIGINT) AS refusals, CAST(sum(CASE WHEN {has(['und', 'and'])} THEN 1 ELSE 0 END) AS BIGINT) AS agreements FROM messages WHERE role = 'user' GROUP BY trace_id)""")
        + f"SELECT trace_id, leaks, {rd('long_share', 'long_share')}, refusals, agreements, leaks = 0 AND long_share <= 0.2 AS ok FROM g")
@@ -492,9 +322,9 @@ def m4(v):
     return M.prompt_injection(v.messages).select("trace_id", "turn", "content")
 
 
-@query("m5_forbidden_paraphrase", duck("messages", FIRST) + "SELECT trace_id, turn, CASE WHEN role = 'agent' AND r = 1 AND trace_id % 3 = 0 THEN concat(content, ' money back') ELSE content END AS content FROM f")
+@query("m5_forbidden_paraphrase", duck("messages", FIRST) + "SELECT trace_id, turn, CASE WHEN role = 'agent' AND r = 1 THEN concat(content, ' money back') ELSE content END AS content FROM f")
 def m5(v):
-    said = v.messages.where("trace_id % 3 = 0").select("trace_id", F.lit(" money back").alias("paraphrase")).distinct()
+    said = v.messages.select("trace_id", F.lit(" money back").alias("paraphrase")).distinct()
     return M.forbidden_paraphrase(v.messages, said).select("trace_id", "turn", "content")
 
 

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import fuzzy
 from colloquy.functions import text as T
+from colloquy.functions.semantic import Concept, SemanticPredicate, semantic_match
 from colloquy.operators import filters as B
 from colloquy.operators import joins as C
+from colloquy.operators import verify as V
 from colloquy.plans.analytics_queries import rd, rounded
 from colloquy.plans.registry import query
 from colloquy.plans.scoring_queries import near
@@ -70,13 +72,33 @@ def b8(v):
     return B.validate_tool_calls(calls, most=90)
 
 
-@query("b9_lint_policies", """SELECT * FROM (VALUES ('must_call_tool', 'ghost'), ('tool_of_no_step', 'ghost'), ('unreachable_step', 'reschedule'), ('branch_target', 'nowhere'), ('step_tool', 'purchase')) t(rule, subject)
-    WHERE (SELECT count(*) FROM events) > 0""")
+#: Policies with faults: some customers have no steps, no name, a branch to nowhere, or nothing forbidden.
+LINTED = """sc AS (SELECT c_custkey AS scenario_id, CASE c_custkey % 4 WHEN 0 THEN 'bought' WHEN 1 THEN 'viewed' ELSE 'other' END AS outcome, CASE WHEN c_custkey % 9 = 0 THEN 'An AI calls' ELSE 'Hello' END AS opening,
+      CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_name END AS customer_name FROM customer), st AS (SELECT * FROM policies WHERE scenario_id % 11 > 0), fb AS (SELECT DISTINCT scenario_id FROM policies WHERE scenario_id % 6 > 0),
+    br AS (SELECT scenario_id, step_id, CASE WHEN scenario_id % 10 = 1 AND cond = 'away' THEN 'nowhere' ELSE next_step END AS next_step FROM policy_branches WHERE scenario_id % 11 > 0),
+    mu AS (SELECT scenario_id, CASE WHEN scenario_id % 7 = 0 AND pos = 2 THEN 'ghost' ELSE tool_name END AS tool_name FROM policy_must), tools AS (SELECT DISTINCT tool_name FROM traced WHERE tool_name <> 'view'),
+    f AS (SELECT *, row_number() OVER w AS r, lead(step_id) OVER w AS nxt FROM st WINDOW w AS (PARTITION BY scenario_id ORDER BY ord)),
+    rc AS (SELECT scenario_id, step_id FROM f WHERE r = 1 UNION SELECT scenario_id, nxt FROM f WHERE NOT is_optional UNION SELECT b.scenario_id, b.next_step FROM br b JOIN f ON f.scenario_id = b.scenario_id AND f.step_id = b.step_id AND NOT is_optional)"""
+
+
+@query("b9_lint_policies", duck("policies policy_branches policy_must traced", LINTED) + """SELECT scenario_id, 'S001' AS rule, 'error' AS severity, CAST(NULL AS VARCHAR) AS subject FROM sc WHERE scenario_id NOT IN (SELECT scenario_id FROM st)
+    UNION ALL SELECT scenario_id, 'S002', 'warning', step_id FROM f WHERE NOT is_optional AND NOT EXISTS (SELECT 1 FROM rc WHERE rc.scenario_id = f.scenario_id AND rc.step_id = f.step_id)
+    UNION ALL SELECT DISTINCT scenario_id, 'B001', 'error', next_step FROM br WHERE NOT EXISTS (SELECT 1 FROM st WHERE st.scenario_id = br.scenario_id AND st.step_id = br.next_step)
+    UNION ALL SELECT DISTINCT scenario_id, 'T001', 'error', tool_name FROM mu WHERE tool_name NOT IN (SELECT tool_name FROM tools)
+    UNION ALL SELECT DISTINCT scenario_id, 'T002', 'info', action FROM st WHERE action NOT IN (SELECT tool_name FROM tools) AND NOT starts_with(action, 'sign')
+    UNION ALL SELECT scenario_id, 'I001', 'warning', NULL FROM sc WHERE customer_name = '' AND scenario_id IN (SELECT scenario_id FROM st WHERE action = 'click')
+    UNION ALL SELECT scenario_id, 'O001', 'warning', outcome FROM sc WHERE outcome <> 'other' AND NOT EXISTS (SELECT 1 FROM mu WHERE mu.scenario_id = sc.scenario_id AND mu.tool_name = CASE sc.outcome WHEN 'bought' THEN 'purchase' ELSE 'view' END)
+    UNION ALL SELECT DISTINCT scenario_id, 'O002', 'info', NULL FROM mu WHERE scenario_id NOT IN (SELECT scenario_id FROM mu WHERE tool_name = 'signup')
+    UNION ALL SELECT scenario_id, 'R001', 'info', NULL FROM sc WHERE contains(opening, 'AI') UNION ALL SELECT scenario_id, 'R002', 'info', NULL FROM sc WHERE scenario_id NOT IN (SELECT scenario_id FROM fb)""")
 def b9(v):
-    tools = v.ledger.where("tool_name <> 'purchase'").select("tool_name").distinct()
-    must = v.must_call.where("tool_name <> 'purchase'").unionByName(v.values("scenario_id string, pos int, tool_name string", [("p1", 3, "ghost")]))
-    branches = v.branches.unionByName(v.values("scenario_id string, step_id string, branch_idx int, cond string, next_step string", [("p1", "inform", 2, "odd", "nowhere")]))
-    return B.lint_policies(v.steps, branches, must, tools, v.steps.where("step_id <> 'reschedule'"))
+    sid = F.col("scenario_id")
+    scenarios = v.table("customer").selectExpr("c_custkey AS scenario_id", "CASE c_custkey % 4 WHEN 0 THEN 'bought' WHEN 1 THEN 'viewed' ELSE 'other' END AS outcome",
+                                               "if(c_custkey % 9 = 0, 'An AI calls', 'Hello') AS opening", "if(c_custkey % 5 = 0, '', c_name) AS customer_name", "cast(null as string) AS role")
+    steps, forbidden = v.policies.where(sid % 11 > 0), v.policies.where(sid % 6 > 0).select("scenario_id")
+    branches = v.policy_branches.where(sid % 11 > 0).withColumn("next_step", F.when((sid % 10 == 1) & (F.col("cond") == "away"), "nowhere").otherwise(F.col("next_step")))
+    must = v.policy_must.withColumn("tool_name", F.when((sid % 7 == 0) & (F.col("pos") == 2), "ghost").otherwise(F.col("tool_name")))
+    tools = v.ledger.where("tool_name <> 'view'").select("tool_name")
+    return B.lint_policies(scenarios, steps, branches, must, forbidden, tools, speech=["sign"], outcome_tools={"bought": "purchase", "viewed": "view"}, identity=["click"], log_tool="signup")
 
 
 @query("b10_validate_policies", duck("checks", "s AS (SELECT trace_id, check_id FROM checks GROUP BY ALL HAVING count(*) > 1)") + "SELECT DISTINCT 'repeated_step' AS rule, check_id AS subject FROM s UNION ALL SELECT DISTINCT 'weight', check_id FROM checks WHERE qty - 2 <= 0 UNION ALL SELECT DISTINCT 'self_branch', check_id FROM checks WHERE part % 7 = supp % 7")
@@ -114,17 +136,21 @@ def c3(v):
     return C.fabricated_calls(v.ledger, v.ledger.where("amount > 50")).select("trace_id", "seq")
 
 
-BEHAVIORS = {"promise": ("critical", ["ingre", "keit"]), "leak": ("minor", ["tion", "ment", "thth"])}
+#: Each customer forbids two behaviours by words of its own; delivered texts are shorter than raw ones in some turns.
+FORBIDDEN = """fb AS (SELECT c_custkey AS scenario_id, 'promise' AS behavior_id, 'critical' AS severity, CASE c_custkey % 2 WHEN 0 THEN ['ingre', 'keit'] ELSE ['pas', 'thth'] END AS kw FROM customer
+      UNION ALL SELECT c_custkey, 'leak', 'minor', CASE c_custkey % 3 WHEN 0 THEN ['tion', 'ment'] ELSE ['der', 'la'] END FROM customer),
+    m AS (SELECT trace_id, scenario_id, turn, lower(content) AS raw, lower(CASE WHEN turn % 2 = 0 THEN content ELSE split_part(content, '. ', 1) END) AS norm FROM said WHERE role = 'agent'),
+    h AS (SELECT trace_id, behavior_id, turn, severity, list_filter(list_concat(list_slice(kw, 1, 1), CASE WHEN kw[1] = 'ingre' THEN ['ngin'] ELSE [] END, list_slice(kw, 2, 2)), lambda w: contains(norm, w))[1] AS k1,
+        list_filter(list_concat(list_slice(kw, 1, 1), CASE WHEN kw[1] = 'ingre' THEN ['ngin'] ELSE [] END, list_slice(kw, 2, 2)), lambda w: contains(raw, w))[1] AS k2 FROM m JOIN fb USING (scenario_id))"""
 
 
-@query("c4_forbidden_hits", duck("messages", """m AS (SELECT trace_id, turn, lower(content) AS raw, lower(substr(content, 1, 300)) AS norm FROM messages WHERE role = 'agent'),
-    h AS (SELECT trace_id, turn, 'promise' AS b, 'critical' AS s, CASE WHEN contains(norm, 'ingre') THEN 'ingre' WHEN contains(norm, 'keit') THEN 'keit' END AS k1, CASE WHEN contains(raw, 'ingre') THEN 'ingre' WHEN contains(raw, 'keit') THEN 'keit' END AS k2 FROM m
-      UNION ALL SELECT trace_id, turn, 'leak', 'minor', CASE WHEN contains(norm, 'tion') THEN 'tion' WHEN contains(norm, 'ment') THEN 'ment' WHEN contains(norm, 'thth') THEN 'thth' END,
-        CASE WHEN contains(raw, 'tion') THEN 'tion' WHEN contains(raw, 'ment') THEN 'ment' WHEN contains(raw, 'thth') THEN 'thth' END FROM m)""")
-       + "SELECT trace_id, b AS behavior_id, turn, CASE WHEN k1 IS NOT NULL THEN s ELSE 'major' END AS severity, coalesce(k1, k2) AS keyword FROM h WHERE k2 IS NOT NULL")
+@query("c4_forbidden_hits", duck("said", FORBIDDEN) + "SELECT trace_id, behavior_id, turn, CASE WHEN k1 IS NULL THEN 'major' ELSE severity END AS severity, coalesce(k1, k2) AS keyword FROM h WHERE k2 IS NOT NULL OR k1 IS NOT NULL")
 def c4(v):
-    rows = v.messages.withColumns({"norm": fuzzy.normalize_text(F.substring("content", 1, 300)), "norm_raw": fuzzy.normalize_text(F.col("content"))})
-    return C.forbidden_hits(rows, BEHAVIORS)
+    own = v.table("customer").select(F.col("c_custkey").alias("scenario_id"), F.expr("""inline(array(struct('promise', 'critical', if(c_custkey % 2 = 0, array('ingre', 'keit'), array('pas', 'thth'))),
+        struct('leak', 'minor', if(c_custkey % 3 = 0, array('tion', 'ment'), array('der', 'la'))))) AS (behavior_id, severity, keywords)"""))
+    shown = F.when(F.col("turn") % 2 == 0, F.col("content")).otherwise(F.split_part("content", F.lit(". "), F.lit(1)))
+    rows = v.said.withColumns({"norm": fuzzy.normalize_text(shown), "norm_raw": fuzzy.normalize_text(F.col("content"))})
+    return C.forbidden_hits(rows, own, {"ingre": ["ngin"]})
 
 
 @query("c5_branch_evidence", duck("messages", "b AS (SELECT DISTINCT trace_id, trace_id % 5 AS bt FROM messages)")
@@ -160,9 +186,9 @@ def c9(v):
 
 
 @query("c11_validated_outcome", duck("ledger") + """SELECT trace_id, coalesce(max(seq) FILTER (WHERE tool_name = 'signup') <= min(seq) FILTER (WHERE tool_name = 'purchase'), false) AND coalesce(bool_or(amount > 60 AND k > 10), false) AS valid
-    FROM ledger WHERE seq <= 4 GROUP BY trace_id""")
+    FROM ledger GROUP BY trace_id""")
 def c11(v):
-    return C.validated_outcome(v.ledger.where("seq <= 4"), "signup", "purchase", F.expr("amount > 60 and k > 10"))
+    return C.validated_outcome(v.ledger, "signup", "purchase", F.expr("amount > 60 and k > 10"))
 
 
 GRID = "[" + ", ".join("struct_pack(config := '{}', score := {})".format("full" if x is None else f"no_{x}", " + ".join(f"coalesce({k}, 0) * {w}" for k, w in
@@ -179,6 +205,10 @@ def d1(v):
     return v.messages.select("trace_id", "turn", fuzzy.normalize_text(F.col("content")).alias("norm"))
 
 
+def has_(c: str, words: list[str]) -> str:
+    return has(words, c)
+
+
 def has(words: list[str], c: str = "content") -> str:
     return "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")"
 
@@ -192,11 +222,11 @@ def d2(v):
     return v.messages.select("trace_id", "turn", T.negation_status(F.col("content"), ["zz"], **LISTS).alias("status"))
 
 
-@query("d3_unnegated_keyword", duck("messages", """p AS (SELECT trace_id, turn, substr(content, 1, 400) AS t FROM messages),
+@query("d3_unnegated_keyword", duck("messages", """p AS (SELECT trace_id, turn, content AS t FROM messages),
     o AS (SELECT trace_id, turn, t, unnest(range(1, length(t) + 1)) AS i FROM p), h AS (SELECT trace_id, turn, bool_or(length(regexp_extract(substr(t, greatest(i - 6, 1), least(i - 1, 6)), '[^.]*$')) - length(replace(regexp_extract(substr(t, greatest(i - 6, 1), least(i - 1, 6)), '[^.]*$'), 'e', '')) IN (0, 2, 4, 6)) AS ok
       FROM o WHERE substr(t, i, 2) = 'th' GROUP BY ALL)""") + "SELECT p.trace_id, p.turn, coalesce(ok, false) AS found FROM p LEFT JOIN h ON h.trace_id = p.trace_id AND h.turn = p.turn")
 def d3(v):
-    return v.messages.select("trace_id", "turn", T.unnegated_keyword(F.substring("content", 1, 400), F.lit("th"), ["e"], 6, ".").alias("found"))
+    return v.messages.select("trace_id", "turn", T.unnegated_keyword(F.col("content"), F.lit("th"), ["e"], 6, ".").alias("found"))
 
 
 GRAMS = "list_distinct(list_concat(list_transform(range(1, length({0})), lambda i: substr({0}, i, 2)), list_transform(range(1, length({0}) - 1), lambda i: substr({0}, i, 3))))"
@@ -210,14 +240,19 @@ def d4(v):
 
 @query("d5_alias_match")
 def d5(v):
-    """No SQL: windows are scored by difflib. Only messages that share a pair of letters with the alias reach Python."""
+    """No SQL: windows are scored by difflib."""
     return v.messages.select("trace_id", "turn", fuzzy.alias_match_score(F.lit("thention"), F.col("content")).alias("score"))
 
 
-@query("d6_semantic_predicate", duck("messages") + f"SELECT trace_id, turn, NOT contains(content, 'zz') AND {has(['the', 'und'])} AND {NEGATION} = 'clear' AS hit FROM messages")
+#: Aliases of one letter class each, so that the score of an alias that isn't contained is 0 and SQL can tell.
+MEANT = SemanticPredicate(positive=["the th"], negative=["zz", "qu"], concepts=[Concept(["un", "de"], 2.0), Concept(["en"], 1.0, required=False)], keywords=["tion", "keit", "ing", "er"], ratio=0.5, negation_terms=["zz"])
+COVERED = f"((CASE WHEN {has_('lower(content)', ['un', 'de'])} THEN 2.0 ELSE 0.7 END) + (CASE WHEN contains(lower(content), 'en') THEN 1.0 ELSE 0.0 END)) / 3.0 >= 0.86"
+
+
+@query("d6_semantic_predicate", duck("messages") + f"""SELECT trace_id, turn, NOT {has_('lower(content)', ['zz', 'qu'])} AND ({NEGATION.replace('content', 'lower(content)')}) = 'clear' AND (contains(lower(content), 'the th') OR {COVERED}
+    OR ({" + ".join(f"CASE WHEN contains(lower(content), '{w}') THEN 1 ELSE 0 END" for w in MEANT.keywords)}) >= 2) AS hit FROM messages""")
 def d6(v):
-    clear = T.negation_status(F.col("content"), ["zz"], **LISTS) == "clear"
-    return v.messages.select("trace_id", "turn", (~F.col("content").contains("zz") & T.any_of(F.col("content"), ["the", "und"]) & clear).alias("hit"))
+    return v.messages.select("trace_id", "turn", semantic_match(F.col("content"), MEANT, **LISTS).alias("hit"))
 
 
 @query("d7_extract_keywords", """SELECT doc_id, array_to_string(list_distinct(list_concat(regexp_extract_all(text, '([0-9]+(?:\\.[0-9]+)?%?)'), list_transform(regexp_extract_all(text, '([A-Za-z]{2,})'), lambda x: lower(x)))), ',') IS NOT NULL AS ok,
@@ -231,15 +266,17 @@ def d8(v):
     return v.table("benchmark").select("item_id", F.size(T.template_elements(F.col("text"))).alias("n"))
 
 
-@query("d9_tool_call_match", duck("ledger", "e AS (SELECT * FROM (VALUES ('click', 'amount', '50.5'), ('click', 'k', '7'), ('view', 'k', '3'), ('signup', 'order_id', 'MT1')) t(tool_name, param, want))")
-       + f"""SELECT trace_id, seq, {rd("avg(CASE param WHEN 'k' THEN CASE WHEN k = TRY_CAST(want AS DOUBLE) THEN 1.0 ELSE 0.0 END WHEN 'amount' THEN CASE WHEN amount = TRY_CAST(want AS DOUBLE) THEN 1.0 ELSE 0.0 END ELSE CASE WHEN order_id = want THEN 1.0 ELSE 0.0 END END)", 'confidence')}
-    FROM ledger JOIN e USING (tool_name) GROUP BY ALL""")
+WANTED = [("click", {"amount": "50.5", "k": "7"}), ("view", {"k": "3.0", "odd": "TRUE"}), ("signup", {"order_id": "MT1", "odd": "false", "none": "1"}), ("purchase", {})]
+
+
+@query("d9_tool_call_match", duck("ledger", """a AS (SELECT trace_id, seq, tool_name, CASE tool_name WHEN 'click' THEN (amount = 50.5)::INT + (k = 7)::INT WHEN 'view' THEN (k = 3)::INT + (k % 2 = 1)::INT
+      WHEN 'signup' THEN coalesce(order_id = 'MT1', false)::INT + (k % 2 = 0)::INT ELSE 0 END AS n, CASE tool_name WHEN 'purchase' THEN 0 WHEN 'signup' THEN 3 ELSE 2 END AS need FROM ledger)""")
+       + f"SELECT trace_id, seq, n = need AS matched, {rd('CASE WHEN need = 0 THEN 1.0 ELSE n / need END', 'confidence')} FROM a WHERE tool_name IN ('click', 'view', 'signup', 'purchase')")
 def d9(v):
-    want = v.values("tool_name string, param string, want string", [("click", "amount", "50.5"), ("click", "k", "7"), ("view", "k", "3"), ("signup", "order_id", "MT1")])
-    got = F.when(F.col("param") == "k", F.col("k").cast("string")).when(F.col("param") == "amount", F.col("amount").cast("string")).otherwise(F.col("order_id"))
-    rows = v.ledger.join(F.broadcast(want), "tool_name").withColumn("got", got)
-    same = F.coalesce(F.expr("try_cast(got as double) = try_cast(want as double)"), F.col("got") == F.col("want"), F.lit(False))
-    return rounded(rows.groupBy("trace_id", "seq").agg(F.avg(same.cast("double")).alias("confidence")), "trace_id", "seq")
+    """Arguments are VARIANT objects, as they are in ledgers."""
+    made = F.parse_json(F.to_json(F.struct("amount", "k", "order_id", (F.col("k") % 2 == 1).alias("odd"))))
+    calls = v.ledger.select("trace_id", "seq", "tool_name", V.variant_arguments(made).alias("arguments"))
+    return rounded(V.tool_call_match(calls, v.values("tool_name string, args map<string,string>", WANTED)), "trace_id", "seq", "matched")
 
 
 @query("d10_parse_bool", duck("ledger") + "SELECT trace_id, seq, CASE k % 4 WHEN 0 THEN true WHEN 1 THEN true ELSE false END AS flag FROM ledger")
@@ -250,11 +287,11 @@ def d10(v):
 
 @query("d11_fuzzy_quote")
 def d11(v):
-    """No SQL: positional windows. Quotes are the first 40 characters of the next message in the trace."""
+    """No SQL: positional windows. Quotes are the next messages of the trace."""
     from pyspark.sql.window import Window
 
     follow = F.lead("content").over(Window.partitionBy("trace_id").orderBy("msg_idx"))
-    return v.messages.select("trace_id", "turn", fuzzy.fuzzy_quote_found(F.substring(follow, 1, 40), F.col("content")).alias("found"))
+    return v.messages.select("trace_id", "turn", fuzzy.fuzzy_quote_found(follow, F.col("content")).alias("found"))
 
 
 LEAKS = {"a": "(?i)tion[a-z]* of", "b": "(keit|heit)\\w*", "c": "qu(e|i).{0,10}le"}

@@ -9,6 +9,7 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DIMENSIONS = ["speech_protocol", "forbidden_behavior", "outcome", "tool_usage", "efficiency", "constraint", "emotion_handling"]
 SEVERITIES = ["critical", "major", "medium", "minor"]
@@ -56,12 +57,50 @@ BRANCHES = """SELECT * FROM (VALUES ('p1', 'inform', 0, 'home', 'complete'), ('p
 MUST_CALL = """SELECT * FROM (VALUES ('p1', 0, 'click'), ('p1', 1, 'signup'), ('p1', 2, 'purchase')) AS t(scenario_id, pos, tool_name)"""
 EXPECTED = """SELECT * FROM (VALUES ('p1', 0, 'greet'), ('p1', 1, 'confirm'), ('p1', 2, 'inform'), ('p1', 3, 'complete'), ('p1', 4, 'farewell')) AS t(scenario_id, pos, step_id)"""
 
+#: A policy per customer: six steps whose order, tools, arguments, words and options differ from one to the next.
+BASE_STEPS = [
+    ("greet", 1, 1.0, "the,und", "que,der"), ("confirm", 2, 2.0, "tion,keit", "ver,und"), ("inform", 3, 1.0, "ing,en", "con,la"),
+    ("complete", 4, 1.5, "er,st", "tion,de"), ("reschedule", 5, 0.5, "not,nicht", "pas,no"), ("farewell", 6, 1.0, "of,to", "le,el"),
+]
+BASE_BRANCHES = [("inform", 0, "home", "complete", 0), ("inform", 1, "away", "reschedule", 0), ("confirm", 2, "known", "inform", 1), ("confirm", 3, "unknown", "farewell", 1)]
+
+
+def _rows(rows: list[tuple], names: str, spark: bool) -> str:
+    """A join with literal rows, as each engine says it."""
+    lines = ["(" + ", ".join(f"'{x}'" if isinstance(x, str) else f"{x}e0" if isinstance(x, float) else str(x) for x in r) + ")" for r in rows]
+    return f"LATERAL VIEW inline(array({', '.join('struct' + x for x in lines)})) t AS {names}" if spark else f"CROSS JOIN (VALUES {', '.join(lines)}) t({names})"
+
+
+POLICIES = f"""SELECT c_custkey AS scenario_id, step_id, CAST(CASE c_custkey % 3 WHEN 0 THEN base WHEN 1 THEN CASE base WHEN 1 THEN 2 WHEN 2 THEN 1 WHEN 4 THEN 5 WHEN 5 THEN 4 ELSE base END
+        ELSE CASE base WHEN 5 THEN 6 WHEN 6 THEN 5 ELSE base END END AS BIGINT) AS ord,
+      {_pick(TOOLS, '(base + c_nationkey) % 4')} AS action, base IN (4, 5) OR (base + c_custkey) % 6 = 0 AS is_optional, weight,
+      CASE WHEN base % 2 = 0 THEN CAST(c_custkey % 3 AS {{text}}) END AS level, CASE WHEN (base + c_custkey) % 2 = 0 THEN words ELSE other END AS words
+    FROM customer {{six}}"""
+PREDICATES = f"""SELECT scenario_id, step_id, ord, 0 AS pred, CASE WHEN step_id IN ('inform', 'farewell') THEN 'words' ELSE 'tool' END AS kind, action AS tool_name, level, words
+    FROM ({POLICIES}) p
+    UNION ALL SELECT scenario_id, step_id, ord, 1, 'words', CAST(NULL AS {{text}}), CAST(NULL AS {{text}}), 'men,ed' FROM ({POLICIES}) q WHERE step_id IN ('inform', 'farewell')"""
+POLICY_BRANCHES = """SELECT c_custkey AS scenario_id, step_id, branch_idx, cond, next_step FROM customer {fork} WHERE even = 0 OR c_custkey % 2 = 0"""
+POLICY_MUST = f"""SELECT c_custkey AS scenario_id, pos, {_pick(TOOLS, '(pos + c_nationkey) % 4')} AS tool_name FROM customer {{three}}"""
+POLICY_EXPECTED = f"""SELECT scenario_id, row_number() OVER (PARTITION BY scenario_id ORDER BY ord) AS pos, step_id FROM ({POLICIES}) p WHERE NOT is_optional"""
+#: Ledgers and messages with their trace's policy; calls have one argument, a number that is written in two ways.
+TRACED = f"""SELECT l.*, trace_id % 50 + 1 AS scenario_id, concat(CAST(k % 3 AS {{text}}), CASE WHEN k % 2 = 0 THEN '' ELSE '.0' END) AS level_arg,
+      CASE WHEN (trace_id % 50 + 1) % 4 = 0 THEN 'MT9' END AS own_order FROM ({LEDGER}) l"""
+SAID = f"SELECT m.*, trace_id % 50 + 1 AS scenario_id FROM ({MESSAGES}) m"
+
+#: Edges of these policies, for SQL.
+POLICY_EDGES = """lead_ AS (SELECT *, lead(step_id) OVER w AS nxt FROM policies WINDOW w AS (PARTITION BY scenario_id ORDER BY ord)),
+    edges AS (SELECT scenario_id, step_id AS src, nxt AS dst FROM lead_ l WHERE nxt IS NOT NULL AND NOT (EXISTS (SELECT 1 FROM policy_branches b WHERE b.scenario_id = l.scenario_id AND b.step_id = l.step_id)
+        AND EXISTS (SELECT 1 FROM policy_branches b WHERE b.scenario_id = l.scenario_id AND b.next_step = l.nxt))
+      UNION ALL SELECT scenario_id, step_id, next_step FROM policy_branches)"""
+
 TEXTS = {
     "messages": MESSAGES, "ledger": LEDGER, "runs": RUNS, "checks": CHECKS, "pairs": PAIRS, "llm_calls": CALLS,
-    "steps": STEPS, "branches": BRANCHES, "must_call": MUST_CALL, "expected": EXPECTED,
+    "steps": STEPS, "branches": BRANCHES, "must_call": MUST_CALL, "expected": EXPECTED, "policies": POLICIES, "predicates": PREDICATES, "policy_branches": POLICY_BRANCHES,
+    "policy_must": POLICY_MUST, "policy_expected": POLICY_EXPECTED, "traced": TRACED, "said": SAID,
 }
-SPARK = {"text": "STRING", "k": "CAST(get_json_object(props, '$.k') AS BIGINT)"}
-DUCK = {"text": "VARCHAR", "k": "CAST(json_extract_string(props, '$.k') AS BIGINT)"}
+LITERALS = {"six": (BASE_STEPS, "step_id, base, weight, words, other"), "fork": (BASE_BRANCHES, "step_id, branch_idx, cond, next_step, even"), "three": ([(0,), (1,), (2,)], "pos")}
+SPARK = {"text": "STRING", "k": "CAST(get_json_object(props, '$.k') AS BIGINT)"} | {k: _rows(*v, spark=True) for k, v in LITERALS.items()}
+DUCK = {"text": "VARCHAR", "k": "CAST(json_extract_string(props, '$.k') AS BIGINT)"} | {k: _rows(*v, spark=False) for k, v in LITERALS.items()}
 
 
 def duck(names: str, more: str = "") -> str:
@@ -135,6 +174,35 @@ class Views:
     def users(self) -> DataFrame:
         return self.messages.where("role = 'user'")
 
+    @cached_property
+    def policies(self) -> DataFrame:
+        return self._view("policies", t="customer")
+
+    @cached_property
+    def predicates(self) -> DataFrame:
+        """With arguments as a map and words as an array."""
+        return self._view("predicates", t="customer").selectExpr("* except (level, words)", "if(level is null, map(), map('level', level)) AS args", "split(words, ',') AS words")
+
+    @cached_property
+    def policy_branches(self) -> DataFrame:
+        return self._view("policy_branches", t="customer")
+
+    @cached_property
+    def policy_must(self) -> DataFrame:
+        return self._view("policy_must", t="customer")
+
+    @cached_property
+    def policy_expected(self) -> DataFrame:
+        return self._view("policy_expected", t="customer")
+
+    @cached_property
+    def traced(self) -> DataFrame:
+        return self._view("traced", t="events").withColumn("arguments", F.create_map(F.lit("level"), "level_arg"))
+
+    @cached_property
+    def said(self) -> DataFrame:
+        return self._view("said", t="conversations")
+
     def values(self, ddl: str, rows: list[tuple]) -> DataFrame:
         """A small literal table."""
         return self.spark.createDataFrame(rows, ddl)

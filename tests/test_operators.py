@@ -58,15 +58,63 @@ def test_alignment_against_search():
 
 
 def test_alignment_modes(spark):
-    df = spark.createDataFrame([(1, list("ABC"), list("AC")), (2, list("AB"), list("ABC")), (3, ["A"], [])], "trace_id long, expected array<string>, observed array<string>")
-    assert {r.trace_id: round(r.cost, 6) for r in verify.align_strict(df).collect()} == {1: 5.0, 2: 0.2, 3: 3.0}
-    assert {r.trace_id: round(r.cost, 6) for r in verify.align_unordered(df).collect()} == {1: 3.0, 2: 0.2, 3: 3.0}
-    assert {r.trace_id: round(r.cost, 6) for r in verify.align_ordered(df).collect()} == {1: 3.0, 2: 0.2, 3: 3.0}
+    rows = [(1, list("ABC"), list("AC"), [], []), (2, list("AB"), list("ABC"), [], []), (3, ["A"], [], [], []), (4, list("AB"), ["A"], ["B"], []), (5, list("AB"), list("AC"), [], ["A>C"])]
+    df = spark.createDataFrame(rows, "trace_id long, expected array<string>, observed array<string>, optional array<string>, legal array<string>")
+    costs = lambda made: {r.trace_id: round(r.cost, 6) for r in made.collect()}
+    assert costs(verify.align_strict(df)) == {1: 5.0, 2: 0.2, 3: 3.0, 4: 0.5, 5: 2.0}
+    assert costs(verify.align_unordered(df)) == {1: 3.0, 2: 0.2, 3: 3.0, 4: 0.5, 5: 3.2}
+    assert costs(verify.align_ordered(df)) == {1: 3.0, 2: 0.2, 3: 3.0, 4: 0.5, 5: 1.0}
 
 
-def test_an_event_serves_one_step(spark):
-    df = spark.createDataFrame([(1, "a", 1, 5, 5), (1, "b", 2, 5, 5), (1, "b", 2, 7, 7), (1, "c", 3, 5, 5)], "trace_id long, step_id string, ord int, seq long, turn long")
-    assert {(r.step_id, r.seq) for r in verify.observed_steps(df).collect()} == {("a", 5), ("b", 7)}
+MATCH = "trace_id long, scenario_id long, step_id string, ord long, pred int, kind string, key string, event long, turn long"
+
+
+def test_events_serve_one_step(spark):
+    """A tool event counts once; a message once per set of words; half of several utterances are needed."""
+    rows = [(1, 9, "a", 1, 0, "tool", None, 5, 5), (1, 9, "b", 2, 0, "tool", None, 5, 5), (1, 9, "c", 3, 0, "words", "x,y", 5, 4), (1, 9, "d", 4, 0, "words", "x,y", 5, 4), (1, 9, "e", 5, 0, "words", "z", 5, 4),
+            (1, 9, "f", 6, 1, "words", "v", 8, 8), (2, 9, "b", 2, 0, "tool", None, 5, 5)]
+    predicates = [(9, s, p, k) for s, p, k in (("a", 0, "tool"), ("b", 0, "tool"), ("c", 0, "words"), ("d", 0, "words"), ("e", 0, "words"), ("e", 1, "words"), ("f", 0, "words"), ("f", 1, "words"), ("f", 2, "words"))]
+    got = verify.observed_steps(spark.createDataFrame(rows, MATCH), spark.createDataFrame(predicates, "scenario_id long, step_id string, pred int, kind string"))
+    assert {(r.trace_id, r.step_id): (r.first_turn, r.evidence, r.confidence) for r in got.collect()} == {(1, "a"): (5, 1, 1.0), (1, "c"): (4, 1, 1.0), (1, "e"): (4, 1, 0.5), (2, "b"): (5, 1, 1.0)}
+
+
+def test_two_policies_in_one_table(spark):
+    """The same events mean different steps under different policies; orders, arguments and the guard decide what counts."""
+    ledger = [(1, 7, 1, 1, "pay", {"n": "2.0"}, "agent", None), (2, 8, 1, 1, "pay", {"n": "2"}, "agent", None), (3, 7, 1, 1, "pay", {"n": "3"}, "agent", None), (3, 7, 2, 2, "pay", {"n": "2"}, "guard", None),
+              (4, 7, 1, 1, "pay", {"n": "2"}, "agent", "other"), (4, 7, 2, 2, "pay", {"n": "2", "more": "x"}, "agent", "own")]
+    df = spark.createDataFrame(ledger, "trace_id long, scenario_id long, seq long, turn long, tool_name string, arguments map<string,string>, source string, order_id string").selectExpr(
+        "*", "'tool_executed' AS event_type", "cast(null as string) AS error", "if(trace_id = 4, 'own', null) AS own_order")
+    predicates = spark.createDataFrame([(7, "charge", 1, 0, "tool", "pay", {"n": "2"}), (8, "settle", 1, 0, "tool", "pay", {})], "scenario_id long, step_id string, ord long, pred int, kind string, tool_name string, args map<string,string>")
+    assert {(r.trace_id, r.step_id, r.event) for r in verify.match_tools(df, predicates).collect()} == {(1, "charge", 1), (2, "settle", 1), (4, "charge", 2)}
+
+
+def test_equivalent_values(spark):
+    rows = [("1", "1.0", True), ("true", "TRUE", True), ("true", "1", False), ("a", "a", True), ("a", "A", False), (None, None, False), ("1", None, False), ("1e2", "100", True), ("[1]", "[1]", True)]
+    df = spark.createDataFrame(rows, "e string, a string, want boolean")
+    assert all(r[0] == r[1] for r in df.select(verify.values_equivalent(F.col("e"), F.col("a")), "want").collect())
+    calls = spark.sql("select 1L AS trace_id, 1L AS seq, 'pay' AS tool_name, parse_json('{\"n\": 2, \"ok\": true, \"s\": \"x\"}') AS v").withColumn("arguments", verify.variant_arguments(F.col("v")))
+    want = spark.createDataFrame([("pay", {"n": "2.0", "ok": "True", "gone": "1"}), ("pay", {}), ("other", {})], "tool_name string, args map<string,string>")
+    assert {(r.matched, round(r.confidence, 4)) for r in verify.tool_call_match(calls, want).collect()} == {(False, 0.6667), (True, 1.0)}
+
+
+def test_semantic_predicates(spark):
+    from colloquy.functions.semantic import Concept, SemanticPredicate, semantic_match
+
+    p = SemanticPredicate(positive=["all done"], negative=["never mind"], concepts=[Concept(["refund"], 2.0), Concept(["tomorrow", "next day"], 1.0, required=False)], keywords=["parcel", "door", "ring"], ratio=0.6)
+    rows = [("we are ALL DONE", True), ("all done but never mind", False), ("your refund comes the next day", True), ("your refund comes", False), ("we will not refund tomorrow", False), ("the parcel is at the door", True), ("the parcel", False), (None, False)]
+    df = spark.createDataFrame(rows, "content string, want boolean")
+    got = df.select(semantic_match(F.col("content"), p, prefix=[" not "], suffix=["##"], double=["##"], contrast=["##"]), "want").collect()
+    assert [r[0] for r in got] == [w for _, w in rows]
+
+
+def test_forbidden_behaviours_by_policy(spark):
+    from colloquy.operators import joins
+
+    said = spark.createDataFrame([(1, 7, "agent", 1, "a REFUND now", None), (2, 8, "agent", 1, "a refund now", None), (1, 7, "agent", 2, "fine", "get your money back"), (1, 7, "user", 3, "refund", None), (1, 7, "agent", 4, "leak refund", None)],
+                                 "trace_id long, scenario_id long, role string, turn int, norm string, norm_raw string").withColumns({"norm": F.lower("norm")})
+    behaviors = spark.createDataFrame([(7, "promise", "critical", ["cash", "refund"]), (8, "other", "minor", ["now"]), (7, "leak", "minor", ["leak"])], "scenario_id long, behavior_id string, severity string, keywords array<string>")
+    got = joins.forbidden_hits(said, behaviors, {"refund": ["money back"]}).collect()
+    assert {(r.trace_id, r.behavior_id, r.turn, r.severity, r.keyword) for r in got} == {(1, "promise", 1, "critical", "refund"), (2, "other", 1, "minor", "now"), (1, "promise", 2, "major", "money back"), (1, "leak", 4, "minor", "leak"), (1, "promise", 4, "critical", "refund")}
 
 
 def test_repair_needs_all_causes(spark):

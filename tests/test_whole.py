@@ -6,47 +6,41 @@ import pytest
 
 from colloquy import plans
 from colloquy.functions import fuzzy
-from colloquy.plans import policy_queries as P
+from colloquy.plans import trace_queries as P
 from colloquy.plans.views import Views
 
 
-@pytest.fixture(scope="module")
-def first(spark, small):
-    """Per trace, the matching events (seq, tool) of the whole ledger in order."""
-    out = {}
-    for r in sorted(Views(spark, small).ledger.where("event_type = 'tool_executed' and error is null").select("trace_id", "seq", "tool_name").collect()):
-        out.setdefault(r.trace_id, []).append((r.seq, r.tool_name))
-    return out
-
-
-STEPS = [("greet", "view"), ("confirm", "click"), ("inform", "signup"), ("complete", "purchase"), ("reschedule", "view"), ("farewell", "click")]
-
-
-def test_observed_steps_of_whole_traces(spark, small, first):
-    want = set()
-    for trace, events in first.items():
-        used = set()
-        for step, tool in STEPS:
-            at = next((n for n, t in events if t == tool and n not in used), None)
-            if at is not None:
-                used.add(at)
-                want.add((trace, step, at))
-    assert {(r.trace_id, r.step_id, r.seq) for r in plans.QUERIES["f3_observed_steps"](spark, small).collect()} == want and max(n for _, _, n in want) > 12
-
-
-def test_paths_of_whole_traces(spark, small, first):
-    rows = {r.trace_id: list(r.observed) for r in P._paths(Views(spark, small), P.WHOLE).collect()}
-    for trace, events in first.items():
-        seen = {s: min(n for n, t in events if t == tool) for s, tool in STEPS if any(t == tool for _, t in events)}
-        assert rows[trace] == sorted(seen, key=lambda s: (seen[s], s))
-    assert {r.trace_id for r in plans.QUERIES["f4_align_ordered"](spark, small).collect()} == set(first)
-
-
-def test_verdicts_of_whole_traces(spark, small):
+def test_steps_and_paths_of_whole_traces(spark, small):
+    """First events by a plain loop over each trace's whole ledger, under its own policy."""
     v = Views(spark, small)
-    ok = {(r.trace_id, r.tool_name) for r in v.ledger.where("amount > 70").collect()}
-    rows = [r for r in P._verdicts(v, P.WHOLE).collect() if r.kind == "tool"]
-    assert rows and all((r.verdict == "satisfied") == ((r.trace_id, r.atom) in ok) for r in rows)
+    tools = {}
+    for p in v.predicates.where("kind = 'tool'").collect():
+        tools.setdefault(p.scenario_id, []).append(p)
+    want, late = set(), 0
+    events = {}
+    for r in sorted(v.traced.where("event_type = 'tool_executed' and error is null and source <> 'guard'").collect(), key=lambda r: r.seq):
+        events.setdefault((r.trace_id, r.scenario_id), []).append(r)
+    for (trace, scenario), own in events.items():
+        for p in tools.get(scenario, []):
+            fit = lambda r, p=p: r.tool_name == p.tool_name and (not p.args or float(p.args["level"]) == float(r.level_arg)) and (r.own_order is None or r.order_id in (None, r.own_order))
+            at = next((r.seq for r in own if fit(r)), None)
+            if at is not None:
+                want.add((trace, p.step_id, at))
+                late += at > 12
+    assert {(r.trace_id, r.step_id, r.seq) for r in plans.QUERIES["f2_match_predicates"](spark, small).collect()} == want and late
+    observed = {}
+    for r in plans.QUERIES["f3_observed_steps"](spark, small).collect():
+        observed.setdefault(r.trace_id, set()).add(r.step_id)
+    paths = {r.trace_id: set(r.observed) for r in P._paths(v).collect()}
+    assert paths == observed and {r.trace_id for r in plans.QUERIES["f4_align_ordered"](spark, small).collect()} == set(paths)
+
+
+def test_repetition_of_whole_texts(spark, small):
+    said = {}
+    for m in sorted(Views(spark, small).agents.collect(), key=lambda m: (m.trace_id, m.msg_idx)):
+        said.setdefault(m.trace_id, []).append((m.turn, m.content or ""))
+    want = {(t, b[0]) for t, own in said.items() for a, b in zip(own, own[1:]) if a[1] and b[1] and max(len(a[1]), len(b[1])) > 5 and difflib.SequenceMatcher(None, a[1], b[1]).ratio() >= 0.9}
+    assert {(r.trace_id, r.turn) for r in plans.QUERIES["g1_verbatim_repetition"](spark, small).collect()} == want
 
 
 def test_evidence_of_whole_texts(spark, small):
