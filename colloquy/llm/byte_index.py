@@ -2,10 +2,10 @@
 
 Documents are cut where their minimisers change: every 400-byte window lies in one piece, and equal windows lie in pieces
 with the same minimiser, so pieces meet in the bucket of their minimiser; a piece that a task has seen before doesn't travel again,
-and of one that stands in several places it is enough to know that. Pieces whose minimiser nothing shares hold no repeated window. All
-others get an index: the Burrows-Wheeler transform of their text in runs of equal letters, with a sampled position and match length at
-both ends of each run. Match lengths with the neighbours in suffix order fall by one from a byte to the next except where a run
-begins or ends, so streaming over the samples gives them for every byte.
+and of one that stands in several places it is enough to know that. Pieces whose minimiser nothing shares hold no repeated window.
+What different pieces have in common is found by an index: the Burrows-Wheeler transform of their text in runs of equal letters, with a
+sampled position and match length at both ends of each run. Match lengths with the neighbours in suffix order fall by one from a
+byte to the next except where a run begins or ends, so streaming over the samples gives them for every byte.
 """
 
 from __future__ import annotations
@@ -163,14 +163,14 @@ class RunIndex:
 
 def repeated_starts(strings: list[bytes], many: list[bool], window: int) -> list[np.ndarray]:
     """For each of these different strings: where windows start in it that also start elsewhere. `many`: it stands in several places,
-    so it is in the text twice."""
-    text = np.frombuffer(GAP.join([*strings, *(s for s, m in zip(strings, many) if m)]) + GAP, np.uint8)
+    so all its windows do."""
+    text = np.frombuffer(GAP.join(strings) + GAP, np.uint8)
     gaps = np.flatnonzero(text == GAP[0])
     rest = np.repeat(gaps, np.diff(np.concatenate(([-1], gaps)))) - np.arange(len(text))
     hit = np.flatnonzero(np.minimum(RunIndex(text, window).matches(), rest) >= window)
     starts = np.concatenate(([0], gaps[:-1] + 1))
     cuts = np.searchsorted(hit, np.concatenate((starts, [len(text)])))
-    return [hit[a:b] - s for a, b, s in zip(cuts[: len(strings)], cuts[1:], starts)]
+    return [np.arange(len(s) - window + 1) if m else hit[a:b] - at for s, m, a, b, at in zip(strings, many, cuts, cuts[1:], starts)]
 
 
 def starts_of_group(strings: list[bytes], many: list[bool], window: int, gram: int, limit: int) -> list[np.ndarray]:
@@ -272,8 +272,13 @@ def count_bucket(blocks: list[bytes], window: int, gram: int, limit: int):
 
     held = 0
     for group in groups.values():
-        if len(group) < 2 and not next(iter(group.values()))[0] & (TWICE | MANY):
-            continue
+        if len(group) < 2:
+            s, (flags, _) = next(iter(group.items()))
+            if not flags & (TWICE | MANY):
+                continue
+            if not flags & TWICE:  # nothing to compare it with
+                report(group, [np.arange(len(s) - window + 1)])
+                continue
         size = sum(map(len, group)) + len(group)
         if size > limit:
             report(group, starts_of_group(list(group), [bool(v[0] & MANY) for v in group.values()], window, gram, limit))
