@@ -14,14 +14,20 @@ def pair_labels(system: DataFrame, labels: DataFrame) -> DataFrame:
     return system.where("system_score is not null").join(labels.where("label is not null"), ["trace_id", "item_id"])
 
 
-def average_ranks(rows: DataFrame, value: str, name: str, *by: str) -> DataFrame:
-    """Rows with the average rank of a value.
+def average_ranks(rows: DataFrame, value: str, name: str, *by: str, ranges: int = 1024) -> DataFrame:
+    """Rows with the average rank of a numeric value.
 
-    Ranks come from counts of distinct values, so only one row per value is ordered, not one per row.
+    Ranks come from counts of distinct values. These are dealt to ranges of equal width between the least and the largest value, each
+    ordered by itself, so that no task orders them all; only one sum per range is added up in order.
     """
     counts = rows.groupBy(*by, value).agg(F.count("*").alias("_c"))
-    below = F.sum("_c").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranks = counts.select(*by, value, (below - (F.col("_c") - 1) / 2).alias(name))
+    span = counts.groupBy(*by).agg(F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"))
+    placed = counts.join(span, list(by)) if by else counts.join(F.broadcast(span))  # one row
+    placed = placed.withColumn("_r", F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * ranges)).otherwise(0))
+    before = Window.partitionBy(*by).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy(*by, "_r").agg(F.sum("_c").alias("_n")).select(*by, "_r", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    below = F.sum("_c").over(Window.partitionBy(*by, "_r").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranks = placed.withColumn("_below", below).join(sums, [*by, "_r"]).select(*by, value, (F.col("_before") + F.col("_below") - (F.col("_c") - 1) / 2).alias(name))
     return rows.join(ranks, [*by, value])
 
 
@@ -88,16 +94,45 @@ def grade_confusion(pairs: DataFrame, a: Column, b: Column) -> DataFrame:
     return pairs.select(grade(a).alias("grade"), grade(b).alias("g2")).groupBy("grade").pivot("g2", ["A", "B", "C", "D"]).agg(F.count(F.lit(1)))
 
 
-def bootstrap_ci(pairs: DataFrame, metric: Callable[[], Column], n: int = 200, seed: int = 7, level: float = 0.95) -> DataFrame:
-    """low, mid, high: percentile interval of an aggregate under Poisson resampling.
+#: Where the distribution function of a Poisson variable with mean 1 steps up: fixed values.
+POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
 
-    Each row gets, for each replicate, a count that follows from hashes of its id, the replicate and the seed, so draws don't depend
-    on how rows are dealt out and no row is ever repeated in the data: the aggregate uses the column `weight`.
-    """
-    u = (F.xxhash64("row_id", "rep", F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)).alias("u")
-    steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-    drawn = pairs.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("u", u)
-    drawn = drawn.withColumn("weight", sum(((F.col("u") >= s).cast("int") for s in steps), F.lit(0)))
-    values = drawn.groupBy("rep").agg(metric().alias("value"))
+
+def poisson_weight(row_id: str, replicate: int, seed: int) -> Column:
+    """How often a row is drawn in a replicate: a count that follows from hashes of its id, the replicate and the seed, so draws don't
+    depend on how rows are dealt out."""
+    u = F.xxhash64(row_id, F.lit(replicate), F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
+    return F.aggregate(F.array(*map(F.lit, POISSON)), F.lit(0), lambda n, s: n + (u >= s).cast("int"))
+
+
+def interval(values: DataFrame, level: float) -> DataFrame:
     low = (1 - level) / 2
     return values.agg(*(F.percentile("value", F.lit(q)).alias(name) for q, name in ((low, "low"), (0.5, "mid"), (1 - low, "high"))))
+
+
+def bootstrap_ci(pairs: DataFrame, metric: Callable[[Column], Column], n: int = 200, seed: int = 7, level: float = 0.95) -> DataFrame:
+    """low, mid, high: percentile interval of an aggregate under Poisson resampling.
+
+    `metric(weight)` is the aggregate with rows weighted. One pass over the rows (with row_id) works out all replicates; no row is repeated.
+    """
+    wide = pairs.agg(F.array(*(metric(poisson_weight("row_id", i, seed)) for i in range(n))).alias("v"))
+    return interval(wide.select(F.explode("v").alias("value")), level)
+
+
+def bootstrap_spearman(pairs: DataFrame, a: str, b: str, n: int = 200, seed: int = 7, level: float = 0.95) -> DataFrame:
+    """low, mid, high: percentile interval of the rank correlation of two scores under Poisson resampling.
+
+    One pass over the rows (with row_id) counts each combination of scores in every replicate; ranks are worked out from these counts, a
+    row per replicate and combination.
+    """
+    cells = pairs.groupBy(F.col(a).alias("x"), F.col(b).alias("y")).agg(F.array(*(F.sum(poisson_weight("row_id", i, seed)) for i in range(n))).alias("w"))
+    long = cells.select("x", "y", F.posexplode("w").alias("rep", "w")).where("w > 0")
+    for c in "xy":
+        sums = long.groupBy("rep", c).agg(F.sum("w").alias("m"))
+        upto = F.sum("m").over(Window.partitionBy("rep").orderBy(c).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        long = long.join(sums.select("rep", c, (upto - (F.col("m") - 1) / 2).alias(f"r{c}")), ["rep", c])
+    m = lambda e: F.sum(F.col("w") * e) / F.sum("w")
+    x, y = F.col("rx"), F.col("ry")
+    g = long.groupBy("rep").agg(m(x * y).alias("xy"), m(x).alias("mx"), m(y).alias("my"), m(x * x).alias("xx"), m(y * y).alias("yy"))
+    spread = F.sqrt((F.col("xx") - F.col("mx") ** 2) * (F.col("yy") - F.col("my") ** 2))
+    return interval(g.select(F.when(spread > 0, (F.col("xy") - F.col("mx") * F.col("my")) / spread).alias("value")), level)

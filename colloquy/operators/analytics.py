@@ -50,6 +50,23 @@ def guard_delta(runs: DataFrame) -> DataFrame:
     return runs.agg(on.alias("on"), off.alias("off"), (on - off).alias("delta"))
 
 
+def compliance_section(runs: DataFrame, steps: DataFrame, k: int = 10) -> tuple[DataFrame, DataFrame]:
+    """The stat block of step compliance over all runs, and the k steps (step_id, n) that were skipped, missed or not reached most often."""
+    return stat_block(runs, "step"), top_k(steps.where("status in ('skipped', 'missed', 'not_reached')"), "step_id", k)
+
+
+def failure_section(diagnoses: DataFrame, k: int = 10) -> tuple[DataFrame, DataFrame]:
+    """The k most frequent failure modes (mode, n) and the number of runs of each severity, from diagnoses (modes: an array, severity)."""
+    modes = top_k(diagnoses.select(F.explode("modes").alias("mode")), "mode", k)
+    return modes, diagnoses.where("severity is not null").groupBy("severity").agg(F.count("*").alias("n"))
+
+
+def safety_section(runs: DataFrame) -> DataFrame:
+    """violations, traces (with any), blocks: totals of runs (violations, blocks; null counts as none)."""
+    v = F.coalesce("violations", F.lit(0))
+    return runs.agg(F.sum(v).alias("violations"), F.count_if(v > 0).alias("traces"), F.sum(F.coalesce("blocks", F.lit(0))).alias("blocks"))
+
+
 def recommendations(runs: DataFrame) -> DataFrame:
     """scenario, advice: what the thresholds on a scenario's means say."""
     g = runs.groupBy("scenario").agg(F.avg("overall").alias("o"), F.avg("step").alias("s"), F.avg("branch").alias("b"))
@@ -63,11 +80,26 @@ def model_matrix(runs: DataFrame, scenarios: list[str]) -> DataFrame:
     return runs.groupBy(label.alias("label")).pivot("scenario", scenarios).agg(F.avg("overall"))
 
 
+#: Tokens of a turn and price per 1000 tokens where no calls were counted: fixed values.
+TOKENS_PER_TURN, FALLBACK_PRICE = 800, 0.01
+
+
 def overview(checks: DataFrame) -> DataFrame:
     """Share of rule checks, mean score and passed share over all checks."""
     return checks.agg(F.avg((F.col("check_type") == "rule").cast("double")).alias("rule_share"), F.avg("score").alias("mean"), F.avg(F.col("passed").cast("double")).alias("passed"))
 
 
+def estimated_cost(runs: DataFrame, counted: DataFrame, prices: DataFrame) -> DataFrame:
+    """cost, counted (runs with counted calls), runs: what all runs cost.
+
+    A run has the cost of its counted calls (trace_id, calls, cost) if there are any; otherwise its turns at so many tokens each, at its
+    model's price per 1000 tokens (model, per_1k) or the default.
+    """
+    rows = runs.join(counted.where("calls > 0").select("trace_id", "cost"), "trace_id", "left").join(prices, "model", "left")
+    guess = F.col("turns") * TOKENS_PER_TURN / 1000 * F.coalesce("per_1k", F.lit(FALLBACK_PRICE))
+    return rows.agg(F.sum(F.coalesce("cost", guess)).alias("cost"), F.count("cost").alias("counted"), F.count("*").alias("runs"))
+
+
 def pass_k(runs: DataFrame, threshold: float = 0.6, k: int = 4, least: int = 1) -> DataFrame:
     """scenario, model, k, value: (share of passing runs) to the power k, of groups with `least` runs."""
     g = runs.groupBy("scenario", "model").agg(F.avg((F.col("overall") >= threshold).cast("double")).alias("p"), F.count("*").alias("n")).where(F.col("n") >= least)
@@ -85,11 +117,24 @@ def ablation(runs: DataFrame, weights: dict[str, float] = OBJECTIVE_WEIGHTS) ->
     return long.select("r.*")
 
 
-def guard_matrix(runs: DataFrame) -> DataFrame:
-    """model, bare, guard, delta, rescued (share of guarded runs of 0.6 or more)."""
-    g = F.col("has_guard")
-    bare, guard = F.avg(F.when(~g, F.col("overall"))), F.avg(F.when(g, F.col("overall")))
-    return runs.groupBy("model").agg(bare.alias("bare"), guard.alias("guard"), (guard - bare).alias("delta"), F.avg(F.when(g, (F.col("overall") >= 0.6).cast("double"))).alias("rescued"))
+#: Arms of the guard experiment, by columns has_guard and adaptive.
+ARM = "case when adaptive then 'adaptive' when has_guard then 'guard' else 'bare' end"
+
+
+def guard_matrix(runs: DataFrame, *by: str) -> DataFrame:
+    """model (or `by`), bare, guard, adaptive (means of the arms), delta (guard - bare), rescue (delta in percent of bare)."""
+    arm = lambda name: F.avg(F.when(F.expr(ARM) == name, F.col("overall")))
+    g = runs.groupBy(*(by or ("model",))).agg(*(arm(a).alias(a) for a in ("bare", "guard", "adaptive")))
+    delta = F.col("guard") - F.col("bare")
+    return g.withColumns({"delta": delta, "rescue": F.when(F.col("bare") > 0, delta / F.col("bare") * 100)})
+
+
+def guard_error_rates(runs: DataFrame, least_compliance: float = 0.8) -> DataFrame:
+    """kind, bare, guard: errors per run without and with the guard, of runs (has_guard, opening_ok, closing_ok, violations, step)."""
+    kinds = {"opening_wrong": (~F.coalesce("opening_ok", F.lit(False))).cast("double"), "closing_wrong": (~F.coalesce("closing_ok", F.lit(False))).cast("double"), "forbidden_word": F.coalesce("violations", F.lit(0)).cast("double"),
+             "step_incomplete": (F.coalesce("step", F.lit(0.0)) < least_compliance).cast("double")}
+    rows = runs.select("has_guard", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), e.alias("n")) for k, e in kinds.items()))).alias("e"))
+    return rows.groupBy("e.kind").agg(F.coalesce(F.avg(F.when(~F.col("has_guard"), F.col("e.n"))), F.lit(0.0)).alias("bare"), F.coalesce(F.avg(F.when(F.col("has_guard"), F.col("e.n"))), F.lit(0.0)).alias("guard"))
 
 
 def repeat_stats(runs: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,37 +14,46 @@ def draw(seed: int, *ids: str) -> Column:
     return F.xxhash64(*ids, F.lit(seed))
 
 
+#: Strata of scores: name and lower bound, fixed values.
+STRATA = [("severe", 0.0), ("weak", 0.4), ("borderline", 0.6), ("pass", 0.8)]
+
+
 def stratified_sample(runs: DataFrame, n: int, seed: int, per_scenario: int = 3, per_model: int = 6) -> DataFrame:
-    """trace_id, stratum, blind_id of n runs: strata of 0.25 in turn, scarcest first, with caps per scenario and model.
+    """trace_id, stratum, blind_id, short of n runs (trace_id, scenario, model, overall, active).
 
-    Candidates are first cut to the caps in each (stratum, scenario, model); only that small cut, whose size follows from n and the number of
-    scenarios and models, is walked through greedily.
+    Strata are filled in turn, the scarcest first, each with its share of n: runs with tool calls or database activity (`active`) come first,
+    then by draw, with caps per scenario and model over all. What is missing is topped up from any stratum. `short` says how
+    many runs the stratum lacked before that. Candidates are first cut to the caps in each (stratum, scenario, model), which loses none that the
+    caps let in; only that cut, whose size follows from the number of scenarios and models, is walked through.
     """
-    stratum = F.least(F.floor(F.col("overall") * 4), F.lit(3)).cast("int")
-    rows = runs.where("overall is not null").select("trace_id", "scenario", "model", stratum.alias("stratum"), draw(seed, "trace_id").alias("d"))
-    sizes = rows.groupBy("stratum").agg(F.count("*").alias("size"))
-    w = Window.partitionBy("stratum", "scenario", "model").orderBy("d", "trace_id")
+    named = F.expr("case " + " ".join(f"when overall >= {low} then '{name}'" for name, low in reversed(STRATA)) + " end")
+    rows = runs.where("overall is not null").select("trace_id", "scenario", "model", named.alias("stratum"), (~F.coalesce("active", F.lit(False))).alias("idle"), draw(seed, "trace_id").alias("d"))
+    sizes = rows.groupBy("stratum").agg(F.count("*").alias("size"))  # four rows
+    w = Window.partitionBy("stratum", "scenario", "model").orderBy("idle", "d", "trace_id")
     cut = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= min(per_scenario, per_model)).join(F.broadcast(sizes), "stratum")
 
     def greedy(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["size", "stratum", "d", "trace_id"])
-        taken, by_scenario, by_model, by_stratum = [], {}, {}, {}
-        quota = -(-n // max(1, part["stratum"].nunique()))
-        for second in (False, True):  # the second round tops up
-            for r in part.itertuples(index=False):
-                if len(taken) >= n:
+        share, taken, counts = max(1, n // len(STRATA)), {}, Counter()
+        short = {}
+
+        def take(rows: pd.DataFrame, most: int) -> int:
+            got = 0
+            for r in rows.itertuples(index=False):
+                if got == most:
                     break
-                if r.trace_id in {t[0] for t in taken} or by_scenario.get((r.stratum, r.scenario), 0) >= per_scenario or by_model.get((r.stratum, r.model), 0) >= per_model:
-                    continue
-                if not second and by_stratum.get(r.stratum, 0) >= quota:
-                    continue
-                taken.append((r.trace_id, r.stratum, r.d))
-                for counts, key in ((by_scenario, (r.stratum, r.scenario)), (by_model, (r.stratum, r.model)), (by_stratum, r.stratum)):
-                    counts[key] = counts.get(key, 0) + 1
-        taken.sort(key=lambda t: (t[2], t[0]))
-        return pd.DataFrame([(t, s, f"B{i:03d}") for i, (t, s, _) in enumerate(taken, 1)], columns=["trace_id", "stratum", "blind_id"])
-
-    return cut.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(greedy, "trace_id long, stratum int, blind_id string")
+                if r.trace_id not in taken and counts["s", r.scenario] < per_scenario and counts["m", r.model] < per_model:
+                    taken[r.trace_id] = (r.d, r.stratum)
+                    counts.update([("s", r.scenario), ("m", r.model)])
+                    got += 1
+            return got
+
+        for (_, stratum), pool in part.groupby(["size", "stratum"], sort=True):
+            short[stratum] = share - take(pool.sort_values(["idle", "d", "trace_id"]), share)
+        take(part.sort_values(["d", "trace_id"]), n - len(taken))
+        order = sorted(taken, key=lambda t: (taken[t][0], t))
+        return pd.DataFrame([(t, taken[t][1], f"B{i:03d}", short[taken[t][1]]) for i, t in enumerate(order, 1)], columns=["trace_id", "stratum", "blind_id", "short"])
+
+    return cut.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(greedy, "trace_id long, stratum string, blind_id string, short long")
 
 
 def anchors_by_level(items: DataFrame, by: str, score: str) -> DataFrame:

@@ -47,6 +47,49 @@ def j2_guard(v):
     return rounded(A.guard_delta(v.runs))
 
 
+MISSED = "CASE WHEN overall < 0.3 THEN 'skipped' WHEN overall < 0.5 THEN 'missed' ELSE 'completed' END"
+
+
+@query("j2_step_compliance", duck("runs") + f"SELECT {rd('avg(step)', 'mean')}, {rd('min(step)', 'min')}, {rd('max(step)', 'max')}, {rd('median(step)', 'median')}, count(step) AS n FROM runs")
+def j2_steps(v):
+    return rounded(A.compliance_section(v.runs, _steps(v))[0], "n")
+
+
+@query("j2_skipped_steps", duck("runs") + "SELECT model AS step_id, count(*) AS n FROM runs WHERE overall < 0.5 GROUP BY 1 ORDER BY n DESC, step_id LIMIT 3")
+def j2_skipped(v):
+    return A.compliance_section(v.runs, _steps(v), 3)[1]
+
+
+def _steps(v):
+    """Every run stands for one step of its trace, named like its model."""
+    return v.runs.select(F.col("model").alias("step_id"), F.expr(MISSED).alias("status"))
+
+
+MODES = "list_filter([CASE WHEN step < 0.4 THEN 'step_skipping' END, CASE WHEN hard < 0.3 THEN 'tool_avoidance' END, CASE WHEN branch < 0.5 THEN 'branch_error' END], lambda x: x IS NOT NULL)"
+
+
+def _diagnoses(v):
+    modes = F.array_compact(F.expr("array(if(step < 0.4, 'step_skipping', null), if(hard < 0.3, 'tool_avoidance', null), if(branch < 0.5, 'branch_error', null))"))
+    return v.runs.select("trace_id", modes.alias("modes"), F.expr("case when hard < 0.2 then 'high' when hard < 0.6 then 'medium' end").alias("severity"))
+
+
+@query("j2_failure_modes", duck("runs") + f"SELECT mode, count(*) AS n FROM (SELECT unnest({MODES}) AS mode FROM runs) GROUP BY mode ORDER BY n DESC, mode LIMIT 10")
+def j2_failures(v):
+    return A.failure_section(_diagnoses(v))[0]
+
+
+@query("j2_severities", duck("runs", "s AS (SELECT CASE WHEN hard < 0.2 THEN 'high' WHEN hard < 0.6 THEN 'medium' END AS severity FROM runs)") + "SELECT severity, count(*) AS n FROM s WHERE severity IS NOT NULL GROUP BY 1")
+def j2_severities(v):
+    return A.failure_section(_diagnoses(v))[1]
+
+
+@query("j2_safety", duck("checks", "t AS (SELECT trace_id, count(*) FILTER (WHERE severity = 'critical' AND NOT passed) AS v, count(*) FILTER (WHERE status = 'F') AS b FROM checks GROUP BY 1)")
+       + "SELECT CAST(sum(v) AS BIGINT) AS violations, count(*) FILTER (WHERE v > 0) AS traces, CAST(sum(b) AS BIGINT) AS blocks FROM t")
+def j2_safety(v):
+    runs = v.checks.groupBy("trace_id").agg(F.count_if((F.col("severity") == "critical") & ~F.col("passed")).alias("violations"), F.count_if(F.col("status") == "F").alias("blocks"))
+    return A.safety_section(runs)
+
+
 @query("j3_recommendations", duck("runs") + """SELECT scenario, concat_ws(',', CASE WHEN avg(overall) < 0.55 THEN 'raise_overall' END, CASE WHEN avg(step) < 0.505 THEN 'follow_steps' END, CASE WHEN avg(branch) < 0.505 THEN 'check_branches' END) AS advice FROM runs GROUP BY scenario""")
 def j3(v):
     return A.recommendations(v.runs)
@@ -62,6 +105,20 @@ def j5(v):
     return rounded(A.overview(v.checks))
 
 
+@query("j5_top_failures", duck("runs") + f"SELECT mode, count(*) AS n FROM (SELECT unnest({MODES}) AS mode FROM runs) GROUP BY mode ORDER BY n DESC, mode LIMIT 5")
+def j5_failures(v):
+    return A.failure_section(_diagnoses(v), 5)[0]
+
+
+@query("j5_estimated_cost", duck("runs", "c AS (SELECT o_custkey AS trace_id, count(*) AS calls, sum(o_totalprice) / 1e6 AS cost FROM orders GROUP BY 1)") + f"""SELECT {rd("sum(coalesce(c.cost, (cust % 30) * 800 / 1000.0 * CASE model WHEN '1-URGENT' THEN 0.015 WHEN '2-HIGH' THEN 0.002 ELSE 0.01 END))", 'cost')},
+    count(c.cost) AS counted, count(*) AS runs FROM runs r LEFT JOIN c ON c.trace_id = r.trace_id""")
+def j5_cost(v):
+    """Runs whose id is also a customer's have counted calls: that customer's orders."""
+    counted = v.table("orders").groupBy(F.col("o_custkey").alias("trace_id")).agg(F.count("*").alias("calls"), (F.sum("o_totalprice") / 1e6).alias("cost"))
+    prices = v.values("model string, per_1k double", [("1-URGENT", 0.015), ("2-HIGH", 0.002)])
+    return rounded(A.estimated_cost(v.runs.withColumn("turns", F.col("cust") % 30), counted, prices), "counted", "runs")
+
+
 @query("j6_pass_k", duck("runs", "p AS (SELECT scenario, model, avg(CASE WHEN overall >= 0.6 THEN 1.0 ELSE 0.0 END) AS p FROM runs GROUP BY ALL)")
        + f"SELECT scenario, model, CAST(k AS INTEGER) AS k, {rd('pow(p, k)', 'value')} FROM p, range(1, 5) r(k)")
 def j6(v):
@@ -82,10 +139,30 @@ def j7(v):
     return rounded(A.ablation(v.runs), "config")
 
 
-@query("j8_guard_matrix", duck("runs") + f"""SELECT model, {rd('avg(overall) FILTER (WHERE NOT has_guard)', 'bare')}, {rd('avg(overall) FILTER (WHERE has_guard)', 'guard')},
-    {rd('avg(overall) FILTER (WHERE has_guard) - avg(overall) FILTER (WHERE NOT has_guard)', 'delta')}, {rd('avg(CASE WHEN overall >= 0.6 THEN 1.0 ELSE 0.0 END) FILTER (WHERE has_guard)', 'rescued')} FROM runs GROUP BY model""")
+def _arms(keys: str) -> str:
+    """Means of the three arms by these keys, in SQL."""
+    mean = {"bare": "avg(overall) FILTER (WHERE NOT has_guard AND cust % 4 > 0)", "guard": "avg(overall) FILTER (WHERE has_guard AND cust % 4 > 0)", "adaptive": "avg(overall) FILTER (WHERE cust % 4 = 0)"}
+    return (f"SELECT {keys}, " + ", ".join(rd(e, n) for n, e in mean.items()) + f", {rd(mean['guard'] + ' - ' + mean['bare'], 'delta')}, {rd('(' + mean['guard'] + ' - ' + mean['bare'] + ') / ' + mean['bare'] + ' * 100', 'rescue')}"
+            f" FROM runs GROUP BY {keys}")
+
+
+@query("j8_guard_matrix", duck("runs") + _arms("model"))
 def j8(v):
-    return rounded(A.guard_matrix(v.runs), "model")
+    return rounded(A.guard_matrix(v.runs.withColumn("adaptive", F.expr("cust % 4 = 0"))), "model")
+
+
+@query("j8_scenario_matrix", duck("runs") + _arms("scenario, model"))
+def j8_scenarios(v):
+    return rounded(A.guard_matrix(v.runs.withColumn("adaptive", F.expr("cust % 4 = 0")), "scenario", "model"), "scenario", "model")
+
+
+ERRORS = [("opening_wrong", "CASE WHEN cust % 7 = 1 THEN 0.0 ELSE 1.0 END"), ("closing_wrong", "CASE WHEN cust % 5 > 1 THEN 0.0 ELSE 1.0 END"), ("forbidden_word", "cust % 3"), ("step_incomplete", "CASE WHEN step < 0.8 THEN 1.0 ELSE 0.0 END")]
+
+
+@query("j8_error_rates", duck("runs") + " UNION ALL ".join(f"SELECT '{k}' AS kind, {rd(f'coalesce(avg({e}) FILTER (WHERE NOT has_guard), 0)', 'bare')}, {rd(f'coalesce(avg({e}) FILTER (WHERE has_guard), 0)', 'guard')} FROM runs" for k, e in ERRORS))
+def j8_errors(v):
+    rows = v.runs.selectExpr("has_guard", "step", "nullif(cust % 7 = 1, false) AS opening_ok", "cust % 5 > 1 AS closing_ok", "nullif(cust % 3, 0) AS violations")
+    return rounded(A.guard_error_rates(rows), "kind")
 
 
 @query("j9_repeat_stats", duck("runs") + f"SELECT scenario, {rd('avg(overall)', 'mean')}, {rd('stddev_samp(overall)', 'stdev')}, {rd('min(overall)', 'min')}, {rd('max(overall)', 'max')}, count(overall) AS n FROM runs GROUP BY ROLLUP (scenario)")
@@ -199,11 +276,20 @@ def j21(v):
     return G.grade_confusion(v.runs, F.col("overall") * 100, F.col("hard") * 100)
 
 
+def _rows(v):
+    return v.pairs.select(F.xxhash64("trace_id", "item_id", "system_score", "label").alias("row_id"), "system_score", "label", F.abs(F.col("system_score") - F.col("label")).alias("d"))
+
+
 @query("j22_bootstrap_ci")
 def j22(v):
     """No SQL: the draws are hashes of Spark's. Tests check the interval against the exact metric."""
-    rows = v.pairs.select(F.xxhash64("trace_id", "item_id", "system_score", "label").alias("row_id"), F.abs(F.col("system_score") - F.col("label")).alias("d"))
-    return G.bootstrap_ci(rows, lambda: F.sum(F.col("d") * F.col("weight")) / F.sum("weight"), n=50)
+    return G.bootstrap_ci(_rows(v), lambda w: F.sum(F.col("d") * w) / F.sum(w), n=50)
+
+
+@query("j22_bootstrap_spearman")
+def j22_spearman(v):
+    """No SQL, as above."""
+    return G.bootstrap_spearman(_rows(v), "system_score", "label", n=50)
 
 
 @query("j23_naive_baseline", duck("messages", """g AS (SELECT trace_id, sum(CASE WHEN contains(lower(content), 'thth') THEN 1 ELSE 0 END + CASE WHEN contains(lower(content), 'keit') THEN 1 ELSE 0 END) AS bad,
@@ -288,7 +374,7 @@ def c8(v):
 @query("k1_stratified_sample")
 def k1(v):
     """No SQL: a greedy walk over a seeded cut; tests check caps, strata and size."""
-    return K.stratified_sample(v.runs, 30, seed=11)
+    return K.stratified_sample(v.runs.withColumn("active", F.expr("cust % 4 = 1")), 30, seed=11)
 
 
 @query("k2_anchors_by_level", duck("runs", "r AS (SELECT model, trace_id, overall, row_number() OVER (PARTITION BY model ORDER BY overall, trace_id) AS r, count(*) OVER (PARTITION BY model) AS n FROM runs)")

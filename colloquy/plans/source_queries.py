@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as T
@@ -70,6 +71,21 @@ def a6(v):
     return A.read_jsonl(v.spark, path, "trace_id long, scenario string")
 
 
+@query("a6_fingerprint", """WITH h AS (SELECT sha256(concat('{"scenario":"', o_orderstatus, '","trace_id":', CAST(o_orderkey AS VARCHAR), '}')) AS h FROM orders), a AS (SELECT left(h, 6) AS p, h FROM h),
+    b AS (SELECT left(p, 4) AS p, sha256(string_agg(h, '' ORDER BY p, h)) AS h FROM a GROUP BY left(p, 4)), c AS (SELECT left(p, 2) AS p, sha256(string_agg(h, '' ORDER BY p, h)) AS h FROM b GROUP BY left(p, 2))
+    SELECT sha256(string_agg(h, '' ORDER BY p, h)) AS fingerprint, true AS refused FROM c""")
+def a6_fingerprint(v):
+    """The fingerprint, and whether a second write of the same predictions is refused."""
+    path, rows = shared_path(v.spark, "locked"), v.runs.select("trace_id", "scenario")
+    first = A.write_locked(rows, path, "trace_id")
+    try:
+        A.write_locked(rows, path, "trace_id")
+        refused = False
+    except AnalysisException:
+        refused = True
+    return A.fingerprint(A.read_jsonl(v.spark, path, "trace_id long, scenario string"), "trace_id").where(F.col("fingerprint") == first).withColumn("refused", F.lit(refused))
+
+
 @query("a7_rescore_in_place", "SELECT concat('t', CAST(conv_id AS VARCHAR)) AS trace_id, concat('s', CAST(any_value(conv_id % 7) AS VARCHAR)) AS scenario_id, " + rd("CASE WHEN conv_id % 2 = 0 THEN 0.5 ELSE count(*) / 10.0 END", "hard") + " FROM conversations WHERE conv_id % 10 < 9 GROUP BY conv_id")
 def a7(v):
     docs = A.read_traces(v.spark, _documents(v, "rescored"), multiline=False)

@@ -77,16 +77,19 @@ def ledger(traces: DataFrame) -> DataFrame:
 
 
 def write_locked(df: DataFrame, path: str, key: str, force: bool = False) -> str:
-    """Write predictions once; an existing path is an error unless forced. Returns the SHA-256 of all rows' hashes in order of the key's hash."""
+    """Write predictions once; an existing path is an error unless forced. Returns their fingerprint."""
     df.write.mode("overwrite" if force else "errorifexists").json(path)
     return fingerprint(df, key).first()["fingerprint"]
 
 
 def fingerprint(df: DataFrame, key: str) -> DataFrame:
-    """fingerprint: rows are hashed, hashes of each of 256 leading bytes joined in order, and those 256 joined; no task sees all rows."""
-    h = df.select(F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256).alias("h"))
-    parts = h.groupBy(F.substring("h", 1, 2).alias("p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
-    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "h"))), lambda x: x["h"]), ""), 256).alias("fingerprint"))
+    """fingerprint of the rows, whatever their order: rows are hashed, and a tree of hashes is built over the leading digits of these, so
+    that each node joins the hashes of a small part of the rows."""
+    h = df.select(F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256).alias("h")).withColumn("p", F.substring("h", 1, 6))
+    for digits in (4, 2, 0):
+        own = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "h"))), lambda x: x["h"]), "")
+        h = h.withColumn("q", F.substring("p", 1, digits)).groupBy(F.col("q").alias("p")).agg(F.sha2(own, 256).alias("h"))
+    return h.select(F.col("h").alias("fingerprint"))
 
 
 def rescore_in_place(traces: DataFrame, scores: DataFrame) -> DataFrame:

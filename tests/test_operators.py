@@ -1,6 +1,7 @@
 """Hand-computed rows for operators that SQL can't express, and invariants."""
 
 import itertools
+import collections
 import random
 
 import pytest
@@ -134,8 +135,13 @@ def test_sampling(spark, small):
     from colloquy.plans.views import Views
 
     v = Views(spark, small)
-    rows = sampling.stratified_sample(v.runs, 20, 3).join(v.runs, "trace_id").collect()
+    runs = v.runs.withColumns({"active": F.expr("cust % 4 = 1"), "scenario": F.concat("scenario", (F.col("cust") % 9).cast("string")), "model": F.concat("model", (F.col("cust") % 2).cast("string"))})
+    rows = sampling.stratified_sample(runs, 20, 3).join(runs, "trace_id").collect()
     assert len(rows) == 20 and len({r.blind_id for r in rows}) == 20
+    for key, most in (("scenario", 3), ("model", 6)):
+        assert max(collections.Counter(r[key] for r in rows).values()) <= most
+    bound = {"severe": 0.0, "weak": 0.4, "borderline": 0.6, "pass": 0.8}
+    assert all(r.overall >= bound[r.stratum] for r in rows) and {r.stratum for r in rows} == set(bound) and sum(r.active for r in rows) > 10
     n = v.runs.count()
     assert sorted(r.blind_id for r in sampling.blind_ids(v.runs, 1).collect()) == list(range(1, n + 1))
     traps = sampling.insert_traps(v.pairs.withColumn("row_id", F.xxhash64("trace_id", "item_id", "system_score", "label")), 8, 1).where("trap").collect()
@@ -143,9 +149,23 @@ def test_sampling(spark, small):
 
 
 def test_bootstrap_covers_the_mean(spark):
-    df = spark.range(2000).select(F.col("id").alias("row_id"), (F.col("id") % 10).cast("double").alias("d"))
-    r = agreement.bootstrap_ci(df, lambda: F.sum(F.col("d") * F.col("weight")) / F.sum("weight"), n=60).first()
+    df = spark.range(2000).select(F.col("id").alias("row_id"), (F.col("id") % 10).cast("double").alias("d"), (F.col("id") % 10 + F.col("id") % 3).alias("e"))
+    r = agreement.bootstrap_ci(df, lambda w: F.sum(F.col("d") * w) / F.sum(w), n=60).first()
     assert r.low < 4.5 < r.high and r.high - r.low < 0.5
+    exact = agreement.human_agreement(df.select(F.col("d").alias("system_score"), F.col("e").alias("label"))).first().spearman
+    r = agreement.bootstrap_spearman(df, "d", "e", n=60).first()
+    assert r.low < exact < r.high and r.high - r.low < 0.05
+
+
+def test_ranks_of_many_values(spark):
+    import pandas as pd
+
+    r = random.Random(3)
+    values = [r.choice([r.random(), r.gauss(0, 100), 5.0, float(r.randrange(4))]) for _ in range(3000)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id long, v double")
+    want = pd.Series(values).rank(method="average").tolist()
+    for ranges in (1, 1024):
+        assert [x.r for x in agreement.average_ranks(df, "v", "r", ranges=ranges).orderBy("id").collect()] == pytest.approx(want)
 
 
 def test_entity_swap_permutes(spark):
