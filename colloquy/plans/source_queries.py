@@ -177,6 +177,16 @@ def n6(v):
     return rounded(rows, "trace_id", "start_us", "events", "errors")
 
 
+@query("n6_stream_session_scores", f"""WITH g AS (SELECT user_id AS trace_id, ts, event_type, value, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 6 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    s AS (SELECT *, sum(new) OVER (PARTITION BY trace_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
+    SELECT trace_id, CAST(epoch_us(min(ts)) AS BIGINT) AS start_us, count(*) AS events, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS errors, {rd('sum(value)', 'total')} FROM s GROUP BY trace_id, n
+    HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+def n6_stream(v):
+    """As a stream: a session is given once the watermark has passed its end."""
+    rows = N.drained(N.session_scores(_events(v), "6 hours"), "sessions").select("trace_id", F.expr("unix_micros(session_start)").alias("start_us"), "events", "errors", "total")
+    return rounded(rows, "trace_id", "start_us", "events", "errors")
+
+
 @query("n7_violation_rate", f"SELECT CAST(epoch_us(date_trunc('day', ts)) AS BIGINT) AS start_us, event_type AS tool_name, count(*) AS events, {rd('avg(CASE WHEN value > 70 THEN 1.0 ELSE 0.0 END)', 'rate')} FROM events GROUP BY ALL")
 def n7(v):
     made = N.drained(N.violation_rate(_events(v), F.col("amount") > 70), "rates", "complete")
@@ -194,4 +204,4 @@ def n8(v):
 def n9(v):
     k = F.get_json_object("props", "$.k").cast("long")
     rows = v.table("events").select(F.col("user_id").alias("trace_id"), "event_id", "ts", (F.col("value") > 70).alias("violation"), (k % 5 == 0).alias("safety"))
-    return rounded(N.intervention_summary(N.batch(rows, N.guard_budget(), ["ts", "event_id"], (0, 0, "full"), N.BUDGET)), "action", "n")
+    return rounded(N.intervention_summary(N.guard_actions(rows)), "action", "n")

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from colloquy.functions.text import any_of
@@ -156,6 +157,13 @@ def dedup_events(events: DataFrame, keys: list[str], within: str = "1 day") -> D
     return events.dropDuplicates(keys)
 
 
+def guard_actions(events: DataFrame, budget: int = 6) -> DataFrame:
+    """The actions of `guard_budget` on a table, by a window in each trace: the first `budget` violations are blocked, later ones if
+    safety asks for it. `events` (trace_id, violation, safety and the order ts, event_id)."""
+    nth = F.sum(F.col("violation").cast("long")).over(Window.partitionBy("trace_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return events.withColumn("action", F.when(~F.col("violation"), "pass").when((nth > budget) & ~F.col("safety"), "skip").otherwise("block"))
+
+
 def intervention_summary(actions: DataFrame) -> DataFrame:
     """action, n, per_100 events."""
     total = actions.agg(F.count("*").alias("total"))
