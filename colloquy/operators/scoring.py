@@ -114,9 +114,12 @@ def response_length_score(messages: DataFrame, limit: int) -> DataFrame:
 
 
 def required_tool_checks(calls: DataFrame, traces: DataFrame, required: DataFrame) -> DataFrame:
-    """trace_id, tool_name, status: succeeded, failed (tried in vain) or not_called, for each required tool."""
+    """trace_id, tool_name, status: succeeded, failed (tried in vain) or not_called, for each tool that the trace's policy requires.
+
+    `traces` has trace_id and scenario_id, `required` scenario_id and tool_name.
+    """
     seen = calls.groupBy("trace_id", "tool_name").agg(F.bool_or("ok").alias("ok"))
-    wanted = traces.select("trace_id").distinct().join(F.broadcast(required.select("tool_name").distinct()))
+    wanted = traces.select("trace_id", "scenario_id").distinct().join(required.select("scenario_id", "tool_name").distinct(), "scenario_id")
     return wanted.join(seen, ["trace_id", "tool_name"], "left").select(
         "trace_id", "tool_name", F.when(F.col("ok"), "succeeded").when(F.col("ok").isNotNull(), "failed").otherwise("not_called").alias("status")
     )

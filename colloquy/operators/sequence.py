@@ -110,9 +110,9 @@ def final_state(rows: DataFrame, least: int, budget: float) -> DataFrame:
 
 
 def constraint_tool_usage(required: DataFrame, ledger: DataFrame) -> DataFrame:
-    """trace_id, constraint_id, used: was the constraint's tool called at all?"""
+    """trace_id, constraint_id, used: was the tool of each of the policy's constraints (scenario_id, constraint_id, tool_name) called at all?"""
     called = ledger.select("trace_id", "tool_name").distinct().withColumn("used", F.lit(True))
-    rows = ledger.select("trace_id").distinct().join(F.broadcast(required))
+    rows = ledger.select("trace_id", "scenario_id").distinct().join(required, "scenario_id")
     return rows.join(called, ["trace_id", "tool_name"], "left").select("trace_id", "constraint_id", F.coalesce("used", F.lit(False)).alias("used"))
 
 
@@ -124,8 +124,9 @@ def state_snapshots(ledger: DataFrame, changing: list[str]) -> DataFrame:
 
 
 def step_progress(ledger: DataFrame, steps: DataFrame) -> DataFrame:
-    """trace_id, step_id, turn at which a tool of the step first succeeds."""
-    hit = first_tool_turn(ledger).join(F.broadcast(steps.select("step_id", F.col("action").alias("tool_name"))), "tool_name")
+    """trace_id, step_id, turn at which a tool of the step of the trace's policy first succeeds."""
+    own = first_tool_turn(ledger).join(ledger.select("trace_id", "scenario_id").distinct(), "trace_id")
+    hit = own.join(steps.select("scenario_id", "step_id", F.col("action").alias("tool_name")), ["scenario_id", "tool_name"])
     return hit.groupBy("trace_id", "step_id").agg(F.min("turn").alias("turn"))
 
 

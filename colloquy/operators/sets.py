@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def missing_tools(traces: DataFrame, required: DataFrame, called: DataFrame) -> DataFrame:
-    """trace_id, tool_name of required tools that a trace didn't call. `required` is a policy's short list."""
-    wanted = traces.select("trace_id").distinct().join(F.broadcast(required.select("tool_name").distinct()))
+    """trace_id, tool_name of tools that a trace's policy (scenario_id, tool_name) requires and the trace (trace_id, scenario_id) didn't call."""
+    wanted = traces.select("trace_id", "scenario_id").distinct().join(required.select("scenario_id", "tool_name").distinct(), "scenario_id").select("trace_id", "tool_name")
     return wanted.join(called.select("trace_id", "tool_name"), ["trace_id", "tool_name"], "left_anti")
 
 

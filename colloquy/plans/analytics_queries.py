@@ -413,18 +413,17 @@ def k7(v):
     return K.blind_ids(v.runs, seed=3)
 
 
-CALLED = "called AS (SELECT DISTINCT trace_id, tool_name FROM ledger WHERE event_type = 'tool_executed' AND amount > 70)"
-
-
-@query("l1_missing_tools", duck("ledger must_call", CALLED) + "SELECT t.trace_id, m.tool_name FROM (SELECT DISTINCT trace_id FROM ledger) t CROSS JOIN must_call m EXCEPT SELECT trace_id, tool_name FROM called")
+@query("l1_missing_tools", duck("traced policy_must") + "SELECT t.trace_id, m.tool_name FROM (SELECT DISTINCT trace_id, scenario_id FROM traced) t JOIN policy_must m USING (scenario_id) EXCEPT SELECT trace_id, tool_name FROM traced WHERE event_type = 'tool_executed' AND source = 'guard'")
 def l1(v):
-    return L.missing_tools(v.ledger, v.must_call, v.ledger.where("event_type = 'tool_executed' and amount > 70"))
+    """Required tools that the guard didn't have to call."""
+    return L.missing_tools(v.traced, v.policy_must, v.traced.where("event_type = 'tool_executed' and source = 'guard'"))
 
 
-@query("l2_untested_steps", duck("ledger steps") + "SELECT step_id FROM steps EXCEPT SELECT step_id FROM steps s JOIN ledger l ON l.tool_name = s.action AND l.amount > 99.5 AND s.ord < 3")
+@query("l2_untested_steps", duck("traced policies") + "SELECT step_id FROM policies EXCEPT SELECT p.step_id FROM policies p JOIN traced t ON t.scenario_id = p.scenario_id AND t.tool_name = p.action AND p.step_id <> 'reschedule'")
 def l2(v):
-    seen = v.ledger.where("amount > 99.5").select(F.col("tool_name").alias("action")).join(F.broadcast(v.steps.where("ord < 3")), "action").withColumn("status", F.lit("completed"))
-    return L.untested_steps(v.steps, seen)
+    """Steps whose tool some trace of the policy called; rescheduling leaves no entry."""
+    seen = v.traced.select("scenario_id", F.col("tool_name").alias("action")).distinct().join(v.policies.where("step_id <> 'reschedule'"), ["scenario_id", "action"]).withColumn("status", F.lit("completed"))
+    return L.untested_steps(v.policies, seen)
 
 
 @query("l3_covered_branches", duck("branches ledger") + "SELECT scenario_id, step_id, next_step FROM branches INTERSECT SELECT 'p1', 'inform', CASE WHEN k % 2 = 0 THEN 'complete' ELSE 'other' END FROM ledger")

@@ -241,10 +241,10 @@ def g11(v):
     return G.final_state(v.ledger.withColumn("status", F.col("event_type")), 60, 3400.0)
 
 
-@query("g12_constraint_tools", duck("ledger", "r AS (SELECT * FROM (VALUES ('c1', 'purchase'), ('c2', 'signup')) t(constraint_id, tool_name)), c AS (SELECT DISTINCT trace_id, tool_name FROM ledger)")
-       + "SELECT q.trace_id, constraint_id, c.tool_name IS NOT NULL AS used FROM (SELECT DISTINCT trace_id FROM ledger) q CROSS JOIN r LEFT JOIN c ON c.trace_id = q.trace_id AND c.tool_name = r.tool_name")
+@query("g12_constraint_tools", duck("traced policy_must") + """SELECT q.trace_id, m.pos AS constraint_id, EXISTS (SELECT 1 FROM traced c WHERE c.trace_id = q.trace_id AND c.tool_name = m.tool_name) AS used
+    FROM (SELECT DISTINCT trace_id, scenario_id FROM traced) q JOIN policy_must m USING (scenario_id)""")
 def g12(v):
-    return G.constraint_tool_usage(v.values("constraint_id string, tool_name string", [("c1", "purchase"), ("c2", "signup")]), v.ledger)
+    return G.constraint_tool_usage(v.policy_must.withColumnRenamed("pos", "constraint_id"), v.traced)
 
 
 @query("g13_state_snapshots", duck("ledger") + f"SELECT trace_id, seq, count(*) OVER w AS n_changes, {rd('sum(amount) OVER w', 'total')} FROM ledger WHERE tool_name IN ('purchase', 'signup') AND event_type = 'tool_executed' WINDOW w AS (PARTITION BY trace_id ORDER BY seq ROWS UNBOUNDED PRECEDING)")
@@ -252,9 +252,9 @@ def g13(v):
     return rounded(G.state_snapshots(v.ledger, ["purchase", "signup"]), "trace_id", "seq", "n_changes")
 
 
-@query("g14_step_progress", duck("ledger steps") + "SELECT trace_id, step_id, min(turn) AS turn FROM ledger JOIN steps ON action = tool_name WHERE event_type = 'tool_executed' GROUP BY ALL")
+@query("g14_step_progress", duck("traced policies") + "SELECT trace_id, step_id, min(turn) AS turn FROM traced t JOIN policies p ON p.scenario_id = t.scenario_id AND action = tool_name WHERE event_type = 'tool_executed' GROUP BY ALL")
 def g14(v):
-    return G.step_progress(v.ledger, v.steps)
+    return G.step_progress(v.traced, v.policies)
 
 
 @query("i1_deviation_point", duck("runs") + """SELECT trace_id, CASE WHEN cust % 8 < 2 THEN 'too_short' WHEN cust % 3 = 0 THEN 'missing_tool' WHEN cust % 5 = 0 THEN 'bad_closing' ELSE 'skipped_step' END AS kind,
@@ -293,6 +293,7 @@ def i6(v):
     return rounded(I.dialogue_side_quality(v.messages, c.contains("thth"), T.any_of(c, ["nicht", "not"]), T.any_of(c, ["und", "and"])), "trace_id", "leaks", "refusals", "agreements", "ok")
 
 
+#: A quality of over 95 stands for a violation that a reviewer should see.
 @query("i7_review_checklist", duck("checks ledger") + "SELECT trace_id, check_id AS item, CAST(line AS BIGINT) AS turn, 'check' AS source FROM checks WHERE NOT passed UNION ALL SELECT trace_id, tool_name, turn, 'violation' FROM ledger WHERE k > 95")
 def i7(v):
     return I.review_checklist(v.checks.where("not passed"), v.ledger.where("k > 95").withColumn("behavior_id", F.col("tool_name")))

@@ -93,17 +93,17 @@ def h8(v):
     return runs.select("trace_id", F.round(F.col("m")["hard"], 6).alias("hard"), F.round(F.try_element_at("m", F.lit("branch")), 6).alias("branch"), "failures")
 
 
-PROGRESS = """p AS (SELECT t.trace_id, s.step_id, s.is_optional, s.weight, s.ord, l.first AS first FROM (SELECT DISTINCT trace_id FROM ledger) t CROSS JOIN steps s
-    LEFT JOIN (SELECT trace_id, tool_name, min(turn) AS first FROM ledger WHERE event_type = 'tool_executed' AND amount > 60 GROUP BY ALL) l ON l.trace_id = t.trace_id AND l.tool_name = s.action)"""
+PROGRESS = """p AS (SELECT t.trace_id, s.step_id, s.is_optional, s.weight, s.ord, l.first AS first FROM (SELECT DISTINCT trace_id, scenario_id FROM traced) t JOIN policies s USING (scenario_id)
+    LEFT JOIN (SELECT trace_id, tool_name, min(turn) AS first FROM traced WHERE event_type = 'tool_executed' AND source <> 'guard' GROUP BY ALL) l ON l.trace_id = t.trace_id AND l.tool_name = s.action)"""
 
 
 def _progress(v):
-    first = v.ledger.where("event_type = 'tool_executed' and amount > 60").groupBy("trace_id", "tool_name").agg(F.min("turn").alias("first"))
-    need = v.ledger.select("trace_id").distinct().join(F.broadcast(v.steps))
-    return need.join(first.withColumnRenamed("tool_name", "action"), ["trace_id", "action"], "left").withColumn("completed", F.col("first").isNotNull())
+    first = v.traced.where("event_type = 'tool_executed' and source <> 'guard'").groupBy("trace_id", F.col("tool_name").alias("action")).agg(F.min("turn").alias("first"))
+    need = v.traced.select("trace_id", "scenario_id").distinct().join(v.policies.drop("level", "words"), "scenario_id")
+    return need.join(first, ["trace_id", "action"], "left").withColumn("completed", F.col("first").isNotNull())
 
 
-@query("h9_progress_rate", duck("ledger steps", PROGRESS) + "SELECT trace_id, round(sum(CASE WHEN NOT is_optional AND first IS NOT NULL THEN weight ELSE 0 END) / sum(CASE WHEN NOT is_optional THEN weight END), 6) AS progress FROM p GROUP BY trace_id")
+@query("h9_progress_rate", duck("traced policies", PROGRESS) + "SELECT trace_id, round(sum(CASE WHEN NOT is_optional AND first IS NOT NULL THEN weight ELSE 0 END) / sum(CASE WHEN NOT is_optional THEN weight END), 6) AS progress FROM p GROUP BY trace_id")
 def h9(v):
     return S.progress_rate(_progress(v)).select("trace_id", r6("progress"))
 
@@ -119,19 +119,20 @@ def h11(v):
     return S.response_length_score(v.messages, 600).select("trace_id", r6("rate"), r6("score"))
 
 
-@query("h12_required_tools", duck("ledger must_call", "s AS (SELECT trace_id, tool_name, bool_or(event_type = 'tool_executed') AS ok FROM ledger WHERE amount > 80 GROUP BY ALL)")
+@query("h12_required_tools", duck("traced policy_must", "s AS (SELECT trace_id, tool_name, bool_or(event_type = 'tool_executed') AS ok FROM traced WHERE source = 'guard' OR k % 3 = 0 GROUP BY ALL)")
        + """SELECT t.trace_id, m.tool_name, CASE WHEN ok THEN 'succeeded' WHEN ok IS NOT NULL THEN 'failed' ELSE 'not_called' END AS status
-    FROM (SELECT DISTINCT trace_id FROM ledger) t CROSS JOIN must_call m LEFT JOIN s ON s.trace_id = t.trace_id AND s.tool_name = m.tool_name""")
+    FROM (SELECT DISTINCT trace_id, scenario_id FROM traced) t JOIN policy_must m USING (scenario_id) LEFT JOIN s ON s.trace_id = t.trace_id AND s.tool_name = m.tool_name""")
 def h12(v):
-    calls = v.ledger.where("amount > 80").withColumn("ok", F.col("event_type") == "tool_executed")
-    return S.required_tool_checks(calls, v.ledger, v.must_call)
+    """A third of the events, and those of the guard, are calls; the others only report."""
+    calls = v.traced.where("source = 'guard' or k % 3 = 0").withColumn("ok", F.col("event_type") == "tool_executed")
+    return S.required_tool_checks(calls, v.traced, v.policy_must)
 
 
-@query("h13_optional_steps", duck("ledger steps", PROGRESS + ", taken AS (SELECT DISTINCT trace_id, 'complete' AS step_id FROM ledger WHERE k % 19 = 0)")
+@query("h13_optional_steps", duck("traced policies", PROGRESS + ", taken AS (SELECT DISTINCT trace_id, 'complete' AS step_id FROM traced WHERE k % 19 = 0)")
        + """SELECT p.trace_id, p.step_id, CASE WHEN first IS NOT NULL THEN 'completed' WHEN is_optional AND taken.step_id IS NULL THEN 'not_applicable' ELSE 'missed' END AS status
     FROM p LEFT JOIN taken ON taken.trace_id = p.trace_id AND taken.step_id = p.step_id""")
 def h13(v):
-    taken = v.ledger.where("k % 19 = 0").select("trace_id", F.lit("complete").alias("step_id"))
+    taken = v.traced.where("k % 19 = 0").select("trace_id", F.lit("complete").alias("step_id"))
     return S.optional_steps(_progress(v), taken).select("trace_id", "step_id", "status")
 
 
