@@ -163,7 +163,7 @@ def anti_cheat(runs: DataFrame, *by: str) -> DataFrame:
 
 def flaw_recall(messages: DataFrame, flaws: DataFrame) -> DataFrame:
     """flaw, n, caught: messages of runs with a seeded flaw that its pattern finds."""
-    hit = messages.join(F.broadcast(flaws), F.col("flaw") == F.col("seeded"))
+    hit = messages.join(flaws, F.col("flaw") == F.col("seeded"))
     return hit.groupBy("flaw").agg(F.count("*").alias("n"), F.sum(F.expr("content rlike pattern").cast("int")).alias("caught"))
 
 
@@ -201,7 +201,7 @@ def balanced(runs: DataFrame, subject: str, least: int = 3) -> DataFrame:
     sizes = runs.groupBy(subject).agg(F.count("*").alias("size")).where(F.col("size") >= least)
     short = sizes.agg(F.min("size").alias("short"))
     number = F.row_number().over(Window.partitionBy(subject).orderBy("started_at", "trace_id"))
-    rows = runs.join(F.broadcast(sizes.select(subject)), subject).withColumn("rater", number).join(F.broadcast(short)).where("rater <= short")
+    rows = runs.join(sizes.select(subject), subject).withColumn("rater", number).join(F.broadcast(short)).where("rater <= short")
     return rows.select(F.col(subject).alias("subject"), "rater", F.col("overall").alias("x"))
 
 
@@ -296,10 +296,10 @@ def coverage_gap_report(universe: DataFrame, seen: DataFrame, personas: dict[str
     persona = F.coalesce(*(F.when(F.col("item").contains(k), p) for k, p in personas.items()), F.lit(default))
     counts = gaps.groupBy("dimension").agg(F.count("*").alias("n_dimension"))
     total = gaps.agg(F.least(F.lit(10), F.greatest(F.lit(1), F.coalesce(F.sum(F.col("dimension").isin("branch", "persona").cast("long")), F.lit(0)))).alias("suggested"))
-    return gaps.withColumn("persona", persona).join(F.broadcast(counts), "dimension").join(total).select("dimension", "item", "persona", "n_dimension", "suggested")
+    return gaps.withColumn("persona", persona).join(counts, "dimension").join(total).select("dimension", "item", "persona", "n_dimension", "suggested")
 
 
 def targeted_variants(gaps: DataFrame, presets: DataFrame, n: int, order: list[str] = GAP_ORDER) -> DataFrame:
     """The first n gaps by priority of their dimension, as scenario rows with their persona's parameters (`presets`: persona, ...)."""
     place = F.array_position(F.array(*map(F.lit, order)), F.col("dimension"))
-    return gaps.orderBy(place, "item").limit(n).join(F.broadcast(presets), "persona", "left")
+    return gaps.orderBy(place, "item").limit(n).join(presets, "persona", "left")

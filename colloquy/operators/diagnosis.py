@@ -48,7 +48,7 @@ def recommendations(modes: Column, advice: dict[str, str] = ADVICE) -> Column:
 def causal_roots(verdicts: DataFrame, edges: DataFrame) -> DataFrame:
     """trace_id, atom of unsatisfied atoms none of whose predecessors (edges src, dst) is unsatisfied."""
     bad = verdicts.where("verdict = 'unsatisfied'").select("trace_id", "atom")
-    caused = bad.withColumnRenamed("atom", "dst").join(F.broadcast(edges), "dst").join(bad.withColumnRenamed("atom", "src"), ["trace_id", "src"]).select("trace_id", F.col("dst").alias("atom"))
+    caused = bad.withColumnRenamed("atom", "dst").join(edges, "dst").join(bad.withColumnRenamed("atom", "src"), ["trace_id", "src"]).select("trace_id", F.col("dst").alias("atom"))
     return bad.join(caused, ["trace_id", "atom"], "left_anti")
 
 
