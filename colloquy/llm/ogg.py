@@ -76,19 +76,19 @@ class Writer:
 
 
 def write_stream(payload: bytes, note: bytes) -> bytes:
-    """A physical stream: both first pages, then the notes, then the samples. Equal input, equal bytes."""
+    """A physical stream: both first pages, then the samples' pages with the notes' page halfway. Equal input, equal bytes."""
     serial = zlib.crc32(payload)
     samples, notes = Writer(serial), Writer(serial ^ 0xFFFFFFFF)
     out = []
     for stream, head in ((samples, SAMPLES_HEAD + struct.pack("<II", RATE, PACKET)), (notes, NOTES_HEAD)):
         stream.packet(head, 0)
         out.append(stream.flush())
-    out += notes.packet(note, 0)
-    out.append(notes.flush(LAST))
+    pages = []
     for at in range(0, len(payload), PACKET):
-        out += samples.packet(payload[at : at + PACKET], min(at + PACKET, len(payload)))
-    out.append(samples.flush(LAST))
-    return b"".join(out)
+        pages += samples.packet(payload[at : at + PACKET], min(at + PACKET, len(payload)))
+    pages.append(samples.flush(LAST))
+    half = len(pages) // 2
+    return b"".join([*out, *pages[:half], *notes.packet(note, 0), notes.flush(LAST), *pages[half:]])
 
 
 @dataclass
