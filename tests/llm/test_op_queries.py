@@ -141,3 +141,15 @@ def test_pipeline_edges(spark, tmp_path):
     got = __spark_entry__.queries()["pipeline"](spark, f"{tmp_path}/full").collect()
     assert sorted((r.doc_id for r in got), key=str) == [1, 3, 3, 4, None] and all(r.round_trip for r in got)
     assert __spark_entry__.queries()["pipeline"](spark, f"{tmp_path}/none").count() == 0
+
+
+def test_pages_with_clashing_columns_and_long_ones(spark):
+    """Rows of pages with columns named like the operators' own, and a page of several megabytes."""
+    from colloquy.llm import html_text, warc
+
+    long_ = "<article><p>" + "word " * 800_000 + "</p></article>"
+    rows = [(1, "u", long_, "x", 5), (2, "u", long_, "y", 6), (3, None, "", "z", 7), (3, None, "", "z", 7)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload string, size int").withColumnsRenamed({"size": "sha1"})
+    read = warc.read_archives(warc.write_archives(pages)).collect()
+    assert sorted((r.record_id, r.payload_bytes, r.record_type, r.refers_to) for r in read) == [("1", len(long_), "revisit", "2"), ("2", len(long_), "response", None), ("3", 0, "response", None), ("3", 0, "response", None)]
+    assert sorted(r.n_chars for r in html_text.extract(pages).collect()) == [0, 0, 3_999_999, 3_999_999]

@@ -212,6 +212,8 @@ def test_ogg():
         out += w.packet(b, i)
     out.append(w.flush(ogg.LAST))
     assert ogg.read_streams(b"".join(out))[7].packets == big
+    serials = [int.from_bytes(media[at + 14 : at + 18], "little") for at in (m.start() for m in re.finditer(b"OggS\\0", media))]
+    assert sum(a != b for a, b in zip(serials, serials[1:])) >= 4  # the pages of two streams in turns
     broken = bytearray(media)
     broken[-5] ^= 1
     with pytest.raises(ogg.OggError):
