@@ -146,7 +146,7 @@ def windows(df: DataFrame, id_col: str, text_col: str, sizes: list[int], bits: n
 
     def run(batches):
         claim(__name__)
-        for part in slices(batches, 4 << 20):
+        for part in slices(batches, 2 << 20):
             ids, t = part.column(0).to_pylist(), Templates(part.column(1).to_pylist())
             first = np.concatenate(([0], np.cumsum(t.counts)))
             rows = []

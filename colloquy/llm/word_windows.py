@@ -24,7 +24,7 @@ from colloquy.llm.buckets import HOT, bucket_count, hot_keys, text_bytes
 from colloquy.llm.rolling import among, joined, least, piece_hashes
 
 #: Words in a window and in a minimiser; bytes of text that a task takes at a time.
-WINDOW, MINIMISER, SLICE = 20, 5, 8 << 20
+WINDOW, MINIMISER, SLICE = 20, 5, 5 << 20
 #: Bytes that travel for each byte of text.
 TRAVEL = 3.2
 HEAD = struct.Struct("<IIQ")
