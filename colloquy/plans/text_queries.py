@@ -373,6 +373,24 @@ def d24(v):
     return parse_lines(v.table("documents"), "doc_id", "text", {"list": r"^\s*\S+( \| \S+)+"}, short=30)
 
 
+#: Documents as instructions: sentences are steps, what follows a comma an item or a branch, and some words begin a section.
+WRITTEN = "concat('# Call Flow:', chr(10), replace(replace(replace(text, '. ', concat(chr(10), '3. ')), ', the ', concat(chr(10), '- if the -> ')), ' of ', concat(chr(10), '## Part: ', chr(10), '* ')))"
+
+
+@query("d24_instruction_items", f"""WITH l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) - 1 AS pos FROM (SELECT doc_id, {WRITTEN} AS t FROM documents)),
+    h AS (SELECT doc_id, pos, line, nullif(regexp_extract(line, '^#{{1,2}}\\s+(.+)', 1), '') AS head, TRY_CAST(nullif(regexp_extract(line, '^(\\d+)\\.\\s*(.+)', 1), '') AS BIGINT) AS number FROM l),
+    n AS (SELECT *, count(head) OVER (PARTITION BY doc_id ORDER BY pos) AS nth FROM h),
+    s AS (SELECT doc_id, pos, line, head, number, first_value(lower(rtrim(trim(head), ':'))) OVER w AS section, last_value(number IGNORE NULLS) OVER w AS step FROM n WHERE nth > 0 WINDOW w AS (PARTITION BY doc_id, nth ORDER BY pos)),
+    k AS (SELECT *, CASE WHEN number IS NOT NULL THEN 'step' WHEN starts_with(line, '- if') THEN 'branch' WHEN regexp_matches(trim(line), '^[-*]\\s+(.+)') THEN 'item' END AS kind FROM s WHERE head IS NULL)
+    SELECT doc_id, section, pos, step, kind, length(trim(CASE kind WHEN 'step' THEN regexp_extract(line, '^(\\d+)\\.\\s*(.+)', 2) WHEN 'branch' THEN regexp_extract(line, '- if(.+?)->\\s*(.+)', 2) ELSE regexp_extract(trim(line), '^[-*]\\s+(.+)', 1) END)) AS n_chars,
+      CASE WHEN kind = 'branch' THEN 'the' END AS condition FROM k WHERE kind IS NOT NULL""")
+def d24_items(v):
+    from colloquy.functions.instructions import instruction_items
+
+    docs = v.table("documents").select("doc_id", F.expr(WRITTEN.replace("chr(10)", "'\\n'")).alias("t"))
+    return instruction_items(docs, "doc_id", "t", branch=r"- if(.+?)->\s*(.+)").select("doc_id", "section", "pos", "step", "kind", F.length("text").cast("long").alias("n_chars"), "condition")
+
+
 @query("d25_dialogue_fingerprint", duck("messages") + "SELECT trace_id, sha256(string_agg(concat(role, chr(31), content, chr(30)), '' ORDER BY msg_idx)) AS fingerprint FROM messages GROUP BY trace_id")
 def d25(v):
     from colloquy.functions.instructions import dialogue_fingerprint

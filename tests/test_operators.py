@@ -118,6 +118,18 @@ def test_forbidden_behaviours_by_policy(spark):
     assert {(r.trace_id, r.behavior_id, r.turn, r.severity, r.keyword) for r in got} == {(1, "promise", 1, "critical", "refund"), (2, "other", 1, "minor", "now"), (1, "promise", 2, "major", "money back"), (1, "leak", 4, "minor", "leak"), (1, "promise", 4, "critical", "refund")}
 
 
+def test_instructions(spark):
+    from colloquy.functions.instructions import instruction_items, length_limits
+
+    text = "before\n# Call Flow:\n1. greet them\n   - 若 busy → call later\n- 如果 angry → say sorry\n2.inform\nplain\n## Constraints\n- at most 最多 10-30 个字\n* be kind\n- 若 x → y"
+    df = spark.createDataFrame([(1, text), (2, "no heading\n1. step"), (3, None), (4, "约 20 字, 5-8字")], "id long, text string")
+    got = sorted((r.section, r.pos, r.step, r.kind, r.text, r.condition) for r in instruction_items(df, "id", "text").where("section = 'call flow'").collect())
+    assert got == [("call flow", 2, 1, "step", "greet them", None), ("call flow", 3, 1, "branch", "call later", "busy"), ("call flow", 4, 1, "branch", "say sorry", "angry"), ("call flow", 5, 2, "step", "inform", None)]
+    assert [(r.kind, r.text, r.step) for r in instruction_items(df, "id", "text").where("section = 'constraints'").orderBy("pos").collect()] == [("item", "at most 最多 10-30 个字", None), ("item", "be kind", None), ("branch", "y", None)]
+    assert instruction_items(df, "id", "text").select("id").distinct().count() == 1
+    assert {r.id: r.limit for r in length_limits(df, "id", "text").collect()} == {1: 30, 2: 0, 3: 0, 4: 20}
+
+
 def test_repair_needs_all_causes(spark):
     df = spark.createDataFrame([(1, a, "unsatisfied", -1.0) for a in "abcd"], "trace_id long, atom string, verdict string, delta double")
     got = {r.atom: r.recovers for r in diagnosis.counterfactual_repair(df, [("a", "b"), ("a", "c"), ("d", "c")]).collect()}
