@@ -31,7 +31,9 @@ UNITS = frozenset(
     "kilograms pound pounds ounce ounces ton tons ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days "
     "week weeks month months year years percent % usd eur dollar dollars euro euros cent cents k °c °f degree degrees hz khz mhz ghz w kw v kb mb gb tb".split()
 )
-NUMBER = re.compile(r"[+-]?[$€£]?\d[\d,.:/]*(?:st|nd|rd|th|%)?|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|hundred|thousand|million")
+NUMBER_WORDS = "one two three four five six seven eight nine ten eleven twelve hundred thousand million".split()
+NUMBER = re.compile(r"[+-]?[$€£]?\d[\d,.:/]*(?:st|nd|rd|th|%)?|" + "|".join(NUMBER_WORDS))
+COUNTED = frozenset(NUMBER_WORDS)
 EDGE = re.compile(r"^[^\w$€£%°+-]+|[^\w%°]+$")
 STOPS = (".", "!", "?", ":", "\"", "”", ")", "]")
 NUM, NAME, UNIT = "<num>", "<name>", "<unit>"
@@ -41,13 +43,16 @@ ODD = np.array([pow(0x9E3779B97F4A7C15, 2 * i + 1, 1 << 64) for i in range(64)],
 
 
 def bare(raw: str) -> str:
-    return EDGE.sub("", raw)
+    """The word without punctuation around it."""
+    word = raw.rstrip(".,;:!?")  # most words need no more than this
+    return word if word.isalpha() else EDGE.sub("", raw)
 
 
 def kind(word: str) -> str:
     """The template of a word that is no name."""
     low = word.lower()
-    return NUM if NUMBER.fullmatch(low) else UNIT if low in UNITS else low
+    number = low in COUNTED if low.isalpha() else NUMBER.fullmatch(low)
+    return NUM if number else UNIT if low in UNITS else low
 
 
 def digest(template: str) -> int:
