@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 
 #: Entries that each generation of a memo keeps at most.
-MEMO = 1 << 16
+MEMO = 1 << 17
 #: Gives free memory back, where the C library can.
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 NEVER = float("inf")

@@ -27,7 +27,7 @@ LETTER = regex.compile(r"[\p{L}\p{M}]")
 #: Bytes of text that are split at a time.
 SLICE = 4 << 20
 #: Segments whose ids each generation of a worker's memo keeps.
-SEGMENTS = 150_000
+SEGMENTS = 250_000
 #: Fixed values of the model format: places of fields, the kind of model, and what is asked of its normaliser.
 TRAINER, NORMALIZER, MODEL_TYPE, BPE = 2, 3, 3, 2
 CHARSMAP, SETTINGS = 2, {3: "add_dummy_prefix", 4: "remove_extra_whitespaces", 5: "escape_whitespaces"}
