@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
@@ -16,6 +17,7 @@ from colloquy.llm.piece_codec import encode_pieces
 from colloquy.llm.shared import written
 from colloquy.llm.simhash import simhash_groups
 from colloquy.llm.token_counts import token_counts
+from colloquy.llm.turn_repair import Repair
 from colloquy.llm.word_windows import dedup_windows
 
 #: Paths of public vocabulary files; any file of the same format serves.
@@ -77,6 +79,27 @@ def op10_byte_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Turns with planted faults, by the checksum of conversation and turn: some are lost, emptied, cut off, repeated or another's."""
+
+    def text(c):
+        return F.coalesce(F.col(c).cast("string"), F.lit(" "))
+
+    fate = F.crc32(F.concat(text("conv_id"), F.lit(":"), text("turn")).cast("binary")) % 20
+    said = F.when(F.col("fate") == 1, "").when(F.col("fate") == 2, F.regexp_replace(text("text"), "[.!?]", "")).otherwise(text("text"))
+    role = F.when(F.col("fate") == 4, "user").otherwise(text("role"))
+    left = turns.withColumn("fate", fate).where("fate <> 0")
+    return left.select("conv_id", "turn", role.alias("role"), said.alias("text"), F.explode(F.array_repeat(F.lit(0), F.when(F.col("fate") == 3, 2).otherwise(1))).alias("copy")).drop("copy")
+
+
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    audits = Repair(damaged(turns)).audits().withColumnRenamed("conv_id", "c")
+    every = turns.select("conv_id").distinct()
+    rows = every.join(audits, every.conv_id.eqNullSafe(F.col("c")), "left").drop("c")
+    return rows.na.fill(0, ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]).na.fill({"audit": "", "repaired_sha256": hashlib.sha256(b"").hexdigest()})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_decontamination": op2_decontamination,
@@ -88,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_main_text": op9_main_text,
     "op10_byte_dedup": op10_byte_dedup,
+    "op11_turn_repair": op11_turn_repair,
 }
 
 #: Words of every text, windows of 20 in a row, and which words a window covers that also starts earlier.
@@ -109,5 +133,49 @@ OP8_SQL = """WITH own AS (SELECT page_id, coalesce(html, '') AS payload FROM pag
         + 2 * CAST(bits[5 * i + 4] AS INTEGER) + CAST(bits[5 * i + 5] AS INTEGER), 1)), 'string_agg', '') AS payload_digest FROM hashed)
     SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM named"""
 
+#: The checksum that plants faults, bit by bit; then a table of costs and edits turn by turn, one row a conversation.
+OP11_SQL = r"""WITH RECURSIVE given AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+    hit AS (SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(key, ''), lambda c: CAST(ord(c) AS BIGINT))),
+      lambda a, c: list_reduce(list_prepend(xor(a, c), range(8)), lambda x, i: xor(x >> 1, CAST(3988292384 AS BIGINT) * (x & 1)))), CAST(4294967295 AS BIGINT)) % 20 AS fate FROM given),
+    damaged AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role, CASE WHEN fate = 1 THEN '' WHEN fate = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+      unnest(range(CASE WHEN fate = 3 THEN 2 ELSE 1 END)) AS copy FROM hit WHERE fate <> 0),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+      regexp_extract(text, '([^ 	-])[ 	-]*$', 1) AS final FROM damaged),
+    turns AS (SELECT *, final = '' AS is_blank, final <> '' AND again AS is_again, final <> '' AND NOT again AND final NOT IN ('.', '!', '?') AS is_cut,
+      pos > 1 AND left(lag(role) OVER (PARTITION BY conv_id ORDER BY pos), 1) || left(role, 1) NOT IN ('su', 'ua', 'au') AS wrong FROM placed),
+    counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (is_blank) AS blank, count(*) FILTER (is_again) AS duplicate, count(*) FILTER (is_cut) AS truncated,
+      count(*) FILTER (wrong) AS illegal, count(*) AS n FROM turns GROUP BY conv_id),
+    dp AS (SELECT conv_id, 0 AS pos, {'c': 0, 'a': '', 'r': ''} AS s0, {'c': 99999, 'a': '', 'r': ''} AS s1, {'c': 99999, 'a': '', 'r': ''} AS s2, {'c': 99999, 'a': '', 'r': ''} AS s3 FROM counts
+      UNION ALL SELECT conv_id, pos + 1,
+        {'c': s0.c + 3, 'a': s0.a || 'D', 'r': s0.r},
+        list_min([{'c': s1.c + 3, 'a': s1.a || 'D', 'r': s1.r}, {'c': s0.c + keep_s, 'a': s0.a || 'K', 'r': s0.r || line}]),
+        list_min([{'c': e2.c + 3, 'a': e2.a || 'D', 'r': e2.r}, {'c': s0.c + keep_u, 'a': s0.a || 'K', 'r': s0.r || line}, {'c': s1.c + keep_u, 'a': s1.a || 'K', 'r': s1.r || line}, {'c': e3.c + keep_u, 'a': e3.a || 'K', 'r': e3.r || line},
+          {'c': s0.c + rename, 'a': s0.a || 'R', 'r': s0.r || as_user}, {'c': s1.c + rename, 'a': s1.a || 'R', 'r': s1.r || as_user}, {'c': e3.c + rename, 'a': e3.a || 'R', 'r': e3.r || as_user}]),
+        list_min([{'c': e3.c + 3, 'a': e3.a || 'D', 'r': e3.r}, {'c': e2.c + keep_a, 'a': e2.a || 'K', 'r': e2.r || line}, {'c': e2.c + rename, 'a': e2.a || 'R', 'r': e2.r || as_assistant}])
+      FROM (SELECT d.conv_id, d.pos, s0, s1, list_min([s2, {'c': s0.c + 2, 'a': s0.a || 'I', 'r': s0.r || E'
+user:'}, {'c': s1.c + 2, 'a': s1.a || 'I', 'r': s1.r || E'
+user:'}, {'c': s3.c + 2, 'a': s3.a || 'I', 'r': s3.r || E'
+user:'}]) AS e2,
+          list_min([s3, {'c': s2.c + 2, 'a': s2.a || 'I', 'r': s2.r || E'
+assistant:'}, {'c': s0.c + 4, 'a': s0.a || 'II', 'r': s0.r || E'
+user:
+assistant:'}, {'c': s1.c + 4, 'a': s1.a || 'II', 'r': s1.r || E'
+user:
+assistant:'}]) AS e3,
+          CASE WHEN is_blank OR is_again THEN 99999 WHEN is_cut THEN 1 ELSE 0 END AS extra, extra + 2 AS rename, extra + CASE WHEN left(role, 1) = 's' THEN 0 ELSE 99999 END AS keep_s, extra + CASE WHEN left(role, 1) = 'u' THEN 0 ELSE 99999 END AS keep_u,
+          extra + CASE WHEN left(role, 1) = 'a' THEN 0 ELSE 99999 END AS keep_a, chr(10) || role || ':' || text AS line, E'
+user:' || text AS as_user, E'
+assistant:' || text AS as_assistant
+        FROM dp d JOIN turns t ON t.conv_id IS NOT DISTINCT FROM d.conv_id AND t.pos = d.pos + 1) x),
+    best AS (SELECT d.conv_id, list_min([s0, s3, {'c': s2.c + 2, 'a': s2.a || 'I', 'r': s2.r || E'
+assistant:'}, {'c': s1.c + 4, 'a': s1.a || 'II', 'r': s1.r || E'
+user:
+assistant:'}]) AS b
+      FROM dp d JOIN counts c ON c.conv_id IS NOT DISTINCT FROM d.conv_id AND c.n = d.pos),
+    every AS (SELECT DISTINCT conv_id FROM conversations)
+    SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(b.c, 0) AS BIGINT) AS cost,
+      coalesce(b.a, '') AS audit, sha256(coalesce(substr(b.r, 2), '')) AS repaired_sha256
+    FROM every e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM e.conv_id"""
+
 #: SQL has no way to say the rest: hashes, tokens, media, learned scores, alignments, page structure and byte strings.
-ORACLE_SQL: dict[str, str] = {"op5_substring_dedup": OP5_SQL, "op8_warc": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_substring_dedup": OP5_SQL, "op8_warc": OP8_SQL, "op11_turn_repair": OP11_SQL}
