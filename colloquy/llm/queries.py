@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from colloquy.llm import html_text, toxicity, warc
 from colloquy.llm.byte_index import dedup_bytes
 from colloquy.llm.decontaminate import contaminated
+from colloquy.llm.divergence import divergences
 from colloquy.llm.ogg import read_media, write_media
 from colloquy.llm.piece_codec import encode_pieces
 from colloquy.llm.shared import written
@@ -100,6 +101,10 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.na.fill(0, ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]).na.fill({"audit": "", "repaired_sha256": hashlib.sha256(b"").hexdigest()})
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergences(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_decontamination": op2_decontamination,
@@ -112,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_main_text": op9_main_text,
     "op10_byte_dedup": op10_byte_dedup,
     "op11_turn_repair": op11_turn_repair,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 #: Words of every text, windows of 20 in a row, and which words a window covers that also starts earlier.
@@ -140,7 +146,7 @@ OP11_SQL = r"""WITH RECURSIVE given AS (SELECT conv_id, turn, coalesce(role, ' '
     damaged AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role, CASE WHEN fate = 1 THEN '' WHEN fate = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
       unnest(range(CASE WHEN fate = 3 THEN 2 ELSE 1 END)) AS copy FROM hit WHERE fate <> 0),
     placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
-      regexp_extract(text, '([^ 	-])[ 	-]*$', 1) AS final FROM damaged),
+      regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS final FROM damaged),
     turns AS (SELECT *, final = '' AS is_blank, final <> '' AND again AS is_again, final <> '' AND NOT again AND final NOT IN ('.', '!', '?') AS is_cut,
       pos > 1 AND left(lag(role) OVER (PARTITION BY conv_id ORDER BY pos), 1) || left(role, 1) NOT IN ('su', 'ua', 'au') AS wrong FROM placed),
     counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (is_blank) AS blank, count(*) FILTER (is_again) AS duplicate, count(*) FILTER (is_cut) AS truncated,
@@ -152,30 +158,35 @@ OP11_SQL = r"""WITH RECURSIVE given AS (SELECT conv_id, turn, coalesce(role, ' '
         list_min([{'c': e2.c + 3, 'a': e2.a || 'D', 'r': e2.r}, {'c': s0.c + keep_u, 'a': s0.a || 'K', 'r': s0.r || line}, {'c': s1.c + keep_u, 'a': s1.a || 'K', 'r': s1.r || line}, {'c': e3.c + keep_u, 'a': e3.a || 'K', 'r': e3.r || line},
           {'c': s0.c + rename, 'a': s0.a || 'R', 'r': s0.r || as_user}, {'c': s1.c + rename, 'a': s1.a || 'R', 'r': s1.r || as_user}, {'c': e3.c + rename, 'a': e3.a || 'R', 'r': e3.r || as_user}]),
         list_min([{'c': e3.c + 3, 'a': e3.a || 'D', 'r': e3.r}, {'c': e2.c + keep_a, 'a': e2.a || 'K', 'r': e2.r || line}, {'c': e2.c + rename, 'a': e2.a || 'R', 'r': e2.r || as_assistant}])
-      FROM (SELECT d.conv_id, d.pos, s0, s1, list_min([s2, {'c': s0.c + 2, 'a': s0.a || 'I', 'r': s0.r || E'
-user:'}, {'c': s1.c + 2, 'a': s1.a || 'I', 'r': s1.r || E'
-user:'}, {'c': s3.c + 2, 'a': s3.a || 'I', 'r': s3.r || E'
-user:'}]) AS e2,
-          list_min([s3, {'c': s2.c + 2, 'a': s2.a || 'I', 'r': s2.r || E'
-assistant:'}, {'c': s0.c + 4, 'a': s0.a || 'II', 'r': s0.r || E'
-user:
-assistant:'}, {'c': s1.c + 4, 'a': s1.a || 'II', 'r': s1.r || E'
-user:
-assistant:'}]) AS e3,
+      FROM (SELECT d.conv_id, d.pos, s0, s1, list_min([s2, {'c': s0.c + 2, 'a': s0.a || 'I', 'r': s0.r || E'\nuser:'}, {'c': s1.c + 2, 'a': s1.a || 'I', 'r': s1.r || E'\nuser:'}, {'c': s3.c + 2, 'a': s3.a || 'I', 'r': s3.r || E'\nuser:'}]) AS e2,
+          list_min([s3, {'c': s2.c + 2, 'a': s2.a || 'I', 'r': s2.r || E'\nassistant:'}, {'c': s0.c + 4, 'a': s0.a || 'II', 'r': s0.r || E'\nuser:\nassistant:'}, {'c': s1.c + 4, 'a': s1.a || 'II', 'r': s1.r || E'\nuser:\nassistant:'}]) AS e3,
           CASE WHEN is_blank OR is_again THEN 99999 WHEN is_cut THEN 1 ELSE 0 END AS extra, extra + 2 AS rename, extra + CASE WHEN left(role, 1) = 's' THEN 0 ELSE 99999 END AS keep_s, extra + CASE WHEN left(role, 1) = 'u' THEN 0 ELSE 99999 END AS keep_u,
-          extra + CASE WHEN left(role, 1) = 'a' THEN 0 ELSE 99999 END AS keep_a, chr(10) || role || ':' || text AS line, E'
-user:' || text AS as_user, E'
-assistant:' || text AS as_assistant
+          extra + CASE WHEN left(role, 1) = 'a' THEN 0 ELSE 99999 END AS keep_a, chr(10) || role || ':' || text AS line, E'\nuser:' || text AS as_user, E'\nassistant:' || text AS as_assistant
         FROM dp d JOIN turns t ON t.conv_id IS NOT DISTINCT FROM d.conv_id AND t.pos = d.pos + 1) x),
-    best AS (SELECT d.conv_id, list_min([s0, s3, {'c': s2.c + 2, 'a': s2.a || 'I', 'r': s2.r || E'
-assistant:'}, {'c': s1.c + 4, 'a': s1.a || 'II', 'r': s1.r || E'
-user:
-assistant:'}]) AS b
+    best AS (SELECT d.conv_id, list_min([s0, s3, {'c': s2.c + 2, 'a': s2.a || 'I', 'r': s2.r || E'\nassistant:'}, {'c': s1.c + 4, 'a': s1.a || 'II', 'r': s1.r || E'\nuser:\nassistant:'}]) AS b
       FROM dp d JOIN counts c ON c.conv_id IS NOT DISTINCT FROM d.conv_id AND c.n = d.pos),
     every AS (SELECT DISTINCT conv_id FROM conversations)
     SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(b.c, 0) AS BIGINT) AS cost,
       coalesce(b.a, '') AS audit, sha256(coalesce(substr(b.r, 2), '')) AS repaired_sha256
     FROM every e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM e.conv_id"""
 
+#: Every kept term in every group, whether it occurs there or not.
+OP13_SQL = r"""WITH own AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+      regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+    groups AS (SELECT DISTINCT lang, source FROM own),
+    kept AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(words)) AS term FROM own) GROUP BY ALL HAVING count(*) >= 3),
+    said AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(words) AS term FROM own) SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+    sizes AS (SELECT lang, count(*) AS size FROM kept GROUP BY lang),
+    grid AS (SELECT g.lang, g.source, k.term, CAST(coalesce(n, 0) AS HUGEINT) AS n, sum(coalesce(n, 0)) OVER (PARTITION BY g.lang, g.source) AS total, sum(coalesce(n, 0)) OVER (PARTITION BY g.lang, k.term) AS lang_n,
+      sum(coalesce(n, 0)) OVER (PARTITION BY g.lang) AS lang_total, size
+      FROM groups g JOIN kept k ON k.lang = g.lang JOIN sizes z ON z.lang = g.lang LEFT JOIN said s ON s.lang = g.lang AND s.source = g.source AND s.term = k.term),
+    chances AS (SELECT lang, source, term, n, 1 + (1000000000 * (n + 1)) // (total + size) AS p, 1 + (1000000000 * (lang_n + 1)) // (lang_total + size) AS q FROM grid),
+    pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN (SELECT x.lang, x.source AS g, y.source AS h, sum(((x.p - y.p) * (x.p - y.p)) // y.p) AS value FROM chances x JOIN chances y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) v
+        ON v.lang = a.lang AND v.g = a.source AND v.h = b.source),
+    marks AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // q AS value FROM chances WHERE n > 0 AND p > q),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM marks))
+    SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200"""
+
 #: SQL has no way to say the rest: hashes, tokens, media, learned scores, alignments, page structure and byte strings.
-ORACLE_SQL: dict[str, str] = {"op5_substring_dedup": OP5_SQL, "op8_warc": OP8_SQL, "op11_turn_repair": OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_substring_dedup": OP5_SQL, "op8_warc": OP8_SQL, "op11_turn_repair": OP11_SQL, "op13_source_divergence": OP13_SQL}
