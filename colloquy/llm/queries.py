@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from colloquy.llm import html_text, toxicity, warc
 from colloquy.llm.byte_index import dedup_bytes
+from colloquy.llm.circulant import near_groups
 from colloquy.llm.decontaminate import contaminated
 from colloquy.llm.divergence import divergences
 from colloquy.llm.ogg import read_media, write_media
@@ -101,6 +102,10 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.na.fill(0, ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]).na.fill({"audit": "", "repaired_sha256": hashlib.sha256(b"").hexdigest()})
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergences(table(spark, sf_dir, "documents"))
 
@@ -117,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_main_text": op9_main_text,
     "op10_byte_dedup": op10_byte_dedup,
     "op11_turn_repair": op11_turn_repair,
+    "op12_minhash": op12_minhash,
     "op13_source_divergence": op13_source_divergence,
 }
 
@@ -170,6 +176,19 @@ OP11_SQL = r"""WITH RECURSIVE given AS (SELECT conv_id, turn, coalesce(role, ' '
       coalesce(b.a, '') AS audit, sha256(coalesce(substr(b.r, 2), '')) AS repaired_sha256
     FROM every e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM e.conv_id"""
 
+#: Two sets of that similarity share one of their rarest shingles; whole sets are compared, and links followed.
+OP12_SQL = r"""WITH RECURSIVE split AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+    sets AS (SELECT doc_id, CASE WHEN len(ws) < 2 THEN ws ELSE list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) END AS s FROM split),
+    items AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets),
+    ranked AS (SELECT doc_id, n, t, row_number() OVER (PARTITION BY doc_id ORDER BY df, t) AS r FROM (SELECT *, count(*) OVER (PARTITION BY t) AS df FROM items)),
+    rare AS (SELECT doc_id, n, t FROM ranked WHERE r <= n - (80 * n + 99) // 100 + 1),
+    pairs AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n + b.n AS total FROM rare a JOIN rare b ON a.t = b.t AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+    links AS (SELECT a, b FROM pairs JOIN items i ON i.doc_id = a JOIN items j ON j.doc_id = b AND j.t = i.t GROUP BY a, b, total HAVING 100 * count(*) >= 80 * (total - count(*))),
+    edges AS (SELECT a AS u, b AS v FROM links UNION ALL SELECT b, a FROM links),
+    reach AS (SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT r.a, e.v FROM reach r JOIN edges e ON e.u = r.b),
+    least_ AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+    SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least_ ON a = doc_id"""
+
 #: Every kept term in every group, whether it occurs there or not.
 OP13_SQL = r"""WITH own AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
       regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
@@ -189,4 +208,4 @@ OP13_SQL = r"""WITH own AS (SELECT coalesce(lang, '') AS lang, coalesce(source,
     SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200"""
 
 #: SQL has no way to say the rest: hashes, tokens, media, learned scores, alignments, page structure and byte strings.
-ORACLE_SQL: dict[str, str] = {"op5_substring_dedup": OP5_SQL, "op8_warc": OP8_SQL, "op11_turn_repair": OP11_SQL, "op13_source_divergence": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_substring_dedup": OP5_SQL, "op8_warc": OP8_SQL, "op11_turn_repair": OP11_SQL, "op12_minhash": OP12_SQL, "op13_source_divergence": OP13_SQL}
