@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions.lexicons import FORBIDDEN_SYNONYMS
+from colloquy.operators.matching import first_words
 from colloquy.operators.scoring import OBJECTIVE_WEIGHTS
 
 
@@ -26,16 +27,15 @@ def forbidden_hits(messages: DataFrame, behaviors: DataFrame, synonyms: dict[str
 
     `behaviors` (scenario_id, behavior_id, severity, keywords: an array in order of declaration). The keyword is the first one, or the first
     of its synonyms, that the normalised delivered text (`norm`) holds; if none does, the raw text (`norm_raw`) is looked at, and a
-    hit there is major. One row per behaviour and turn.
+    hit there is major. One row per behaviour and turn. Each text is read once, whatever the number of keywords.
     """
     more = F.create_map(*(F.lit(x) for k, ws in synonyms.items() for x in (k, ws))) if synonyms else F.create_map().cast("map<string,array<string>>")
     words = F.flatten(F.transform("keywords", lambda k: F.concat(F.array(k), F.coalesce(F.try_element_at(more, k), F.array().cast("array<string>")))))
-    own = behaviors.select("scenario_id", "behavior_id", "severity", words.alias("words"))
-    met = messages.where("role = 'agent'").select("trace_id", "scenario_id", "turn", "norm", "norm_raw").join(own, "scenario_id")
-    first = lambda c: F.try_element_at(F.filter("words", lambda w: F.col(c).contains(w)), F.lit(1))
-    rows = met.select("trace_id", "behavior_id", "turn", "severity", first("norm").alias("shown"), first("norm_raw").alias("raw")).where("shown is not null or raw is not null")
-    rows = rows.select("trace_id", "behavior_id", "turn", F.struct(F.col("shown").isNull().alias("hidden"), F.coalesce("shown", "raw").alias("keyword"), F.when(F.col("shown").isNull(), "major").otherwise(F.col("severity")).alias("severity")).alias("h"))
-    return rows.groupBy("trace_id", "behavior_id", "turn").agg(F.min("h").alias("h")).select("trace_id", "behavior_id", "turn", "h.severity", "h.keyword")
+    lists = behaviors.select("scenario_id", F.struct("behavior_id", "severity").alias("list_id"), words.alias("words"))
+    rows = first_words(messages.where("role = 'agent'"), lists, ["norm", "norm_raw"], ["trace_id", "turn"])
+    hit = F.struct(F.col("norm").isNull().alias("hidden"), F.coalesce("norm", "norm_raw").alias("keyword"), F.when(F.col("norm").isNull(), "major").otherwise(F.col("list_id.severity")).alias("severity"))
+    found = rows.select("trace_id", F.col("list_id.behavior_id").alias("behavior_id"), "turn", hit.alias("h"))
+    return found.groupBy("trace_id", "behavior_id", "turn").agg(F.min("h").alias("h")).select("trace_id", "behavior_id", "turn", "h.severity", "h.keyword")
 
 
 def branch_evidence(users: DataFrame, branch_turns: DataFrame, words: dict[str, list[str]]) -> DataFrame:

@@ -90,31 +90,58 @@ def scoring_atoms(nodes: DataFrame, branches: DataFrame, must_call: DataFrame, c
     )
 
 
-def topological_depth(edges: DataFrame, nodes: DataFrame, most: int = 20) -> DataFrame:
-    """scenario_id, step_id, depth (longest way from a step without predecessors): the order is by depth, then by step order.
-
-    A round relaxes all edges of all policies at once; a policy of n steps needs n rounds at most.
+def _graphs(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """scenario_id, steps: a row per policy, its steps (i from 1, step_id, ord, degree, after) by `ord` and step_id. `degree`: how many edges lead to a step,
+    also from unknown ones; `after`: where its edges lead. Repeated edges count once, edges to unknown steps don't count; of repeated nodes the first counts."""
+    own = nodes.where("step_id is not null").groupBy("scenario_id", "step_id").agg(F.min("ord").alias("ord"))
+    steps = own.withColumn("i", F.row_number().over(Window.partitionBy("scenario_id").orderBy("ord", "step_id")))
+    known = steps.select("scenario_id", "step_id", "i")
+    links = edges.select("scenario_id", F.col("src").alias("from"), F.col("dst").alias("step_id")).distinct().join(known.withColumnRenamed("i", "to"), ["scenario_id", "step_id"])
+    links = links.join(known.select("scenario_id", F.col("step_id").alias("from"), "i"), ["scenario_id", "from"], "left")
+    into = links.groupBy("scenario_id", F.col("to").alias("i")).agg(F.count("*").cast("int").alias("degree"))
+    out = links.where("i is not null").groupBy("scenario_id", "i").agg(F.collect_list("to").alias("after"))
+    rows = steps.join(into, ["scenario_id", "i"], "left").join(out, ["scenario_id", "i"], "left")
+    step = F.struct("i", "step_id", "ord", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("after", F.array().cast("array<int>")).alias("after"))
+    return rows.groupBy("scenario_id").agg(F.sort_array(F.collect_list(step)).alias("steps"))
+
+
+def topological_order(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """scenario_id, step_id, depth (longest way from a step without predecessors), pos: Kahn's order; of the steps that are ready, the first in
+    step order (`ord`, then step_id) comes next. A policy is one row, folded step by step, so one of any length is ordered.
+
+    Steps on a cycle, or behind one or behind a step that isn't in `nodes`, are never ready: their depth and pos are null.
+    """
+    # waiting: how many predecessors a step still waits for, -1 once it has its place
+    start = "named_struct('waiting', steps.degree, 'depth', transform(steps, s -> 0), 'order', cast(array() as array<int>))"
+    ready = "cast(array_position(s.waiting, 0) as int)"
+    step = f"""if({ready} = 0, s, named_struct(
+        'waiting', transform(s.waiting, (n, j) -> if(j + 1 = {ready}, -1, if(array_contains(steps[{ready} - 1].after, j + 1), n - 1, n))),
+        'depth', transform(s.depth, (d, j) -> if(array_contains(steps[{ready} - 1].after, j + 1), greatest(d, s.depth[{ready} - 1] + 1), d)),
+        'order', array_append(s.order, {ready})))"""
+    folded = _graphs(edges, nodes).withColumn("end", F.expr(f"aggregate(steps, {start}, (s, x) -> {step})"))
+    each = folded.select("scenario_id", F.posexplode("steps").alias("j", "step"), "end").withColumn("pos", F.expr("nullif(cast(array_position(end.order, j + 1) as int), 0)"))
+    return each.select("scenario_id", "step.step_id", F.when(F.col("pos").isNotNull(), F.expr("end.depth[j]")).alias("depth"), "pos")
+
+
+def reachable_from(edges: DataFrame, start: DataFrame, taken: DataFrame | None = None) -> DataFrame:
+    """scenario_id, step_id that can be reached from `start` (scenario_id, step_id), which is part of them; over as many edges as there are, cycles included.
+
+    With `taken` (scenario_id, step_id, cond), branch edges count only where their condition was taken at their step. A policy is one row; what is new is
+    followed until nothing is.
     """
-    depth = nodes.select("scenario_id", "step_id", F.lit(0).alias("depth"))
-    for _ in range(most):
-        step = edges.join(depth.select("scenario_id", F.col("step_id").alias("src"), "depth"), ["scenario_id", "src"]).groupBy("scenario_id", F.col("dst").alias("step_id")).agg((F.max("depth") + 1).alias("d"))
-        depth = depth.join(step, ["scenario_id", "step_id"], "left").select("scenario_id", "step_id", F.greatest("depth", F.coalesce("d", F.lit(0))).alias("depth"))
-    return depth
-
-
-def topological_order(edges: DataFrame, nodes: DataFrame, most: int = 20) -> DataFrame:
-    """scenario_id, step_id, depth, pos: steps by depth, then by their own order; a step never comes before one that leads to it."""
-    pos = F.row_number().over(Window.partitionBy("scenario_id").orderBy("depth", "ord"))
-    return topological_depth(edges, nodes, most).join(nodes.select("scenario_id", "step_id", "ord"), ["scenario_id", "step_id"]).select("scenario_id", "step_id", "depth", pos.alias("pos"))
-
-
-def reachable_from(edges: DataFrame, start: DataFrame, most: int = 20) -> DataFrame:
-    """scenario_id, step_id that can be reached from `start` (scenario_id, step_id) in `most` edges."""
-    found = start.select("scenario_id", "step_id").distinct()
-    for _ in range(most):
-        more = edges.join(found.withColumnRenamed("step_id", "src"), ["scenario_id", "src"]).select("scenario_id", F.col("dst").alias("step_id"))
-        found = found.unionByName(more).distinct()
-    return found
+    way = edges.where("kind <> 'branch'") if taken is not None else edges
+    ways = way.select("scenario_id", "src", "dst")
+    if taken is not None:
+        own = taken.select("scenario_id", F.col("step_id").alias("src"), "cond").distinct()
+        ways = ways.unionByName(edges.where("kind = 'branch'").join(own, ["scenario_id", "src", "cond"]).select("scenario_id", "src", "dst"))
+    at = start.where("step_id is not null").select("scenario_id", "step_id", F.lit(0).alias("ord"))
+    ends = [ways.select("scenario_id", F.col(c).alias("step_id"), F.lit(1).alias("ord")) for c in ("src", "dst")]
+    graphs = _graphs(ways, at.unionByName(ends[0]).unionByName(ends[1]))
+    first = "transform(filter(steps, s -> s.ord = 0), s -> s.i)"
+    more = "array_except(flatten(transform(s.new, i -> steps[i - 1].after)), s.seen)"
+    step = f"if(size(s.new) = 0, s, named_struct('seen', array_union(s.seen, {more}), 'new', {more}))"
+    found = graphs.where("exists(steps, s -> s.ord = 0)").select("scenario_id", "steps", F.expr(f"aggregate(steps, named_struct('seen', {first}, 'new', {first}), (s, x) -> {step}).seen").alias("seen"))
+    return found.select("scenario_id", F.expr("explode(transform(seen, i -> steps[i - 1].step_id))").alias("step_id"))
 
 
 def enumerate_branches(edges: DataFrame, steps: DataFrame) -> DataFrame:

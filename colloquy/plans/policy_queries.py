@@ -88,19 +88,61 @@ def e6(v):
     return E.scoring_atoms(steps, branches, must, constraints)
 
 
-@query("e7_topological_order", duck("policies policy_branches", POLICY_EDGES + """, r AS (WITH RECURSIVE d(scenario_id, step_id, depth) AS (SELECT scenario_id, step_id, 0 FROM policies UNION
-      SELECT d.scenario_id, e.dst, depth + 1 FROM d JOIN edges e ON e.scenario_id = d.scenario_id AND e.src = d.step_id WHERE depth < 6) SELECT scenario_id, step_id, max(depth) AS depth FROM d GROUP BY ALL)""")
-       + "SELECT scenario_id, step_id, CAST(depth AS INTEGER) AS depth, CAST(row_number() OVER (PARTITION BY scenario_id ORDER BY depth, ord) AS INTEGER) AS pos FROM r JOIN policies USING (scenario_id, step_id)")
+#: Kahn's order turn by turn: of the steps whose predecessors all have a place, the first in step order is next.
+KAHN = """pre AS (SELECT scenario_id, dst, list(DISTINCT src) AS before FROM edges GROUP BY ALL),
+    own AS (SELECT n.scenario_id, list(struct_pack(step_id := n.step_id, before := coalesce(before, [])) ORDER BY ord, step_id) AS steps FROM nodes n LEFT JOIN pre ON pre.scenario_id = n.scenario_id AND pre.dst = n.step_id GROUP BY ALL),
+    k AS (SELECT scenario_id, steps, CAST([] AS VARCHAR[]) AS done, CAST([] AS INTEGER[]) AS depths FROM own
+      UNION ALL SELECT scenario_id, steps, list_append(done, x.step_id), list_append(depths, CASE WHEN len(x.before) = 0 THEN 0 ELSE 1 + list_max(list_transform(x.before, lambda b: depths[list_position(done, b)])) END)
+      FROM (SELECT *, list_filter(steps, lambda s: NOT list_contains(done, s.step_id) AND list_has_all(done, s.before))[1] AS x FROM k) WHERE x IS NOT NULL),
+    placed AS (SELECT scenario_id, unnest(done) AS step_id, unnest(depths) AS depth, unnest(range(1, len(done) + 1)) AS pos FROM (SELECT scenario_id, arg_max(done, len(done)) AS done, arg_max(depths, len(done)) AS depths FROM k GROUP BY scenario_id))"""
+KAHN_ROWS = "SELECT n.scenario_id, n.step_id, CAST(depth AS INTEGER) AS depth, CAST(pos AS INTEGER) AS pos FROM nodes n LEFT JOIN placed p ON p.scenario_id = n.scenario_id AND p.step_id = n.step_id"
+
+
+@query("e7_topological_order", duck("policies policy_branches", POLICY_EDGES + ", nodes AS (SELECT scenario_id, step_id, ord FROM policies), " + KAHN).replace("WITH", "WITH RECURSIVE", 1) + KAHN_ROWS)
 def e7(v):
-    return E.topological_order(E.compile_edges(v.policies, v.policy_branches), v.policies, most=6)
+    return E.topological_order(E.compile_edges(v.policies, v.policy_branches), v.policies)
+
+
+#: Policies of some hundred steps: the orders of ten customers, one after the other. Some steps are skipped on a branch, a step order that isn't the
+#: edges' decides ties, and in one policy of seven an edge leads back.
+LONG = """o AS (SELECT o_custkey // 10 AS scenario_id, CAST(o_orderkey AS VARCHAR) AS step_id, o_orderkey * 7 % 101 AS ord, row_number() OVER (PARTITION BY o_custkey // 10 ORDER BY o_orderkey) AS r FROM orders),
+    nodes AS (SELECT scenario_id, step_id, ord, r FROM o),
+    edges AS (SELECT a.scenario_id, a.step_id AS src, b.step_id AS dst, CASE WHEN b.r = a.r + 3 THEN 'branch' ELSE 'sequential' END AS kind, CASE WHEN b.r = a.r + 3 THEN concat('c', CAST(a.r % 2 AS VARCHAR)) END AS cond
+      FROM o a JOIN o b ON b.scenario_id = a.scenario_id AND (b.r = a.r + 1 AND a.r % 5 > 0 OR b.r = a.r + 3 OR b.r = 31 AND a.r = 40 AND a.scenario_id % 7 = 0))"""
+
 
+def _long(v):
+    """Nodes and edges of long policies."""
+    nodes = v.spark.sql("""SELECT o_custkey div 10 AS scenario_id, CAST(o_orderkey AS STRING) AS step_id, o_orderkey * 7 % 101 AS ord, row_number() OVER (PARTITION BY o_custkey div 10 ORDER BY o_orderkey) AS r FROM {orders}""", orders=v.table("orders"))
+    ahead = "filter(array(if(r % 5 > 0, r + 1, null), r + 3, if(r = 40 and scenario_id % 7 = 0, 31, null)), x -> x is not null)"
+    out = nodes.select("scenario_id", F.col("step_id").alias("src"), F.col("r").alias("a"), F.explode(F.expr(ahead)).alias("r"))
+    edges = out.join(nodes.select("scenario_id", "r", F.col("step_id").alias("dst")), ["scenario_id", "r"])
+    branch = F.col("r") == F.col("a") + 3
+    return nodes, edges.select("scenario_id", "src", "dst", F.when(branch, "branch").otherwise("sequential").alias("kind"), F.when(branch, F.concat(F.lit("c"), (F.col("a") % 2).cast("string"))).alias("cond"))
 
-@query("e8_reachable", duck("steps branches", MANY) + """, r AS (WITH RECURSIVE t(scenario_id, step_id, n) AS (SELECT DISTINCT scenario_id, 'confirm', 0 FROM many UNION SELECT t.scenario_id, e.dst, n + 1 FROM t JOIN edges e ON e.scenario_id = t.scenario_id AND e.src = t.step_id
-      WHERE n < 6 AND (e.kind <> 'branch' OR e.cond = 'home')) SELECT DISTINCT scenario_id, step_id FROM t) SELECT * FROM r""")
+
+@query("e7_long_policies", "WITH RECURSIVE " + LONG + ", " + KAHN + KAHN_ROWS)
+def e7_long(v):
+    """Steps on a cycle and behind it have no place."""
+    nodes, edges = _long(v)
+    return E.topological_order(edges, nodes)
+
+
+@query("e8_reachable", duck("steps branches", MANY) + """, r AS (WITH RECURSIVE t(scenario_id, step_id) AS (SELECT DISTINCT scenario_id, 'confirm' FROM many UNION SELECT t.scenario_id, e.dst FROM t JOIN edges e ON e.scenario_id = t.scenario_id AND e.src = t.step_id
+      WHERE e.kind <> 'branch' OR e.cond = 'home') SELECT DISTINCT scenario_id, step_id FROM t) SELECT * FROM r""")
 def e8(v):
     steps, branches = _many(v)
-    edges = E.compile_edges(steps, branches).where("kind <> 'branch' or cond = 'home'")
-    return E.reachable_from(edges, steps.where("step_id = 'confirm'"), most=6)
+    taken = branches.where("cond = 'home'").select("scenario_id", "step_id", "cond")
+    return E.reachable_from(E.compile_edges(steps, branches), steps.where("step_id = 'confirm'"), taken)
+
+
+@query("e8_long_policies", "WITH RECURSIVE " + LONG + """, t AS (SELECT scenario_id, step_id FROM nodes WHERE r = 6 UNION SELECT t.scenario_id, e.dst FROM t JOIN edges e ON e.scenario_id = t.scenario_id AND e.src = t.step_id
+    WHERE e.kind <> 'branch' OR e.cond = 'c1') SELECT scenario_id, step_id FROM t""")
+def e8_long(v):
+    """From the sixth step on, where odd steps take their branch."""
+    nodes, edges = _long(v)
+    taken = edges.where("cond = 'c1'").select("scenario_id", F.col("src").alias("step_id"), "cond")
+    return E.reachable_from(edges, nodes.where("r = 6"), taken)
 
 
 @query("e9_branches", duck("steps branches", MANY) + "SELECT e.scenario_id, src, e.cond, dst, a.ord AS src_ord, b.ord AS dst_ord FROM edges e JOIN many a ON a.scenario_id = e.scenario_id AND a.step_id = src JOIN many b ON b.scenario_id = e.scenario_id AND b.step_id = dst WHERE kind = 'branch'")
