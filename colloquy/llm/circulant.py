@@ -8,6 +8,7 @@ each with a probability that is the similarity of their sets.
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +23,8 @@ from colloquy.llm.shared import written
 
 #: Two texts of similarity s share none of the bands with a probability of (1 - s ** DEEP) ** BANDS: at 0.8 five in ten million.
 BANDS, DEEP = 48, 6
-#: Coordinates of which a code has two bits each.
-CODED = 192
-#: All pairs of a bucket of up to this many nodes are looked at; a larger one goes in blocks of so many.
-CROWD = 32
+#: All pairs of a bucket of up to this many nodes are looked at; nodes of larger ones are compared in blocks of so many.
+CROWD, BLOCK = 32, 512
 #: Bytes of text that are hashed at a time, and shingles whose coordinates are worked out at a time.
 SLICE, CHUNK = 3 << 20, 1 << 15
 
@@ -101,22 +100,6 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return mixed(own + np.arange(BANDS, dtype=np.uint64) * np.uint64(BASE)).view(np.int64)
 
 
-def codes(least: np.ndarray) -> np.ndarray:
-    """Two bits of the first `CODED` coordinates, in two planes of three 64-bit words."""
-    planes = [np.packbits((least[:, :CODED] >> np.uint32(b) & np.uint32(1)).astype(np.uint8), axis=1) for b in (1, 2)]
-    return np.ascontiguousarray(np.hstack(planes)).view(np.int64)
-
-
-#: In how many coordinates the codes p and q differ.
-OTHER = " + ".join(f"bit_count((p.code[{i}] ^ q.code[{i}]) | (p.code[{i + 3}] ^ q.code[{i + 3}]))" for i in range(3))
-
-
-def most_other(percent: int) -> int:
-    """In how many coordinates the codes of two sets of that similarity differ at most: six standard deviations over the mean."""
-    p = (1 - percent / 100) * 0.75
-    return int(CODED * p + 6 * (CODED * p * (1 - p)) ** 0.5)
-
-
 def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether the intersection is that share of the union (sorted sets)."""
     if not len(a) or not len(b):
@@ -129,16 +112,15 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def sketches(docs: DataFrame, *, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """doc_id, own (128-bit digest of the shingle set), n (its size), code and bands of whole texts."""
+    """doc_id, own (128-bit digest of the shingle set), n (its size) and bands of whole texts."""
 
     def run(ids, texts):
         sets = shingle_sets(texts, shingle)
-        least = signatures(sets)
-        lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * x.shape[1], pa.int32()), pa.array(x.reshape(-1), pa.int64())) for x in (codes(least), band_keys(least))]
-        return {"doc_id": ids, "own": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "n": list(map(len, sets)), "code": lists[0], "bands": lists[1]}
+        bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(band_keys(signatures(sets)).reshape(-1), pa.int64()))
+        return {"doc_id": ids, "own": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "n": list(map(len, sets)), "bands": bands}
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_columns(docs, {"doc_id": id_col, "text": text_col}, run, f"doc_id {kind}, own binary, n long, code array<long>, bands array<long>", SLICE)
+    return map_columns(docs, {"doc_id": id_col, "text": text_col}, run, f"doc_id {kind}, own binary, n long, bands array<long>", SLICE)
 
 
 def stored_sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -184,8 +166,8 @@ def labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def unsettled(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """key, node, n, label, many, major of the buckets (key, node, n) whose nodes aren't all linked yet, and the label that most of them have."""
-    rows = written(labelled(rows.select("key", "node", "n"), links), "labelled")
+    """key, node, n, centre, label, many, major of the buckets (key, node, n, centre) whose nodes aren't all linked yet, and the label that most of them have."""
+    rows = written(labelled(rows.select("key", "node", "n", "centre"), links), "labelled")
     share = rows.groupBy("key", "label").agg(F.count("*").alias("c"))
     state = share.groupBy("key").agg(F.sum("c").alias("many"), F.count("*").alias("labels"), F.max_by("label", F.struct("c", "label")).alias("major")).where("labels > 1")
     return written(rows.join(state.select("key", "many", "major"), "key"), "unsettled")
@@ -198,27 +180,62 @@ def in_small(rows: DataFrame, percent: int) -> DataFrame:
     return lists.select(F.expr(f"explode(flatten(transform(all, p -> transform(filter(all, q -> {other}), q -> struct(p.node as a, q.node as b)))))").alias("e")).select("e.*")
 
 
-def in_blocks(rows: DataFrame, codes: DataFrame, percent: int, block: int) -> DataFrame:
-    """a, b: pairs of differently labelled nodes of the same crowded bucket whose codes don't rule the similarity out.
+def in_blocks(rows: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """a, b: links between differently labelled nodes of the crowded buckets (node, n, centre, label), a link to each label at least that a node has one to.
 
-    Nodes of other labels than the major one meet all nodes, block by block, so no task has a whole bucket. Pairs within the major label
-    are linked already.
+    Buckets of one centre are taken together. Two sets differ in what one of them, but not the other, differs from the centre in; such differences are
+    short, and similarity follows from their sizes exactly. Nodes of other labels than the major one meet all nodes of their centre, block by block,
+    so no task has a whole group, and what doesn't link isn't sent on. Pairs within the major label are linked already.
     """
-    own = rows.join(codes, "node").withColumn("p", F.struct("node", "n", "label", "code"))
-    few = own.where("label <> major")
-    counts = few.groupBy("key").agg(F.count("*").alias("few"))
+    kind = rows.schema["node"].dataType.simpleString()
+    members = rows.select("centre", "node", "label").distinct()
+    centres = sets.join(members.select(F.col("centre").alias("node")).distinct(), "node", "left_semi").groupBy(F.col("node").alias("centre")).agg(F.min("shingles").alias("x"))
+    met = members.join(sets.select("node", F.col("shingles").alias("y")), "node").join(centres, "centre")
+
+    def apart(centres, nodes, labels, x, y):
+        differ = [np.setxor1d(np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64), assume_unique=True).tobytes() for s, t in zip(x, y)]
+        return {"centre": centres, "node": nodes, "n": [len(t) // 8 for t in y], "label": labels, "differ": differ}
+
+    columns = {c: c for c in ("centre", "node", "label", "x", "y")}
+    own = written(map_columns(met, columns, apart, f"centre {kind}, node {kind}, n long, label {kind}, differ binary"), "differences")
+    share = own.groupBy("centre", "label").agg(F.count("*").alias("c"))
+    major = share.groupBy("centre").agg(F.sum("c").alias("many"), F.max_by("label", F.struct("c", "label")).alias("major"), F.max("c").alias("most")).select("centre", "many", "major", (F.col("many") - F.col("most")).alias("few"))
     parts = lambda n: F.ceil(F.col(n) / block).cast("int")
     at = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), parts(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), parts(n) - 1))
-    left = few.join(counts, "key").select("key", at("few", 1).alias("i"), every("many").alias("j"), "p").groupBy("key", "i", "j").agg(F.collect_list("p").alias("left"))
-    right = own.join(counts, "key").select("key", at("many", 2).alias("j"), every("few").alias("i"), "p").groupBy("key", "i", "j").agg(F.collect_list("p").alias("right"))
-    other = f"p.label <> q.label and {sizes('p.n', 'q.n', percent)} and {OTHER} <= {most_other(percent)}"
-    pairs = f"explode(flatten(transform(left, p -> transform(filter(right, q -> {other}), q -> struct(least(p.node, q.node) as a, greatest(p.node, q.node) as b)))))"
-    return left.join(right, ["key", "i", "j"]).select(F.expr(pairs).alias("e")).select("e.*")
-
-
-def links_of(nodes: DataFrame, sets_of, percent: int, crowd: int) -> DataFrame:
-    """a, b: links that connect all nodes (node, n, code, bands) that share a band and are as similar as that; `sets_of(nodes)`: their sets.
+    placed = own.join(major.where("few > 0"), "centre").withColumn("p", F.struct("node", "n", "label", "differ"))
+    left = placed.where("label <> major").select("centre", at("few", 1).alias("i"), every("many").alias("j"), "p").groupBy("centre", "i", "j").agg(F.collect_list("p").alias("left"))
+    right = placed.select("centre", at("many", 2).alias("j"), every("few").alias("i"), "p").groupBy("centre", "i", "j").agg(F.collect_list("p").alias("right"))
+
+    def compare(lefts, rights):
+        a, b = [], []
+        for some, others in zip(lefts, rights):
+            own = [np.frombuffer(q["differ"], np.uint64) for q in others]
+            owner, flat = np.repeat(np.arange(len(own)), list(map(len, own))), np.concatenate(own)
+            order = np.argsort(flat)
+            owner, flat = owner[order], flat[order]
+            length, n = np.array(list(map(len, own))), np.array([q["n"] for q in others])
+            labels = [q["label"] for q in others]
+            for p in some:
+                mine = np.frombuffer(p["differ"], np.uint64)
+                lo, hi = np.searchsorted(flat, mine, "left"), np.searchsorted(flat, mine, "right")
+                some_ = hi > lo
+                hits = np.concatenate([owner[x:y] for x, y in zip(lo[some_].tolist(), hi[some_].tolist())]) if some_.any() else owner[:0]
+                differ = len(mine) + length - 2 * np.bincount(hits, minlength=len(own))
+                both = p["n"] + n
+                found = {}
+                for i in np.flatnonzero(100 * (both - differ) >= percent * (both + differ)).tolist():
+                    if labels[i] != p["label"]:
+                        found.setdefault(labels[i], others[i]["node"])
+                a += [p["node"]] * len(found)
+                b += found.values()
+        return {"a": a, "b": b}
+
+    return map_columns(left.join(right, ["centre", "i", "j"]), {"left": "left", "right": "right"}, compare, f"a {kind}, b {kind}")
+
+
+def links_of(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, crowd: int, block: int) -> DataFrame:
+    """a, b: links that connect all nodes (node, n, bands) that share a band and are as similar as that; `sets_of(nodes)`: their sets.
 
     First each node meets the least of its buckets' leaders, then all of them; a bucket whose nodes are all connected by then is settled. In
     others a new leader, of the labels that are few, takes its turn as long as that settles half of them. What is left is compared pair by pair,
@@ -231,7 +248,7 @@ def links_of(nodes: DataFrame, sets_of, percent: int, crowd: int) -> DataFrame:
     label = written(components(links), "labels")
     apart = met.distinct().join(label.withColumnsRenamed({"node": "a", "root": "ra"}), "a", "left").join(label.withColumnsRenamed({"node": "b", "root": "rb"}), "b", "left")
     links = links.unionByName(verified(apart.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b"), sets, percent))
-    rows, before = rows.where("node <> leader.node"), None
+    rows, before = rows.where("node <> leader.node").select("key", "node", "n", F.col("leader.node").alias("centre")), None
     while True:
         rows = unsettled(rows, links)
         few = rows.where(f"many > {crowd} and label <> major").count()
@@ -243,13 +260,11 @@ def links_of(nodes: DataFrame, sets_of, percent: int, crowd: int) -> DataFrame:
         found = led.where(f"node <> leader.node and label <> leader.label and {sizes('n', 'leader.n', percent)}").select(F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b"))
         links = links.unionByName(verified(found.distinct(), sets, percent))
         rows = led.where("leader is null or node <> leader.node")
-    pairs = in_small(rows.where(f"many <= {crowd}"), percent)
-    if few:
-        pairs = pairs.unionByName(in_blocks(rows.where(f"many > {crowd}"), nodes.select("node", "code"), percent, crowd))
-    return links.unionByName(verified(pairs.distinct(), sets, percent))
+    links = links.unionByName(verified(in_small(rows.where(f"many <= {crowd}"), percent).distinct(), sets, percent))
+    return links.unionByName(written(in_blocks(rows.where(f"many > {crowd}"), sets, percent, block), "links")) if few else links
 
 
-def near_groups(docs: DataFrame, *, shingle: int, percent: int = 80, blank_alike: bool = False, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
+def near_groups(docs: DataFrame, *, shingle: int, percent: int = 80, blank_alike: bool = False, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles (set size), component_id (the smallest doc_id that links reach), kept (doc_id = component_id), a row for each row.
 
     Two documents are linked if their sets' intersection is at least `percent` of the union. Equal sets are one node from the start, so copies
@@ -261,7 +276,7 @@ def near_groups(docs: DataFrame, *, shingle: int, percent: int = 80, blank_alike
     named = own.where("doc_id is not null" + ("" if blank_alike else " and n > 0"))
     least = written(named.groupBy("own").agg(F.min("doc_id").alias("node")), "nodes")
     known = named.select("doc_id", "own").join(least, "own").select("doc_id", "node")
-    nodes = named.where("n > 0").select("doc_id", "own", "n", "code", "bands").join(least.withColumnRenamed("node", "doc_id"), ["doc_id", "own"], "left_semi").select(F.col("doc_id").alias("node"), "n", "code", "bands", "own").dropDuplicates(["own"])
+    nodes = named.where("n > 0").select("doc_id", "own", "n", "bands").join(least.withColumnRenamed("node", "doc_id"), ["doc_id", "own"], "left_semi").select(F.col("doc_id").alias("node"), "n", "bands", "own").dropDuplicates(["own"])
     # a document of several texts connects their nodes; its id may be the node of each of them
     several = known.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("doc_id", "a")
     again = known.join(several, "doc_id").where("a <> node").select("a", F.col("node").alias("b"))
@@ -270,7 +285,7 @@ def near_groups(docs: DataFrame, *, shingle: int, percent: int = 80, blank_alike
         texts = docs.select(F.col(f"`{id_col}`").alias("node"), F.col(f"`{text_col}`").alias("text")).join(wanted, "node", "left_semi")
         return stored_sets(texts, shingle)
 
-    roots = components(links_of(nodes, sets_of, percent, crowd).unionByName(again))
+    roots = components(links_of(nodes, sets_of, percent, crowd, block).unionByName(again))
     placed = least.join(roots, "node", "left").select("own", F.coalesce("root", "node").alias("root"))
     rows = own.select("doc_id", "n", "own").join(placed, "own", "left")
     alone = F.col("doc_id").isNull() if blank_alike else F.col("doc_id").isNull() | (F.col("n") == 0)

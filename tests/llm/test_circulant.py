@@ -40,17 +40,22 @@ def test_crowds_against_force(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     want = by_force(rows)
     for size in (4, 32):
-        got = {r.doc_id: r for r in near_groups(docs, shingle=2, crowd=size).collect()}
+        got = {r.doc_id: r for r in near_groups(docs, shingle=2, crowd=size, block=16).collect()}
         assert {i: r.component_id for i, r in got.items()} == want
     assert all(got[i].n_shingles == len(plain_set(t, 2)) and got[i].kept == (want[i] == i) for i, t in rows)
 
 
 def test_blocks_alone(spark):
-    """Labels apart within a crowded bucket: each pair of different labels is looked at once or more, none within the major label."""
-    rows = spark.range(90).selectExpr("1L AS key", "id AS node", "100L AS n", "if(id < 60, 0L, id) AS label", "90L AS many", "0L AS major")
-    codes = spark.range(90).selectExpr("id AS node", "array_repeat(0L, 6) AS code")
-    got = {tuple(r) for r in circulant.in_blocks(rows, codes, 80, 8).collect()}
-    assert got == {(a, b) for b in range(60, 90) for a in range(b)}
+    """Sets around a centre, by their differences: each node of a small label gets a link to each label that it is linked with, in blocks of any size."""
+    r = random.Random(3)
+    sets = {i: set(range(100)) - set(r.sample(range(100), r.randrange(22))) | {1000 + r.randrange(40) for _ in range(r.randrange(12))} for i in range(80)} | {99: set(range(100))}
+    label = {i: 0 if i < 40 else i // 2 for i in range(80)}
+    rows = spark.createDataFrame([(99, i, len(sets[i]), label[i]) for i in range(80)], "centre long, node long, n long, label long")
+    stored = spark.createDataFrame([(i, np.array(sorted(s), np.uint64).tobytes()) for i, s in sets.items()], "node long, shingles binary")
+    want = {(a, label[b]) for a in range(40, 80) for b in range(80) if label[a] != label[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    for block in (7, 500):
+        got = [tuple(x) for x in circulant.in_blocks(rows, stored, 80, block).collect()]
+        assert {(a, label[b]) for a, b in got} == want and all(100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) for a, b in got)
 
 
 def test_edges(spark):
@@ -79,6 +84,3 @@ def test_coordinates():
         made, half = circulant.signatures(sets), len(words)
         agree, like = (made[:half] == made[half:]).mean(), np.mean([len(np.intersect1d(sets[i], sets[i + half])) / len(np.union1d(sets[i], sets[i + half])) for i in range(half)])
         assert abs(agree - like) < 0.04
-        code = circulant.codes(made).view(np.uint64)
-        other = np.bitwise_count((code[:half, :3] ^ code[half:, :3]) | (code[:half, 3:] ^ code[half:, 3:])).sum(axis=1)
-        assert (other <= circulant.most_other(min(80, int(100 * like)))).all()
