@@ -23,6 +23,8 @@ from colloquy.llm.arrow import arrow_schema, rows_batch, slices
 ARCHIVE_BYTES, CHUNK, LEVEL = 8 << 20, 1 << 16, 3
 #: Fixed values of the format.
 VERSION, END = b"WARC/1.0", b"\r\n\r\n"
+#: Bytes that a record's header has at most.
+HEADER = 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
@@ -33,7 +35,8 @@ def base32_sha1(data: bytes) -> str:
 
 
 def urn(page_id) -> str:
-    return f"<urn:page:{page_id}>"
+    """The name of a page's record; a page without an id has none of its own."""
+    return f"<urn:page:{'' if page_id is None else page_id}>"
 
 
 def member(headers: list[tuple[str, str]], block: bytes) -> bytes:
@@ -69,18 +72,38 @@ class WarcError(ValueError):
     """The bytes are no sound archive."""
 
 
+def framed(raw: bytearray) -> int | None:
+    """How long the record that begins like this is, with header and end, by its Content-Length; None as long as its header isn't whole."""
+    cut = raw.find(END, 0, HEADER)
+    if cut < 0:
+        if len(raw) >= HEADER:
+            raise WarcError("no record header")
+        return None
+    size = re.search(rb"(?i)\r\nContent-Length: *(\d+)(?:\r\n|$)", bytes(raw[:cut]))
+    if size is None:
+        raise WarcError("no length of the content")
+    return cut + len(END) + int(size[1]) + len(END)
+
+
 def members(chunks: Iterator[bytes]) -> Iterator[bytes]:
-    """The content of each gzip member; chunks may end anywhere."""
-    unpack, parts = zlib.decompressobj(31), []
+    """The content of each gzip member, a record each; chunks may end anywhere.
+
+    Members are inflated piece by piece, and as soon as one is longer than its record says, it is refused, however much it would inflate to.
+    """
+    unpack, raw, length = zlib.decompressobj(31), bytearray(), None
     started = False
     for chunk in chunks:
         while chunk:
             started = True
-            parts.append(unpack.decompress(chunk))
-            chunk = unpack.unused_data
+            raw += unpack.decompress(chunk, CHUNK)
+            if length is None:
+                length = framed(raw)
+            if length is not None and len(raw) > length:
+                raise WarcError("a record is longer than it says")
+            chunk = unpack.unused_data if unpack.eof else unpack.unconsumed_tail
             if unpack.eof:
-                yield b"".join(parts)
-                unpack, parts, started = zlib.decompressobj(31), [], False
+                yield bytes(raw)
+                unpack, raw, length, started = zlib.decompressobj(31), bytearray(), None, False
     if started:
         raise WarcError("cut off in a record")
 
@@ -117,7 +140,7 @@ def write_archives(pages: DataFrame, *, id_col: str = "page_id", url_col: str =
     Of rows with equal payloads of `min_bytes` or more, that with the largest id is a response and the others revisit it;
     rows that repeat that id are responses too. A null payload is an empty one. Rows with a null id revisit like others,
     or are responses where no row with an id has their payload. A payload that many rows share is dealt by its digest,
-    where only the join with one row per digest meets it; Spark splits such partitions.
+    where only the join with one row per digest meets it; Spark splits such partitions. An empty table has no archives.
     """
     payload = F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"), payload.alias("payload"))
@@ -154,10 +177,11 @@ def write_archives(pages: DataFrame, *, id_col: str = "page_id", url_col: str =
 
 def read_archives(archives: DataFrame, *, data_col: str = "data", payloads: bool = False) -> DataFrame:
     """One row per response or revisit: record_id, url, payload_bytes and payload_digest (both of the full payload),
-    record_type, refers_to (the id that a revisit names) and, if asked for, payload. Null data has no records."""
+    record_type, refers_to (the id that a revisit names) and, if asked for, payload. Null data has no records, an empty table no rows;
+    the record of a page without an id has a null record_id."""
     ddl = "record_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string" + ", payload binary" * payloads
     schema = arrow_schema(ddl)
-    bare = lambda u: u.removeprefix("<urn:page:").removesuffix(">")
+    bare = lambda u: u.removeprefix("<urn:page:").removesuffix(">") or None
 
     def run(batches):
         for batch in batches:

@@ -153,3 +153,35 @@ def test_pages_with_clashing_columns_and_long_ones(spark):
     read = warc.read_archives(warc.write_archives(pages)).collect()
     assert sorted((r.record_id, r.payload_bytes, r.record_type, r.refers_to) for r in read) == [("1", len(long_), "revisit", "2"), ("2", len(long_), "response", None), ("3", 0, "response", None), ("3", 0, "response", None)]
     assert sorted(r.n_chars for r in html_text.extract(pages).collect()) == [0, 0, 3_999_999, 3_999_999]
+
+
+def test_pages_without_ids(spark, tmp_path):
+    """The query itself over null ids, urls and pages; and over no pages."""
+    rows = [(1, "u", "<p>a"), (7, None, "<p>a"), (None, "u", "<p>a"), (None, "v", "b"), (None, None, None), (2, "w", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages.write.parquet(f"{tmp_path}/full/pages.parquet")
+    pages.limit(0).write.parquet(f"{tmp_path}/none/pages.parquet")
+    got = __spark_entry__.queries()["op8_warc"](spark, f"{tmp_path}/full").collect()
+    assert sorted((str(r.page_id), r.payload_bytes, r.record_type, r.refers_to) for r in got) == [("1", 4, "revisit", 7), ("2", 0, "response", None), ("7", 4, "response", None), ("None", 0, "revisit", 2), ("None", 1, "response", None), ("None", 4, "revisit", 7)]
+    assert __spark_entry__.queries()["op8_warc"](spark, f"{tmp_path}/none").count() == 0
+
+
+def test_member_that_inflates_without_bound():
+    """A small member of gigabytes is refused by the length that its record states, after little more than that."""
+    from colloquy.llm import warc
+
+    packer = zlib.compressobj(9, zlib.DEFLATED, 31)
+    zeros = bytes(1 << 20)
+    bomb = packer.compress(b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 10\r\n\r\n") + b"".join(packer.compress(zeros) for _ in range(300)) + packer.flush()
+    for bad in (bomb, (p := zlib.compressobj(9, zlib.DEFLATED, 31)).compress(zeros * 3) + p.flush()):
+        taken = 0
+
+        def chunks(data=bad):
+            nonlocal taken
+            for i in range(0, len(data), 512):
+                taken += 1
+                yield data[i : i + 512]
+
+        with pytest.raises(warc.WarcError):
+            list(warc.records(chunks()))
+        assert taken <= 8
