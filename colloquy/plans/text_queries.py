@@ -294,6 +294,15 @@ def d11(v):
     return v.messages.select("trace_id", "turn", fuzzy.fuzzy_quote_found(follow, F.col("content")).alias("found"))
 
 
+@query("d11_altered_quote", duck("messages", """p AS (SELECT trace_id, turn, translate(lower(substr(content, 31, 50)), 'aeä', 'oxö') AS quote, content FROM messages WHERE length(content) > 80),
+    x AS (SELECT trace_id, turn, regexp_replace(quote, '\\s', '', 'g') AS q, regexp_replace(lower(content), '\\s', '', 'g') AS s FROM p)""") + """SELECT trace_id, turn, contains(s, q) OR len(list_filter(range(1, length(s) - length(q) + 2),
+      lambda i: len(list_filter(range(length(q)), lambda j: s[i + j] = q[1 + j])) >= 0.82 * length(q))) > 0 AS found FROM x""")
+def d11_altered(v):
+    """Passages of a message with some letters changed, in their message."""
+    quote = F.translate(F.lower(F.substring("content", 31, 50)), "aeä", "oxö")
+    return v.messages.where("length(content) > 80").select("trace_id", "turn", fuzzy.fuzzy_quote_found(quote, F.col("content")).alias("found"))
+
+
 LEAKS = {"a": "(?i)tion[a-z]* of", "b": "(keit|heit)\\w*", "c": "qu(e|i).{0,10}le"}
 
 
