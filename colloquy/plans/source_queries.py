@@ -137,21 +137,34 @@ NUMBERED = f"e AS (SELECT user_id AS trace_id, event_id, event_type AS tool_name
 @query("n2_tool_gate", f"""WITH {NUMBERED}, m AS (SELECT trace_id, min(seq) FILTER (WHERE tool_name = 'click') AS c, min(seq) FILTER (WHERE tool_name = 'signup') AS s FROM e GROUP BY trace_id)
     SELECT e.trace_id, event_id, tool_name, concat_ws(',', CASE WHEN c IS NULL OR c > seq THEN 'click' END, CASE WHEN s IS NULL OR s > seq THEN 'signup' END) AS missing FROM e JOIN m ON m.trace_id = e.trace_id WHERE tool_name = 'purchase' AND (c IS NULL OR c > seq OR s IS NULL OR s > seq)""")
 def n2(v):
-    return N.drained(N.stateful(_events(v), N.tool_gate({"purchase": ["click", "signup"]}), ["ts", "event_id"], "done string", ("",), N.GATE), "gate")
+    return N.drained(N.stateful(_events(v), N.tool_gate({"purchase": ["click", "signup"]}), "ts", "365 days"), "gate")
 
 
-@query("n3_premature_end", duck("messages") + """SELECT a.trace_id, a.turn, (SELECT max(u.turn) FROM messages u WHERE u.trace_id = a.trace_id AND u.role = 'user' AND u.turn < a.turn AND contains(u.content, 'th')) AS negative_turn FROM messages a
-    WHERE a.role = 'agent' AND contains(a.content, 'tion') AND a.turn - (SELECT max(u.turn) FROM messages u WHERE u.trace_id = a.trace_id AND u.role = 'user' AND u.turn < a.turn AND contains(u.content, 'th')) <= 2""")
+@query("n3_premature_end", duck("messages policy_must", f"""{NUMBERED}, cnt AS (SELECT count(*) AS customers FROM customer), need AS (SELECT scenario_id, pos, tool_name FROM policy_must),
+    c AS (SELECT m.trace_id, m.turn, m.trace_id % customers + 1 AS scenario_id FROM messages m, cnt WHERE role = 'agent' AND contains(content, 'tion')),
+    x AS (SELECT c.trace_id, c.turn, string_agg(q.tool_name, ',' ORDER BY pos) FILTER (WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.trace_id = c.trace_id AND e.tool_name = q.tool_name AND e.seq <= c.turn)) AS missing
+      FROM c JOIN need q ON q.scenario_id = c.scenario_id GROUP BY ALL),
+    y AS (SELECT x.trace_id, x.turn, coalesce(missing, '') AS missing, (SELECT max(u.turn) FROM messages u WHERE u.trace_id = x.trace_id AND u.role = 'user' AND u.turn < x.turn AND u.turn >= x.turn - 2 AND contains(u.content, 'th')) AS negative_turn FROM x)""")
+    + "SELECT trace_id, turn, missing, negative_turn FROM y WHERE missing <> '' OR negative_turn IS NOT NULL")
 def n3(v):
-    rows = _said(v).withColumns({"negative": T.any_of(F.col("content"), ["th"]), "ending": T.any_of(F.col("content"), ["tion"])}).drop("content")
-    return N.drained(N.stateful(rows, N.premature_end(2), ["turn"], "last long", (-1,), N.END), "ends")
+    """Event number `seq` of a trace's ledger stands before its message of that turn. The three tools of the policy are required before the end."""
+    customers = v.table("customer").count()
+    needs = v.policy_must.groupBy("scenario_id").agg(F.array_sort(F.collect_list(F.struct("pos", "tool_name"))).alias("all")).select("scenario_id", F.col("all.tool_name").alias("required"))
+    said = v.messages.withColumn("scenario_id", F.col("trace_id") % customers + 1).join(needs, "scenario_id", "left").select(
+        "trace_id", "turn", F.lit(1).alias("place"), "role", T.any_of(F.col("content"), ["th"]).alias("negative"), T.any_of(F.col("content"), ["tion"]).alias("ending"), "required", F.lit(None).cast("string").alias("tool_name"), F.lit(None).cast("boolean").alias("ok"))
+    calls = v.ledger.select("trace_id", F.col("seq").alias("turn"), F.lit(0).alias("place"), F.lit(None).cast("string").alias("role"), F.lit(False).alias("negative"), F.lit(False).alias("ending"), F.lit(None).cast("array<string>").alias("required"),
+                            "tool_name", (F.col("event_type") != "tool_failed").alias("ok"))
+    both = said.unionByName(calls.join(said.select("trace_id").distinct(), "trace_id", "left_semi")).withColumn("clock", F.timestamp_seconds(F.col("turn") * 60 + 1_700_000_000))
+    path = shared_path(v.spark, "dialogue")
+    both.write.parquet(path)
+    return N.drained(N.stateful(A.read_event_stream(v.spark, path, both.schema), N.premature_end(2), "clock", "30 days"), "ends")
 
 
 @query("n4_guard_budget", f"""WITH {NUMBERED}, x AS (SELECT *, amount > 70 AS violation, k % 5 = 0 AS safety, sum(CASE WHEN amount > 70 THEN 1 ELSE 0 END) OVER (PARTITION BY trace_id ORDER BY seq) AS nth FROM e)
     SELECT trace_id, event_id, CASE WHEN NOT violation THEN 'pass' WHEN nth > 6 AND NOT safety THEN 'skip' ELSE 'block' END AS action FROM x""")
 def n4(v):
     rows = _events(v).withColumns({"violation": F.col("amount") > 70, "safety": F.col("k") % 5 == 0})
-    return N.drained(N.stateful(rows, N.guard_budget(), ["ts", "event_id"], "blocks long, streak long, level string", (0, 0, "full"), N.BUDGET), "budget").drop("level")
+    return N.drained(N.stateful(rows, N.guard_budget(), "ts", "365 days"), "budget").drop("level")
 
 
 @query("n5_chain_check", f"""WITH {NUMBERED}, h AS (SELECT trace_id, event_id, seq, md5(CAST(event_id AS VARCHAR)) AS own, CASE WHEN k = 13 THEN 'x' ELSE '' END AS broken FROM e) SELECT trace_id, min(event_id) FILTER (WHERE broken = 'x' AND seq = f) AS bad_seq
@@ -161,11 +174,11 @@ def n5(v):
 
     k = F.get_json_object("props", "$.k").cast("long")
     before = F.coalesce(F.lag(F.md5(F.col("event_id").cast("string"))).over(Window.partitionBy("user_id").orderBy("ts", "event_id")), F.lit("0" * 64))
-    chained = v.table("events").select(F.col("user_id").alias("trace_id"), "ts", F.col("event_id").alias("seq"), F.md5(F.col("event_id").cast("string")).alias("own_hash"), F.when(k == 13, "x").otherwise(before).alias("prev_hash"))
+    chained = v.table("events").select(F.col("user_id").alias("trace_id"), F.expr(UTC_SQL).alias("ts"), F.col("event_id").alias("seq"), F.md5(F.col("event_id").cast("string")).alias("own_hash"), F.when(k == 13, "x").otherwise(before).alias("prev_hash"))
     path = shared_path(v.spark, "ledger")
     chained.write.parquet(path)
     rows = A.read_event_stream(v.spark, path, chained.schema)
-    return N.drained(N.stateful(rows, N.chain_check(), ["ts", "seq"], "tip string, bad boolean", ("", False), N.CHAIN), "chain")
+    return N.drained(N.stateful(rows, N.chain_check(), "ts", "365 days"), "chain")
 
 
 @query("n6_session_scores", f"""WITH g AS (SELECT user_id AS trace_id, ts, event_type, value, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 6 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from colloquy.functions import fuzzy
 from colloquy.functions import text as T
 from colloquy.operators import agreement, diagnosis, mutations, sampling, scoring, verify
-from colloquy.streaming import guards
 
 
 def test_default_negation(spark):
@@ -186,18 +185,6 @@ def test_entity_swap_permutes(spark):
     assert {r.name for r in rows} == {f"n{i}" for i in range(50)} and sum(r.name != f"n{r.id}" for r in rows) == 50
 
 
-def test_stream_rule_has_state_across_batches():
-    import pandas as pd
-
-    rule, rows = guards.tool_gate({"pay": ["ask"]}), pd.DataFrame([(1, "pay", True), (2, "ask", True), (3, "pay", True)], columns=["event_id", "tool_name", "ok"])
-    whole, _ = rule(("",), rows)
-    parts, state = [], ("",)
-    for i in range(3):
-        out, state = rule(state, rows.iloc[i : i + 1])
-        parts += out
-    assert whole == parts == [(1, "pay", "ask")]
-
-
 def test_large_tables_are_never_crossed(spark, small):
     from colloquy import plans
 
