@@ -5,6 +5,7 @@ import random
 import numpy as np
 from test_training_text import connected, edges, empty
 
+import corpus_pipeline
 from colloquy.llm import circulant
 from colloquy.llm.circulant import near_groups
 
@@ -58,6 +59,28 @@ def test_blocks_alone(spark):
         assert {(a, label[b]) for a, b in got} == want and all(100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) for a, b in got)
 
 
+def edited(seed=3):
+    """Copies of texts with a few words changed, cut or added, and texts that share half."""
+    r, rows = random.Random(seed), []
+    for _ in range(40):
+        base = [f"w{r.randrange(5000)}" for _ in range(r.randrange(60, 400))]
+        rows += [" ".join(base), " ".join(base[: len(base) // 2] + [f"v{r.randrange(5000)}" for _ in base[len(base) // 2 :]])]
+        for n in (1, 1, 2, 3):
+            copy = list(base)
+            for _ in range(n):
+                copy[r.randrange(len(copy))] = "changed"
+            rows.append(" ".join(copy))
+    return list(enumerate(rows + ["", " ", "one two", "One  two", "one three"]))
+
+
+def test_pipeline_stage(spark):
+    rows = edited()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = by_force(rows, 5, blank_alike=True)
+    assert {r.doc_id: r.component_id for r in near_groups(docs, shingle=5, blank_alike=True).collect()} == want and len(set(want.values())) < len(rows) - 80
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == set(want.values())
+
+
 def test_edges(spark):
     """Nulls, empty and short texts, repeats, ids that repeat with other texts, further columns, very long texts; empty tables."""
     long_ = " ".join(f"u{k}" for k in range(200_000))
