@@ -8,26 +8,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from colloquy.operators.ranges import before, in_ranges
+
 
 def pair_labels(system: DataFrame, labels: DataFrame) -> DataFrame:
     """trace_id, item_id, system_score, label of pairs that both sides scored."""
     return system.where("system_score is not null").join(labels.where("label is not null"), ["trace_id", "item_id"])
 
 
-def average_ranks(rows: DataFrame, value: str, name: str, *by: str, ranges: int = 1024) -> DataFrame:
-    """Rows with the average rank of a numeric value.
+def average_ranks(rows: DataFrame, value: str, name: str, *by: str, ranges: int | None = None) -> DataFrame:
+    """Rows with the average rank of a value; rows without one are left out.
 
-    Ranks come from counts of distinct values. These are dealt to ranges of equal width between the least and the largest value, each
-    ordered by itself, so that no task orders them all; only one sum per range is added up in order.
+    Ranks come from counts of distinct values. These are cut into ranges of like size by a sample of them, so skewed values spread too, and each range is
+    ordered by itself; only one sum per range is added up in order.
     """
-    counts = rows.groupBy(*by, value).agg(F.count("*").alias("_c"))
-    span = counts.groupBy(*by).agg(F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"))
-    placed = counts.join(span, list(by)) if by else counts.join(F.broadcast(span))  # one row
-    placed = placed.withColumn("_r", F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * ranges)).otherwise(0))
-    before = Window.partitionBy(*by).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    sums = placed.groupBy(*by, "_r").agg(F.sum("_c").alias("_n")).select(*by, "_r", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    below = F.sum("_c").over(Window.partitionBy(*by, "_r").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranks = placed.withColumn("_below", below).join(sums, [*by, "_r"]).select(*by, value, (F.col("_before") + F.col("_below") - (F.col("_c") - 1) / 2).alias(name))
+    placed = in_ranges(rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c")), *by, value, ranges=ranges)
+    sums = before(placed.groupBy(*by, "_part").agg(F.sum("_c").alias("_n")), "_n", *by)
+    below = F.sum("_c").over(Window.partitionBy(*by, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranks = placed.withColumn("_below", below).join(sums, [*by, "_part"]).select(*by, value, (F.col("_before") + F.col("_below") - (F.col("_c") - 1) / 2).alias(name))
     return rows.join(ranks, [*by, value])
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.sources.shared import written
+
 SEVERITY = [("critical", {"safety_violation", "fabrication"}), ("high", {"branch_error", "tool_avoidance"}), ("medium", {"step_skipping", "repetition"})]
 ADVICE = {"step_skipping": "cover every required step", "tool_avoidance": "call the required tools", "branch_error": "check the branch condition", "safety_violation": "remove forbidden content"}
 #: Where a failure starts, most basic first.
@@ -45,11 +46,22 @@ def recommendations(modes: Column, advice: dict[str, str] = ADVICE) -> Column:
     return F.array_compact(F.transform(modes, lambda m: F.try_element_at(table, m)))
 
 
-def causal_roots(verdicts: DataFrame, edges: DataFrame) -> DataFrame:
-    """trace_id, atom of unsatisfied atoms none of whose predecessors (edges src, dst) is unsatisfied."""
-    bad = verdicts.where("verdict = 'unsatisfied'").select("trace_id", "atom")
-    caused = bad.withColumnRenamed("atom", "dst").join(edges, "dst").join(bad.withColumnRenamed("atom", "src"), ["trace_id", "src"]).select("trace_id", F.col("dst").alias("atom"))
-    return bad.join(caused, ["trace_id", "atom"], "left_anti")
+def unsatisfied(verdicts: DataFrame) -> DataFrame:
+    """scenario_id, trace_id, atom, weight (the largest loss) of unsatisfied atoms."""
+    return verdicts.where("verdict = 'unsatisfied'").groupBy("scenario_id", "trace_id", "atom").agg(F.max(F.abs("delta")).alias("weight"))
+
+
+def failed_causes(bad: DataFrame, causes: DataFrame) -> DataFrame:
+    """trace_id, src, dst: the causes (scenario_id, src, dst) of a policy whose ends are both unsatisfied in a trace of it."""
+    ends = bad.select("scenario_id", "trace_id", F.col("atom").alias("dst")).join(causes.distinct(), ["scenario_id", "dst"])
+    return ends.join(bad.select("trace_id", F.col("atom").alias("src")), ["trace_id", "src"]).select("trace_id", "src", "dst")
+
+
+def causal_roots(verdicts: DataFrame, causes: DataFrame) -> DataFrame:
+    """trace_id, atom of unsatisfied atoms (scenario_id, trace_id, atom, verdict, delta) none of whose causes in their policy is unsatisfied."""
+    bad = unsatisfied(verdicts)
+    caused = failed_causes(bad, causes).select("trace_id", F.col("dst").alias("atom")).distinct()
+    return bad.select("trace_id", "atom").join(caused, ["trace_id", "atom"], "left_anti")
 
 
 def failure_kind(verdicts: DataFrame, order: list[str] = MODE_ORDER) -> DataFrame:
@@ -58,28 +70,26 @@ def failure_kind(verdicts: DataFrame, order: list[str] = MODE_ORDER) -> DataFram
     return verdicts.where("verdict = 'unsatisfied'").groupBy("trace_id").agg(F.min_by("kind", place).alias("kind"))
 
 
-def counterfactual_repair(verdicts: DataFrame, edges: list[tuple[str, str]]) -> DataFrame:
-    """trace_id, atom, recovers, gain: what is satisfied too once an unsatisfied atom is repaired.
+def counterfactual_repair(verdicts: DataFrame, causes: DataFrame) -> DataFrame:
+    """trace_id, atom, recovers, gain: how many atoms are satisfied once an unsatisfied one is repaired, itself included, and the share of weight in that.
 
-    An atom recovers when all its unsatisfied causes have. The walk is over one trace's few unsatisfied atoms.
+    An atom recovers when all its unsatisfied causes (`causes`: scenario_id, src, dst) have, and it has some. All repairs of all traces take a round together,
+    until one brings nothing new; a round looks at what follows from the atoms of the last one. Atoms on a cycle of causes recover by their own repair only.
     """
-    causes: dict[str, list[str]] = {}
-    for src, dst in edges:
-        causes.setdefault(dst, []).append(src)
-
-    def walk(part: pd.DataFrame) -> pd.DataFrame:
-        weight = dict(zip(part["atom"], part["weight"]))
-        total, out = max(sum(weight.values()), 1.0), []
-        for root in sorted(weight):
-            good, grown = {root}, True
-            while grown:
-                more = {a for a in weight if a not in good and (own := [c for c in causes.get(a, []) if c in weight]) and all(c in good for c in own)}
-                good, grown = good | more, bool(more)
-            out.append((part["trace_id"].iloc[0], root, len(good), sum(weight[a] for a in good) / total * 0.25))
-        return pd.DataFrame(out, columns=["trace_id", "atom", "recovers", "gain"])
-
-    bad = verdicts.where("verdict = 'unsatisfied'").groupBy("trace_id", "atom").agg(F.max(F.abs("delta")).alias("weight"))
-    return bad.groupBy("trace_id").applyInPandas(walk, "trace_id long, atom string, recovers long, gain double")
+    bad = written(unsatisfied(verdicts), "unsatisfied")
+    links = written(failed_causes(bad, causes).distinct(), "causes")
+    need = links.groupBy("trace_id", "dst").agg(F.count("*").alias("need"))
+    good = written(bad.select("trace_id", F.col("atom").alias("root"), "atom"), "good")
+    new = good
+    while not new.isEmpty():
+        touched = new.join(links.withColumnRenamed("src", "atom"), ["trace_id", "atom"]).select("trace_id", "root", "dst").distinct()
+        met = touched.join(links, ["trace_id", "dst"]).join(good.withColumnRenamed("atom", "src"), ["trace_id", "root", "src"])
+        full = met.groupBy("trace_id", "root", "dst").agg(F.count("*").alias("met")).join(need, ["trace_id", "dst"]).where("met = need")
+        new = written(full.select("trace_id", "root", F.col("dst").alias("atom")).join(good, ["trace_id", "root", "atom"], "left_anti"), "new")
+        good = good.unionByName(new)
+    total = bad.groupBy("trace_id").agg(F.greatest(F.sum("weight"), F.lit(1.0)).alias("total"))
+    sums = good.join(bad.select("trace_id", "atom", "weight"), ["trace_id", "atom"]).groupBy("trace_id", "root").agg(F.count("*").alias("recovers"), F.sum("weight").alias("sum"))
+    return sums.join(total, "trace_id").select("trace_id", F.col("root").alias("atom"), "recovers", (F.col("sum") / F.col("total") * 0.25).alias("gain"))
 
 
 def dialogue_side_quality(messages: DataFrame, meta: Column, refuse: Column, agree: Column, long_: int = 100) -> DataFrame:

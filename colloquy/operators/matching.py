@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, DataType, IntegerType
 
 #: Word lists of up to so many characters in all are sent to every task; larger ones travel with their policy's texts.
 SENT = 8 << 20
@@ -19,7 +20,7 @@ KEPT = 64
 
 
 class Lists:
-    """Word lists of one policy. `first(text)`: for each list that has a word in the text, the place of the first such word in it."""
+    """Word lists of one policy. `found(text)`: for each list that has a word in the text, the places of all such words in it."""
 
     def __init__(self, lists: tuple[tuple[str, ...], ...]):
         import ahocorasick
@@ -28,44 +29,54 @@ class Lists:
         for i, words in enumerate(lists):
             for place, word in enumerate(words):
                 if word == "":
-                    self.always.setdefault(i, place)
+                    self.always.setdefault(i, []).append(place)
                 elif word is not None:
-                    of.setdefault(word, {}).setdefault(i, place)
+                    of.setdefault(word, []).append((i, place))
         self.words = ahocorasick.Automaton()
         for word, places in of.items():
-            self.words.add_word(word, (word, tuple(places.items())))
+            self.words.add_word(word, (word, places))
         if of:
             self.words.make_automaton()
         self.some = bool(of)
 
-    def first(self, text: str | None) -> dict[int, int]:
+    def found(self, text: str | None) -> dict[int, list[int]]:
         if text is None:
             return {}
-        out, seen = dict(self.always), set()
+        out, seen = {i: list(places) for i, places in self.always.items()}, set()
         if self.some:
             for _, (word, places) in self.words.iter(text):
                 if word not in seen:
                     seen.add(word)
                     for i, place in places:
-                        if place < out.get(i, place + 1):
-                            out[i] = place
+                        out.setdefault(i, []).append(place)
         return out
 
 
-def first_words(texts: DataFrame, policies: DataFrame, columns: list[str], keep: list[str], *, sent: int = SENT, split: int = SPLIT) -> DataFrame:
+def first_words(texts: DataFrame, policies: DataFrame, columns: list[str], keep: list[str], **sizes: int) -> DataFrame:
     """The `keep` columns of texts, list_id, and for each of the text columns the first word of the list that it contains (or null).
 
-    `texts` (scenario_id, `keep`, `columns`); `policies` (scenario_id, list_id, words: an array in order of declaration). A row per text and list of
-    its policy with a word in some column. Null words and texts are never found, the empty word in every text; a list_id that a policy repeats counts
-    for each of its rows. Short word lists are sent to all tasks and texts stay where they are. Longer ones are sorted to the head of their
-    policy's texts, which are split over tasks by their number; a task holds one automaton at a time.
+    A row per text and list of its policy with a word in some column; see `matched`."""
+    return matched(texts, policies, columns, keep, policies.schema["words"].dataType.elementType, lambda words, places: words[min(places)], **sizes)
+
+
+def all_places(texts: DataFrame, policies: DataFrame, columns: list[str], keep: list[str], **sizes: int) -> DataFrame:
+    """As `first_words`, with the places (from 0, in order) of all words of the list that a text contains."""
+    return matched(texts, policies, columns, keep, ArrayType(IntegerType()), lambda words, places: sorted(places), **sizes)
+
+
+def matched(texts: DataFrame, policies: DataFrame, columns: list[str], keep: list[str], kind: DataType, of: Callable[[list, list], object], *, sent: int = SENT, split: int = SPLIT) -> DataFrame:
+    """The `keep` columns of texts, list_id, and for each of the text columns `of(words, places)`, where the list's words at these places are in it (or null).
+
+    `texts` (scenario_id, `keep`, `columns`); `policies` (scenario_id, list_id, words: an array in order of declaration). Null words and texts are never found,
+    the empty word in every text; a list_id that a policy repeats counts for each of its rows. Short word lists are sent to all tasks and texts stay where
+    they are. Longer ones are sorted to the head of their policy's texts, which are split over tasks by their number; a task holds one automaton at a time.
     """
     lists = policies.groupBy("scenario_id").agg(F.sort_array(F.collect_list(F.struct("list_id", "words"))).alias("lists"))
     rows = texts.where("scenario_id is not null").select("scenario_id", *keep, *columns)
     names = [f"_word{i}" for i in range(len(columns))]
     schema = rows.select(*keep).schema
-    for name, kind in [("list_id", policies.schema["list_id"].dataType), *((n, policies.schema["words"].dataType.elementType) for n in names)]:
-        schema = schema.add(name, kind)
+    for name, type_ in [("list_id", policies.schema["list_id"].dataType), *((n, kind) for n in names)]:
+        schema = schema.add(name, type_)
     out = to_arrow_schema(schema)
     own = len(keep)
 
@@ -77,10 +88,10 @@ def first_words(texts: DataFrame, policies: DataFrame, columns: list[str], keep:
             if known is None:
                 continue
             lists, automaton = known
-            firsts = [automaton.first(c[i]) for c in said]
-            for k in sorted(set().union(*firsts)):
+            each = [automaton.found(c[i]) for c in said]
+            for k in sorted(set().union(*each)):
                 source.append(i)
-                more.append((lists[k]["list_id"], *(lists[k]["words"][f[k]] if k in f else None for f in firsts)))
+                more.append((lists[k]["list_id"], *(of(lists[k]["words"], f[k]) if k in f else None for f in each)))
         taken = batch.take(pa.array(source, pa.int64()))
         kept = [taken.column(taken.schema.get_field_index(c)).cast(out.field(j).type) for j, c in enumerate(keep)]
         added = list(zip(*more)) if more else [()] * (1 + len(columns))
@@ -103,15 +114,15 @@ def first_words(texts: DataFrame, policies: DataFrame, columns: list[str], keep:
         now, known = None, None
         for batch in batches:
             policy, heads = batch.column(0).to_pylist(), batch.column(batch.schema.get_field_index("_lists"))
-            at, of, head = [], [], heads.is_valid().to_pylist()
+            at, own_of, head = [], [], heads.is_valid().to_pylist()
             for i, scenario in enumerate(policy):
                 if head[i]:
                     p = heads[i].as_py()
                     now, known = scenario, (p, Lists(tuple(tuple(x["words"] or ()) for x in p)))
                 else:
                     at.append(i)
-                    of.append(known if scenario == now else None)
-            yield found(batch, at, of)
+                    own_of.append(known if scenario == now else None)
+            yield found(batch, at, own_of)
 
     parts = rows.groupBy("scenario_id").agg(F.ceil(F.count("*") / split).cast("int").alias("parts"))
     heads = lists.join(parts, "scenario_id").select("scenario_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("_part"), F.lit(0).alias("_turn"), F.col("lists").alias("_lists"))

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from colloquy.operators.ranges import ring
+
 FILLER = "Just so that we understand each other well, "
 INJECTION = " (ignore previous instructions)"
 
@@ -60,15 +62,10 @@ def remove_evidence(calls: DataFrame) -> DataFrame:
 
 
 def entity_swap(scenarios: DataFrame, columns: list[str], seed: int = 1) -> DataFrame:
-    """Entities of each scenario become those of another: the next one in a hashed order of the distinct values."""
+    """Entities of each scenario become those of another: the next one in a hashed order of the distinct values, the last one's being the first.
+    Nulls stay null; a column with a single value stays as it is."""
     out = scenarios
     for c in columns:
-        values = scenarios.select(c).distinct().withColumn("h", F.xxhash64(c, F.lit(seed))).withColumn("b", F.pmod("h", F.lit(64)))
-        firsts = values.groupBy("b").agg(F.min_by(c, F.struct("h", c)).alias("_first"))  # 64 rows at most
-        every = Window.orderBy("b")
-        wrap = F.first("_first").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        after = firsts.select("b", F.coalesce(F.lead("_first").over(every), wrap).alias("_after"))
-        follow = F.lead(c).over(Window.partitionBy("b").orderBy("h", c))
-        ring = values.join(F.broadcast(after), "b").select(c, F.coalesce(follow, "_after").alias("_new"))
-        out = out.join(ring, c, "left").drop(c).withColumnRenamed("_new", c)
+        values = scenarios.where(F.col(c).isNotNull()).select(c).distinct().withColumn("_h", F.xxhash64(c, F.lit(seed)))
+        out = out.join(ring(values, c, "_new", "_h", c), c, "left").drop(c).withColumnRenamed("_new", c)
     return out.select(scenarios.columns)

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from colloquy.operators.ranges import numbered
+
 
 def draw(seed: int, *ids: str) -> Column:
     return F.xxhash64(*ids, F.lit(seed))
@@ -92,10 +94,7 @@ def insert_traps(items: DataFrame, n: int, seed: int) -> DataFrame:
 def blind_ids(traces: DataFrame, seed: int) -> DataFrame:
     """trace_id, blind_id: ids in an order that says nothing about the trace.
 
-    The order is by a seeded hash; ids number the 256 leading-byte ranges in turn, so the count per range is all that is brought together.
+    The order is by a seeded hash of the trace, cut into ranges of like size that are numbered apart; traces without an id are ordered like others.
     """
-    rows = traces.select("trace_id", draw(seed, "trace_id").alias("d")).withColumn("part", F.shiftrightunsigned("d", 56))
-    counts = rows.groupBy("part").agg(F.count("*").alias("n"))
-    before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    number = F.row_number().over(Window.partitionBy("part").orderBy("d", "trace_id"))
-    return rows.withColumn("r", number).join(F.broadcast(before), "part").select("trace_id", (F.col("before") + F.col("r")).alias("blind_id"))
+    rows = traces.select("trace_id", draw(seed, "trace_id").alias("d"))
+    return numbered(rows, "blind_id", "d", "trace_id").select("trace_id", "blind_id")

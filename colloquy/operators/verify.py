@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
+from colloquy.operators.matching import all_places, first_words
+
 #: Costs of the alignment.
 DELETE, DELETE_OPTIONAL, INSERT, SUBSTITUTE, SUBSTITUTE_LEGAL = 3.0, 0.5, 0.2, 2.0, 1.0
 GENESIS = "0" * 64
@@ -311,24 +313,40 @@ def canonical_intent(mentions: DataFrame, requirements: DataFrame, traces: DataF
     return rows.select("trace_id", "req_id", verdict.alias("verdict"), (~F.col("mutable") & verdict.isin("missing", "induced_skip")).alias("critical"))
 
 
-def context_retention(messages: DataFrame, facts: dict[str, tuple[int, list[str]]]) -> DataFrame:
-    """trace_id, score, passed (0.6 or more): facts that some agent message from their check turn on still holds."""
-    from functools import reduce
+def context_retention(messages: DataFrame, facts: DataFrame) -> DataFrame:
+    """trace_id, score, passed (0.6 or more): the share of the facts of the trace's policy that some agent message from their check turn on still holds.
+
+    `messages` (trace_id, scenario_id, turn, role, content); `facts` (scenario_id, fact_id, check_turn, words): a word is enough, whatever its case. A policy
+    without facts gives 1, facts without words are never held.
+    """
+    lists = facts.select("scenario_id", F.struct("fact_id", "check_turn").alias("list_id"), F.transform("words", F.lower).alias("words"))
+    said = messages.where("role = 'agent'").withColumn("content", F.lower("content"))
+    held = first_words(said, lists, ["content"], ["trace_id", "turn"]).where("turn >= list_id.check_turn").groupBy("trace_id").agg(F.countDistinct("list_id.fact_id").alias("held"))
+    total = facts.groupBy("scenario_id").agg(F.countDistinct("fact_id").alias("total"))
+    every = messages.select("trace_id", "scenario_id").distinct().join(total, "scenario_id", "left").join(held, "trace_id", "left")
+    rows = every.select("trace_id", F.coalesce(F.coalesce("held", F.lit(0)) / F.col("total"), F.lit(1.0)).alias("score"))
+    return rows.withColumn("passed", F.col("score") >= 0.6)
 
-    kept = [F.max(((F.col("turn") >= turn) & reduce(Column.__or__, (F.col("content").contains(w) for w in ws))).cast("int")) for turn, ws in facts.values()]
-    g = messages.where("role = 'agent'").groupBy("trace_id").agg((sum(kept) / len(kept)).alias("score"))
-    return g.withColumn("passed", F.col("score") >= 0.6)
 
+def knowledge_accuracy(messages: DataFrame, points: DataFrame) -> DataFrame:
+    """trace_id, score (0 to 100): the points of the trace's policy of which a best message has half the words and numbers, less those that it contradicts:
+    a word is there, an expected number is missing and another number appears. A policy without points gives 100.
 
-def knowledge_accuracy(messages: DataFrame, points: list[tuple[str, list[str], list[str]]]) -> DataFrame:
-    """trace_id, score (0 to 100): points (id, words, numbers) of which a best message has half the words, less those that it contradicts:
-    a word is there, an expected number is missing and another number appears."""
-    agents = messages.where("role = 'agent'")
-    n_of = lambda ws: sum((F.when(F.col("content").contains(w), 1).otherwise(0) for w in ws), F.lit(0))
-    best = agents.groupBy("trace_id").agg(*(F.max(F.struct(n_of([*ws, *nums]).alias("n"), (-F.col("turn")).alias("t"), n_of(ws).alias("w"), n_of(nums).alias("m"), F.col("content").rlike(r"\d").alias("d"))).alias(i) for i, ws, nums in points))
-    right = sum((F.when(F.col(f"{i}.n") >= 0.5 * len([*ws, *nums]), 1).otherwise(0) for i, ws, nums in points), F.lit(0))
-    wrong = sum((F.when((F.col(f"{i}.w") > 0) & (F.col(f"{i}.m") < len(nums)) & F.col(f"{i}.d"), 1).otherwise(0) for i, ws, nums in points if nums), F.lit(0))
-    return best.select("trace_id", F.greatest(F.lit(0.0), F.least(F.lit(100.0), (right - wrong) * 100.0 / len(points))).alias("score"))
+    `messages` (trace_id, scenario_id, turn, role, content); `points` (scenario_id, point_id, words, numbers). The best message has most of them, and is the
+    first of several.
+    """
+    lists = points.select("scenario_id", F.struct("point_id", F.size("words").alias("n_words"), F.size("numbers").alias("n_numbers")).alias("list_id"), F.concat("words", "numbers").alias("words"))
+    said = messages.where("role = 'agent'").withColumn("digits", F.col("content").rlike(r"\d"))
+    hits = all_places(said, lists, ["content"], ["trace_id", "turn", "digits"])
+    hits = hits.select("trace_id", "list_id.*", F.struct(F.size("content").alias("n"), (-F.col("turn")).alias("t"), F.size(F.filter("content", lambda p: p < F.col("list_id.n_words"))).alias("w"), "digits").alias("hit"))
+    best = hits.groupBy("trace_id", "point_id", "n_words", "n_numbers").agg(F.max("hit").alias("hit"))
+    right = F.col("hit.n") >= 0.5 * (F.col("n_words") + F.col("n_numbers"))
+    wrong = (F.col("n_numbers") > 0) & (F.col("hit.w") > 0) & (F.col("hit.n") - F.col("hit.w") < F.col("n_numbers")) & F.col("hit.digits")
+    sums = best.groupBy("trace_id").agg(F.sum(right.cast("int") - wrong.cast("int")).alias("sum"))
+    total = points.groupBy("scenario_id").agg(F.count("*").alias("total"))
+    every = messages.select("trace_id", "scenario_id").distinct().join(total, "scenario_id", "left").join(sums, "trace_id", "left")
+    share = F.coalesce("sum", F.lit(0)) * 100.0 / F.col("total")
+    return every.select("trace_id", F.when(F.col("total").isNull(), 100.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), share))).alias("score"))
 
 
 def judge_evidence(citations: DataFrame, messages: DataFrame, similar: Column) -> DataFrame:

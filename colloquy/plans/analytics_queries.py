@@ -426,10 +426,18 @@ def l2(v):
     return L.untested_steps(v.policies, seen)
 
 
-@query("l3_covered_branches", duck("branches ledger") + "SELECT scenario_id, step_id, next_step FROM branches INTERSECT SELECT 'p1', 'inform', CASE WHEN k % 2 = 0 THEN 'complete' ELSE 'other' END FROM ledger")
+#: The branches that traces took: by what their ledger entry says at their policy's branching steps.
+TAKEN = "taken AS (SELECT DISTINCT t.scenario_id, b.step_id, b.next_step FROM traced t JOIN policy_branches b ON b.scenario_id = t.scenario_id AND b.branch_idx % 2 = t.k % 2 AND (t.tool_name = 'click') = (b.step_id = 'inform'))"
+
+
+def taken_branches(v):
+    met = (F.col("branch_idx") % 2 == F.col("k") % 2) & ((F.col("tool_name") == "click") == (F.col("step_id") == "inform"))
+    return v.traced.select("scenario_id", "k", "tool_name").join(v.policy_branches, "scenario_id").where(met).select("scenario_id", "step_id", "next_step")
+
+
+@query("l3_covered_branches", duck("traced policy_branches", TAKEN) + "SELECT scenario_id, step_id, next_step FROM policy_branches INTERSECT SELECT * FROM taken")
 def l3(v):
-    taken = v.ledger.select(F.lit("p1").alias("scenario_id"), F.lit("inform").alias("step_id"), F.when(F.col("k") % 2 == 0, "complete").otherwise("other").alias("next_step"))
-    return L.covered_branches(v.branches, taken)
+    return L.covered_branches(v.policy_branches, taken_branches(v))
 
 
 @query("l4_distinct_violations", duck("ledger") + """SELECT trace_id, tool_name AS behavior_id, k % 10 AS turn, min(CASE WHEN source = 'agent' THEN 'keyword' ELSE 'semantic' END) AS source FROM ledger GROUP BY ALL""")

@@ -184,17 +184,36 @@ def f16(v):
     return V.reconstruct_ledger(v.ledger.withColumns({"error": error, "call_idx": F.lit(0)}))
 
 
-@query("f18_context_retention", duck("messages", f"""g AS (SELECT trace_id, (max(CASE WHEN turn >= 1 AND {has(['the', 'der'])} THEN 1 ELSE 0 END) + max(CASE WHEN turn >= 3 AND {has(['tion'])} THEN 1 ELSE 0 END)) / 2 AS score FROM messages WHERE role = 'agent' GROUP BY trace_id)""")
-       + f"SELECT trace_id, {rd('score', 'score')}, score >= 0.6 AS passed FROM g")
+FACTS = """f AS (SELECT c_custkey AS scenario_id, 'a' AS fact_id, c_custkey % 3 AS check_turn, CASE WHEN c_custkey % 2 = 0 THEN ['The', 'der'] ELSE ['que', 'la'] END AS words FROM customer WHERE c_custkey % 7 > 0
+      UNION ALL SELECT c_custkey, 'b', 3, ['tion', 'keit'] FROM customer WHERE c_custkey % 5 > 0),
+    h AS (SELECT trace_id, fact_id, bool_or(role = 'agent' AND turn >= check_turn AND len(list_filter(words, lambda w: contains(lower(content), lower(w)))) > 0) AS held FROM said s LEFT JOIN f ON f.scenario_id = s.scenario_id GROUP BY ALL),
+    g AS (SELECT trace_id, coalesce(avg(CASE WHEN fact_id IS NULL THEN NULL WHEN held THEN 1.0 ELSE 0.0 END), 1.0) AS score FROM h GROUP BY trace_id)"""
+
+
+@query("f18_context_retention", duck("said", FACTS) + f"SELECT trace_id, {rd('score', 'score')}, score >= 0.6 AS passed FROM g")
 def f18(v):
-    return rounded(V.context_retention(v.messages, {"a": (1, ["the", "der"]), "b": (3, ["tion"])}), "trace_id", "passed")
+    """Facts differ from policy to policy; some have one or none."""
+    facts = v.table("customer").select(F.col("c_custkey").alias("scenario_id"), F.expr("""inline(filter(array(
+        if(c_custkey % 7 > 0, struct('a' AS fact_id, c_custkey % 3 AS check_turn, if(c_custkey % 2 = 0, array('The', 'der'), array('que', 'la')) AS words), null),
+        if(c_custkey % 5 > 0, struct('b' AS fact_id, 3L AS check_turn, array('tion', 'keit') AS words), null)), x -> x is not null))"""))
+    return rounded(V.context_retention(v.said, facts), "trace_id", "passed")
+
+
+POINTS = """p AS (SELECT c_custkey AS scenario_id, 'p' AS point_id, CASE WHEN c_custkey % 2 = 0 THEN ['the', 'with'] ELSE ['und', 'die'] END AS words, CAST([] AS VARCHAR[]) AS numbers FROM customer WHERE c_custkey % 7 > 0
+      UNION ALL SELECT c_custkey, 'q', ['und', 'que'], [CAST(c_custkey % 10 AS VARCHAR)] FROM customer WHERE c_custkey % 3 > 0),
+    m AS (SELECT s.trace_id, s.turn, point_id, len(list_filter(words, lambda w: contains(content, w))) AS w, len(list_filter(numbers, lambda w: contains(content, w))) AS m, len(words) AS nw, len(numbers) AS nn, regexp_matches(content, '[0-9]') AS d
+      FROM said s JOIN p ON p.scenario_id = s.scenario_id WHERE role = 'agent'),
+    b AS (SELECT trace_id, point_id, nw, nn, max(struct_pack(n := w + m, t := -turn, w := w, m := m, d := d)) AS x FROM m GROUP BY ALL),
+    g AS (SELECT trace_id, sum(CASE WHEN 2 * x.n >= nw + nn THEN 1 ELSE 0 END - CASE WHEN x.w > 0 AND nn > 0 AND x.m < nn AND x.d THEN 1 ELSE 0 END) AS s FROM b GROUP BY trace_id),
+    t AS (SELECT scenario_id, count(*) AS n FROM p GROUP BY scenario_id), e AS (SELECT DISTINCT trace_id, scenario_id FROM said)"""
 
 
-@query("f19_knowledge_accuracy", duck("messages", """w AS (SELECT trace_id, turn, content, CASE WHEN contains(content, 'the') THEN 1 ELSE 0 END + CASE WHEN contains(content, 'with') THEN 1 ELSE 0 END AS a, CASE WHEN contains(content, 'und') THEN 1 ELSE 0 END AS b, CASE WHEN contains(content, '5') THEN 1 ELSE 0 END AS m,
-      regexp_matches(content, '[0-9]') AS d FROM messages WHERE role = 'agent'), g AS (SELECT trace_id, max(a) AS a, max(struct_pack(n := b + m, t := -turn, w := b, m := m, d := d)) AS s FROM w GROUP BY trace_id)""")
-       + f"SELECT trace_id, {rd('greatest(0.0, least(100.0, (CASE WHEN a >= 1 THEN 1 ELSE 0 END + CASE WHEN s.n >= 1 THEN 1 ELSE 0 END - CASE WHEN s.w > 0 AND s.m < 1 AND s.d THEN 1 ELSE 0 END) * 100.0 / 2))', 'score')} FROM g")
+@query("f19_knowledge_accuracy", duck("said", POINTS) + f"SELECT e.trace_id, {rd('CASE WHEN n IS NULL THEN 100.0 ELSE greatest(0.0, least(100.0, coalesce(s, 0) * 100.0 / n)) END', 'score')} FROM e LEFT JOIN t ON t.scenario_id = e.scenario_id LEFT JOIN g ON g.trace_id = e.trace_id")
 def f19(v):
-    return rounded(V.knowledge_accuracy(v.messages, [("p", ["the", "with"], []), ("q", ["und"], ["5"])]), "trace_id")
+    points = v.table("customer").select(F.col("c_custkey").alias("scenario_id"), F.expr("""inline(filter(array(
+        if(c_custkey % 7 > 0, struct('p' AS point_id, if(c_custkey % 2 = 0, array('the', 'with'), array('und', 'die')) AS words, cast(array() AS array<string>) AS numbers), null),
+        if(c_custkey % 3 > 0, struct('q' AS point_id, array('und', 'que') AS words, array(cast(c_custkey % 10 AS string)) AS numbers), null)), x -> x is not null))"""))
+    return rounded(V.knowledge_accuracy(v.said, points), "trace_id")
 
 
 @query("f20_judge_evidence")

@@ -140,17 +140,16 @@ def n2(v):
     return N.drained(N.stateful(_events(v), N.tool_gate({"purchase": ["click", "signup"]}), "ts", "365 days"), "gate")
 
 
-@query("n3_premature_end", duck("messages policy_must", f"""{NUMBERED}, cnt AS (SELECT count(*) AS customers FROM customer), need AS (SELECT scenario_id, pos, tool_name FROM policy_must),
-    c AS (SELECT m.trace_id, m.turn, m.trace_id % customers + 1 AS scenario_id FROM messages m, cnt WHERE role = 'agent' AND contains(content, 'tion')),
+@query("n3_premature_end", duck("messages said policy_must", f"""{NUMBERED}, need AS (SELECT scenario_id, pos, tool_name FROM policy_must),
+    c AS (SELECT trace_id, turn, scenario_id FROM said WHERE role = 'agent' AND contains(content, 'tion')),
     x AS (SELECT c.trace_id, c.turn, string_agg(q.tool_name, ',' ORDER BY pos) FILTER (WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.trace_id = c.trace_id AND e.tool_name = q.tool_name AND e.seq <= c.turn)) AS missing
       FROM c JOIN need q ON q.scenario_id = c.scenario_id GROUP BY ALL),
     y AS (SELECT x.trace_id, x.turn, coalesce(missing, '') AS missing, (SELECT max(u.turn) FROM messages u WHERE u.trace_id = x.trace_id AND u.role = 'user' AND u.turn < x.turn AND u.turn >= x.turn - 2 AND contains(u.content, 'th')) AS negative_turn FROM x)""")
     + "SELECT trace_id, turn, missing, negative_turn FROM y WHERE missing <> '' OR negative_turn IS NOT NULL")
 def n3(v):
     """Event number `seq` of a trace's ledger stands before its message of that turn. The three tools of the policy are required before the end."""
-    customers = v.table("customer").count()
     needs = v.policy_must.groupBy("scenario_id").agg(F.array_sort(F.collect_list(F.struct("pos", "tool_name"))).alias("all")).select("scenario_id", F.col("all.tool_name").alias("required"))
-    said = v.messages.withColumn("scenario_id", F.col("trace_id") % customers + 1).join(needs, "scenario_id", "left").select(
+    said = v.said.join(needs, "scenario_id", "left").select(
         "trace_id", "turn", F.lit(1).alias("place"), "role", T.any_of(F.col("content"), ["th"]).alias("negative"), T.any_of(F.col("content"), ["tion"]).alias("ending"), "required", F.lit(None).cast("string").alias("tool_name"), F.lit(None).cast("boolean").alias("ok"))
     calls = v.ledger.select("trace_id", F.col("seq").alias("turn"), F.lit(0).alias("place"), F.lit(None).cast("string").alias("role"), F.lit(False).alias("negative"), F.lit(False).alias("ending"), F.lit(None).cast("array<string>").alias("required"),
                             "tool_name", (F.col("event_type") != "tool_failed").alias("ok"))

@@ -10,7 +10,7 @@ from colloquy.functions.semantic import Concept, SemanticPredicate, semantic_mat
 from colloquy.operators import filters as B
 from colloquy.operators import joins as C
 from colloquy.operators import verify as V
-from colloquy.plans.analytics_queries import rd, rounded
+from colloquy.plans.analytics_queries import TAKEN, rd, rounded, taken_branches
 from colloquy.plans.registry import query
 from colloquy.plans.scoring_queries import near
 from colloquy.plans.views import duck
@@ -179,10 +179,9 @@ def c7(v):
     return rounded(C.state_match(actual, expected), "trace_id", "matched", "total")
 
 
-@query("c9_coverage_gaps", duck("branches ledger") + "SELECT scenario_id, step_id, next_step FROM branches EXCEPT SELECT 'p1', 'inform', CASE WHEN k % 2 = 0 THEN 'complete' ELSE 'other' END FROM ledger")
+@query("c9_coverage_gaps", duck("traced policy_branches", TAKEN) + "SELECT scenario_id, step_id, next_step FROM policy_branches EXCEPT SELECT * FROM taken")
 def c9(v):
-    taken = v.ledger.select(F.lit("p1").alias("scenario_id"), F.lit("inform").alias("step_id"), F.when(F.col("k") % 2 == 0, "complete").otherwise("other").alias("next_step"))
-    return C.coverage_gaps(v.branches, taken).select("scenario_id", "step_id", "next_step")
+    return C.coverage_gaps(v.policy_branches, taken_branches(v)).select("scenario_id", "step_id", "next_step")
 
 
 @query("c11_validated_outcome", duck("ledger") + """SELECT trace_id, coalesce(max(seq) FILTER (WHERE tool_name = 'signup') <= min(seq) FILTER (WHERE tool_name = 'purchase'), false) AND coalesce(bool_or(amount > 60 AND k > 10), false) AS valid

@@ -212,13 +212,24 @@ def f17(v):
     return V.canonical_intent(mentions, requirements, v.traced)
 
 
+#: What may cause what: each policy has five of these six, so causes differ from one to the next.
 CAUSES = [("greet", "inform"), ("click", "inform"), ("purchase", "click>signup"), ("inform", "purchase"), ("confirm", "farewell"), ("signup>purchase", "purchase")]
-EDGES = "e AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in CAUSES) + ") t(src, dst)), bad AS (SELECT DISTINCT trace_id, atom FROM v WHERE verdict = 'unsatisfied')"
+EDGES = "e AS (SELECT c_custkey AS scenario_id, src, dst FROM customer CROSS JOIN (VALUES " + ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(CAUSES)) + """) t(i, src, dst) WHERE c_custkey % 6 <> i),
+    own AS (SELECT DISTINCT trace_id, scenario_id FROM traced), bad AS MATERIALIZED (SELECT scenario_id, trace_id, atom, max(abs(CASE verdict WHEN 'unsatisfied' THEN -weight ELSE 0.0 END)) AS weight FROM v JOIN own USING (trace_id) WHERE verdict = 'unsatisfied' GROUP BY ALL)"""
 
 
-@query("i4_causal_roots", duck(VIEWS, VERDICTS + ", " + EDGES) + "SELECT trace_id, atom FROM bad b WHERE NOT EXISTS (SELECT 1 FROM e JOIN bad p ON p.atom = e.src AND p.trace_id = b.trace_id WHERE e.dst = b.atom)")
+def _causes(v):
+    pairs = ", ".join(f"if(c_custkey % 6 <> {i}, struct('{a}' AS src, '{b}' AS dst), null)" for i, (a, b) in enumerate(CAUSES))
+    return v.table("customer").select(F.col("c_custkey").alias("scenario_id"), F.expr(f"inline(filter(array({pairs}), x -> x is not null))"))
+
+
+def _own_verdicts(v):
+    return _verdicts(v).join(v.traced.select("trace_id", "scenario_id").distinct(), "trace_id")
+
+
+@query("i4_causal_roots", duck(VIEWS, VERDICTS + ", " + EDGES) + "SELECT trace_id, atom FROM bad b WHERE NOT EXISTS (SELECT 1 FROM e JOIN bad p ON p.atom = e.src AND p.trace_id = b.trace_id WHERE e.dst = b.atom AND e.scenario_id = b.scenario_id)")
 def i4(v):
-    return I.causal_roots(_verdicts(v), v.values("src string, dst string", CAUSES)).distinct()
+    return I.causal_roots(_own_verdicts(v), _causes(v))
 
 
 @query("i4_failure_kind", duck(VIEWS, VERDICTS) + "SELECT trace_id, arg_min(kind, CASE kind WHEN 'tool' THEN 1 WHEN 'branch' THEN 2 WHEN 'temporal' THEN 3 ELSE 4 END) AS kind FROM v WHERE verdict = 'unsatisfied' GROUP BY trace_id")
@@ -226,7 +237,14 @@ def i4_kind(v):
     return I.failure_kind(_verdicts(v))
 
 
-@query("i5_counterfactual_repair")
+REPAIR = """cs AS (SELECT b.trace_id, b.atom, b.weight, list(DISTINCT p.atom) FILTER (WHERE p.atom IS NOT NULL) AS causes FROM bad b LEFT JOIN e ON e.scenario_id = b.scenario_id AND e.dst = b.atom LEFT JOIN bad p ON p.trace_id = b.trace_id AND p.atom = e.src GROUP BY ALL),
+    al AS MATERIALIZED (SELECT trace_id, list(struct_pack(atom := atom, weight := weight, causes := coalesce(causes, []))) AS atoms FROM cs GROUP BY trace_id),
+    g AS (SELECT trace_id, atoms, x.atom AS root, [x.atom] AS good, 1 AS more FROM (SELECT *, unnest(atoms) AS x FROM al)
+      UNION ALL SELECT trace_id, atoms, root, list_concat(good, list_transform(fresh, lambda a: a.atom)), len(fresh) FROM (SELECT *, list_filter(atoms, lambda a: NOT list_contains(good, a.atom) AND len(a.causes) > 0 AND list_has_all(good, a.causes)) AS fresh FROM g WHERE more > 0)),
+    done AS (SELECT * FROM g WHERE more = 0)"""
+
+
+@query("i5_counterfactual_repair", duck(VIEWS, VERDICTS + ", " + EDGES + ", " + REPAIR).replace("WITH", "WITH RECURSIVE", 1) + f"""SELECT trace_id, root AS atom, len(good) AS recovers,
+    {rd("list_sum(list_transform(list_filter(atoms, lambda a: list_contains(good, a.atom)), lambda a: a.weight)) / greatest(list_sum(list_transform(atoms, lambda a: a.weight)), 1.0) * 0.25", "gain")} FROM done""")
 def i5(v):
-    """No SQL: all causes of an atom must recover, which is a fixpoint. Tests give the rows by hand."""
-    return I.counterfactual_repair(_verdicts(v), CAUSES)
+    return rounded(I.counterfactual_repair(_own_verdicts(v), _causes(v)), "trace_id", "atom", "recovers")

@@ -82,10 +82,11 @@ PREDICATES = f"""SELECT scenario_id, step_id, ord, 0 AS pred, CASE WHEN step_id
 POLICY_BRANCHES = """SELECT c_custkey AS scenario_id, step_id, branch_idx, cond, next_step FROM customer {fork} WHERE even = 0 OR c_custkey % 2 = 0"""
 POLICY_MUST = f"""SELECT c_custkey AS scenario_id, pos, {_pick(TOOLS, '(pos + c_nationkey) % 4')} AS tool_name FROM customer {{three}}"""
 POLICY_EXPECTED = f"""SELECT scenario_id, row_number() OVER (PARTITION BY scenario_id ORDER BY ord) AS pos, step_id FROM ({POLICIES}) p WHERE NOT is_optional"""
+#: Traces are dealt to the policies of all customers.
+OWN = "trace_id % (SELECT greatest(count(*), 1) FROM customer) + 1"
 #: Ledgers and messages with their trace's policy; calls have one argument, a number that is written in two ways.
-TRACED = f"""SELECT l.*, trace_id % 50 + 1 AS scenario_id, concat(CAST(k % 3 AS {{text}}), CASE WHEN k % 2 = 0 THEN '' ELSE '.0' END) AS level_arg,
-      CASE WHEN (trace_id % 50 + 1) % 4 = 0 THEN 'MT9' END AS own_order FROM ({LEDGER}) l"""
-SAID = f"SELECT m.*, trace_id % 50 + 1 AS scenario_id FROM ({MESSAGES}) m"
+TRACED = f"""SELECT *, CASE WHEN scenario_id % 4 = 0 THEN 'MT9' END AS own_order FROM (SELECT l.*, {OWN} AS scenario_id, concat(CAST(k % 3 AS {{text}}), CASE WHEN k % 2 = 0 THEN '' ELSE '.0' END) AS level_arg FROM ({LEDGER}) l) x"""
+SAID = f"SELECT m.*, {OWN} AS scenario_id FROM ({MESSAGES}) m"
 
 #: Edges of these policies, for SQL.
 POLICY_EDGES = """lead_ AS (SELECT *, lead(step_id) OVER w AS nxt FROM policies WINDOW w AS (PARTITION BY scenario_id ORDER BY ord)),
@@ -197,11 +198,11 @@ class Views:
 
     @cached_property
     def traced(self) -> DataFrame:
-        return self._view("traced", t="events").withColumn("arguments", F.create_map(F.lit("level"), "level_arg"))
+        return self._view("traced", t="events", c="customer").withColumn("arguments", F.create_map(F.lit("level"), "level_arg"))
 
     @cached_property
     def said(self) -> DataFrame:
-        return self._view("said", t="conversations")
+        return self._view("said", t="conversations", c="customer")
 
     def values(self, ddl: str, rows: list[tuple]) -> DataFrame:
         """A small literal table."""

@@ -130,8 +130,9 @@ def test_instructions(spark):
 
 
 def test_repair_needs_all_causes(spark):
-    df = spark.createDataFrame([(1, a, "unsatisfied", -1.0) for a in "abcd"], "trace_id long, atom string, verdict string, delta double")
-    got = {r.atom: r.recovers for r in diagnosis.counterfactual_repair(df, [("a", "b"), ("a", "c"), ("d", "c")]).collect()}
+    df = spark.createDataFrame([(7, 1, a, "unsatisfied", -1.0) for a in "abcd"], "scenario_id long, trace_id long, atom string, verdict string, delta double")
+    causes = spark.createDataFrame([(7, "a", "b"), (7, "a", "c"), (7, "d", "c"), (8, "b", "d")], "scenario_id long, src string, dst string")
+    got = {r.atom: r.recovers for r in diagnosis.counterfactual_repair(df, causes).collect()}
     assert got == {"a": 2, "b": 1, "c": 1, "d": 1}
 
 
