@@ -23,11 +23,11 @@ def so_far():
 
 
 def verbatim_repetition(messages: DataFrame, similar) -> DataFrame:
-    """trace_id, turn of agent messages that repeat the one before; empty ones and pairs of up to 5 characters don't count.
+    """trace_id, turn of agent messages that repeat the one before, blanks around them aside; empty ones and pairs of up to 5 characters don't count.
 
     `similar(previous, current)` is a condition, e.g. `fuzzy.similar` with a threshold.
     """
-    rows = messages.where("role = 'agent'").withColumn("before", F.lag("content").over(in_trace()))
+    rows = messages.where("role = 'agent'").withColumn("content", F.trim(F.col("content"), F.lit(" \t\n\x0b\x0c\r"))).withColumn("before", F.lag("content").over(in_trace()))
     long_ = F.greatest(F.length("before"), F.length("content")) > 5
     fit = (F.length("before") > 0) & (F.length("content") > 0) & long_
     return rows.where(fit & similar(F.when(fit, F.col("before")), F.when(fit, F.col("content")))).select("trace_id", "turn")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from colloquy.functions import fuzzy
 from colloquy.functions import text as T
@@ -103,9 +104,9 @@ def e7(v):
     return E.topological_order(E.compile_edges(v.policies, v.policy_branches), v.policies)
 
 
-#: Policies of some hundred steps: the orders of ten customers, one after the other. Some steps are skipped on a branch, a step order that isn't the
+#: Policies of some fifty steps: the orders of five customers, one after the other. Some steps are skipped on a branch, a step order that isn't the
 #: edges' decides ties, and in one policy of seven an edge leads back.
-LONG = """o AS (SELECT o_custkey // 10 AS scenario_id, CAST(o_orderkey AS VARCHAR) AS step_id, o_orderkey * 7 % 101 AS ord, row_number() OVER (PARTITION BY o_custkey // 10 ORDER BY o_orderkey) AS r FROM orders),
+LONG = """o AS (SELECT o_custkey // 5 AS scenario_id, CAST(o_orderkey AS VARCHAR) AS step_id, o_orderkey * 7 % 101 AS ord, row_number() OVER (PARTITION BY o_custkey // 5 ORDER BY o_orderkey) AS r FROM orders),
     nodes AS (SELECT scenario_id, step_id, ord, r FROM o),
     edges AS (SELECT a.scenario_id, a.step_id AS src, b.step_id AS dst, CASE WHEN b.r = a.r + 3 THEN 'branch' ELSE 'sequential' END AS kind, CASE WHEN b.r = a.r + 3 THEN concat('c', CAST(a.r % 2 AS VARCHAR)) END AS cond
       FROM o a JOIN o b ON b.scenario_id = a.scenario_id AND (b.r = a.r + 1 AND a.r % 5 > 0 OR b.r = a.r + 3 OR b.r = 31 AND a.r = 40 AND a.scenario_id % 7 = 0))"""
@@ -113,7 +114,7 @@ LONG = """o AS (SELECT o_custkey // 10 AS scenario_id, CAST(o_orderkey AS VARCHA
 
 def _long(v):
     """Nodes and edges of long policies."""
-    nodes = v.spark.sql("""SELECT o_custkey div 10 AS scenario_id, CAST(o_orderkey AS STRING) AS step_id, o_orderkey * 7 % 101 AS ord, row_number() OVER (PARTITION BY o_custkey div 10 ORDER BY o_orderkey) AS r FROM {orders}""", orders=v.table("orders"))
+    nodes = v.spark.sql("""SELECT o_custkey div 5 AS scenario_id, CAST(o_orderkey AS STRING) AS step_id, o_orderkey * 7 % 101 AS ord, row_number() OVER (PARTITION BY o_custkey div 5 ORDER BY o_orderkey) AS r FROM {orders}""", orders=v.table("orders"))
     ahead = "filter(array(if(r % 5 > 0, r + 1, null), r + 3, if(r = 40 and scenario_id % 7 = 0, 31, null)), x -> x is not null)"
     out = nodes.select("scenario_id", F.col("step_id").alias("src"), F.col("r").alias("a"), F.explode(F.expr(ahead)).alias("r"))
     edges = out.join(nodes.select("scenario_id", "r", F.col("step_id").alias("dst")), ["scenario_id", "r"])
@@ -237,6 +238,21 @@ def g1(v):
     return G.verbatim_repetition(v.messages, lambda a, b: fuzzy.similar(a, b, 0.9))
 
 
+def _stuck(v):
+    """Messages of agents that get stuck: every second one is the one before, in every other trace with a new ending, or with letters changed."""
+    w = G.in_trace()
+    n = F.row_number().over(Window.partitionBy("trace_id").orderBy("msg_idx"))
+    last = F.lag("content").over(w)
+    again = F.when(F.col("trace_id") % 3 == 0, last).when(F.col("trace_id") % 3 == 1, F.concat(last, F.lit(" "), F.substring("content", 1, 20))).otherwise(F.translate(last, "aei", "oxu"))
+    return v.messages.where("role = 'agent'").withColumns({"n": n, "again": again}).withColumn("content", F.when(F.col("n") % 2 == 0, F.col("again")).otherwise(F.col("content")))
+
+
+@query("g1_stuck_agents")
+def g1_stuck(v):
+    """No SQL, as above; here agents do repeat themselves, word by word or nearly so."""
+    return G.verbatim_repetition(_stuck(v), lambda a, b: fuzzy.similar(a, b, 0.9))
+
+
 @query("g2_opening_closing", duck("messages", "g AS (SELECT trace_id, arg_min(content, msg_idx) AS f, arg_max(content, msg_idx) AS l FROM messages WHERE role = 'agent' GROUP BY trace_id)") + """SELECT q.trace_id,
     coalesce(CASE WHEN contains(f, 'the') THEN 1 ELSE 0 END + CASE WHEN contains(f, 'und') THEN 1 ELSE 0 END + CASE WHEN contains(f, 'tion') THEN 1 ELSE 0 END >= 1.8, false) AS opening_ok,
     coalesce(CASE WHEN contains(l, 'er') THEN 1 ELSE 0 END + CASE WHEN contains(l, 'keit') THEN 1 ELSE 0 END >= 1, false) AS closing_ok FROM (SELECT DISTINCT trace_id FROM messages) q LEFT JOIN g ON g.trace_id = q.trace_id""")

@@ -41,6 +41,12 @@ def test_repetition_of_whole_texts(spark, small):
         said.setdefault(m.trace_id, []).append((m.turn, m.content or ""))
     want = {(t, b[0]) for t, own in said.items() for a, b in zip(own, own[1:]) if a[1] and b[1] and max(len(a[1]), len(b[1])) > 5 and difflib.SequenceMatcher(None, a[1], b[1]).ratio() >= 0.9}
     assert {(r.trace_id, r.turn) for r in plans.QUERIES["g1_verbatim_repetition"](spark, small).collect()} == want
+    stuck = set()
+    for t, own in said.items():
+        texts = [b[1] if i % 2 == 0 else [a[1], f"{a[1]} {b[1][:20]}", a[1].translate(str.maketrans("aei", "oxu"))][t % 3] for i, (a, b) in enumerate(zip([(0, ""), *own], own))]
+        pairs = [(own[i + 1][0], a.strip(), b.strip()) for i, (a, b) in enumerate(zip(texts, texts[1:]))]
+        stuck |= {(t, turn) for turn, a, b in pairs if a and b and max(len(a), len(b)) > 5 and difflib.SequenceMatcher(None, a, b).ratio() >= 0.9}
+    assert {(r.trace_id, r.turn) for r in plans.QUERIES["g1_stuck_agents"](spark, small).collect()} == stuck and len(stuck) > 5
 
 
 def test_evidence_of_whole_texts(spark, small):
