@@ -3,7 +3,8 @@
 The standard library's parser streams events; they become lines (the text of one block element) with the number of tags
 around them. The ratio of text to tags per line is smoothed by a Gaussian and split into two clusters by a threshold. The upper
 cluster's lines say which regions of the page are content: the articles that hold such lines or, on a page where no article does, the
-stretch from the title or the first to the last block of the elements that directly hold them. What the regions hold stays whole. Structure is a feature
+stretch from the title or the first to the last block of the elements that directly hold them. What the regions hold stays, but for runs of lines that
+are links alone: such a run is a menu if it is in the lower cluster as a whole, whatever its elements are called and wherever it stands. Structure is a feature
 (lines of articles count double) and a veto on menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
 comments.
 """
@@ -56,6 +57,7 @@ class Line:
     never: bool  # in an element of a kind that is no content
     marks: tuple[int, ...]  # the elements around it that their names mark
     title: bool  # an h1
+    links: bool  # all of the text is in links
 
     @property
     def ratio(self) -> float:
@@ -93,6 +95,8 @@ class Reader(HTMLParser):
         self.open, self.counts = [Open("")], Counter()
         self.parts: list[str] = []
         self.tags = self.made = 0
+        self.said = self.linked = 0  # letters so far, and those in links
+        self.link = False
         self.lasting: set[int] = set()
 
     @property
@@ -103,16 +107,20 @@ class Reader(HTMLParser):
         text = SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
             top = self.top
-            self.lines.append(Line(text, self.tags, top.article, top.holder, top.never, top.marks, top.tag == "h1"))
+            self.lines.append(Line(text, self.tags, top.article, top.holder, top.never, top.marks, top.tag == "h1", self.said == self.linked))
             self.tags = 0
         self.parts.clear()
+        self.said = self.linked = 0
 
     def pop(self) -> None:
         self.counts[self.open.pop().tag] -= 1
 
     def handle_starttag(self, tag, attrs):
+        if tag == "a":
+            self.link = True
         if tag in BLOCKS:
             self.flush()
+            self.link = False  # a link that is never closed ends with its block
             if tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "div", "section", "article", "main", "ul", "ol", "table") and self.top.tag == "p":
                 self.pop()
             if tag == "li" and self.top.tag == "li":
@@ -150,6 +158,8 @@ class Reader(HTMLParser):
 
     def handle_endtag(self, tag):
         self.tags += 1
+        if tag == "a":
+            self.link = False
         if self.counts[tag]:
             self.flush()
             while self.top.tag != tag:
@@ -160,6 +170,10 @@ class Reader(HTMLParser):
 
     def handle_data(self, data):
         self.parts.append(data)
+        letters = len(data.strip())
+        self.said += letters
+        if self.link:
+            self.linked += letters
 
     def content(self) -> np.ndarray:
         """Which lines nothing marks. A marked element that holds over half of the page's text is no menu or notice: its mark
@@ -199,6 +213,19 @@ def threshold(values: np.ndarray) -> float:
     return border
 
 
+def without_menus(lines: list[Line], fit: np.ndarray, values: np.ndarray, border: float) -> np.ndarray:
+    """The fit lines without runs of links whose smoothed ratios are below the border on the whole."""
+    out, run = fit.copy(), []
+    for i in [*np.flatnonzero(fit).tolist(), None]:
+        if i is not None and lines[i].links and (not run or lines[i].holder == lines[run[-1]].holder):
+            run.append(i)
+            continue
+        if len(run) > 1 and float(values[run].mean()) <= border:
+            out[run] = False
+        run = [i] if i is not None and lines[i].links else []
+    return out
+
+
 def main_text(html: str | None) -> str:
     """Text of the content blocks, joined by blank lines; empty if the page has none."""
     reader = Reader()
@@ -212,6 +239,8 @@ def main_text(html: str | None) -> str:
     values = smoothed(np.array([x.ratio if f else 0.0 for x, f in zip(lines, fit)]))
     border = threshold(values[fit])
     high = fit & (values > border)
+    fit = without_menus(lines, fit, values, border)
+    high &= fit
     articles = {x.article for x, f, h in zip(lines, fit, high) if x.article and f and (h or x.ratio > border)}  # a short one may be smoothed away
     if articles:
         return "\n\n".join(x.text for x, f in zip(lines, fit) if f and x.article in articles)
@@ -226,7 +255,7 @@ def main_text(html: str | None) -> str:
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text and n_chars (code points) of whole pages.
 
-    Null and empty pages, and pages without content, have empty text. Of several articles all that hold lines of the upper cluster
+    Null and empty pages, and pages without content, have empty text; an empty table gives no rows. Of several articles all that hold lines of the upper cluster
     are kept, in page order. Rows are independent: repeated rows give a row each, and further columns don't matter.
     """
 

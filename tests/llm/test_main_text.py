@@ -80,3 +80,33 @@ def test_rows(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     got = sorted((tuple(r) for r in html_text.extract(pages).collect()), key=str)
     assert got == sorted([(1, "u", LONG, len(LONG)), (1, "u", LONG, len(LONG)), (2, None, "", 0), (None, "v", "", 0)], key=str)
+
+
+def planted(html, where):
+    """A list of links without names, before the first, after the last or between the middle paragraphs of the article."""
+    menu = "<ul>" + "".join(f'<li><a href="/{w}">{w}</a></li>' for w in ("Home", "World", "Sport", "Weather", "Archive", "Contact")) + "</ul>"
+    cuts = [i for i in range(len(html)) if html.startswith("<p>", i)]
+    at = {"first": cuts[0], "middle": cuts[len(cuts) // 2], "last": html.index("</article>")}[where]
+    return html[:at] + menu + html[at:]
+
+
+def test_scores_decide_within_articles(spark, small, monkeypatch):
+    """Menus without names, planted in the articles of the given pages, go by their scores; without a threshold they stay. So on pages without articles."""
+    pages = [p.html for p in spark.read.parquet(f"{small}/pages.parquet").collect()]
+    pages = [p for p in pages if p.count("<p>") > 4 and "</article>" in p][:60]
+    bare = [p.replace("<article>", "<div>").replace("</article>", "</div>").replace("<nav>", "<div>").replace("</nav>", "</div>") for p in pages]
+    want, plain = [main_text(p) for p in pages], [main_text(p) for p in bare]
+    for where in ("first", "middle", "last"):
+        assert [main_text(planted(p, where)) for p in pages] == want
+    assert len(want) > 20 and sum(a == b for a, b in zip(plain, want)) > 0.9 * len(want)
+    monkeypatch.setattr(html_text, "threshold", lambda values: -1.0)
+    assert all(main_text(planted(p, "middle")) != w for p, w in zip(pages, want))
+    assert all(main_text(p) != w for p, w in zip(bare, plain))
+
+
+def test_links_in_text_stay():
+    """A linked paragraph, a text with links and a long list of sources are no menus."""
+    source = "<li><a href='x'>" + LONG * 2 + "</a></li>"
+    page = f"<nav><a>x</a></nav><article><p>{LONG}<p><a>Read this.</a><p>{LONG} <a>And</a> more.<ul>{source * 3}</ul><a>never closed<p>Short.<p>{LONG}</article>"
+    text = main_text(page)
+    assert "Read this." in text and "And more." in text and text.count(LONG * 2) == 3 and "Short." in text

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import html
 import re
 import zlib
 
@@ -118,6 +119,9 @@ def test_op9(run, pages):
     kinds, rows = run("op9_main_text")
     has(kinds, page_id="bigint", url="string", text="string", n_chars="bigint")
     assert {r.page_id: r.url for r in rows} == {i: p.url for i, p in pages.items()} and all(r.n_chars == len(r.text) > 0 for r in rows)
+    inner = {i: re.search(r"<article>(.*?)(</article>|$)", p.html, re.S)[1].replace("<br>", " ") for i, p in pages.items()}
+    blocks = {i: [" ".join(html.unescape(re.sub(r"<[^<>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1)>", x)] for i, x in inner.items()}
+    assert {r.page_id: r.text for r in rows} == {i: "\n\n".join(filter(None, b)) for i, b in blocks.items()}
 
 
 def test_op10(run, texts):
