@@ -244,17 +244,15 @@ def cut(ids: list[int], texts: list[str], window: int, gram: int, buckets: int,
 
 def count_bucket(blocks: list[bytes], window: int, gram: int, limit: int):
     """Ranges (document, begin, stop) of the repeated windows of one bucket."""
-    groups: dict[int, dict[bytes, list]] = {}
+    groups: dict[int, dict[bytes, list]] = {}  # by minimiser: of each piece its flags and the places that no task has told of
     for block in blocks:
         for key, flags, doc, at, s in unpack(block):
-            group = groups.setdefault(key, {})
-            old = group.get(s)
-            if old is None:
-                group[s] = [flags, [(doc, at)] if not flags & MANY else []]
+            own = groups.setdefault(key, {}).setdefault(s, [0, {}])
+            if flags & MANY:
+                own[1].pop((doc, at), None)
             else:
-                places = [p for p in old[1] if p != (doc, at)] if flags & MANY else old[1] if (doc, at) in old[1] else [*old[1], (doc, at)]
-                old[0] |= flags | (MANY if len(places) > 1 else 0)
-                old[1] = places
+                own[1][doc, at] = None
+            own[0] |= flags | (MANY if len(own[1]) > 1 else 0)
     out = []
     waiting: list[dict[bytes, list]] = []
 

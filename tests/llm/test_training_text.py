@@ -461,3 +461,21 @@ def test_pipeline_against_force(spark, small):
     left = {i: t for i, t in left.items() if not any(b in re.sub(r"\s+", " ", t) for b in benchmark)}
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     assert {r.doc_id: list(r.ids) for r in corpus_pipeline.run(spark, small).collect()} == {i: library.encode(t) for i, t in left.items()}
+
+
+def test_one_piece_in_many_blocks():
+    """Places of a piece are held as a set: sixteen thousand blocks that all hold it take no longer than their number says."""
+    import time
+
+    window = 40
+    piece = bytes(random.Random(1).randrange(97, 123) for _ in range(60))
+    a, b, key, _ = next(iter(byte_index.pieces(piece, window, 8)))
+
+    def took(n):
+        blocks = [byte_index.pack([(key, 0, doc, 0, piece[a:b])]) for doc in range(n)]
+        began = time.perf_counter()
+        out = byte_index.count_bucket(blocks, window, 8, 1 << 20)
+        return time.perf_counter() - began, out
+
+    few, many = took(2000), took(16_000)
+    assert len(many[1]) == 16_000 and {x[0] for x in many[1]} == set(range(16_000)) and many[0] < 16 * few[0] + 0.5 and many[0] < 2
