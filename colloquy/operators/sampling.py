@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from colloquy.operators.ranges import numbered
+from colloquy.sources.shared import written
 
 
 def draw(seed: int, *ids: str) -> Column:
@@ -20,42 +18,54 @@ def draw(seed: int, *ids: str) -> Column:
 STRATA = [("severe", 0.0), ("weak", 0.4), ("borderline", 0.6), ("pass", 0.8)]
 
 
+def capped(pool: DataFrame, taken: DataFrame, order: list[str], caps: dict[str, int], most: int) -> DataFrame:
+    """The first `most` rows of the pool, in order, that a walk takes which leaves out rows of a value that has reached its cap; `taken` rows count from
+    the start. `caps`: column -> how many rows of a value there may be.
+
+    No task walks. In a round, a row is taken if its values stay below their caps even if all rows before it that aren't decided yet are taken, and
+    left out if rows taken before it reach one. The first undecided row is always decided, and on most data a few rounds decide all. Rows that
+    have the same value in all these columns are taken from the front, so no more of them than the least cap are looked at.
+    """
+    columns = list(caps)
+    nth = F.row_number().over(Window.partitionBy(*columns).orderBy(*order))
+    state = pool.withColumn("_nth", nth).where(F.col("_nth") <= min(caps.values())).drop("_nth")
+    for c in columns:
+        state = state.join(taken.groupBy(c).agg(F.count("*").alias(f"_{c}")), c, "left").na.fill(0, [f"_{c}"])
+    state = written(state.withColumn("_in", F.lit(None).cast("boolean")), "pool")
+    while state.where("_in is null").limit(1).count():
+        sure, out = F.lit(True), F.lit(False)
+        for c, cap in caps.items():
+            w = Window.partitionBy(c).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+            before = lambda on, w=w: F.coalesce(F.sum(on.cast("int")).over(w), F.lit(0))
+            known = F.col(f"_{c}") + before(F.coalesce("_in", F.lit(False)))
+            sure &= known + before(F.col("_in").isNull()) < cap
+            out |= known >= cap
+        state = written(state.withColumn("_in", F.coalesce("_in", F.when(sure, True).when(out, False))), "pool")
+    return state.where("_in").orderBy(*order).limit(most).select(pool.columns)
+
+
 def stratified_sample(runs: DataFrame, n: int, seed: int, per_scenario: int = 3, per_model: int = 6) -> DataFrame:
     """trace_id, stratum, blind_id, short of n runs (trace_id, scenario, model, overall, active).
 
     Strata are filled in turn, the scarcest first, each with its share of n: runs with tool calls or database activity (`active`) come first,
-    then by draw, with caps per scenario and model over all. What is missing is topped up from any stratum. `short` says how
-    many runs the stratum lacked before that. Candidates are first cut to the caps in each (stratum, scenario, model), which loses none that the
-    caps let in; only that cut, whose size follows from the number of scenarios and models, is walked through.
+    then by draw, with caps per scenario and model over all. What is missing is topped up from any stratum, by draw. `short` says how
+    many runs the stratum lacked before that. Runs without a score are left out; an empty table gives no rows.
     """
     named = F.expr("case " + " ".join(f"when overall >= {low} then '{name}'" for name, low in reversed(STRATA)) + " end")
-    rows = runs.where("overall is not null").select("trace_id", "scenario", "model", named.alias("stratum"), (~F.coalesce("active", F.lit(False))).alias("idle"), draw(seed, "trace_id").alias("d"))
-    sizes = rows.groupBy("stratum").agg(F.count("*").alias("size"))  # four rows
-    w = Window.partitionBy("stratum", "scenario", "model").orderBy("idle", "d", "trace_id")
-    cut = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= min(per_scenario, per_model)).join(F.broadcast(sizes), "stratum")
-
-    def greedy(part: pd.DataFrame) -> pd.DataFrame:
-        share, taken, counts = max(1, n // len(STRATA)), {}, Counter()
-        short = {}
-
-        def take(rows: pd.DataFrame, most: int) -> int:
-            got = 0
-            for r in rows.itertuples(index=False):
-                if got == most:
-                    break
-                if r.trace_id not in taken and counts["s", r.scenario] < per_scenario and counts["m", r.model] < per_model:
-                    taken[r.trace_id] = (r.d, r.stratum)
-                    counts.update([("s", r.scenario), ("m", r.model)])
-                    got += 1
-            return got
-
-        for (_, stratum), pool in part.groupby(["size", "stratum"], sort=True):
-            short[stratum] = share - take(pool.sort_values(["idle", "d", "trace_id"]), share)
-        take(part.sort_values(["d", "trace_id"]), n - len(taken))
-        order = sorted(taken, key=lambda t: (taken[t][0], t))
-        return pd.DataFrame([(t, taken[t][1], f"B{i:03d}", short[taken[t][1]]) for i, t in enumerate(order, 1)], columns=["trace_id", "stratum", "blind_id", "short"])
-
-    return cut.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(greedy, "trace_id long, stratum string, blind_id string, short long")
+    rows = runs.where("overall is not null").select("trace_id", "scenario", "model", named.alias("stratum"), (~F.coalesce("active", F.lit(False))).alias("idle"), draw(seed, "trace_id").alias("d")).where("stratum is not null")
+    caps, share, count, short = {"scenario": per_scenario, "model": per_model}, max(1, n // len(STRATA)), 0, {}
+    taken = written(rows.limit(0), "taken")
+    sizes = rows.groupBy("stratum").agg(F.count("*").alias("size")).orderBy("size", "stratum").collect()  # a row per stratum, four at most
+    for stratum in [r.stratum for r in sizes]:
+        got = written(capped(rows.where(F.col("stratum") == stratum), taken, ["idle", "d", "trace_id"], caps, share), "taken")
+        taken = taken.unionByName(got)
+        short[stratum] = share - got.count()
+        count += share - short[stratum]
+    if n > count:
+        taken = taken.unionByName(written(capped(rows.join(taken.select("trace_id"), "trace_id", "left_anti"), taken, ["d", "trace_id"], caps, n - count), "taken"))
+    number = F.concat(F.lit("B"), F.lpad(F.col("number").cast("string"), F.greatest(F.lit(3), F.length(F.col("number").cast("string"))), F.lit("0")))
+    lacked = F.create_map(*(F.lit(x) for kv in short.items() for x in kv)) if short else F.create_map().cast("map<string,int>")
+    return numbered(taken, "number", "d", "trace_id").select("trace_id", "stratum", number.alias("blind_id"), F.try_element_at(lacked, F.col("stratum")).cast("long").alias("short"))
 
 
 def anchors_by_level(items: DataFrame, by: str, score: str) -> DataFrame:

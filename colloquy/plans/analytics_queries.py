@@ -373,7 +373,7 @@ def c8(v):
 
 @query("k1_stratified_sample")
 def k1(v):
-    """No SQL: a greedy walk over a seeded cut; tests check caps, strata and size."""
+    """No SQL: draws are Spark's hashes. Tests compare with a plain walk over all runs."""
     return K.stratified_sample(v.runs.withColumn("active", F.expr("cust % 4 = 1")), 30, seed=11)
 
 
