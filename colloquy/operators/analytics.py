@@ -238,7 +238,7 @@ def price_calls(calls: DataFrame, pricing: DataFrame, default: tuple[float, floa
     `pricing` (model, ordinal, usd_in, usd_out) is a small fixed table. Prices are looked up once per model, not per call.
     """
     models = calls.select("model").distinct().withColumnRenamed("model", "used")
-    fit = models.join(F.broadcast(pricing), F.expr("startswith(used, model)"), "left")
+    fit = models.join(pricing, F.expr("startswith(used, model)"), "left")
     best = fit.groupBy("used").agg(F.min_by(F.struct("usd_in", "usd_out"), F.struct((F.col("model") != F.col("used")).cast("int").alias("prefix"), "ordinal")).alias("p"))
     prices = best.select(F.col("used").alias("model"), F.coalesce("p.usd_in", F.lit(default[0])).alias("usd_in"), F.coalesce("p.usd_out", F.lit(default[1])).alias("usd_out"))
     usd = (F.col("input_tokens") * F.col("usd_in") + F.col("output_tokens") * F.col("usd_out")) / 1e6

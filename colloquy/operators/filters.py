@@ -53,7 +53,7 @@ def tool_markup_leaks(messages: DataFrame, with_calls: DataFrame, pattern: str =
 
 def find_traces(traces: DataFrame, wanted: DataFrame) -> DataFrame:
     """Traces whose id contains one of the wanted strings; the list is a short one, typed by a user."""
-    return traces.join(F.broadcast(wanted), F.expr("contains(cast(trace_id as string), wanted)"), "left_semi")
+    return traces.join(wanted, F.expr("contains(cast(trace_id as string), wanted)"), "left_semi")
 
 
 def first_fault(rules: list[tuple[str, Column]]) -> Column:

@@ -140,7 +140,7 @@ def rubric_atoms(judged: DataFrame, expected: DataFrame) -> DataFrame:
     without evidence fall one step; a rubric with fewer than three testable atoms gets 2 at most.
     """
     first = judged.groupBy("trace_id", "dim_id", "atom_id").agg(F.min_by(F.struct("status", "evidence_found"), "pos").alias("j"))
-    need = judged.select("trace_id").distinct().join(F.broadcast(expected))
+    need = judged.select("trace_id").distinct().join(expected)
     all_ = need.join(first, ["trace_id", "dim_id", "atom_id"], "left").select("trace_id", "dim_id", F.coalesce("j.status", F.lit("na")).alias("s"), F.coalesce("j.evidence_found", F.lit(False)).alias("e"))
     s, e = F.col("s"), F.col("e")
     status = F.when((s == "yes") & ~e, "partial").when((s == "partial") & ~e, "no").otherwise(s)
@@ -171,7 +171,7 @@ def arbitrate(judges: DataFrame) -> DataFrame:
 def normalize_judgements(rows: DataFrame, items: DataFrame, turns: DataFrame) -> DataFrame:
     """trace_id, item_id, score, status, turn, missing: first row per item; scores within 0 and 5; turns that don't exist are null."""
     first = rows.groupBy("trace_id", "item_id").agg(F.min_by(F.struct("score", "status", "turn"), "pos").alias("r"))
-    need = rows.select("trace_id").distinct().join(F.broadcast(items))
+    need = rows.select("trace_id").distinct().join(items)
     ok = turns.select("trace_id", "turn").distinct().withColumn("real", F.lit(True))
     j = need.join(first, ["trace_id", "item_id"], "left").select("trace_id", "item_id", "r.score", "r.status", F.col("r.turn").alias("turn"), F.col("r").isNull().alias("missing"))
     known = F.col("status").isin("completed", "failed", "skipped", "not_reached")
