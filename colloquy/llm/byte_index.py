@@ -343,8 +343,8 @@ def dedup_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     A byte goes if a string of `window` bytes covers it that also starts elsewhere, in its own document or another; all
     such strings go, the first included. Strings are judged on the input and lie in one document. Null and short texts lose
-    nothing. Rows that repeat a row are the same document; ids of different texts must differ. Rows with a null id lose
-    nothing and count as no copy. An empty table gives an empty result.
+    nothing. Rows that repeat a row are the same document; ids of different texts must differ, and are numbers or numerals. Rows
+    with a null id lose nothing and count as no copy. An empty table gives an empty result.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{id_col}`").cast("long").alias("key"))

@@ -221,7 +221,7 @@ def matches(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_c
 
     One row for each document and item that may have that cover: they share one of the item's rarest windows. Slots are checked along
     each alignment of item and document: values must map one to one. Null and empty texts have no windows; repeated items are
-    items of their own; rows that repeat a document count once, and rows with a null id are left out.
+    items of their own; rows that repeat a document count once, and rows with a null id are left out. Without documents or items there are no rows.
     """
     of_items = written(windows(items, item_col, item_text_col, list(range(1, window + 1)), None, whole=True), "item-windows")
     sizes = sorted(r["size"] for r in of_items.select("size").distinct().collect())  # up to `window` numbers
@@ -249,7 +249,7 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
                  cover: float = COVER) -> DataFrame:
     """doc_id and item_id of leaks, with n_covered, n_words and kind: `copy`, or `reworked` where slots have other values.
 
-    A leak covers at least `cover` of the item's words by windows whose slots are consistent.
+    A leak covers at least `cover` of the item's words by windows whose slots are consistent. Nulls, repeats and empty tables are as in `matches`.
     """
     found = matches(docs, items, id_col=id_col, text_col=text_col, item_col=item_col, item_text_col=item_text_col, cover=cover)
     leaks = found.where(F.col("consistent") & (F.col("n_covered") >= cover * F.col("n_words")))

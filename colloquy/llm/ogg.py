@@ -183,7 +183,7 @@ def features(payload: bytes, times: list[float]) -> str:
 
 
 def write_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes and media: the text as an Ogg stream. A null text is stored as an empty one: one packet of padding."""
+    """doc_id, n_bytes and media: the text as an Ogg stream. A null text is stored as an empty one: one packet of padding. Each row gives a row; an empty table none."""
 
     def run(ids, texts):
         made = [stored(t) for t in texts]
@@ -198,7 +198,7 @@ def read_media(media: DataFrame, *, id_col: str = "doc_id", media_col: str = "me
 
     Returns doc_id, n_bytes (unpadded), payload_bytes, payload_sha256, tail_crc32 (of the last 32 payload bytes),
     media_bytes, media_sha256, feature, end_s (seconds, from the last granule position) and, if asked for, payload.
-    Null media give nulls; broken media fail the task with the reason. Rows are independent.
+    Null media give nulls; broken media fail the task with the reason. Rows are independent; an empty table gives none.
     """
     names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "end_s", "payload"]
 

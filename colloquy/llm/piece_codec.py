@@ -202,7 +202,7 @@ def encode_pieces(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_co
 
 
 def decode_pieces(encoded: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """doc_id and text of encoded rows; null ids give an empty text."""
+    """doc_id and text of encoded rows; null ids give an empty text, an empty table no rows."""
 
     def run(keys, ids):
         c = codec(path)

@@ -59,6 +59,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without an id have a score, but are neither held out nor not."""
     docs = table(spark, sf_dir, "documents")
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0

@@ -46,7 +46,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (signed 64 bits) of whole texts; null and blank texts have 0."""
+    """doc_id and fp (signed 64 bits) of whole texts; null and blank texts have 0. Each row gives a row; an empty table gives none."""
     kind = docs.schema[id_col].dataType.simpleString()
     return map_columns(docs, {"doc_id": id_col, "text": text_col}, lambda ids, texts: {"doc_id": ids, "fp": [fingerprint(t) for t in texts]}, f"doc_id {kind}, fp long")
 

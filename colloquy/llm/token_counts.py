@@ -210,7 +210,7 @@ def token_counts(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
 
 
 def counts_at(stored: DataFrame, *, at_col: str, id_col: str = "doc_id") -> DataFrame:
-    """doc_id, n_tokens of the first `at_col` bytes, from stored tables (prefix_counts); null beyond the text and for nulls."""
+    """doc_id, n_tokens of the first `at_col` bytes, from stored tables (prefix_counts); null beyond the text and for nulls. An empty table gives no rows."""
 
     def run(ids, tables, places):
         made = [None if t is None else unpack(t) for t in tables]

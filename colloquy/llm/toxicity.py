@@ -303,7 +303,7 @@ class Lazy:
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score (0 to 1), predicted (score >= 0.5) and matches (patterns found) of whole texts.
 
-    Null and empty texts match nothing and get the model's base score. Rows are independent.
+    Null and empty texts match nothing and get the model's base score. Rows are independent, and so are null ids; an empty table gives no rows.
     """
     lazy = Lazy(model.lexicon)
 
@@ -317,7 +317,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
 
 def clean(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """The rows whose text scores below 0.5, with all their columns."""
+    """The rows whose text scores below 0.5, with all their columns; null and empty texts have the base score. An empty table stays empty."""
     lazy = Lazy(model.lexicon)
 
     @F.pandas_udf("double")

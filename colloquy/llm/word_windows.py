@@ -235,7 +235,8 @@ def dedup_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     A word goes if a window of `window` words of its document covers it whose words also start earlier: in a document with a
     smaller id, or further up in the same one. Windows are judged on the input. Words are runs of anything but ASCII
     blanks. Null and short texts lose nothing. Rows that repeat a row are the same document and lose the same words; ids of
-    different texts must differ. Rows with a null id lose nothing and count as no copy. An empty table gives an empty result.
+    different texts must differ, and are numbers or numerals. Rows with a null id lose nothing and count as no copy. An empty table gives an
+    empty result.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{id_col}`").cast("long").alias("key"))
