@@ -1,8 +1,11 @@
 """Transducers, their composition, and learning: several labels, a bounded sample."""
 
 import itertools
+import math
 import random
+import zlib
 
+import numpy as np
 import pytest
 
 from colloquy.llm import toxicity
@@ -70,3 +73,61 @@ def test_several_labels_and_long_texts(spark):
     rows = {r.doc_id: r.predicted for r in toxicity.score(docs, model).collect()}
     assert rows == {i: int(i % 3 == 0) for i in range(60)}
     assert {r.doc_id for r in toxicity.clean(docs, model).collect()} == {i for i in range(60) if i % 3} and toxicity.clean(docs, model).columns == docs.columns
+
+
+def plain_lexicon(rows):
+    """Learned words and word beginnings of (text, toxic) rows, by counting each unit in each row."""
+    T = toxicity
+    counts = {}
+    for text, y in rows:
+        words = set(T.WORD.findall(text.lower()))
+        for unit in {("w", w) for w in words} | {("s", w[:n]) for w in words for n in range(3, 9) if len(w) >= n}:
+            counts.setdefault(unit, [0, 0])[y] += 1
+    n = [sum(y == c for _, y in rows) for c in (0, 1)]
+    base, chosen = n[1] / sum(n), {}
+    for unit, (neg, pos) in counts.items():
+        odds = math.log((pos + 0.5) / (n[1] + 1)) - math.log((neg + 0.5) / (n[0] + 1))
+        share = pos / (pos + neg)
+        nats = (pos + neg) * ((share * math.log(share / base) if share else 0) + ((1 - share) * math.log((1 - share) / (1 - base)) if share < 1 else 0))
+        if pos >= max(3, 0.005 * n[1]) and odds >= T.LISTED and nats >= 11:
+            chosen[unit] = (pos, odds)
+    stems = {u: x for (k, u), x in chosen.items() if k == "s"}
+    kept = {s: w for s, (p, w) in stems.items() if not any(len(t) == len(s) + 1 and t.startswith(s) and stems[t][0] == p and w <= stems[t][1] for t in stems)}
+    return dict.fromkeys(T.INSULTS, T.LISTED) | {u: w for (k, u), (_, w) in chosen.items() if k == "w"}, kept
+
+
+def plain_patterns(text, words, stems):
+    """Matches of each clause by distances between its words."""
+    T, found = toxicity, [0.0] * toxicity.SIZE
+    for clause in T.CLAUSE.split((text or "").lower()):
+        own, seen = T.WORD.findall(clause), {T.INSULT: 0, T.THREAT: 0}
+        for i, w in enumerate(own):
+            weight = max([words.get(w, 0.0), *(stems.get(w[:n], 0.0) for n in range(3, 9) if len(w) >= n)])
+            for kind, on, value in ((T.INSULT, weight > 0, weight), (T.THREAT, w in T.THREATS, T.LISTED)):
+                if on:
+                    flags = any(x in T.TARGETS and abs(i - k) <= T.NEAR for k, x in enumerate(own)), any(x in T.NEGATIONS for x in own[max(0, i - T.REACH) : i]), any(x in T.REPORTS for x in own[:i])
+                    found[T.PLACE[(kind, *map(int, flags))]] += value * (T.AGAIN if seen[kind] else T.ONCE)
+                    seen[kind] = 1
+    return [math.log1p(x) for x in found]
+
+
+def test_scores_of_the_query_against_a_plain_version(spark, small):
+    """Every score of op7's query: units counted row by row, matches read plainly, weights that no small change betters."""
+    from colloquy.llm import queries
+
+    docs = {d.doc_id: d.text for d in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    labels = [(x.doc_id, x.toxic) for x in spark.read.parquet(f"{small}/labels.parquet").collect() if zlib.crc32(str(x.doc_id).encode()) % 5]
+    rows = [(docs[i], y) for i, y in labels if i in docs]
+    words, stems = plain_lexicon([(t or "", y) for t, y in rows])
+    x, y = np.array([plain_patterns(t, words, stems) for t, _ in rows]), np.array([float(y) for _, y in rows])
+    weights, bias = toxicity.fit_weights(x, y)
+
+    def loss(w):
+        z = x @ w[:-1] + w[-1]
+        return np.logaddexp(0, np.where(y == 1, -z, z)).sum() + ((w - np.append(toxicity.PRIOR, toxicity.BIAS)) ** 2).sum() / 2
+
+    best = np.append(weights, bias)
+    assert all(loss(np.where(np.arange(len(best)) == i, np.maximum(best + d, 0) if i < len(weights) else best + d, best)) >= loss(best) - 1e-9 for i in range(len(best)) for d in (0.01, -0.01))
+    got = {r.doc_id: r.score for r in queries.op7_toxicity(spark, small).collect()}
+    want = {i: 1 / (1 + math.exp(-(np.array(plain_patterns(t, words, stems)) @ weights + bias))) for i, t in docs.items()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want) and len({round(s, 3) for s in want.values()}) > 3
