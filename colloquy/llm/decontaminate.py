@@ -3,7 +3,8 @@
 Words become a template: numbers, names and units are replaced by typed placeholders, so a question with other
 numbers or names has the same template. Windows of templates are joined by hash, and the slots of the windows are
 checked: one value in the item must always meet one value in the document. A capital at the start of a sentence may stand for a name
-or not, so windows with one have both templates. Windows with few plain words go by their own words instead of placeholders.
+or not, so windows with one have both templates. Names of several words, and numbers written in several, are one slot. Windows with few plain words go by their
+own words instead of placeholders.
 """
 
 from __future__ import annotations
@@ -37,8 +38,10 @@ COUNTED = frozenset(NUMBER_WORDS)
 EDGE = re.compile(r"^[^\w$€£%°+-]+|[^\w%°]+$")
 STOPS = (".", "!", "?", ":", "\"", "”", ")", "]")
 NUM, NAME, UNIT = "<num>", "<name>", "<unit>"
-#: Low bits of a word's code: it may be a name; the next word starts a sentence; it is a number or a unit; it is empty.
-MAYBE_NAME, STOP, SLOT, EMPTY = 1, 2, 4, 8
+#: Before the value of a slot whose first word may not belong to it.
+LOOSE = "\1"
+#: Low bits of a word's code: it may be a name; the next word starts a sentence; it is a number or a unit; it is empty; it is a number's word.
+MAYBE_NAME, STOP, SLOT, EMPTY, SPOKEN = 1, 2, 4, 8, 16
 ODD = np.array([pow(0x9E3779B97F4A7C15, 2 * i + 1, 1 << 64) for i in range(64)], dtype=np.uint64)
 
 
@@ -64,7 +67,7 @@ def code(raw: str) -> int:
     word = bare(raw)
     template = kind(word)
     flags = (MAYBE_NAME if word[:1].isupper() and template not in (NUM, UNIT) else 0) | (STOP if raw.endswith(STOPS) else 0)
-    return digest(template) | flags | (SLOT if template in (NUM, UNIT) else 0) | (0 if word else EMPTY)
+    return digest(template) | flags | (SLOT if template in (NUM, UNIT) else 0) | (0 if word else EMPTY) | (SPOKEN if word.lower() in COUNTED else 0)
 
 
 def own_code(raw: str) -> int:
@@ -92,16 +95,22 @@ class Templates:
         start = np.ones(len(codes), bool)  # of a sentence: the first word of a text, and each after a stop
         start[1:] = stop[:-1] | (doc[1:] != doc[:-1])
         capital = (codes & np.uint64(MAYBE_NAME)) != 0
-        self.at, self.doc = np.flatnonzero(keep), doc[keep]
-        self.either = (capital & start)[keep]  # a name or not
-        self.fixed = ((codes & np.uint64(SLOT)) != 0)[keep]  # a number or a unit
-        names = (capital & ~start)[keep]
+        at, names, either, spoken = np.flatnonzero(keep), (capital & ~start)[keep], (capital & start)[keep], ((codes & np.uint64(SPOKEN)) != 0)[keep]
+        # a name goes on with the next word if that is one too, whatever the first is; so does a number in words
+        on = np.zeros(len(at), bool)
+        on[1:] = (at[1:] == at[:-1] + 1) & ~start[at[1:]] & (names[1:] & (names | either)[:-1] | (spoken[1:] & spoken[:-1]))
+        head = np.flatnonzero(~on)
+        self.at, self.end = at[head], at[np.append(head[1:], len(at))[: len(head)] - 1] + 1
+        self.doc, names, self.either = doc[self.at], names[head], either[head]  # either: a name or not
+        self.fixed = ((codes & np.uint64(SLOT)) != 0)[self.at]  # a number or a unit
+        self.begun = self.either & (self.end > self.at + 1)  # a word that may be part of the name after it
         self.names = (names, names | self.either)
-        plain = (codes & ~np.uint64(0xFF))[keep]
+        plain = (codes & ~np.uint64(0xFF))[self.at]
+        plain[self.begun] += NAME_HASH
         self.hashes = tuple(np.where(n, NAME_HASH, plain) for n in self.names)
         self.own = plain.copy()
         some = np.flatnonzero(self.names[1] | self.fixed)
-        self.own[some] = np.fromiter((OWN[self.words[i]] for i in self.at[some].tolist()), np.uint64, len(some))
+        self.own[some] = np.fromiter((OWN[self.words[a]] if b == a + 1 else own_code(" ".join(map(bare, self.words[a:b]))) for a, b in zip(self.at[some].tolist(), self.end[some].tolist())), np.uint64, len(some))
         self.counts = np.bincount(self.doc, minlength=len(texts))
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,15 +137,21 @@ class Templates:
         hashes = [total(h)[at] if len(at) else np.zeros(0, np.uint64) for at, (_, h) in zip(found, parts)]
         return np.concatenate(found), np.concatenate(hashes), np.repeat(np.arange(3, dtype=np.int8), [len(at) for at in found])
 
+    def text(self, i: int, skip: int = 0) -> str:
+        return " ".join(map(bare, self.words[self.at[i] + skip : self.end[i]]))
+
     def template(self, start: int, size: int, kind_: int) -> str:
-        words = [bare(self.words[self.at[i]]) for i in range(start, start + size)]
         if kind_ == 2:
-            return "= " + " ".join(words).lower()
-        return " ".join(NAME if self.names[kind_][i] else kind(w) for i, w in enumerate(words, start))
+            return "= " + " ".join(self.text(i) for i in range(start, start + size)).lower()
+        word = lambda i: kind(bare(self.words[self.at[i]])) + (" " + NAME if self.begun[i] else "")
+        return " ".join(NAME if self.names[kind_][i] else word(i) for i in range(start, start + size))
 
     def slots(self, start: int, size: int, kind_: int) -> list[str]:
-        slot = self.names[kind_ % 2][start : start + size] | self.fixed[start : start + size]
-        return [bare(self.words[self.at[i]]).lower() for i, s in enumerate(slot.tolist(), start) if s]
+        """Values of the slots. Where the first word of a name may be none, the rest of it is the value, or all of it with `LOOSE` ahead."""
+        own = slice(start, start + size)
+        slot = self.names[kind_ % 2][own] | self.fixed[own] | self.begun[own]
+        begun = self.begun[own].tolist()
+        return [(self.text(start + i, 1) if kind_ != 1 else LOOSE + self.text(start + i)).lower() if begun[i] else self.text(start + i).lower() for i in np.flatnonzero(slot).tolist()]
 
 
 def windows(df: DataFrame, id_col: str, text_col: str, sizes: list[int], bits: np.ndarray | None, whole: bool = False) -> DataFrame:
@@ -234,6 +249,12 @@ def matches(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_c
     aligned = met.groupBy("doc_id", "item_id", "n_words", (F.col("at") - F.col("pos")).alias("shift")).agg(
         F.collect_set(F.struct("pos", "size")).alias("found"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs")
     )
+    # a loose value is what another slot holds, or the one that it meets, if it ends with that; else all of itself
+    for side, other, on in (("s", "v", "true"), ("v", "s", "q.s = p.s")):
+        same = f"get(filter(pairs, q -> {on} and not startswith(q.{side}, '{LOOSE}') and endswith(p.{side}, concat(' ', q.{side}))), 0).{side}"
+        met_ = f"if(endswith(p.{side}, concat(' ', p.{other})), p.{other}, null)"
+        new = {"s": "p.s", "v": "p.v", side: f"if(startswith(p.{side}, '{LOOSE}'), coalesce({same}, {met_}, substring(p.{side}, 2)), p.{side})"}
+        aligned = aligned.withColumn("pairs", F.expr(f"if(exists(pairs, p -> startswith(p.{side}, '{LOOSE}')), array_distinct(transform(pairs, p -> struct({new['s']} as s, {new['v']} as v))), pairs)"))
     one_to_one = "size(pairs) = size(array_distinct(pairs.s)) and size(pairs) = size(array_distinct(pairs.v))"
     aligned = aligned.select(
         "doc_id", "item_id", "n_words", F.expr("flatten(transform(found, f -> sequence(f.pos, f.pos + f.size - 1)))").alias("covered"),

@@ -18,6 +18,16 @@ def test_names_at_the_start_of_sentences(spark):
     assert {k: v[0] for k, v in got.items() if k[0] != 3} == {(1, 0): "reworked", (2, 0): "copy"}
 
 
+def test_names_and_numbers_of_several_words(spark):
+    """A name or number of other length is still one slot, at the start of sentences too."""
+    item = "Tom has 3 pens. Tom buys 4 pens. Tom sells 2 pens. How many pens has Tom now?"
+    long_ = "Yesterday the farmer Peter Miller from Berlin sold three hundred apples to old Anna and kept seven for his brother Jim in the city of Rome today."
+    docs = [(1, item.replace("Tom", "Mary Ann")), (2, item.replace("Tom", "Mary Ann Lee").replace("3", "three hundred")), (3, "So. " + item.replace("Tom", "Mary Ann").replace("Mary Ann sells", "Ben sells")),
+            (4, long_.replace("Peter Miller", "Karl").replace("three hundred", "9").replace("Anna", "Maria del Mar").replace("Rome", "New York")), (5, item), (6, "Mary Ann has pens. Mary Ann buys pens.")]
+    got = found(spark, [(*d, "x", 1) for d in docs], [(0, item), (9, long_)])
+    assert {k: v[0] for k, v in got.items() if k[0] != 3} == {(1, 0): "reworked", (2, 0): "reworked", (4, 9): "reworked", (5, 0): "copy"} and got[1, 0][1:] == (18, 18)
+
+
 def test_items_with_few_plain_words(spark):
     item = "12 + 7 * 3 - 40 / 2 + 9 - 1 = ?"
     docs = [(1, f"See {item} here"), (2, item.replace("40", "41")), (3, "1 2 3 4 5 6 7 8 9 10 11 12 13 14"), (4, None), (4, ""), (None, item)]
