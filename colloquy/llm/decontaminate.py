@@ -76,7 +76,7 @@ def own_code(raw: str) -> int:
 
 
 NAME_HASH = np.uint64(digest(NAME))
-CODES, OWN = Memo(code, 100_000), Memo(own_code, 30_000)
+CODES, OWN = Memo(code, 250_000), Memo(own_code, 30_000)
 
 
 class Templates:
@@ -125,16 +125,20 @@ class Templates:
             sums = np.concatenate(([0], np.cumsum(mask)))
             return sums[size:] - sums[:-size]
 
-        def total(hashes: np.ndarray) -> np.ndarray:
-            out = np.zeros(n, np.uint64)
-            for i in range(size):
-                out += (hashes[i : i + n] ^ (hashes[i : i + n] >> np.uint64(29))) * ODD[i % 64]
-            return out
+        def total(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+            """Hashes of the windows there; of most windows, or of a few."""
+            mixed = hashes ^ (hashes >> np.uint64(29))
+            if 3 * len(at) < n:
+                return sum((mixed[at + i] * ODD[i % 64] for i in range(1, size)), mixed[at] * ODD[0])
+            out = mixed[:n] * ODD[0]
+            for i in range(1, size):
+                out += mixed[i : i + n] * ODD[i % 64]
+            return out[at]
 
         fit = [size - count(names | self.fixed) >= min(PLAIN, size) for names in self.names]
         parts = [(whole & fit[0], self.hashes[0]), (whole & fit[1] & (count(self.either) > 0), self.hashes[1]), (whole & ~fit[0], self.own)]
         found = [np.flatnonzero(mask) for mask, _ in parts]
-        hashes = [total(h)[at] if len(at) else np.zeros(0, np.uint64) for at, (_, h) in zip(found, parts)]
+        hashes = [total(h, at) if len(at) else np.zeros(0, np.uint64) for at, (_, h) in zip(found, parts)]
         return np.concatenate(found), np.concatenate(hashes), np.repeat(np.arange(3, dtype=np.int8), [len(at) for at in found])
 
     def text(self, i: int, skip: int = 0) -> str:
