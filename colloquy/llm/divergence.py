@@ -82,6 +82,26 @@ def kept_terms(docs: DataFrame, min_docs: int) -> DataFrame:
     return both.where(F.col("d") >= min_docs).select("lang", "term", "total", "own")
 
 
+def joint(sources: np.ndarray, levels: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(g, a, h, b, n) of one block of words: their columns of zeros and ones, times their transpose, tile by tile; each pair of columns once."""
+    values, level = np.unique(levels, return_inverse=True)
+    columns, at = np.unique(sources * len(values) + level, return_inverse=True)
+    source, level = columns // len(values), values[columns % len(values)]
+    tiles = []
+    for lo in range(0, len(columns), TILE):
+        some = (at >= lo) & (at < lo + TILE)
+        tile = np.zeros((int(rows[-1]) + 1, min(TILE, len(columns) - lo)), np.float32)
+        tile[rows[some], at[some] - lo] = 1
+        tiles.append(tile)
+    for i, left in enumerate(tiles):
+        for j in range(i, len(tiles)):
+            table = left.T @ tiles[j]  # sums of ones, as many as there are words at most, which are exact
+            x, y = np.nonzero(np.triu(table) if i == j else table)
+            n = table[x, y].astype(np.int64)
+            x, y = x + i * TILE, y + j * TILE
+            yield source[x], level[x], source[y], level[y], n
+
+
 def joint_tables(terms: DataFrame) -> DataFrame:
     """lang, g, a, h, b, n: how many terms occur a times in source g and b times in h, for g < h; and for g = h and a = b, how many occur a
     times in g. Counts of zero have no entries.
@@ -89,59 +109,54 @@ def joint_tables(terms: DataFrame) -> DataFrame:
     schema = "lang string, g string, a long, h string, b long, n long"
     out = arrow_schema(schema)
 
-    def product(sources: list[str], levels: np.ndarray, rows: np.ndarray) -> Iterator[tuple]:
-        """(g, a, h, b, n) of one block: its words' columns times their transpose, tile by tile."""
-        names, own = np.unique(np.array(sources, object), return_inverse=True)
-        columns, at = np.unique(np.stack([own, levels]), axis=1, return_inverse=True)
-        at, height = at.reshape(-1), int(rows[-1]) + 1
-        tiles = []
-        for lo in range(0, columns.shape[1], TILE):
-            some = (at >= lo) & (at < lo + TILE)
-            tile = np.zeros((height, min(TILE, columns.shape[1] - lo)), np.float32)
-            tile[rows[some], at[some] - lo] = 1
-            tiles.append(tile)
-        for i, left in enumerate(tiles):
-            for j in range(i, len(tiles)):
-                table = left.T @ tiles[j]  # sums of at most `height` ones
-                x, y = np.nonzero(table)
-                n = table[x, y].astype(np.int64)
-                x, y = x + i * TILE, y + j * TILE
-                use = (columns[0, x] < columns[0, y]) | (x == y)
-                x, y, n = x[use], y[use], n[use]
-                yield from zip(names[columns[0, x]], columns[1, x].tolist(), names[columns[0, y]], columns[1, y].tolist(), n.tolist())
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim(__name__)
-        found: Counter = Counter()
-        sources, levels, rows, now, height = [], [], [], None, 0
-
-        def close() -> None:
-            nonlocal height
-            if sources:
-                for *key, n in product(sources, np.array(levels), np.array(rows)):
-                    found[(now, *key)] += n
-            sources.clear(), levels.clear(), rows.clear()
-            height = 0
-
-        def made() -> Iterator[pa.RecordBatch]:
-            columns = list(zip(*found)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip([*columns, list(found.values())], out)], schema=out)
-            found.clear()
+        known: dict[str, int] = {}  # sources of this task
+        found: dict[str, list[tuple]] = {}
+        held = 0
+
+        def summed(lang: str) -> pa.Table:
+            columns = [np.concatenate(c) for c in zip(*found[lang])]
+            return pa.table(columns, names=["g", "a", "h", "b", "n"]).group_by(["g", "a", "h", "b"]).aggregate([("n", "sum")])
+
+        def made(lang: str, table: pa.Table) -> Iterator[pa.RecordBatch]:
+            names = pa.array(list(known), pa.string())
+            places = np.argsort(np.argsort(np.array(list(known), object)))
+            g, a, h, b = (table.column(c).to_numpy() for c in "gahb")
+            turn = places[g] > places[h]
+            g, a, h, b = np.where(turn, h, g), np.where(turn, b, a), np.where(turn, g, h), np.where(turn, a, b)
+            columns = [pa.array([lang] * len(g), pa.string()), names.take(pa.array(g)), pa.array(a), names.take(pa.array(h)), pa.array(b), table.column("n_sum").combine_chunks()]
+            for at in range(0, len(g), 1 << 16):
+                yield pa.RecordBatch.from_arrays([c.slice(at, 1 << 16) for c in columns], schema=out)
 
         for part in slices(batches, 4 << 20):
-            for lang, own in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                if lang != now or len(sources) + len(own) > BLOCK:
-                    close()
-                    now = lang
-                for x in own:
-                    sources.append(x["source"])
-                    levels.append(x["n"])
-                    rows.append(height)
-                height += 1
-                if len(found) > ENTRIES:
-                    yield from made()
-        close()
-        yield from made()
+            langs, own = part.column(0).to_pylist(), part.column(1)
+            ends = own.offsets.to_numpy()
+            sources, levels = own.values.slice(ends[0], ends[-1] - ends[0]).flatten()
+            ends = ends - ends[0]
+            coded = sources.dictionary_encode()
+            ids = np.array([known.setdefault(x, len(known)) for x in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy()]
+            levels = levels.to_numpy()
+            at = 0
+            while at < len(langs):
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + BLOCK, "right")) - 1)
+                to = next((i for i in range(at + 1, min(to, len(langs))) if langs[i] != langs[at]), min(to, len(langs)))
+                rows = np.repeat(np.arange(to - at), np.diff(ends[at : to + 1]))
+                for entries in joint(ids[ends[at] : ends[to]], levels[ends[at] : ends[to]], rows):
+                    found.setdefault(langs[at], []).append(entries)
+                    held += len(entries[0])
+                at = to
+                if held > ENTRIES:
+                    tables, held = {lang: summed(lang) for lang in found}, 0
+                    for lang, table in tables.items():
+                        found[lang] = [tuple(table.column(c).to_numpy() for c in ("g", "a", "h", "b", "n_sum"))]
+                        held += table.num_rows
+                    if held > ENTRIES // 2:
+                        for lang, table in tables.items():
+                            yield from made(lang, table)
+                        found, held = {}, 0
+        for lang in found:
+            yield from made(lang, summed(lang))
 
     # words of like frequency stand together: rare ones share few columns
     each = terms.sortWithinPartitions("lang", "total").select("lang", "own").mapInArrow(run, schema)
