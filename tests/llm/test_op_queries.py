@@ -40,7 +40,7 @@ def pages(spark, small):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_same_rows_as_sql(name, run, small):
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
     cursor = c.execute(queries.ORACLE_SQL[name])
     names = [d[0] for d in cursor.description]
