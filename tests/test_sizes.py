@@ -34,3 +34,22 @@ def test_policies_are_not_broadcast(name, spark, many_policies):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     joins = [line for line in plan.split("\n") if "BroadcastHashJoin [" in line and "BuildRight" in line]
     assert not [j for j in joins if "scenario_id" in j or "custkey" in j], joins
+
+
+def test_slots_are_counted_not_paired(spark):
+    """Against plain loops, with nulls, negative numbers and repeats; no join makes a row per need and slot."""
+    from colloquy.operators import filters
+
+    needs = [(i, i % 2, 0, [-5.0, 3.5, 20.0, None][i % 4], [-9, 0, 2, 7, 100, None][i % 6]) for i in range(600)] + [(1, 1, 0, 9.0, 1)]
+    places = [(p, float(p % 13 - 4)) for p in range(300)] + [(300, None)]
+    slots = [(p, p % 2, d, [-3, 0, 1, 2, 5, 8, None][(p + d) % 7]) for p in range(303) for d in (0, 1)]
+    price, want = dict(places), {}
+    for i, kind, day, budget, heads in needs:
+        fit = [p for p, k, d, seats in slots if (k, d) == (kind, day) and None not in (seats, heads, budget, price.get(p)) and seats >= heads and price[p] <= budget]
+        want[i] = want.get(i, 0) + len(fit)
+    df = filters.feasible_slots(
+        spark.createDataFrame(needs, "scenario_id long, kind int, day int, budget double, heads int"),
+        spark.createDataFrame(places, "place_id long, price double"), spark.createDataFrame(slots, "place_id long, kind int, day int, seats int"))
+    assert {r.scenario_id: r.n_slots for r in df.collect()} == want and max(want.values()) > 50
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.split("\n") if "Join Inner" in line and "kind" in line]
