@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -100,7 +101,7 @@ def poisson_weight(row_id: str, replicate: int, seed: int) -> Column:
     """How often a row is drawn in a replicate: a count that follows from hashes of its id, the replicate and the seed, so draws don't
     depend on how rows are dealt out."""
     u = F.xxhash64(row_id, F.lit(replicate), F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
-    return F.aggregate(F.array(*map(F.lit, POISSON)), F.lit(0), lambda n, s: n + (u >= s).cast("int"))
+    return reduce(lambda c, ns: c.when(u < ns[1], ns[0]), list(enumerate(POISSON))[1:], F.when(u < POISSON[0], 0)).otherwise(len(POISSON))  # most draws end at the first steps
 
 
 def interval(values: DataFrame, level: float) -> DataFrame:

@@ -53,3 +53,14 @@ def test_slots_are_counted_not_paired(spark):
     assert {r.scenario_id: r.n_slots for r in df.collect()} == want and max(want.values()) > 50
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.split("\n") if "Join Inner" in line and "kind" in line]
+
+
+def test_draws_are_plain_comparisons(spark):
+    """The same draws as a count of the steps passed, without a function that walks an array for each row and replicate."""
+    from colloquy.operators import agreement as G
+
+    u = F.xxhash64("id", F.lit(3), F.lit(7)).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
+    rows = spark.range(20_000).select(G.poisson_weight("id", 3, 7).alias("w"), u.alias("u"))
+    got = rows.collect()
+    assert all(r.w == sum(r.u >= s for s in G.POISSON) for r in got) and max(r.w for r in got) >= 5
+    assert "lambda" not in rows._jdf.queryExecution().optimizedPlan().toString()
