@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from colloquy.operators.ranges import before, in_ranges
 from colloquy.operators.scoring import OBJECTIVE_WEIGHTS
 
 BINS = [0.2, 0.4, 0.6, 0.8]
@@ -197,11 +198,16 @@ def icc2(table: DataFrame) -> DataFrame:
 
 
 def balanced(runs: DataFrame, subject: str, least: int = 3) -> DataFrame:
-    """subject, rater (run number), x: groups of `least` runs or more, cut to the shortest; runs in order of start."""
+    """subject, rater (run number), x: groups of `least` runs or more, cut to the shortest; runs in order of start.
+
+    Runs are numbered in ranges of (subject, start), so no task holds a whole group, however few groups there are."""
     sizes = runs.groupBy(subject).agg(F.count("*").alias("size")).where(F.col("size") >= least)
     short = sizes.agg(F.min("size").alias("short"))
-    number = F.row_number().over(Window.partitionBy(subject).orderBy("started_at", "trace_id"))
-    rows = runs.join(sizes.select(subject), subject).withColumn("rater", number).join(F.broadcast(short)).where("rater <= short")
+    placed = in_ranges(runs.select(subject, "started_at", "trace_id", "overall"), subject, "started_at", "trace_id")
+    parts = placed.groupBy(subject, "_part").agg(F.count("*").alias("_n"))
+    own = F.row_number().over(Window.partitionBy("_part", subject).orderBy("started_at", "trace_id"))
+    rows = placed.withColumn("_own", own).join(before(parts, "_n", subject), [subject, "_part"]).withColumn("rater", F.col("_before") + F.col("_own"))
+    rows = rows.join(sizes.select(subject), subject).join(F.broadcast(short)).where("rater <= short")
     return rows.select(F.col(subject).alias("subject"), "rater", F.col("overall").alias("x"))
 
 

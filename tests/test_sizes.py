@@ -64,3 +64,16 @@ def test_draws_are_plain_comparisons(spark):
     got = rows.collect()
     assert all(r.w == sum(r.u >= s for s in G.POISSON) for r in got) and max(r.w for r in got) >= 5
     assert "lambda" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_runs_are_numbered_in_ranges(spark):
+    """One large group is numbered by several tasks; the same rows as a plain walk, groups of too few runs and nulls left out."""
+    from colloquy.operators import analytics as A
+
+    rows = [("a", 7 * i % 500 // 2, i, float(i)) for i in range(500)] + [("b", None if i == 3 else -i, i, i / 2) for i in range(40)] + [("c", 1, 1, 1.0), (None, 1, 1, 1.0), (None, 2, 2, 1.0), (None, 3, 3, 1.0)] + [(None, 9, i, 1.0) for i in range(40)]
+    df = A.balanced(spark.createDataFrame(rows, "model string, started_at long, trace_id long, overall double").repartition(3), "model")
+    want = {(g, n, x) for g in "ab" for n, (_, _, _, x) in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0, r[2])), 1) if n <= 40}
+    got = df.collect()
+    assert {(r.subject, r.rater, r.x) for r in got} == want and len(got) == 80
+    windows = [line for line in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window [row_number" in line]
+    assert windows and all("_part" in line for line in windows)
