@@ -139,13 +139,12 @@ def rubric_atoms(judged: DataFrame, expected: DataFrame) -> DataFrame:
     Unknown atoms are dropped, of repeated ones the first counts, missing ones are not applicable; yes and partial
     without evidence fall one step; a rubric with fewer than three testable atoms gets 2 at most.
     """
-    first = judged.groupBy("trace_id", "dim_id", "atom_id").agg(F.min_by(F.struct("status", "evidence_found"), "pos").alias("j"))
-    need = judged.select("trace_id").distinct().join(expected)
-    all_ = need.join(first, ["trace_id", "dim_id", "atom_id"], "left").select("trace_id", "dim_id", F.coalesce("j.status", F.lit("na")).alias("s"), F.coalesce("j.evidence_found", F.lit(False)).alias("e"))
-    s, e = F.col("s"), F.col("e")
-    status = F.when((s == "yes") & ~e, "partial").when((s == "partial") & ~e, "no").otherwise(s)
-    points = F.when(status == "yes", 1.0).when(status == "partial", 0.5).when(status == "no", 0.0)
-    g = all_.groupBy("trace_id", "dim_id").agg(F.sum(points).alias("p"), F.count(points).alias("n"), F.count(F.lit(1)).alias("all"))
+    found = F.coalesce("evidence_found", F.lit(False))
+    points = F.when(F.col("status") == "yes", F.when(found, 1.0).otherwise(0.5)).when(F.col("status") == "partial", F.when(found, 0.5).otherwise(0.0)).when(F.col("status") == "no", 0.0)
+    first = judged.groupBy("trace_id", "dim_id", "atom_id").agg(F.min_by(points, "pos").alias("p"))
+    known = first.join(expected, ["dim_id", "atom_id"]).groupBy("trace_id", "dim_id").agg(F.sum("p").alias("p"), F.count("p").alias("n"))
+    need = judged.select("trace_id").distinct().join(expected.groupBy("dim_id").agg(F.count("*").alias("all")))
+    g = need.join(known, ["trace_id", "dim_id"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     raw = F.least(F.lit(5), F.floor(F.coalesce(F.col("p"), F.lit(0.0)) / (F.col("n") + 0.5 * (F.col("all") - F.col("n"))) * 5 + 0.5).cast("int"))
     under = F.col("n") < 3
     return g.select("trace_id", "dim_id", F.coalesce("p", F.lit(0.0)).alias("points"), F.when(under, F.least(raw, F.lit(2))).otherwise(raw).alias("score"), under.alias("undertested"))

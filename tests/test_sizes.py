@@ -77,3 +77,25 @@ def test_runs_are_numbered_in_ranges(spark):
     assert {(r.subject, r.rater, r.x) for r in got} == want and len(got) == 80
     windows = [line for line in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window [row_number" in line]
     assert windows and all("_part" in line for line in windows)
+
+
+def test_rubrics_keep_no_row_per_atom(spark):
+    """Against plain loops, with unknown, repeated and null atoms; judgements are hashed, not sorted, and traces meet a row per rubric."""
+    from colloquy.operators import scoring as S
+
+    rows = [(i % 7, ["d0", "d1", "d9", None][i * i % 4], f"a{i % 5}", ["yes", "partial", "no", "na", None][i * 3 % 11 % 5], [True, False, None][i % 3], None if i % 17 == 0 else i * 37 % 101) for i in range(120)]
+    expected = [(d, f"a{i}") for d in ("d0", "d1") for i in range(4)]
+    want = {}
+    for t in range(7):
+        for d in ("d0", "d1"):
+            points = []
+            for a in range(4):
+                own = [r for r in rows if r[:3] == (t, d, f"a{a}") and r[5] is not None]
+                _, _, _, s, e, _ = min(own, key=lambda r: r[5]) if own else (None,) * 6
+                points.append({"yes": 1.0 if e else 0.5, "partial": 0.5 if e else 0.0, "no": 0.0}.get(s))
+            n, p = sum(x is not None for x in points), sum(x or 0.0 for x in points)
+            raw = min(5, int(p / (n + 0.5 * (4 - n)) * 5 + 0.5))
+            want[t, d] = (p, min(raw, 2) if n < 3 else raw, n < 3)
+    df = S.rubric_atoms(spark.createDataFrame(rows, "trace_id long, dim_id string, atom_id string, status string, evidence_found boolean, pos long"), spark.createDataFrame(expected, "dim_id string, atom_id string"))
+    assert {(r.trace_id, r.dim_id): (r.points, r.score, r.undertested) for r in df.collect()} == want and len({x[1] for x in want.values()}) > 2
+    assert "SortAggregate" not in df._jdf.queryExecution().executedPlan().toString()
