@@ -75,19 +75,21 @@ def counterfactual_repair(verdicts: DataFrame, causes: DataFrame) -> DataFrame:
 
     An atom recovers when all its unsatisfied causes (`causes`: scenario_id, src, dst) have, and it has some. All repairs of all traces take a round together,
     until one brings nothing new; a round looks at what follows from the atoms of the last one. Atoms on a cycle of causes recover by their own repair only.
+    Rounds are sorted to meet: what they have written is far smaller as a file than as rows, so Spark would send it whole through the driver.
     """
-    bad = written(unsatisfied(verdicts), "unsatisfied")
-    links = written(failed_causes(bad, causes).distinct(), "causes")
-    need = links.groupBy("trace_id", "dst").agg(F.count("*").alias("need"))
-    good = written(bad.select("trace_id", F.col("atom").alias("root"), "atom"), "good")
+    merged = lambda df, name: written(df, name).hint("merge")
+    bad = merged(unsatisfied(verdicts), "unsatisfied")
+    links = merged(failed_causes(bad, causes).distinct(), "causes")
+    need = links.groupBy("trace_id", "dst").agg(F.count("*").alias("need")).hint("merge")
+    good = merged(bad.select("trace_id", F.col("atom").alias("root"), "atom"), "good")
     new = good
     while not new.isEmpty():
         touched = new.join(links.withColumnRenamed("src", "atom"), ["trace_id", "atom"]).select("trace_id", "root", "dst").distinct()
-        met = touched.join(links, ["trace_id", "dst"]).join(good.withColumnRenamed("atom", "src"), ["trace_id", "root", "src"])
+        met = touched.join(links, ["trace_id", "dst"]).join(good.withColumnRenamed("atom", "src").hint("merge"), ["trace_id", "root", "src"])
         full = met.groupBy("trace_id", "root", "dst").agg(F.count("*").alias("met")).join(need, ["trace_id", "dst"]).where("met = need")
-        new = written(full.select("trace_id", "root", F.col("dst").alias("atom")).join(good, ["trace_id", "root", "atom"], "left_anti"), "new")
+        new = merged(full.select("trace_id", "root", F.col("dst").alias("atom")).join(good.hint("merge"), ["trace_id", "root", "atom"], "left_anti"), "new")
         good = good.unionByName(new)
-    total = bad.groupBy("trace_id").agg(F.greatest(F.sum("weight"), F.lit(1.0)).alias("total"))
+    total = bad.groupBy("trace_id").agg(F.greatest(F.sum("weight"), F.lit(1.0)).alias("total")).hint("merge")
     sums = good.join(bad.select("trace_id", "atom", "weight"), ["trace_id", "atom"]).groupBy("trace_id", "root").agg(F.count("*").alias("recovers"), F.sum("weight").alias("sum"))
     return sums.join(total, "trace_id").select("trace_id", F.col("root").alias("atom"), "recovers", (F.col("sum") / F.col("total") * 0.25).alias("gain"))
 

@@ -66,6 +66,18 @@ def test_draws_are_plain_comparisons(spark):
     assert "lambda" not in rows._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_repairs_are_not_broadcast(spark):
+    """Rounds over what was written, whose files are far smaller than its rows, join by sorting; results as by hand."""
+    from colloquy.operators import diagnosis as I
+
+    verdicts = spark.range(1, 301).selectExpr("1L AS scenario_id", "id AS trace_id", "explode(array('a', 'b', 'c')) AS atom", "'unsatisfied' AS verdict", "-1.0D AS delta")
+    causes = spark.createDataFrame([(1, "a", "b"), (1, "b", "c")], "scenario_id long, src string, dst string")
+    df = I.counterfactual_repair(verdicts, causes)
+    rows = df.collect()
+    assert {(r.atom, r.recovers) for r in rows} == {("a", 3), ("b", 2), ("c", 1)} and len(rows) == 900
+    assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_runs_are_numbered_in_ranges(spark):
     """One large group is numbered by several tasks; the same rows as a plain walk, groups of too few runs and nulls left out."""
     from colloquy.operators import analytics as A
