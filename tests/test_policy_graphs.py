@@ -65,3 +65,17 @@ def test_reach(spark):
     want = {(p, s) for p, own in start for s in reach(given.get(p, []), [own], {(s, c) for q, s, c in taken if q == p})}
     assert {tuple(x) for x in got} == want and len(got) == len(want) and (0, "s200") in want and (1, "s110") in want
     assert reachable_from(edges, df([], "scenario_id long, step_id string")).count() == 0
+
+
+def test_long_policies_are_not_folded(spark):
+    """One policy of 6000 steps, twice as many edges and a cycle at its end; a fold over all steps for each step takes minutes."""
+    n = 6000
+    steps = [f"s{i:05d}" for i in range(n)]
+    links = [(steps[i], steps[i + k]) for i in range(n) for k in (1, 3) if i + k < n] + [(steps[-1], steps[-9])]
+    own = [(s, (i * 7) % 101) for i, s in enumerate(steps)]
+    nodes = spark.createDataFrame([(1, *x) for x in own], "scenario_id long, step_id string, ord long")
+    edges = spark.createDataFrame([(1, *x) for x in links], "scenario_id long, src string, dst string")
+    df = topological_order(edges, nodes)
+    got = {r.step_id: (r.depth, r.pos) for r in df.collect()}
+    assert [got[s] for s in steps[: n - 9]] == [(i, i + 1) for i in range(n - 9)] and {got[s] for s in steps[n - 9 :]} == {(None, None)}
+    assert "aggregate(" not in df._jdf.queryExecution().optimizedPlan().toString()
