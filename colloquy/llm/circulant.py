@@ -20,6 +20,8 @@ from colloquy.llm.arrow import map_columns
 from colloquy.llm.components import components
 from colloquy.llm.rolling import BASE, joined, mixed, piece_hashes
 from colloquy.llm.shared import written
+from colloquy.llm.simhash import fingerprint_of
+from colloquy.llm.simhash import links as fingerprint_links
 
 #: Two texts of similarity s share none of the bands with a probability of (1 - s ** DEEP) ** BANDS: at 0.8 five in ten million.
 BANDS, DEEP = 48, 6
@@ -111,16 +113,17 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def sketches(docs: DataFrame, *, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """doc_id, own (128-bit digest of the shingle set), n (its size) and bands of whole texts."""
+def sketches(docs: DataFrame, *, id_col: str, text_col: str, shingle: int, simhash: bool = False) -> DataFrame:
+    """doc_id, own (128-bit digest of the shingle set), n (its size), bands and, if asked for, fp (SimHash of the set) of whole texts."""
 
     def run(ids, texts):
         sets = shingle_sets(texts, shingle)
         bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(band_keys(signatures(sets)).reshape(-1), pa.int64()))
-        return {"doc_id": ids, "own": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "n": list(map(len, sets)), "bands": bands}
+        made = {"doc_id": ids, "own": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "n": list(map(len, sets)), "bands": bands}
+        return made | {"fp": [fingerprint_of(mixed(s)) for s in sets]} if simhash else made
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_columns(docs, {"doc_id": id_col, "text": text_col}, run, f"doc_id {kind}, own binary, n long, bands array<long>", SLICE)
+    return map_columns(docs, {"doc_id": id_col, "text": text_col}, run, f"doc_id {kind}, own binary, n long, bands array<long>" + ", fp long" * simhash, SLICE)
 
 
 def stored_sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -148,6 +151,15 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return written(map_columns(pairs.join(left, "a").join(right, "b"), {c: c for c in "abxy"}, run, f"a {kind}, b {kind}"), "links")
 
 
+def fingerprint_pairs(nodes: DataFrame, distance: int, percent: int) -> DataFrame:
+    """a, b: pairs of nodes (node, n, fp) that SimHash links: those of one fingerprint by their least node, and these by multi-index hashing."""
+    least = written(nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("p")), "fingerprints")
+    same = nodes.join(least, "fp").where("node <> p.node").select("p", F.struct("node", "n").alias("q"))
+    links = fingerprint_links(least.select("fp"), distance).distinct()
+    near = links.join(least.withColumnRenamed("fp", "a"), "a").join(least.withColumnsRenamed({"fp": "b", "p": "q"}), "b").select("p", "q")
+    return same.unionByName(near).where(sizes("p.n", "q.n", percent)).select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b"))
+
+
 def buckets(nodes: DataFrame) -> DataFrame:
     """key, node, n, leader: buckets that several nodes (node, n, bands) share, a row for each node; the leader is the least node, with its n."""
     rows = nodes.select("node", "n", F.explode("bands").alias("key"))
@@ -234,20 +246,35 @@ def in_blocks(rows: DataFrame, sets: DataFrame, percent: int, block: int) -> Dat
     return map_columns(left.join(right, ["centre", "i", "j"]), {"left": "left", "right": "right"}, compare, f"a {kind}, b {kind}")
 
 
-def links_of(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, crowd: int, block: int) -> DataFrame:
+def unlinked(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """The pairs (a, b) that the links don't connect."""
+    label = written(components(links), "labels")
+    apart = pairs.join(label.withColumnsRenamed({"node": "a", "root": "ra"}), "a", "left").join(label.withColumnsRenamed({"node": "b", "root": "rb"}), "b", "left")
+    return apart.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
+
+
+def links_of(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, crowd: int, block: int, simhash: int | None = None) -> DataFrame:
     """a, b: links that connect all nodes (node, n, bands) that share a band and are as similar as that; `sets_of(nodes)`: their sets.
 
-    First each node meets the least of its buckets' leaders, then all of them; a bucket whose nodes are all connected by then is settled. In
-    others a new leader, of the labels that are few, takes its turn as long as that settles half of them. What is left is compared pair by pair,
-    in crowded buckets by blocks. A leader leaves its bucket after it has met all nodes there, so nothing stays uncompared.
+    With `simhash`, nodes (with fp too) whose fingerprints multi-index hashing links at that distance come first, where their sets are as similar;
+    bands have to find the rest. Then each node meets the least of its buckets' leaders, then all of them; a bucket whose nodes are all connected by
+    then is settled. In others a new leader, of the labels that are few, takes its turn as long as that settles half of them. What is left is
+    compared pair by pair, in crowded buckets by blocks. A leader leaves its bucket after it has met all nodes there, so nothing stays uncompared.
     """
     rows = written(buckets(nodes), "buckets")
-    sets = written(sets_of(rows.select("node").distinct()), "shingles")
+    wanted = rows.select("node")
+    if simhash is not None:
+        pairs = written(fingerprint_pairs(nodes, simhash, percent), "simhash")
+        wanted = wanted.unionByName(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+    sets = written(sets_of(wanted.distinct()), "shingles")
     met = rows.where(f"node <> leader.node and {sizes('n', 'leader.n', percent)}").select(F.col("leader.node").alias("a"), F.col("node").alias("b"))
-    links = verified(met.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, percent)
-    label = written(components(links), "labels")
-    apart = met.distinct().join(label.withColumnsRenamed({"node": "a", "root": "ra"}), "a", "left").join(label.withColumnsRenamed({"node": "b", "root": "rb"}), "b", "left")
-    links = links.unionByName(verified(apart.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b"), sets, percent))
+    links = None
+    if simhash is not None:
+        links = verified(pairs, sets, percent)
+        met = written(unlinked(met.distinct(), links), "met")
+    first = verified(met.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, percent)
+    links = first if links is None else links.unionByName(first)
+    links = links.unionByName(verified(unlinked(met.distinct(), links), sets, percent))
     rows, before = rows.where("node <> leader.node").select("key", "node", "n", F.col("leader.node").alias("centre")), None
     while True:
         rows = unsettled(rows, links)
@@ -264,19 +291,21 @@ def links_of(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percen
     return links.unionByName(written(in_blocks(rows.where(f"many > {crowd}"), sets, percent, block), "links")) if few else links
 
 
-def near_groups(docs: DataFrame, *, shingle: int, percent: int = 80, blank_alike: bool = False, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
+def near_groups(docs: DataFrame, *, shingle: int, percent: int = 80, blank_alike: bool = False, simhash: int | None = None, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD,
+                block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles (set size), component_id (the smallest doc_id that links reach), kept (doc_id = component_id), a row for each row.
 
     Two documents are linked if their sets' intersection is at least `percent` of the union. Equal sets are one node from the start, so copies
-    cost a digest each. Null and blank texts have no shingles and are linked with nothing, or with each other if `blank_alike`. Rows with a null
+    cost a digest each. With `simhash`, SimHash fingerprints of the sets within that distance (3 at most) propose pairs before the bands do.
+    Null and blank texts have no shingles and are linked with nothing, or with each other if `blank_alike`. Rows with a null
     id stand alone: their component is null and they are kept. Rows that repeat an id are one document, so what they are linked with is linked.
     An empty table gives no rows; further columns don't matter.
     """
-    own = written(sketches(docs, id_col=id_col, text_col=text_col, shingle=shingle), "sketches")
+    own = written(sketches(docs, id_col=id_col, text_col=text_col, shingle=shingle, simhash=simhash is not None), "sketches")
     named = own.where("doc_id is not null" + ("" if blank_alike else " and n > 0"))
     least = written(named.groupBy("own").agg(F.min("doc_id").alias("node")), "nodes")
     known = named.select("doc_id", "own").join(least, "own").select("doc_id", "node")
-    nodes = named.where("n > 0").select("doc_id", "own", "n", "bands").join(least.withColumnRenamed("node", "doc_id"), ["doc_id", "own"], "left_semi").select(F.col("doc_id").alias("node"), "n", "bands", "own").dropDuplicates(["own"])
+    nodes = named.where("n > 0").join(least.withColumnRenamed("node", "doc_id"), ["doc_id", "own"], "left_semi").withColumnRenamed("doc_id", "node").dropDuplicates(["own"])
     # a document of several texts connects their nodes; its id may be the node of each of them
     several = known.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("doc_id", "a")
     again = known.join(several, "doc_id").where("a <> node").select("a", F.col("node").alias("b"))
@@ -285,7 +314,7 @@ def near_groups(docs: DataFrame, *, shingle: int, percent: int = 80, blank_alike
         texts = docs.select(F.col(f"`{id_col}`").alias("node"), F.col(f"`{text_col}`").alias("text")).join(wanted, "node", "left_semi")
         return stored_sets(texts, shingle)
 
-    roots = components(links_of(nodes, sets_of, percent, crowd, block).unionByName(again))
+    roots = components(links_of(nodes, sets_of, percent, crowd, block, simhash).unionByName(again))
     placed = least.join(roots, "node", "left").select("own", F.coalesce("root", "node").alias("root"))
     rows = own.select("doc_id", "n", "own").join(placed, "own", "left")
     alone = F.col("doc_id").isNull() if blank_alike else F.col("doc_id").isNull() | (F.col("n") == 0)

@@ -33,16 +33,21 @@ def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> list[int]:
     return [digest(line[a:b], SEED) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), (ends[shingle - 1 :] - 1).tolist())]
 
 
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """Signed 64-bit SimHash of unsigned 64-bit hashes: a bit is set if it is in over half of them."""
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        part = hashes[at : at + (1 << 16)].astype(">u8")
+        total += np.unpackbits(part.view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * total > len(hashes)).tobytes(), "big", signed=True)
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """Signed 64-bit SimHash: a bit is set if it is in over half of the shingles' XXH64; 0 without words."""
     hashes = shingle_hashes(text, shingle)
     if not hashes:
         return 0
-    total = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        part = np.array(hashes[at : at + (1 << 16)], dtype=np.uint64).astype(">u8")
-        total += np.unpackbits(part.view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * total > len(hashes)).tobytes(), "big", signed=True)
+    return fingerprint_of(np.array(hashes, dtype=np.uint64))
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

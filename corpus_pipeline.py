@@ -12,6 +12,7 @@ from colloquy.llm.decontaminate import contaminated
 from colloquy.llm.piece_codec import encode_pieces
 from colloquy.llm.queries import PIECE_MODEL, table
 from colloquy.llm.shared import written
+from colloquy.llm.simhash import DISTANCE
 from colloquy.llm.word_windows import remove_windows
 
 
@@ -23,8 +24,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more), the document with the smallest id. Rows with a null id stay.
 
-    Of the pairs at a similarity of 0.8 five in ten million share no band and are lost, of more similar ones fewer; what shares one is compared whole."""
-    others = near_groups(docs, shingle=5, percent=80, blank_alike=True).where("not kept").select("doc_id").distinct()
+    SimHash with multi-index hashing links the nearly equal texts, bands of MinHash the others; either link is made only if the whole sets are as similar.
+    Of the pairs at a similarity of 0.8 five in ten million share no band, of more similar ones fewer; they are lost unless their fingerprints are near."""
+    others = near_groups(docs, shingle=5, percent=80, blank_alike=True, simhash=DISTANCE).where("not kept").select("doc_id").distinct()
     return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -8,6 +8,8 @@ from test_training_text import connected, edges, empty
 import corpus_pipeline
 from colloquy.llm import circulant
 from colloquy.llm.circulant import near_groups
+from colloquy.llm.rolling import mixed
+from colloquy.llm.simhash import fingerprint_of
 
 
 def plain_set(text, size):
@@ -81,6 +83,23 @@ def test_pipeline_stage(spark):
     assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == set(want.values())
 
 
+def test_pipeline_links_by_fingerprints(spark, monkeypatch):
+    """Where bands propose nothing, the stage still links the texts whose fingerprints differ in 3 bits or fewer, if their sets are as similar."""
+    base = [f"w{k}" for k in range(2000)]
+    more = [" ".join(base[:k] + ["changed"] + base[k + 1 :]) for k in range(100, 1000, 100)] + [" ".join([*base, "more"]), "a b c d e f", "f e d c b a"]
+    rows = edited() + [(1000 + i, t) for i, t in enumerate([" ".join(base), *more])]
+    prints = {i: fingerprint_of(mixed(circulant.shingle_sets([t], 5)[0])) for i, t in rows if t.strip()}
+    sets = {i: plain_set(t, 5) for i, t in rows}
+    near = [(i, j) for i in prints for j in prints if i < j and ((prints[i] ^ prints[j]) & (2**64 - 1)).bit_count() <= 3]
+    links = [(i, j) for i, j in near if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    want = connected(dict(rows), links + [(i, j) for i, t in rows for j, u in rows if i < j and not t.strip() and not u.strip()])
+    assert any(sets[i] != sets[j] for i, j in links)
+    buckets = circulant.buckets
+    monkeypatch.setattr(circulant, "buckets", lambda nodes: buckets(nodes).limit(0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == set(want.values())
+
+
 def test_edges(spark):
     """Nulls, empty and short texts, repeats, ids that repeat with other texts, further columns, very long texts; empty tables."""
     long_ = " ".join(f"u{k}" for k in range(200_000))
